@@ -1 +1,8 @@
 """Operators of a training-data pipeline. Nothing outside this folder imports it."""
+
+import sys
+
+from pyspark import cloudpickle
+
+#: Functions of this folder travel to the executors by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
