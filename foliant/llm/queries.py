@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, secret_scan, simhash, toxicity
+from . import mixing, packing, secret_scan, simhash, toxicity
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op2_secrets": secret_scan.op2_secrets,
+    "op5_packing": packing.op5_packing,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash": simhash.op10_simhash,
 }

@@ -15,31 +15,34 @@ from .common import Scratch
 #: n-gram sizes in characters and bits of their hash.
 SIZES, BITS = (3, 4, 5, 6), 18
 #: Most labelled rows that a fit sees (those with the smallest hashes of their ids), and features that it keeps.
-FIT_ROWS, FIT_FEATURES = 20_000, 8_192
+FIT_ROWS, FIT_FEATURES = 12_000, 2_048
 
 
 class Hasher:
-    """Distinct hashed character n-grams of texts, one text at a time."""
+    """Hashed character n-grams of texts with the logarithms of their counts, one text at a time."""
 
-    def __init__(self) -> None:
-        self.seen = np.zeros(1 << BITS, bool)
-
-    def features(self, text: str | None) -> np.ndarray:
-        """Sorted hashes of the n-grams in the lower-cased text, white space as single blanks around each word."""
+    def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted hashes of the n-grams in the lower-cased text, white space as single blanks around each word; log(1 + count)."""
         words = (text or "").lower().split()
         chars = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        counts = np.zeros(1 << BITS, np.int64)
         for at in range(0, len(chars), 1 << 16):  # pieces overlap by what the longest n-gram needs
-            part = chars[at : at + (1 << 16) + max(SIZES) - 1]
-            h = part * np.uint32(0x9E3779B1)
-            for n in range(2, max(SIZES) + 1):
-                if len(part) < n:
-                    break
-                h = (h[:-1] * np.uint32(0x01000193)) ^ (part[n - 1 :] * np.uint32(0x85EBCA6B))
-                if n in SIZES:
-                    self.seen[((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - BITS)] = True
-        out = np.flatnonzero(self.seen)
-        self.seen[out] = False
-        return out
+            found = []
+            for n, h in self.rolling(chars[at : at + (1 << 16) + max(SIZES) - 1]):
+                own = h[: max(0, min(1 << 16, len(chars) - at - n + 1))]  # those that start in this piece
+                found.append(((own ^ (own >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - BITS))
+            if found:
+                counts += np.bincount(np.concatenate(found), minlength=1 << BITS)
+        out = np.flatnonzero(counts)
+        return out, np.log1p(counts[out])
+
+    @staticmethod
+    def rolling(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        h = part * np.uint32(0x9E3779B1)
+        for n in range(2, min(max(SIZES), len(part)) + 1):
+            h = (h[:-1] * np.uint32(0x01000193)) ^ (part[n - 1 :] * np.uint32(0x85EBCA6B))
+            if n in SIZES:
+                yield n, h
 
 
 @dataclass
@@ -49,8 +52,8 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def score(self, features: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.weights[features].sum() + self.bias, -30, 30))))
+    def score(self, features: np.ndarray, values: np.ndarray) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.weights[features] @ values + self.bias, -30, 30))))
 
 
 def log_count_ratios(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
@@ -58,11 +61,11 @@ def log_count_ratios(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean
     return np.log((toxic + 1) / (n_toxic + 2)) - np.log((clean + 1) / (n_clean + 2))
 
 
-def fit_weights(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, steps: int = 150, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic weights on presence features scaled by ratios; Nesterov steps over all rows, an L2 penalty, no randomness."""
+def fit_weights(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, steps: int = 200, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Logistic weights on log counts scaled by ratios; Nesterov steps over all rows, an L2 penalty, no randomness."""
     n, size = len(rows), len(ratios)
     at, row = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(n), [len(r) for r in rows])
-    value = ratios[at]
+    value = ratios[at] * np.concatenate([*values, np.zeros(0)])
     norm = np.sqrt(np.bincount(row, value * value, n).mean() + 1) if n else 1.0
     w, b = np.zeros(size), 0.0
     vw, vb, rate = np.zeros(size), 0.0, 4.0 / norm**2
@@ -81,8 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> M
 
     At most FIT_ROWS labelled ids are used; the list of their ids and labels has that proven bound, so it is
     broadcast and no text is shuffled. Counts behind the log-count ratios run over all texts of that sample in the
-    executors; the FIT_FEATURES features with the strongest evidence (log-count ratio times its frequency) go into the
-    linear fit. Ids labelled twice count by their largest label. Without both classes all scores are the base rate.
+    executors; the FIT_FEATURES features whose shares in the classes differ most, in standard deviations, go into the linear fit. Ids labelled twice count by their largest label. Without both classes all scores are the base rate.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     own = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
@@ -93,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> M
         hasher, found, n = Hasher(), np.zeros((2, 1 << BITS), np.int64), [0, 0]
         for b in batches:
             for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                found[y, hasher.features(t.as_py())] += 1
+                found[y, hasher.features(t.as_py())[0]] += 1
                 n[y] += 1
         held = np.flatnonzero(found.sum(0))
         parts = [pa.array(np.append(held, -1)), pa.array(np.append(found[0, held], n[0])), pa.array(np.append(found[1, held], n[1]))]
@@ -109,17 +111,23 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> M
     clean, toxic = np.zeros(1 << BITS), np.zeros(1 << BITS)
     clean[table.feature], toxic[table.feature] = table.clean, table.toxic
     ratios = log_count_ratios(toxic, clean, n_toxic, n_clean)
-    share = (toxic + clean) / (n_clean + n_toxic)
-    kept = np.sort(np.argsort(-np.abs(ratios) * np.sqrt(share), kind="stable")[:FIT_FEATURES])
+    share = (toxic + clean + 1) / (n_clean + n_toxic + 2)
+    evidence = np.abs(toxic / n_toxic - clean / n_clean) / np.sqrt(share * (1 - share))
+    kept = np.sort(np.argsort(-evidence, kind="stable")[:FIT_FEATURES])
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for b in batches:
-            found = [np.flatnonzero(np.isin(kept, hasher.features(t.as_py()), assume_unique=True)).astype(np.int16).tobytes() for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column(1)], ["held", "toxic"])
-
-    sparse = rows.mapInArrow(reduce, "held binary, toxic int").orderBy(F.xxhash64("held"), "held", "toxic").toPandas()  # FIT_ROWS rows at most per id
-    weights, bias = fit_weights([np.frombuffer(h, np.int16) for h in sparse.held], sparse.toxic.to_numpy(float), ratios[kept])
+            found = []
+            for t in b.column(0):
+                own, values = hasher.features(t.as_py())
+                _, i, j = np.intersect1d(kept, own, assume_unique=True, return_indices=True)
+                found.append((i.astype(np.int16).tobytes(), values[j].astype(np.float32).tobytes()))
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)), b.column(1)], ["held", "value", "toxic"])
+
+    sparse = rows.mapInArrow(reduce, "held binary, value binary, toxic int").orderBy(F.xxhash64("held", "value"), "toxic").limit(FIT_ROWS).toPandas()
+    held = [np.frombuffer(x, np.int16) for x in sparse.held]
+    weights, bias = fit_weights(held, [np.frombuffer(x, np.float32) for x in sparse.value], sparse.toxic.to_numpy(float), ratios[kept])
     full = np.zeros(1 << BITS)
     full[kept] = weights
     return Model(full, float(bias))
@@ -133,7 +141,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, own = Hasher(), Model(*held.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([own.score(hasher.features(t.as_py())) for t in b.column("text")])], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([own.score(*hasher.features(t.as_py())) for t in b.column("text")])], [*kept, "score"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     return docs.select(*kept).mapInArrow(run, f"{schema}, score double")
