@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, secret_scan, simhash, toxicity
+from . import mixing, packing, secret_scan, simhash, toxicity, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op2_secrets": secret_scan.op2_secrets,
     "op5_packing": packing.op5_packing,
+    "op8_warc": warc.op8_warc,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLES = {
     "op1_mix": mixing.ORACLE_SQL,
     "op2_secrets": secret_scan.ORACLE_SQL,
+    "op8_warc": warc.ORACLE_SQL,
 }
