@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, secret_scan, simhash, toxicity, warc
+from . import licenses, mixing, packing, secret_scan, simhash, toxicity, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op2_secrets": secret_scan.op2_secrets,
     "op5_packing": packing.op5_packing,
+    "op6_licenses": licenses.op6_licenses,
     "op8_warc": warc.op8_warc,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash": simhash.op10_simhash,
