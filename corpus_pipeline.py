@@ -1,12 +1,54 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+Every stage sees all rows that its predecessor kept and, but for the last, returns the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from foliant.llm import mixing, packing, secret_scan, simhash, toxicity
 from foliant.llm.common import Scratch
 
-STAGES: list = []
+#: Score from which a document goes.
+TOXIC = 0.3
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs scored below TOXIC by a classifier fitted on the labels table (without the ids that are held out)."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out()).select("doc_id", "toxic")
+    return toxicity.score(docs, toxicity.fit(docs, labels)).where(F.col("score") < TOXIC).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that SimHash links: the one with the smallest doc_id."""
+    return simhash.keep_one(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with every secret in text replaced by a mask; no document goes."""
+    return secret_scan.redact(secret_scan.scan_secrets(docs)).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs as often as the mix of their sources takes them; one document per source may be cut at a word."""
+    return mixing.apply_mix(mixing.mix_sources(mixing.documents_to_mix(docs))).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of docs with its place in a sequence."""
+    return packing.pack(packing.pieces(docs, packing.tokenizer_path()))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash", drop_near_copies),
+    ("secrets", redact_secrets),
+    ("mix", mix),
+    ("pack", pack),
+]
+#: SQL can express neither the classifier nor the packing; tests compare the stages with brute force instead.
 ORACLE_SQL = None
 
 

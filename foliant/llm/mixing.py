@@ -84,7 +84,10 @@ def apply_mix(mixed: DataFrame) -> DataFrame:
     copies = F.filter(F.flatten(F.array(F.array_repeat(F.lit(-1), whole), F.array(rest))), lambda x: x != 0)
     out = mixed.withColumn("_part", F.explode(copies))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0))
-    return out.withColumn("text", F.when(F.col("_part") < 0, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("_part"), F.lit(1))), ""))).drop("_part")
+    out = out.withColumn("text", F.when(F.col("_part") < 0, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("_part"), F.lit(1))), "")))
+    if "n_chars" in out.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_part") < 0, F.col("n_chars")).otherwise(F.length("text").cast(out.schema["n_chars"].dataType)))
+    return out.drop("_part")
 
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, packing, secret_scan, simhash, toxicity, warc
+from . import ann, licenses, mixing, near_vectors, packing, secret_scan, simhash, toxicity, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op2_secrets": secret_scan.op2_secrets,
+    "op3_ann": ann.op3_ann,
     "op5_packing": packing.op5_packing,
     "op6_licenses": licenses.op6_licenses,
+    "op7_near_vectors": near_vectors.op7_near_vectors,
     "op8_warc": warc.op8_warc,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash": simhash.op10_simhash,
@@ -16,5 +18,7 @@ QUERIES = {
 ORACLES = {
     "op1_mix": mixing.ORACLE_SQL,
     "op2_secrets": secret_scan.ORACLE_SQL,
+    "op3_ann": ann.ORACLE_SQL,
+    "op7_near_vectors": near_vectors.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
 }
