@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, licenses, mixing, near_vectors, packing, secret_scan, simhash, toxicity, warc
+from . import ann, licenses, mixing, near_vectors, packing, secret_scan, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op2_secrets": secret_scan.op2_secrets,
     "op3_ann": ann.op3_ann,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_packing": packing.op5_packing,
     "op6_licenses": licenses.op6_licenses,
     "op7_near_vectors": near_vectors.op7_near_vectors,
