@@ -20,11 +20,7 @@ def patches(spark, d):
     return g.select("image_id", F.col("idx").cast("long").alias("idx"), *[F.col(f"r.{c}").cast("long").alias(c) for c in "xywh"])
 
 
-def some_boxes(spark, d):
-    return V.boxes(spark, d).where("image_id <= 500")
-
-
-_PB = f"{S.PATCHES}, {S.BOXES}, b as (select *, x0 + w / 2.0 as cx, y0 + h / 2.0 as cy from boxes where image_id <= 500)"
+_PB = f"{S.PATCHES}, {S.BOXES}, b as (select *, x0 + w / 2.0 as cx, y0 + h / 2.0 as cy from boxes)"
 _OVERLAP = f"""{_PB},
 o as (select p.image_id, p.idx, b.box_id, b.confidence, b.text, greatest(0, least(p.x + p.w, b.x0 + b.w) - greatest(p.x, b.x0)) * greatest(0, least(p.y + p.h, b.y0 + b.h) - greatest(p.y, b.y0)) as area
   from patches p join b on p.image_id = b.image_id where least(p.x + p.w, b.x0 + b.w) > greatest(p.x, b.x0) and least(p.y + p.h, b.y0 + b.h) > greatest(p.y, b.y0))"""
@@ -37,24 +33,24 @@ def grid_patches(spark, d):
 
 
 @query("q17_strips", """
-with p as (select distinct l_orderkey as image_id from lineitem where l_orderkey <= 50),
+with p as (select distinct l_orderkey as image_id from lineitem),
 s as (
-  select image_id, 'wide' as kind, x, y, least(512, 1000 - x) as w, least(256, 1300 - y) as h from p, (select unnest(range(0, 1300, 128)) as y), (select unnest(range(0, 1000, 256)) as x)
-  union all select image_id, 'tall', x, y, least(256, 1000 - x), least(512, 1300 - y) from p, (select unnest(range(0, 1300, 256)) as y), (select unnest(range(0, 1000, 128)) as x))
-select image_id, kind, x, y, w, h from s""")
+  select 'wide' as kind, x, y, least(512, 1000 - x) as w, least(256, 1300 - y) as h from (select unnest(range(0, 1300, 128)) as y), (select unnest(range(0, 1000, 256)) as x)
+  union all select 'tall', x, y, least(256, 1000 - x), least(512, 1300 - y) from (select unnest(range(0, 1300, 256)) as y), (select unnest(range(0, 1000, 128)) as x))
+select image_id, kind, count(*) as n, cast(sum(w * h) as bigint) as area, cast(sum(x * 7 + y) as bigint) as place from p, s group by 1, 2""")
 def strips(spark, d):
-    p = V.page_ids(spark, d).where("image_id <= 50")
+    p = V.page_ids(spark, d)
     wide, tall = G.grid(W, H, 512, 256, 256, 128), G.grid(W, H, 256, 512, 128, 256)
     out = p.select("image_id", F.lit("wide").alias("kind"), F.explode(wide).alias("r")).unionByName(p.select("image_id", F.lit("tall").alias("kind"), F.explode(tall).alias("r")))
-    return out.select("image_id", "kind", *[F.col(f"r.{c}").cast("long").alias(c) for c in "xywh"])
+    return out.groupBy("image_id", "kind").agg(F.count("*").alias("n"), F.sum(F.col("r.w") * F.col("r.h")).cast("long").alias("area"), F.sum(F.col("r.x") * 7 + F.col("r.y")).cast("long").alias("place"))
 
 
 @query("q17b_anchors", f"""
-with {S.BOXES}, a as (select image_id, box_id, x0 + w / 2.0 as cx, y0 + h / 2.0 as cy from boxes where image_id <= 500),
+with {S.BOXES}, a as (select image_id, box_id, x0 + w / 2.0 as cx, y0 + h / 2.0 as cy from boxes),
 c as (select image_id, box_id, greatest(0, least(cast(round_even(cx - 128, 0) as bigint), 999)) as x, greatest(0, least(cast(round_even(cy - 128, 0) as bigint), 1299)) as y from a)
 select image_id, box_id, x, y, least(256, 1000 - x) as w, least(256, 1300 - y) as h from c""")
 def centred_patches(spark, d):
-    c = Sp.centres(some_boxes(spark, d)).withColumn("r", G.centred(F.col("cx"), F.col("cy"), 256, W, H))
+    c = Sp.centres(V.boxes(spark, d)).withColumn("r", G.centred(F.col("cx"), F.col("cy"), 256, W, H))
     return c.select("image_id", "box_id", *[F.col(f"r.{k}").cast("long").alias(k) for k in "xywh"])
 
 
@@ -70,7 +66,7 @@ def row_bands(spark, d):
 with {_OVERLAP} select p.image_id, p.idx, coalesce(t.text, '') as text from patches p
 left join (select image_id, idx, string_agg(text, ' ' order by box_id) as text from o group by 1, 2) t on t.image_id = p.image_id and t.idx = p.idx""")
 def patch_text(spark, d):
-    return Sp.patch_texts(patches(spark, d), some_boxes(spark, d))
+    return Sp.patch_texts(patches(spark, d), V.boxes(spark, d))
 
 
 @query("q20_patch_coverage_conf", f"""
@@ -78,7 +74,7 @@ with {_OVERLAP}, t as (select image_id, sum(w * h) as total from b group by 1),
 select p.image_id, p.idx, coalesce(a.area, 0)::double / t.total as text_coverage, round(coalesce(a.c, 0), 9) as text_confidence
 from patches p left join a on a.image_id = p.image_id and a.idx = p.idx left join t on t.image_id = p.image_id""")
 def patch_coverage(spark, d):
-    return Sp.coverage(patches(spark, d), some_boxes(spark, d)).withColumn("text_confidence", F.round("text_confidence", 9))
+    return Sp.coverage(patches(spark, d), V.boxes(spark, d)).withColumn("text_confidence", F.round("text_confidence", 9))
 
 
 _EDGES = """c as (select *, x0 + w / 2.0 as cx0, y0 + h / 2.0 as cy0 from boxes),
@@ -97,7 +93,7 @@ def layout_edges(spark, d):
 
 @query("q22_graph_features", f"""
 with {_PB}, {_EDGES}, {_ASKED},
-k as (select c.image_id, c.box_id, c.cx0, c.cy0 from c join q using (image_id) where image_id <= 500 and len(list_filter(q, lambda t: contains(lower(text), t))) > 0),
+k as (select c.image_id, c.box_id, c.cx0, c.cy0 from c join q using (image_id) where len(list_filter(q, lambda t: contains(lower(text), t))) > 0),
 e as (select image_id, a, b, rel from edges union all select image_id, b, a, rel from edges),
 n as (select e.image_id, e.rel, c.cx0, c.cy0, sqrt(pow(c.cx0 - k.cx0, 2) + pow(c.cy0 - k.cy0, 2)) as d from e join k on k.image_id = e.image_id and k.box_id = e.a join c on c.image_id = e.image_id and c.box_id = e.b),
 m as (select image_id, min(d) as d from n group by 1),
@@ -107,7 +103,7 @@ select p.image_id, p.idx, coalesce(r.row, 0) as same_row_label_value, coalesce(r
   round(coalesce(i.n, 0)::double / greatest(1.0, p.h / 20.0)::double, 9) as patch_line_density, coalesce(i.n, 0)::double as patch_box_density
 from patches p left join r on r.image_id = p.image_id and r.idx = p.idx left join i on i.image_id = p.image_id and i.idx = p.idx left join m on m.image_id = p.image_id""")
 def graph_features(spark, d):
-    return Sp.graph_features(patches(spark, d), some_boxes(spark, d), V.box_questions(spark, d))
+    return Sp.graph_features(patches(spark, d), V.boxes(spark, d), V.box_questions(spark, d))
 
 
 @query("q23_label_value", f"""
@@ -140,7 +136,7 @@ s as (select p.image_id, p.idx, p.x, p.y, p.w, p.h, round(coalesce(a.area, 0)::d
 
 def scored(spark, d):
     p = patches(spark, d)
-    a = Sp.overlaps(p, some_boxes(spark, d)).groupBy("image_id", "idx").agg(F.sum("area").alias("area"), F.count("*").alias("n"))
+    a = Sp.overlaps(p, V.boxes(spark, d)).groupBy("image_id", "idx").agg(F.sum("area").alias("area"), F.count("*").alias("n"))
     s = F.round(F.coalesce("area", F.lit(0)) / (F.col("w") * F.col("h")), 9)
     return p.join(a, ["image_id", "idx"], "left").select("image_id", "idx", "x", "y", "w", "h", s.alias("score"), F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -196,17 +192,19 @@ def hash_sample(spark, d):
 with {_SCORED},
 r as (select image_id, idx, row_number() over (partition by image_id order by score desc, idx) as a, row_number() over (partition by image_id order by n desc, idx) as b from s),
 l as (select image_id, idx, 0 as k, a as r from r where a <= 3 union all select image_id, idx, 1, b from r where b <= 4),
-m as (select image_id, idx, min(k * 1000 + r) as at from l group by 1, 2)
-select image_id, idx, row_number() over (partition by image_id order by at, idx) as place from m""")
+m as (select image_id, idx, min(k * 1000 + r) as "at" from l group by 1, 2)
+select image_id, idx, row_number() over (partition by image_id order by m."at", idx) as place from m""")
 def two_stage(spark, d):
     return Sel.union_pool(scored(spark, d), ["image_id"], "idx", {"score": 3, "n": 4}).withColumn("place", F.col("place").cast("long"))
 
 
 @query("q31_pool_stats", f"""
-with {_PB}, px as (select * from patches where (image_id + idx) % 3 <> 0),
-lat as (select gx, gy from (select unnest(range(0, 1000, 8)) as gx), (select unnest(range(0, 1300, 8)) as gy)),
-i as (select distinct image_id from px),
-cov as (select i.image_id, count(*)::double / (125 * 163) as c from i, lat where exists (select 1 from px p where p.image_id = i.image_id and p.x % 8 = 0 and p.y % 8 = 0 and gx >= p.x and gx < p.x + p.w and gy >= p.y and gy < p.y + p.h) group by 1),
+with {S.BOXES}, b as (select *, x0 + w / 2.0 as cx, y0 + h / 2.0 as cy from boxes),
+c as (select image_id, box_id, greatest(0, least(cast(round_even(cx - 192, 0) as bigint), 999)) as x, greatest(0, least(cast(round_even(cy - 192, 0) as bigint), 1299)) as y from b),
+px as (select image_id, box_id, x, y, least(384, 1000 - x) as w, least(384, 1300 - y) as h from c),
+gx as (select image_id, box_id, unnest(range(((x + 63) // 64) * 64, x + w, 64)) as gx, y, h from px),
+pts as (select distinct image_id, gx, unnest(range(((y + 63) // 64) * 64, y + h, 64)) as gy from gx),
+cov as (select image_id, count(*)::double / (16 * 21) as c from pts group by 1),
 rat as (select image_id, sum(w * h)::double / 1300000 as r, count(*) as n from px group by 1),
 z as (select b.*, w * h as s, row_number() over (partition by image_id order by w * h, box_id) as rr, count(*) over (partition by image_id) as nn from b),
 z1 as (select *, max(case when rr = nn // 4 + 1 then s end) over (partition by image_id) as p25 from z),
@@ -214,8 +212,9 @@ z2 as (select z1.*, exists (select 1 from px p where p.image_id = z1.image_id an
 z3 as (select image_id, avg(hit) as cc, coalesce(avg(hit) filter (where s <= p25 or s <= 500), 1.0) as sc from z2 group by 1)
 select rat.image_id, coalesce(cov.c, 0) as area_coverage, rat.r as area_ratio, coalesce(z3.cc, 0) as center_coverage, coalesce(z3.sc, 0) as small_coverage, rat.n from rat left join cov using (image_id) left join z3 using (image_id)""")
 def pool_stats(spark, d):
-    p = patches(spark, d).where("(image_id + idx) % 3 <> 0")
-    return Sp.pool_stats(p, some_boxes(spark, d), W, H)
+    b = V.boxes(spark, d)
+    c = Sp.centres(b).withColumn("r", G.centred(F.col("cx"), F.col("cy"), 384, W, H))
+    return Sp.pool_stats(c.select("image_id", *[F.col(f"r.{k}").cast("long").alias(k) for k in "xywh"]), b, W, H, step=64, parity=False)
 
 
 @query("q31b_resize", """
@@ -237,7 +236,7 @@ k as (select a.*, ans <> '' and contains({S.match('text')}, {S.match('ans')}) as
   case when len({S.words('text')}) = 0 then false else len(list_filter({S.words('ans')}, lambda w: list_contains({S.words('text')}, w)))::double / len({S.words('ans')}) >= 0.7 end as soft from a)
 select image_id, idx, exact, box, soft, case when exact then 1.0 when box then 0.9 when soft then 0.7 else 0.0 end::double as confidence from k""")
 def weak_labels(spark, d):
-    p, b = patches(spark, d), some_boxes(spark, d)
+    p, b = patches(spark, d), V.boxes(spark, d)
     ans = V.table(spark, d, "part").select(F.col("p_partkey").alias("_pk"), F.col("p_name").alias("ans"))
     t = Sp.patch_texts(p, b).join(p, ["image_id", "idx"]).join(ans, F.col("image_id") % 64 + 1 == F.col("_pk")).drop("_pk")
     bx = Sp.centres(b).join(ans, F.col("image_id") % 64 + 1 == F.col("_pk")).where(T.contained(F.array("ans"), F.col("text")))

@@ -41,7 +41,7 @@ def anls(spark, d):
 
 @query("q06_cer", f"""
 with {S.PREDS} select conv_id, turn, route,
-  case when {S.norm('gold1')} = '' then case when {S.norm('pred')} = '' then 0.0 else 1.0 end else levenshtein({S.norm('pred')}, {S.norm('gold1')})::double / length({S.norm('gold1')}) end as cer
+  case when {S.norm('gold1')} = '' then case when {S.norm('pred')} = '' then 0.0 else 1.0 end else {S.edits(S.norm('pred'), S.norm('gold1'))}::double / length({S.norm('gold1')}) end as cer
 from preds""")
 def cer(spark, d):
     return V.predictions(spark, d).select("conv_id", "turn", "route", T.cer(F.col("pred"), F.col("gold1")).alias("cer"))
