@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import metric_queries, routing_queries, spatial_queries, text_queries  # noqa: F401
+from . import metric_queries, other_queries, routing_queries, spatial_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
