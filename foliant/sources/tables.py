@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
-MANIFEST = Ty.StructType.fromDDL("image_id STRING, dataset STRING, split STRING, image_path STRING, ocr_gt_text STRING, question STRING, answer ARRAY<STRING>, answer_type ARRAY<STRING>, metadata STRING")
+_TEXTS = Ty.ArrayType(Ty.StringType())
+MANIFEST = Ty.StructType([Ty.StructField(n, _TEXTS if n in ("answer", "answer_type") else Ty.StringType()) for n in ("image_id", "dataset", "split", "image_path", "ocr_gt_text", "question", "answer", "answer_type", "metadata")])
 #: Fields that every manifest row must have.
 REQUIRED = ("image_id", "dataset", "split", "image_path")
 
