@@ -28,6 +28,11 @@ def best_first(c: Column) -> Column:
     return F.transform(F.array_sort(F.transform(c, lambda x: F.struct((-x["score"]).alias("s"), x["idx"].alias("i"), x.alias("x")))), lambda t: t["x"])
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once per row, however often body uses it inside lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def suppress(c: Column, threshold: float, k: int | None = None) -> Column:
     """Greedy suppression: candidates best first, each kept unless it overlaps a kept one at threshold or more; k of None or 0 keeps all."""
     none = F.filter(c, lambda x: F.lit(False))
@@ -89,3 +94,39 @@ def pair(q: Column, e: Column, overlap: float = 0.35) -> Column:
     """Best pair of two ranked arrays of candidates with score: .40 larger + .50 sum/2 + .10 (1 - IoU), little overlap; null if none."""
     rated = F.flatten(F.transform(q, lambda a: F.transform(F.filter(e, lambda b: (b["idx"] != a["idx"]) & (G.iou(a, b) < overlap)), lambda b: F.struct((-(0.4 * F.greatest(a["score"], b["score"]) + 0.5 * (a["score"] + b["score"]) + 0.1 * (1 - G.iou(a, b)))).alias("s"), a["idx"].alias("first"), b["idx"].alias("second")))))
     return F.try_element_at(F.array_sort(rated), F.lit(1))
+
+
+def anchored(c: Column, k: int, overlap: float = 0.35) -> Column:
+    """The candidate with the largest anchor score, then by score those that overlap it little; if too few, any by score.
+
+    Candidates need an anchor field besides score; ties go to the smaller idx. Overlap is measured to the first pick only.
+    """
+    first = F.array_sort(F.transform(c, lambda x: F.struct((-x["anchor"]).alias("s"), x["idx"].alias("i"), x.alias("x"))))[0]["x"]
+    rated = lambda f: F.transform(F.filter(c, lambda x: x["idx"] != f["idx"]), lambda x: F.struct((G.iou(x, f) >= overlap).alias("near"), (-x["score"]).alias("s"), x["idx"].alias("i"), x.alias("x")))
+    return let(first, lambda f: F.slice(F.concat(F.array(f), F.transform(F.array_sort(rated(f)), lambda t: t["x"])), 1, k))
+
+
+def safe_expanded(c: Column, picked: Column, overlap: float = 0.35, margin: float = 0.08, shortlist: int = 8) -> Column:
+    """Two picks whose second gives way to the shortlisted candidate of largest proxy, if that beats it by margin.
+
+    Candidates and picks need a proxy field; the shortlist is the best by score.
+    """
+
+    def second(v: Column) -> Column:
+        a, b = v["p"][0], v["p"][1]
+        able = F.filter(v["c"], lambda x: (x["idx"] != a["idx"]) & (x["idx"] != b["idx"]) & (G.iou(x, a) < overlap))
+        best = F.try_element_at(F.array_sort(F.transform(able, lambda x: F.struct((-x["proxy"]).alias("s"), (-x["score"]).alias("t"), x["idx"].alias("i"), x.alias("x")))), F.lit(1))["x"]
+        return let(best, lambda y: F.when(y.isNotNull() & (y["proxy"] > b["proxy"]) & (y["proxy"] >= b["proxy"] + margin), F.array(a, y)).otherwise(F.array(a, b)))
+
+    return F.when(F.size(picked) < 2, picked).otherwise(let(F.struct(picked.alias("p"), F.slice(best_first(c), 1, shortlist).alias("c")), second))
+
+
+def oracle_top(df: DataFrame, by: list[str], confidence: str, positive: str, position: str, k: int) -> DataFrame:
+    """The k rows of each group with the strongest labels: the upper bound of any selector."""
+    w = Window.partitionBy(*by).orderBy(F.col(confidence).desc(), F.col(positive).desc(), position)
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def reading_order(c: Column) -> Column:
+    """Rectangles top to bottom, then left to right."""
+    return F.transform(F.array_sort(F.transform(c, lambda x: F.struct(x["y"].alias("y"), x["x"].alias("x0"), x.alias("r")))), lambda t: t["r"])

@@ -157,3 +157,61 @@ def pool_stats(patches: DataFrame, boxes: DataFrame, width: int, height: int, st
     small = (F.col("s") <= F.col("p25")) | (F.col("s") <= 500)
     b = b.groupBy("image_id").agg(F.avg("hit").alias("center_coverage"), F.coalesce(F.avg(F.when(small, F.col("hit"))), F.lit(1.0)).alias("small_coverage"))
     return ratio.join(area, "image_id", "left").join(b, "image_id", "left").select("image_id", F.coalesce("area_coverage", F.lit(0.0)).alias("area_coverage"), "area_ratio", F.coalesce("center_coverage", F.lit(0.0)).alias("center_coverage"), F.coalesce("small_coverage", F.lit(0.0)).alias("small_coverage"), "n")
+
+
+def candidate_pool(boxes: DataFrame, questions: DataFrame, width: int, height: int, threshold: float = 0.30) -> DataFrame:
+    """(image_id, idx, x, y, w, h): a page's candidates from all generators in order, thinned by suppression, numbered anew.
+
+    Generators: squares 256 by 128 and 384 by 192 apart, strips 512 x 256 and 256 x 512 at half overlap, six edge anchors, a square
+    around each box, one around each box that shares a content token with the question, a strip per row of boxes. All count
+    equal, so the first of two that overlap stays.
+    """
+    kept = []  # the generators that only know the page come first, so what stays of them is the same for every page
+    for r in _page_rectangles(width, height):
+        if all(_iou(k, r) < threshold for k in kept):
+            kept.append(r)
+    held = F.array(*[G.rect(*[F.lit(int(v)) for v in r]) for r in kept])
+    cast = lambda a: F.transform(a, lambda r: G.rect(*[r[k].cast("int") for k in "xywh"]))
+    c = centres(boxes).join(questions.select("image_id", F.array_distinct(T.content_tokens(F.col("question"))).alias("q")), "image_id", "left")
+    around = G.centred(F.col("cx"), F.col("cy"), 256, width, height)
+    shared = F.coalesce(F.size(F.array_intersect("q", T.tokens(F.col("text")))) > 0, F.lit(False))
+    per = c.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("box_id", around.alias("r"), shared.alias("s")))).alias("b"))
+    bands = row_bands(boxes).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("band", G.clamp(G.rect(*[F.col(k) for k in "xywh"]), width, height).alias("r")))).alias("t"))
+    none = F.array().cast("array<struct<x:int,y:int,w:int,h:int>>")
+    own = F.concat(cast(F.transform("b", lambda x: x["r"])), cast(F.transform(F.filter("b", lambda x: x["s"]), lambda x: x["r"])), F.coalesce(cast(F.transform("t", lambda x: x["r"])), none))
+    add = lambda acc, r: F.when(F.exists(acc, lambda k: G.iou(k, r) >= threshold), acc).otherwise(F.concat(acc, F.array(r)))
+    pool = per.join(bands, "image_id", "left").select("image_id", F.aggregate(own, held, add).alias("c"))
+    return pool.select("image_id", F.posexplode("c").alias("idx", "r")).select("image_id", "idx", *[F.col(f"r.{k}").alias(k) for k in "xywh"])
+
+
+def _page_rectangles(width: int, height: int) -> list[tuple[int, int, int, int]]:
+    """Rectangles (x, y, w, h) of the generators that need no boxes, in order."""
+    out = []
+    for w, h, step_x, step_y in ((256, 256, 128, 128), (384, 384, 192, 192), (256, 512, 128, 256), (512, 256, 256, 128)):
+        out += [(x, y, min(w, width - x), min(h, height - y)) for y in range(0, height, step_y) for x in range(0, width, step_x)]
+    far_x, far_y = max(0, width - 256), max(0, height - 256)
+    out += [(x, y, min(256, width - x), min(256, height - y)) for x, y in ((0, 0), (far_x, 0), (0, far_y), (far_x, far_y), (far_x // 2, 0), (far_x // 2, far_y))]
+    return out
+
+
+def _iou(a: tuple, b: tuple) -> float:
+    w, h = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]), min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
+    inter = max(0, w) * max(0, h)
+    return inter / (a[2] * a[3] + b[2] * b[3] - inter)
+
+
+def proximity(patches: DataFrame, boxes: DataFrame, questions: DataFrame) -> DataFrame:
+    """(image_id, idx, score): 1 if a box in the patch stands in line right of a label box, .7 if below one, else 0.
+
+    A label box holds a content token of the question as a substring, or a colon.
+    """
+    c = centres(boxes)
+    toks = questions.select("image_id", F.array_distinct(T.content_tokens(F.col("question"))).alias("q")).where(F.size("q") > 0)
+    lab = c.join(toks, "image_id").where(F.exists("q", lambda t: F.contains(T.normalize_text(F.col("text")), t)) | F.contains("text", F.lit(":")))
+    lab = lab.select("image_id", F.col("box_id").alias("label"), (F.col("x0") + F.col("w")).alias("lx"), F.col("cy").alias("ly"))
+    v = lab.join(c.select("image_id", "box_id", "cx", "cy"), "image_id").where("label <> box_id")
+    s = F.when((F.abs(F.col("cy") - F.col("ly")) < 25) & (F.col("cx") >= F.col("lx") - 10), 1.0).when((F.col("cy") > F.col("ly")) & (F.abs(F.col("cx") - F.col("lx")) < 80), 0.7)
+    v = v.withColumn("s", s).where("s is not null").groupBy("image_id", "box_id", "cx", "cy").agg(F.max("s").alias("s"))
+    p = patches.select("image_id", "idx", G.rect(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("p"))
+    hit = p.join(v, "image_id").where(G.inside(F.col("cx"), F.col("cy"), F.col("p"))).groupBy("image_id", "idx").agg(F.max("s").alias("score"))
+    return p.select("image_id", "idx").join(hit, ["image_id", "idx"], "left").select("image_id", "idx", F.coalesce("score", F.lit(0.0)).alias("score"))
