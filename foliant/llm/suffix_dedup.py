@@ -283,7 +283,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", scratch: Scratch | N
 
     held = ones.select("row", "n_bytes", F.explode("anchors").alias("a")).select("row", "n_bytes", "a.h", "a.c", "a.pos")
     twice = held.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    held = scratch.table(held.join(twice, "h"), "anchors")
+    # written first, so that the join has two plain exchanges and a gram that very many texts share is split over tasks
+    held = scratch.table(held.join(scratch.table(twice, "twice"), "h"), "anchors")
     classes = held.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("rep"))
     classes = scratch.table(classes, "classes")
     full = held.join(classes.where("n > 1").select("h", "c"), ["h", "c"])
