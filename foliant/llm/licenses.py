@@ -63,6 +63,12 @@ def phrase_places(words: Column, phrase: str) -> Column:
     return F.when(every, F.filter(at, hit)).otherwise(F.array().cast("array<int>"))
 
 
+def may_hold(held: Column, templates: list[Template]) -> Column:
+    """Whether a column of a text's template words has enough of some template; no block has more than its text."""
+    every = F.array(*[F.struct(F.array(*[F.lit(w) for w in t.words]).alias("w"), F.lit(t.least).alias("n")) for t in templates])
+    return F.exists(every, lambda t: F.size(F.array_intersect(held, t["w"])) >= t["n"])
+
+
 def template_hits(docs: DataFrame, templates: list[Template], vocabulary: list[str], key: str) -> DataFrame:
     """(key, label, share) of every text block of docs (key, text) that holds a template's words to its threshold.
 
@@ -74,9 +80,7 @@ def template_hits(docs: DataFrame, templates: list[Template], vocabulary: list[s
     spark = docs.sparkSession
     least = min(t.least for t in templates)
     order = F.array(*[F.lit(w) for w in vocabulary])
-    may = lambda held: F.exists(F.array(*[F.struct(F.array(*[F.lit(w) for w in t.words]).alias("w"), F.lit(t.least).alias("n")) for t in templates]), lambda t: F.size(F.array_intersect(held, t["w"])) >= t["n"])
-    some = docs.where(may(F.array_intersect(order, words_of(F.col("text")))))
-    lines = some.select(key, F.explode(F.split("text", r"[\r\n]+")).alias("line")).select(key, words_of(F.col("line")).alias("words")).where(F.size("words") >= least)
+    lines = docs.select(key, F.explode(F.split("text", r"[\r\n]+")).alias("line")).select(key, words_of(F.col("line")).alias("words")).where(F.size("words") >= least)
     last = F.greatest(F.lit(1), F.size("words") - BLOCK + STEP)
     blocks = lines.select(key, F.explode(F.sequence(F.lit(1), last, F.lit(STEP))).alias("at"), "words").select(key, F.slice("words", F.col("at"), F.lit(BLOCK)).alias("words"))
     sets = blocks.select(key, F.array_intersect(order, F.col("words")).alias("set")).where(F.size("set") >= least).distinct()
@@ -108,7 +112,10 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, contain
     counts = {r["word"]: r["n"] for r in slim.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
     ordered = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     rank = {w: i for i, w in enumerate(ordered)}
-    found = template_hits(docs.select("_key", "text"), [t.ordered(rank) for t in own], ordered, "_key")
+    # texts without enough of any template's words are out before they are cut into blocks
+    able = scratch.table(slim.where(may_hold(F.col("held"), own)).select("_key").distinct(), "able")
+    some = docs.select("_key", "text").join(small_or_shuffled(able, 16), "_key", "left_semi")
+    found = template_hits(some, [t.ordered(rank) for t in own], ordered, "_key")
     found = found.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("label", "share"))).alias("hits"))
     found = scratch.table(found.withColumnRenamed("_key", "_k"), "hits")
     none = F.array().cast("array<struct<label:string,share:double>>")
