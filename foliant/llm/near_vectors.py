@@ -123,7 +123,8 @@ def near_vectors(rows: DataFrame, least: float = 0.93, confidence: float | None
     out = classes.select("_key", "n", "least").join(links, F.col("_key") == F.col("node"), "left").drop("node")
     out = out.join(comp, F.col("_key") == F.col("node"), "left").select("_key", F.coalesce("component", "_key").alias("root"), "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     out = scratch.table(out, "linked")
-    ids = out.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written first, so that the join has two plain exchanges and a large component is split over tasks
+    ids = scratch.table(out.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
     out = scratch.table(out.join(ids, "root").select(F.col("_key").alias("_k"), "n_links", "component_id"), "members")
     joined = keyed.join(small_or_shuffled(out, 64), F.col("_key") == F.col("_k"), "left").drop("_key", "_k")
     joined = joined.withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long")).withColumn("component_id", F.coalesce("component_id", "vec_id"))
