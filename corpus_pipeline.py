@@ -5,6 +5,9 @@ Every stage sees all rows that its predecessor kept and, but for the last, retur
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,24 +16,41 @@ from foliant.llm.common import Scratch
 
 #: Score from which a document goes.
 TOXIC = 0.3
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def same_columns(stage: Callable) -> Callable:
+    """A stage that returns the columns of docs, those beyond OWN untouched whatever their names are."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        held = {c: c if c in OWN else f"_extra{i}_" for i, c in enumerate(docs.columns)}
+        out = stage(spark, docs.select(*[F.col(f"`{c}`").alias(h) for c, h in held.items()]), sf_dir)
+        return out.select(*[F.col(h).alias(c) for c, h in held.items()])
+
+    return run
 
 
+@same_columns
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs scored below TOXIC by a classifier fitted on the labels table (without the ids that are held out)."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out()).select("doc_id", "toxic")
     return toxicity.score(docs, toxicity.fit(docs, labels)).where(F.col("score") < TOXIC).select(*docs.columns)
 
 
+@same_columns
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that SimHash links: the one with the smallest doc_id."""
     return simhash.keep_one(docs)
 
 
+@same_columns
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with every secret in text replaced by a mask; no document goes."""
     return secret_scan.redact(secret_scan.scan_secrets(docs)).select(*docs.columns)
 
 
+@same_columns
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs as often as the mix of their sources takes them; one document per source may be cut at a word."""
     return mixing.apply_mix(mixing.mix_sources(mixing.documents_to_mix(docs))).select(*docs.columns)
