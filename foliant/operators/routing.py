@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-ROUTES = ("resize", "bm25", "ler_bops")
+ROUTES = ("resize", "bm25", "learned")
 
 
 def prepared(page: Column | None = None, **routes: Column) -> Column:
@@ -118,7 +118,7 @@ def rules(c: Column, question: Column, key: Column) -> dict[str, Column]:
         "majority_vote": majority(c),
         "resize_on_disagree": on_disagreement(c, "resize"),
         "bm25_on_disagree": on_disagreement(c, "bm25"),
-        "ler_on_disagree": on_disagreement(c, "ler_bops"),
+        "learned_on_disagree": on_disagreement(c, "learned"),
         "shortest_nonempty": shortest(c),
         "longest_nonempty": longest(c),
         "max_digit_overlap": digit_overlap(c, question),

@@ -88,12 +88,12 @@ def grounding_variants(spark, d):
 
 @query("q86_route_counts", f"""
 with {LONG}, p as (select conv_id, turn, coalesce(arg_min(route, len * 10 + pos) filter (where norm <> ''), 'resize') as route from x group by 1, 2)
-select r.route, coalesce(n, 0) as n from (select unnest(['resize', 'bm25', 'ler_bops', 'q_bops']) as route) r left join (select route, count(*) as n from p group by 1) c on c.route = r.route""")
+select r.route, coalesce(n, 0) as n from (select unnest(['resize', 'bm25', 'learned', 'heuristic']) as route) r left join (select route, count(*) as n from p group by 1) c on c.route = r.route""")
 def route_counts(spark, d):
     from ..operators import routing as R
     from .routing_queries import with_candidates
 
-    return L.counts(with_candidates(spark, d).select(R.shortest(F.col("c")).alias("route")), "route", ["resize", "bm25", "ler_bops", "q_bops"])
+    return L.counts(with_candidates(spark, d).select(R.shortest(F.col("c")).alias("route")), "route", ["resize", "bm25", "learned", "heuristic"])
 
 
 @query("q87_group_runs", "select source, count(*) as n, row_number() over (order by source) as place from documents group by 1")
@@ -103,7 +103,7 @@ def group_runs(spark, d):
 
 @query("q88_argmax_ties", f"""
 with {LONG}, w as (select conv_id, turn, max(anls) filter (where pos = 0) as a0, max(anls) filter (where pos = 1) as a1, max(anls) filter (where pos = 2) as a2 from x group by 1, 2)
-select conv_id, turn, case when a0 >= greatest(a0, a1, a2) - 1e-12 then 'resize' when a1 >= greatest(a0, a1, a2) - 1e-12 then 'bm25' else 'ler_bops' end as route from w""")
+select conv_id, turn, case when a0 >= greatest(a0, a1, a2) - 1e-12 then 'resize' when a1 >= greatest(a0, a1, a2) - 1e-12 then 'bm25' else 'learned' end as route from w""")
 def argmax_ties(spark, d):
     from .routing_queries import R, wide_scores
 

@@ -29,7 +29,7 @@ def pick(cond: str, key: str) -> str:
 SHORT, MAJOR = "len * 10 + pos", "(10 - same) * 1000 + first * 10 + case when route = 'resize' then 0 else 1 + pos end"
 RULES_SQL = f"""{LONG},
 k as (select distinct conv_id, turn, question from x),
-d as (select conv_id, turn, count(distinct norm) filter (where norm <> '') as n, max(same) filter (where norm <> '') as most, bool_or(route = 'bm25' and norm <> '') as b, bool_or(route = 'ler_bops' and norm <> '') as l from x group by 1, 2),
+d as (select conv_id, turn, count(distinct norm) filter (where norm <> '') as n, max(same) filter (where norm <> '') as most, bool_or(route = 'bm25' and norm <> '') as b, bool_or(route = 'learned' and norm <> '') as l from x group by 1, 2),
 p1 as ({pick("norm <> ''", SHORT)}), p2 as ({pick("norm <> ''", "-len * 10 + case when route = 'resize' then 0 else 1 + pos end")}), p3 as ({pick("norm <> ''", MAJOR)}),
 p4 as ({pick("norm <> '' and grounded", SHORT)}), p5 as ({pick("norm <> '' and list_contains(fits, ptype)", SHORT)} ),
 p6 as ({pick("norm <> '' and grounded", "pos")}),
@@ -39,14 +39,14 @@ picks as (
   select conv_id, turn, 'resize' as rule, 'resize' as route from all_ union all select conv_id, turn, 'bm25', case when b then 'bm25' else 'resize' end from all_
   union all select conv_id, turn, 'majority_vote', major from all_ union all select conv_id, turn, 'resize_on_disagree', case when n <= 1 then major else 'resize' end from all_
   union all select conv_id, turn, 'bm25_on_disagree', case when n <= 1 then major when b then 'bm25' else 'resize' end from all_
-  union all select conv_id, turn, 'ler_on_disagree', case when n <= 1 then major when l then 'ler_bops' else 'resize' end from all_
+  union all select conv_id, turn, 'learned_on_disagree', case when n <= 1 then major when l then 'learned' else 'resize' end from all_
   union all select conv_id, turn, 'shortest_nonempty', short from all_ union all select conv_id, turn, 'longest_nonempty', long from all_
   union all select conv_id, turn, 'consensus_first', case when most >= 2 then major else short end from all_
   union all select conv_id, turn, 'answer_type_shortest', coalesce(typed, short) from all_
   union all select conv_id, turn, 'grounded_shortest', coalesce(grounded, short) from all_ union all select conv_id, turn, 'grounded_first', coalesce(gfirst, short) from all_)"""
 _FITS = "case " + " ".join(f"when qtype = '{q}' then [{', '.join(repr(v) for v in fits)}]" for q, fits in T.TYPE_MATCHES.items()) + " end"
 RULES_SQL = RULES_SQL.replace("list_contains(fits, ptype)", f"list_contains({_FITS}, ptype)")
-NAMES = ("resize", "bm25", "majority_vote", "resize_on_disagree", "bm25_on_disagree", "ler_on_disagree", "shortest_nonempty", "longest_nonempty", "consensus_first", "answer_type_shortest", "grounded_shortest", "grounded_first")
+NAMES = ("resize", "bm25", "majority_vote", "resize_on_disagree", "bm25_on_disagree", "learned_on_disagree", "shortest_nonempty", "longest_nonempty", "consensus_first", "answer_type_shortest", "grounded_shortest", "grounded_first")
 
 
 def with_candidates(spark, d):
@@ -79,7 +79,7 @@ def _picks(name: str):
     return run
 
 
-for _q, _n in (("q51_majority", "majority_vote"), ("q52_consensus", "consensus_first"), ("q53_longest", "longest_nonempty"), ("q53b_shortest", "shortest_nonempty"), ("q52b_ler_on_disagree", "ler_on_disagree"), ("q52c_typed_shortest", "answer_type_shortest")):
+for _q, _n in (("q51_majority", "majority_vote"), ("q52_consensus", "consensus_first"), ("q53_longest", "longest_nonempty"), ("q53b_shortest", "shortest_nonempty"), ("q52b_learned_on_disagree", "learned_on_disagree"), ("q52c_typed_shortest", "answer_type_shortest")):
     query(_q, f"with {RULES_SQL} select conv_id, turn, route from picks where rule = '{_n}'")(_picks(_n))
 
 
@@ -94,9 +94,9 @@ def digits(spark, d):
 
 @query("q51b_rule_table", f"""
 with {RULES_SQL}, e as (select p.*, x.anls, x.em from picks p join x on x.conv_id = p.conv_id and x.turn = p.turn and x.route = p.route)
-select rule, round(avg(anls), 6) as mean_anls, round(avg(em), 6) as mean_em, count(*) filter (where route = 'resize') as n_resize, count(*) filter (where route = 'bm25') as n_bm25, count(*) filter (where route = 'ler_bops') as n_ler from e group by 1""")
+select rule, round(avg(anls), 6) as mean_anls, round(avg(em), 6) as mean_em, count(*) filter (where route = 'resize') as n_resize, count(*) filter (where route = 'bm25') as n_bm25, count(*) filter (where route = 'learned') as n_ler from e group by 1""")
 def rule_table(spark, d):
-    return evaluated(spark, d).groupBy("rule").agg(F.round(F.avg("anls"), 6).alias("mean_anls"), F.round(F.avg("em"), 6).alias("mean_em"), *[F.count_if(F.col("route") == r).alias(a) for r, a in (("resize", "n_resize"), ("bm25", "n_bm25"), ("ler_bops", "n_ler"))])
+    return evaluated(spark, d).groupBy("rule").agg(F.round(F.avg("anls"), 6).alias("mean_anls"), F.round(F.avg("em"), 6).alias("mean_em"), *[F.count_if(F.col("route") == r).alias(a) for r, a in (("resize", "n_resize"), ("bm25", "n_bm25"), ("learned", "n_ler"))])
 
 
 def wide_scores(spark, d):
@@ -171,7 +171,7 @@ def ablation_grid(spark, d):
 _MARGIN = f"""{_WIDE}, m as (select *, greatest(a0, a1 * 0.9, a2 * 0.95) as top from w), r as (select *, case when top - a0 <= 0.05 then 0 when a1 * 0.9 >= a2 * 0.95 then 1 else 2 end as pick from m)"""
 
 
-@query("q59_margin_route", f"with {_MARGIN} select conv_id, turn, case pick when 0 then 'resize' when 1 then 'bm25' else 'ler_bops' end as route from r")
+@query("q59_margin_route", f"with {_MARGIN} select conv_id, turn, case pick when 0 then 'resize' when 1 then 'bm25' else 'learned' end as route from r")
 def margin_route(spark, d):
     return margins(spark, d).select("conv_id", "turn", "route")
 
@@ -179,9 +179,9 @@ def margin_route(spark, d):
 def margins(spark, d, margin: float = 0.05):
     """The best predicted reader unless its gain over the default is at most the margin; predictions stand in for a model's."""
     w = wide_scores(spark, d)
-    b, l = F.col("a_bm25") * 0.9, F.col("a_ler_bops") * 0.95  # noqa: E741
+    b, l = F.col("a_bm25") * 0.9, F.col("a_learned") * 0.95  # noqa: E741
     top = F.greatest("a_resize", b, l)
-    route = F.when(top - F.col("a_resize") <= margin, "resize").when(b >= l, "bm25").otherwise("ler_bops")
+    route = F.when(top - F.col("a_resize") <= margin, "resize").when(b >= l, "bm25").otherwise("learned")
     return w.withColumn("route", route)
 
 
@@ -191,8 +191,8 @@ select round(avg(got), 6) as routed, round(avg(a0), 6) as base, round(avg((got >
   round(case when avg(best) - avg(a0) > 1e-9 then (avg(got) - avg(a0)) / (avg(best) - avg(a0)) else 0 end, 6) as recovered from s""")
 def scorecard(spark, d):
     x = margins(spark, d)
-    got = F.when(F.col("route") == "resize", F.col("a_resize")).when(F.col("route") == "bm25", F.col("a_bm25")).otherwise(F.col("a_ler_bops"))
-    x = x.select(got.alias("got"), "a_resize", F.greatest("a_resize", "a_bm25", "a_ler_bops").alias("best"))
+    got = F.when(F.col("route") == "resize", F.col("a_resize")).when(F.col("route") == "bm25", F.col("a_bm25")).otherwise(F.col("a_learned"))
+    x = x.select(got.alias("got"), "a_resize", F.greatest("a_resize", "a_bm25", "a_learned").alias("best"))
     g, a = F.col("got"), F.col("a_resize")
     room = F.avg("best") - F.avg("a_resize")
     return x.agg(
@@ -208,7 +208,7 @@ v as (select e.*, max(x.anls) filter (where x.route = e.r) as ra, max(x.em) filt
   max(anls) filter (where pos = 0) as a0, max(anls) filter (where pos = 1) as a1, max(anls) filter (where pos = 2) as a2, max(em) filter (where pos = 0) as e0, bool_or(grounded) filter (where pos = 0) as g0 from e join x using (conv_id, turn) group by all),
 f as (select *, list_filter([case when a0 <= 1e-9 and a1 <= 1e-9 and a2 <= 1e-9 and ra <= 1e-9 then 'F1' end, case when ra >= 0.999 and not g then 'F2' end, case when ra <= 1e-9 and g and s = r and greatest(a0, a1, a2) >= 0.999 then 'F3' end,
   case when ra >= 0.9 and re <= 1e-9 and g then 'F5' end, case when ra >= 0.5 and ra < 0.999 and not g then 'F6' end, case when ra < 0.999 then 'F8' end], lambda l: l is not null) as fl,
-  list_filter([case when ra >= 0.999 and r in ('bm25', 'ler_bops') and a0 < 0.999 then 'S3' end, case when ra >= 0.999 and r = 'resize' and s <> 'resize' and least(a1, a2) < 0.999 then 'S4' end, case when ra >= 0.999 and a0 < 0.999 and not g0 then 'S2' end,
+  list_filter([case when ra >= 0.999 and r in ('bm25', 'learned') and a0 < 0.999 then 'S3' end, case when ra >= 0.999 and r = 'resize' and s <> 'resize' and least(a1, a2) < 0.999 then 'S4' end, case when ra >= 0.999 and a0 < 0.999 and not g0 then 'S2' end,
   case when ra >= 0.999 and a0 >= 0.9 and e0 <= 1e-9 and re >= 0.999 then 'S5' end, case when ra >= 0.999 and r <> s and sa < 0.999 then 'S6' end], lambda l: l is not null) as sl from v)
 select conv_id, turn, case when len(fl) > 0 then fl[1] when len(sl) > 0 then sl[1] when ra >= 0.999 then 'S6' else 'F8' end as primary_label, case when len(fl) > 0 then fl[2] else sl[2] end as secondary_label from f""")
 def taxonomy(spark, d):
@@ -217,7 +217,7 @@ def taxonomy(spark, d):
     for r in R.ROUTES:
         q = q.withColumn(f"a_{r}", T.anls(F.col(r), g)).withColumn(f"e_{r}", T.exact_match(F.col(r), g))
     q = q.withColumn("r", R.grounded_shortest(F.col("c"))).withColumn("s", R.shortest(F.col("c")))
-    by = lambda prefix, route: F.when(F.col(route) == "resize", F.col(f"{prefix}_resize")).when(F.col(route) == "bm25", F.col(f"{prefix}_bm25")).otherwise(F.col(f"{prefix}_ler_bops"))
+    by = lambda prefix, route: F.when(F.col(route) == "resize", F.col(f"{prefix}_resize")).when(F.col(route) == "bm25", F.col(f"{prefix}_bm25")).otherwise(F.col(f"{prefix}_learned"))
     q = q.withColumn("ra", by("a", "r")).withColumn("re", by("e", "r")).withColumn("sa", by("a", "s"))
     q = q.withColumn("g", F.filter("c", lambda x: x["route"] == F.col("r"))[0]["grounded"]).withColumn("g0", F.col("c")[0]["grounded"])
     ra, re_, r, s, here = F.col("ra"), F.col("re"), F.col("r"), F.col("s"), F.col("g")

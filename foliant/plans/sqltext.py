@@ -54,14 +54,14 @@ qa as (
   select conv_id, turn, question, page, array_to_string(ws[1:8], ' ') as gold1, array_to_string(ws[1:5], ' ') as gold2,
     case when conv_id % 3 = 0 then concat(array_to_string(ws[1:5], ' '), ' extra') else array_to_string(ws[1:5], ' ') end as resize,
     case when conv_id % 7 = 0 then '' else array_to_string(ws[1:8], ' ') end as bm25,
-    case when conv_id % 2 = 0 then array_to_string(ws[1:3], ' ') when conv_id % 5 = 0 then 'unknown 42' else array_to_string(ws[2:6], ' ') end as ler_bops
+    case when conv_id % 2 = 0 then array_to_string(ws[1:3], ' ') when conv_id % 5 = 0 then 'unknown 42' else array_to_string(ws[2:6], ' ') end as learned
   from qa0)"""
 
 PREDS = QA + """,
 preds as (
   select conv_id, turn, question, page, gold1, gold2, 0 as pos, 'resize' as route, resize as pred from qa
   union all select conv_id, turn, question, page, gold1, gold2, 1, 'bm25', bm25 from qa
-  union all select conv_id, turn, question, page, gold1, gold2, 2, 'ler_bops', ler_bops from qa)"""
+  union all select conv_id, turn, question, page, gold1, gold2, 2, 'learned', learned from qa)"""
 
 RUNS = """runs as (
   select event_type as method, user_id as image_id, event_id as row_no, value, cast(json_extract_string(props, '$.k') as bigint) as budget from events)"""

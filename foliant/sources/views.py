@@ -31,7 +31,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, turn, question, page, gold1, gold2, resize, bm25, ler_bops): user turns, the reply as page, three readers."""
+    """(conv_id, turn, question, page, gold1, gold2, resize, bm25, learned): user turns, the reply as page, three readers."""
     c = table(spark, sf_dir, "conversations")
     u = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("page"))
@@ -42,13 +42,13 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "turn", "question", "page", some(1, 8).alias("gold1"), some(1, 5).alias("gold2"),
         F.when(F.col("conv_id") % 3 == 0, F.concat(some(1, 5), F.lit(" extra"))).otherwise(some(1, 5)).alias("resize"),
         F.when(F.col("conv_id") % 7 == 0, "").otherwise(some(1, 8)).alias("bm25"),
-        F.when(F.col("conv_id") % 2 == 0, some(1, 3)).when(F.col("conv_id") % 5 == 0, "unknown 42").otherwise(some(2, 5)).alias("ler_bops"),
+        F.when(F.col("conv_id") % 2 == 0, some(1, 3)).when(F.col("conv_id") % 5 == 0, "unknown 42").otherwise(some(2, 5)).alias("learned"),
     )
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """questions() in long form: a row per reader, pos its place in the tie order."""
-    routes = F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(r).alias("route"), F.col(r).alias("pred")) for i, r in enumerate(("resize", "bm25", "ler_bops"))]))
+    routes = F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(r).alias("route"), F.col(r).alias("pred")) for i, r in enumerate(("resize", "bm25", "learned"))]))
     return questions(spark, sf_dir).withColumn("r", routes).select("conv_id", "turn", "question", "page", "gold1", "gold2", "r.*")
 
 
