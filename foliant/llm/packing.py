@@ -22,7 +22,7 @@ CAPACITY, END_ID = 4096, 1
 SHARD, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 2048, 3, 3, 12, 8
 #: Words whose ids a task remembers at most, and shards whose worst bins are packed anew together.
 MEMO, MERGE = 500_000, 64
-#: Times that shards are merged at most; the last level evolves.
+#: Levels of shards at most.
 LEVELS = 5
 #: A control character that the tokenizer gives an id of its own.
 MARK = "\x01"
@@ -242,12 +242,11 @@ def _decode_bins(own: np.ndarray) -> list[list[int]]:
     return [x for x in out if x]
 
 
-def _pack(items: DataFrame, capacity: int, scratch: Scratch, last: bool) -> DataFrame:
+def _pack(items: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
     """items (uid, length, shard) with bin: the best packing that a shard's islands found.
 
-    First every shard is packed by best fit. Where its ill-filled bins will be packed anew with others' (not last), that
-    is all: what evolving could gain there is settled later. Else shards that missed the bound go on: each island is a task
-    that evolves its own population; between rounds every island gets the elite of its left neighbour.
+    First every shard is packed by best fit; those that missed the bound go on. Each of their islands is a task that
+    evolves its own population, kept whole from round to round; between rounds every island gets the elite of its left neighbour.
     Shards are bounded, so an island's rows are too; rows are ordered by (length, uid), so reruns agree.
     """
 
@@ -260,8 +259,6 @@ def _pack(items: DataFrame, capacity: int, scratch: Scratch, last: bool) -> Data
     schema = "uid long, length long, shard long, bin int"
     packed = scratch.table(items.select("uid", "length", "shard").groupBy("shard").applyInPandas(first, f"{schema}, done boolean"), "packed")
     done, open_ = packed.where("done").drop("done"), packed.where("not done").drop("done")
-    if not last:
-        return packed.drop("done")
     if not open_.limit(1).count():
         return done
 
@@ -269,21 +266,23 @@ def _pack(items: DataFrame, capacity: int, scratch: Scratch, last: bool) -> Data
         def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["length", "uid"], ignore_index=True)
             sizes, rng = pdf["length"].tolist(), random.Random(f"{key[0]}:{key[1]}:{n_round}")
-            given = [_decode_bins(pdf[c].to_numpy()) for c in ("own", "migrant") if c in pdf]
-            population = given + start_population(sizes, capacity, rng)[len(given) :]
-            best = evolve(population, sizes, capacity, GENERATIONS, rng)[0]
-            return pdf[["uid", "length", "shard", "island"]].assign(own=_encode_bins(best, len(sizes)), used=len(best))
+            population = [_decode_bins(x) for x in np.stack(pdf["population"]).T] if "population" in pdf else start_population(sizes, capacity, rng)
+            if "migrant" in pdf:
+                population.append(_decode_bins(pdf["migrant"].to_numpy()))
+            found = evolve(population, sizes, capacity, GENERATIONS, rng)[:POPULATION]
+            rows = np.stack([_encode_bins(p, len(sizes)) for p in found], axis=1)
+            return pdf[["uid", "length", "shard", "island"]].assign(population=list(rows), used=len(found[0]))
 
         return run
 
-    state = open_.withColumnRenamed("bin", "own").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
+    state = open_.drop("bin").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
     for k in range(ROUNDS):
-        state = scratch.table(state.groupBy("shard", "island").applyInPandas(islands(k), "uid long, length long, shard long, island int, own int, used int"), "islands")
+        state = scratch.table(state.groupBy("shard", "island").applyInPandas(islands(k), "uid long, length long, shard long, island int, population array<int>, used int"), "islands")
         if k < ROUNDS - 1:
-            moved = state.select("uid", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("own").alias("migrant"))
+            moved = state.select("uid", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("population")[0].alias("migrant"))
             state = state.drop("used").join(moved, ["uid", "island"])
     best = state.groupBy("shard").agg(F.min(F.struct("used", "island"))["island"].alias("island"))
-    found = state.join(best, ["shard", "island"]).select("uid", "length", "shard", F.col("own").alias("bin"))
+    found = state.join(best, ["shard", "island"]).select("uid", "length", "shard", F.col("population")[0].alias("bin"))
     return done.unionByName(found)
 
 
@@ -304,7 +303,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, scratch: Scratch | None = N
     settled = slim.where(F.col("length") >= capacity).select("uid", "length", F.lit(0).alias("level"), F.lit(-1).cast("long").alias("shard"), F.col("uid").alias("bin"))
     level = 1
     while True:
-        packed = scratch.table(_pack(shard, capacity, scratch, n == 1 or level == LEVELS), "bins")
+        packed = scratch.table(_pack(shard, capacity, scratch), "bins")
         if n == 1 or level == LEVELS:
             settled = settled.unionByName(packed.select("uid", "length", F.lit(level).alias("level"), "shard", F.col("bin").cast("long").alias("bin")))
             break

@@ -214,6 +214,45 @@ def test_genetic_packing(monkeypatch, spark):
     assert len(out) == 120 and len({r["sequence_id"] for r in out}) <= len(first) + 4
 
 
+def test_every_level_evolves(monkeypatch, spark):
+    rng = __import__("random").Random(11)
+    levels, real = [], packing._pack
+
+    def spied(items, capacity, scratch, *rest):
+        given, out = items.select("shard", "length").toPandas(), real(items, capacity, scratch, *rest)
+        first, least, used = 0, 0, out.select("shard", "bin").distinct().count()
+        for _, own in given.groupby("shard"):
+            sizes = sorted(own["length"])
+            first += len(packing.Bins(capacity, [], sizes).best_fit(list(range(len(sizes)))))
+            least += packing.least_bins(sizes, capacity)
+        levels.append((least, used, first))
+        return out
+
+    monkeypatch.setattr(packing, "_pack", spied)
+    monkeypatch.setattr(packing, "SHARD", 40)
+    packing.pack(spark.createDataFrame([(rng.randint(900, 2100),) for _ in range(480)], "length long"))
+    assert len(levels) > 1 and levels[0][0] <= levels[0][1] < levels[0][2]
+
+
+def test_islands_keep_their_population(monkeypatch, spark):
+    rng = __import__("random").Random(7)
+    held, real = [], packing.Scratch.table
+
+    def spied(self, df, name):
+        out = real(self, df, name)
+        if name == "islands":
+            held.append({(r["shard"], r["island"], r["uid"]): r["population"] for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(packing.Scratch, "table", spied)
+    monkeypatch.setattr(packing, "GENERATIONS", 0)  # what a round returns is what it was given
+    packing.pack(spark.createDataFrame([(rng.randint(900, 2100),) for _ in range(120)], "length long"))
+    assert len(held) == packing.ROUNDS and all(len(x) == packing.POPULATION for h in held for x in h.values())
+    packings = lambda h, island: {tuple(col) for col in zip(*(h[k] for k in sorted(h) if k[1] == island), strict=True)}
+    for i in range(packing.ISLANDS):
+        assert packings(held[1], i) <= packings(held[0], i) | packings(held[0], (i - 1) % packing.ISLANDS)
+
+
 # 6 licenses
 
 
