@@ -12,7 +12,7 @@ from .common import Scratch, small_or_shuffled
 
 #: Words are runs of digits, letters a-z and characters beyond ASCII, after A-Z are lower-cased.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words of a block, step from one block of a line to the next, share of a template's words that a block must hold.
+#: Least words of a block, step from one such block to the next, share of a template's words that a block must hold.
 BLOCK, STEP, CONTAINMENT = 64, 32, 0.8
 
 #: Phrases whose consecutive words count as places, and their labels.
@@ -38,14 +38,15 @@ class Template:
     label: str
     words: tuple[str, ...]  # distinct, in the global order once ordered() has run
     least: int  # words that a block must share with it
+    length: int  # words with repeats
 
     @classmethod
     def of(cls, no: int, text: str, label: str, containment: float) -> Template:
         words = tuple(dict.fromkeys(text.split()))
-        return cls(no, label, words, math.ceil(containment * len(words) - 1e-9))
+        return cls(no, label, words, math.ceil(containment * len(words) - 1e-9), len(text.split()))
 
     def ordered(self, rank: dict[str, int]) -> Template:
-        return Template(self.no, self.label, tuple(sorted(self.words, key=lambda w: (rank[w], w))), self.least)
+        return Template(self.no, self.label, tuple(sorted(self.words, key=lambda w: (rank[w], w))), self.least, self.length)
 
 
 def words_of(text: Column) -> Column:
@@ -69,21 +70,31 @@ def may_hold(held: Column, templates: list[Template]) -> Column:
     return F.exists(every, lambda t: F.size(F.array_intersect(held, t["w"])) >= t["n"])
 
 
+def block_size(templates: list[Template]) -> tuple[int, int]:
+    """Words of a block and step to the next: as many words in a row as the longest template has lie in one block."""
+    longest = max(t.length for t in templates)
+    width = max(BLOCK, 2 * longest)
+    return width, width - max(longest, STEP + 1) + 1
+
+
 def template_hits(docs: DataFrame, templates: list[Template], vocabulary: list[str], key: str) -> DataFrame:
     """(key, label, share) of every text block of docs (key, text) that holds a template's words to its threshold.
 
-    A block is a line, or each 64 words of a longer line, 32 apart (a template of up to 33 words that stands in a line
-    lies in one block). Its words come in the global order, rarest first. A pair is a candidate if a word of the
+    Blocks are the lines and the whole text irrespective of line breaks, what is longer cut as block_size() says.
+    A block's words come in the global order, rarest first. A pair is a candidate if a word of the
     block's prefix equals one of the template's prefix (prefix filter), the block has words enough (length filter) and
     what follows both positions still suffices (positional filter); candidates are verified on the whole sets.
     """
     spark = docs.sparkSession
     least = min(t.least for t in templates)
     order = F.array(*[F.lit(w) for w in vocabulary])
-    lines = docs.select(key, F.explode(F.split("text", r"[\r\n]+")).alias("line")).select(key, words_of(F.col("line")).alias("words")).where(F.size("words") >= least)
-    last = F.greatest(F.lit(1), F.size("words") - BLOCK + STEP)
-    blocks = lines.select(key, F.explode(F.sequence(F.lit(1), last, F.lit(STEP))).alias("at"), "words").select(key, F.slice("words", F.col("at"), F.lit(BLOCK)).alias("words"))
-    sets = blocks.select(key, F.array_intersect(order, F.col("words")).alias("set")).where(F.size("set") >= least).distinct()
+    width, step = block_size(templates)
+    lines = docs.select(key, F.explode(F.array_distinct(F.concat(F.array("text"), F.split("text", r"[\r\n]+")))).alias("line"))
+    starts = lambda words: F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - width + step), F.lit(step))
+    cut = lambda words: F.transform(starts(words), lambda at: F.array_intersect(order, F.slice(words, at, F.lit(width))))
+    # the outer transform binds the words of a line, so that they are split once and not for every block
+    blocks = lines.select(key, F.explode(F.get(F.transform(F.array(words_of(F.col("line"))), cut), F.lit(0))).alias("set"))
+    sets = blocks.where(F.size("set") >= least).distinct()
     index = [(w, j, t.no, len(t.words), t.least, list(t.words), t.label) for t in templates for j, w in enumerate(t.words[: len(t.words) - t.least + 1])]
     right = spark.createDataFrame(index, "word string, j int, no int, size int, least int, template array<string>, label string")
     left = sets.select(key, "set", F.posexplode(F.slice("set", F.lit(1), F.size("set") - least + 1)).alias("i", "word"))

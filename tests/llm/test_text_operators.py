@@ -269,6 +269,21 @@ def test_licenses(spark):
     assert licenses.scan_licenses(data.empty(spark)).count() == 0
 
 
+def test_wrapped_and_long_templates(spark):
+    mit = "Permission is hereby granted, free of charge, to any\n# person obtaining a copy of this software and\r\n# associated documentation files"
+    long_ = [f"w{i}" for i in range(120)]
+    middle = [f"m{i}" for i in range(60)]
+    rows = [(1, mit), (2, "x " * 57 + mit), (3, " ".join(long_)), (4, "\n".join(f"x{i} {w}" for i, w in enumerate(long_))), (5, "a " * 1000 + "\n".join(long_)), (6, " ".join(long_[:95])), (7, "Released under\nthe MIT\nlicense")]
+    rows += [(100 + k, "y " * k + " ".join(middle)) for k in range(0, 130, 7)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    own = {r["doc_id"]: {h["label"]: h["share"] for h in r["hits"]} for r in licenses.scan_licenses(frame).collect()}
+    assert [own[i].get("mit") for i in (1, 2, 7)] == [1.0, 1.0, 1.0]
+    templates = ((" ".join(long_), "long"), (" ".join(middle), "middle"))
+    got = {r["doc_id"]: {h["label"]: h["share"] for h in r["hits"]} for r in licenses.scan_licenses(frame, templates=templates).collect()}
+    assert [got[i].get("long") for i in (3, 4, 5, 6)] == [1.0, 1.0, 1.0, None]
+    assert all(got[100 + k] == {"middle": 1.0} for k in range(0, 130, 7))
+
+
 # 9 toxicity
 
 
