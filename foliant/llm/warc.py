@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, shared_path, small_or_shuffled
 
 MAGIC = b"\x1f\x8b\x08"
-#: Bytes of a range that one task scans, bytes read at a time, least payload that a revisit stands for, bytes a header block may have.
-RANGE, CHUNK, LEAST_PAYLOAD, MOST_HEADER = 8 << 20, 1 << 20, 100, 1 << 16
+#: Bytes of a range that one task scans, bytes read at a time, least payload that a revisit stands for.
+RANGE, CHUNK, LEAST_PAYLOAD = 8 << 20, 1 << 20, 100
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -119,20 +119,22 @@ class RangeReader:
         self.data, self.base = self.data[upto - self.base :], upto
 
     def _header_at(self, at: int) -> bool:
-        """Whether a member that inflates to a WARC header block starts at a position."""
-        z, out, k = zlib.decompressobj(31), b"", at
+        """Whether a member that inflates to a WARC header block, however long, starts at a position."""
+        z, out, k, end = zlib.decompressobj(31), bytearray(), at, -1
         try:
-            while len(out) < MOST_HEADER and b"\r\n\r\n" not in out and not z.eof:
+            while end < 0 and not z.eof:
                 if not self._fill(k + 1):
                     return False
                 part = self.data[k - self.base : k - self.base + 4096]
-                out += z.decompress(part, MOST_HEADER)
+                seen = max(0, len(out) - 3)
+                out += z.decompress(part)
                 k += len(part)
                 if not b"WARC/1.".startswith(out[:7]):
                     return False
+                end = out.find(b"\r\n\r\n", seen)
         except zlib.error:
             return False
-        return b"\r\n\r\n" in out and b"\nContent-Length:" in out
+        return end >= 0 and b"\nContent-Length:" in out
 
     def _member(self, at: int) -> tuple[bytes, int]:
         """The data of the member at a position and where the next begins."""

@@ -156,3 +156,12 @@ def test_warc_empty_and_false_magic(spark, tmp_path):
     p.write_bytes(junk)
     files = spark.createDataFrame([(str(p), len(junk))], "path string, size long")
     assert [r["page_id"] for r in warc.read_archives(spark, files, width=7).collect()] == [1]
+
+
+@pytest.mark.parametrize("width", [4096, 1 << 20])
+def test_warc_long_urls(spark, width):
+    scratch, noise = Scratch(spark), np.random.default_rng(5).bytes(100_000).hex()
+    rows = [(1, "data:" + noise, "<p>a</p>"), (2, "http://a/" + "x" * 5_000_000, "<p>b</p>"), (3, "data:" + noise, None), (4, "u", "<p>c</p>")]
+    archives = warc.write_archives(warc.plan_revisits(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1), scratch), shared_path(spark, "warc"), scratch)
+    got = {r["page_id"]: (r["url"], bytes(r["payload"])) for r in warc.read_archives(spark, archives, width=width).collect()}
+    assert got == {i: (url, (html or "").encode()) for i, url, html in rows}
