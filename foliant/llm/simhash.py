@@ -171,14 +171,15 @@ def near_edges(codes: DataFrame, most: int, scratch: Scratch, n: int) -> DataFra
 
 
 def near_classes(rows: DataFrame, most: int, scratch: Scratch, id_col: str = "doc_id") -> DataFrame:
-    """Table (fingerprint, component_id) of rows (id, fingerprint): the smallest id that links of equal or near codes reach."""
+    """Table (fingerprint, component_id, root) of rows (id, fingerprint): the smallest id that links of equal or near codes
+    reach, and a code that stands for the component, whose smallest id another one may share if ids are repeated."""
     classes = scratch.table(rows.groupBy("fingerprint").agg(F.min(id_col).alias("least")), "classes")
     edges = near_edges(classes.select(F.col("fingerprint").alias("code")), most, scratch, classes.count())
     comp = components(edges, scratch)
     found = classes.join(comp, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("root"))
     found = scratch.table(found, "roots")
     ids = found.groupBy("root").agg(F.min("least").alias("component_id"))
-    return scratch.table(found.join(ids, "root").select("fingerprint", "component_id"), "members")
+    return scratch.table(found.join(ids, "root").select("fingerprint", "component_id", "root"), "members")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4, seed: int = 42, scratch: Scratch | None = None) -> DataFrame:
@@ -189,17 +190,18 @@ def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4, seed: int =
     """
     scratch = scratch or Scratch(docs.sparkSession)
     rows = scratch.table(with_fingerprint(docs.drop("component_id"), words, seed), "fingerprints")
-    members = near_classes(rows, most, scratch)
+    members = near_classes(rows, most, scratch).select("fingerprint", "component_id")
     return rows.join(small_or_shuffled(members, 16), "fingerprint")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 4, most: int = 4, seed: int = 42) -> DataFrame:
     """docs with one row of each near-duplicate component: the one with the smallest doc_id (of equal rows, any one)."""
     scratch = Scratch(docs.sparkSession)
     key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")), *[c for c in docs.columns if c not in ("doc_id", "text")])
-    near = near_duplicates(docs.select("doc_id", "text", key.alias("_key")), scratch=scratch, **how)
+    near = scratch.table(with_fingerprint(docs.select("doc_id", "text", key.alias("_key")), words, seed), "fingerprints")
+    near = near.join(small_or_shuffled(near_classes(near, most, scratch).select("fingerprint", "root"), 16), "fingerprint")
     first = F.struct(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("id"), F.col("_key"))
-    best = scratch.table(near.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("f")).agg(F.min(first)["_key"].alias("_best")).select("_best").distinct(), "best")
+    best = scratch.table(near.groupBy("root").agg(F.min(first)["_key"].alias("_best")).select("_best").distinct(), "best")
     rows = docs.withColumn("_key", key).join(small_or_shuffled(best, 8), F.col("_key") == F.col("_best"), "left_semi")
     return _without_equal_rows(rows, scratch).select(*docs.columns)
 

@@ -345,6 +345,13 @@ def test_simhash(spark, monkeypatch, tile):
     assert simhash.near_duplicates(data.empty(spark)).count() == 0
 
 
+def test_unrelated_texts_of_one_id(spark):
+    rng = __import__("random").Random(9)
+    a, b = data.words(rng, 80), data.words(rng, 80)
+    df = spark.createDataFrame([(1, a), (2, a), (1, b), (3, b), (4, data.words(rng, 80))], "doc_id long, text string")
+    assert Counter((r["doc_id"], r["text"]) for r in simhash.keep_one(df.repartition(3)).collect()) == Counter([(1, a), (1, b), (4, df.where("doc_id = 4").first()["text"])])
+
+
 def test_gray_index():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
