@@ -33,9 +33,13 @@ def same_columns(stage: Callable) -> Callable:
 
 @same_columns
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs scored below TOXIC by a classifier fitted on the labels table (without the ids that are held out)."""
+    """docs scored below TOXIC by a classifier fitted on the labels table (without the ids that are held out).
+
+    Labels without both classes say nothing about a text; then every document stays.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out()).select("doc_id", "toxic")
-    return toxicity.score(docs, toxicity.fit(docs, labels)).where(F.col("score") < TOXIC).select(*docs.columns)
+    model = toxicity.fit(docs, labels)
+    return toxicity.score(docs, model).where(F.col("score") < TOXIC).select(*docs.columns) if model.fitted else docs
 
 
 @same_columns

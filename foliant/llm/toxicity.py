@@ -47,10 +47,14 @@ class Hasher:
 
 @dataclass
 class Model:
-    """weights: per hashed n-gram, log-count ratio times the fitted weight (0 where not kept); scores are probabilities."""
+    """weights: per hashed n-gram, log-count ratio times the fitted weight (0 where not kept); scores are probabilities.
+
+    fitted is false if the labels lacked a class, so that scores say nothing about a text.
+    """
 
     weights: np.ndarray
     bias: float
+    fitted: bool = True
 
     def score(self, features: np.ndarray, values: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.weights[features] @ values + self.bias, -30, 30))))
@@ -106,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> M
     total = table[table.feature < 0][["clean", "toxic"]].sum()
     n_clean, n_toxic = int(total["clean"]), int(total["toxic"])
     if not n_clean or not n_toxic:
-        return Model(np.zeros(1 << BITS), float(np.log((n_toxic + 1) / (n_clean + 1))))
+        return Model(np.zeros(1 << BITS), float(np.log((n_toxic + 1) / (n_clean + 1))), fitted=False)
     table = table[table.feature >= 0]
     clean, toxic = np.zeros(1 << BITS), np.zeros(1 << BITS)
     clean[table.feature], toxic[table.feature] = table.clean, table.toxic

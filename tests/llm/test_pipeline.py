@@ -40,3 +40,11 @@ def test_odd_rows_pass_every_stage(spark, sf_dir):
     for _, stage in P.STAGES:
         docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), stage(spark, docs, sf_dir).schema)
     assert docs.count() > 0
+
+
+def test_labels_without_both_classes_drop_nothing(spark, tmp_path):
+    docs = data.frame(spark)
+    for name, labels in (("none", []), ("unusable", [(1, None), (None, 1)]), ("toxic", [(i, 1) for i in range(20)]), ("clean", [(i, 0) for i in range(20)])):
+        spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        kept = P.drop_toxic(spark, docs, f"{tmp_path}/{name}")
+        assert kept.columns == docs.columns and Counter(kept.collect()) == Counter(docs.collect())
