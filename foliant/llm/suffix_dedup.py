@@ -1,27 +1,59 @@
-"""Exact removal of repeated byte strings with a sparse suffix array over content-defined anchors."""
+"""Exact removal of repeated byte strings, and shared passages of words, with a sparse suffix array over content-defined anchors."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, small_or_shuffled
 from .suffix_sort import deep_shallow
 
-#: Bytes of a repeated string, of an anchor's gram, and of what an anchor may be extended by on either side.
-LENGTH, GRAM = 400, 200
-REACH = LENGTH - GRAM
-#: Bytes of a text that are hashed at a time, neighbours on either side in suffix order that are compared one by one,
-#: different contexts of one gram that a task may hold.
-PIECE, STEPS, MOST_CONTEXTS = 1 << 16, 16, 20_000
+#: Units of a text that are hashed at a time, and contexts of a gram (then of a longer string) that one task sorts.
+PIECE, MOST_CONTEXTS = 1 << 16, 1_000
 BASE = 0x9E3779B97F4A7C15
 
 
+@dataclass(frozen=True)
+class Unit:
+    """What texts are sequences of. A string of `length` units that starts anywhere else repeats; if apart, only one in another row."""
+
+    no: int
+    length: int
+    gram: int  # units of an anchor's gram
+    width: int  # bytes of a unit in contexts
+    apart: bool
+
+    @property
+    def reach(self) -> int:
+        """What an anchor may be extended by on either side."""
+        return self.length - self.gram
+
+    @property
+    def step(self) -> int:
+        return -(-self.reach // 4)
+
+    def sequence(self, data: bytes) -> np.ndarray:
+        """Bytes as they are; words (runs without ASCII white space) by 32-bit hash."""
+        if self.width == 1:
+            return np.frombuffer(data, np.uint8)
+        words = data.split()
+        return np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words))
+
+
+BYTES, WORDS = Unit(0, 400, 200, 1, False), Unit(1, 51, 26, 4, True)
+UNITS = (BYTES, WORDS)
+#: No text with fewer bytes holds a string that any unit looks for.
+LEAST_BYTES = min(BYTES.length, 2 * WORDS.length - 1)
+
+
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A random number per byte, and powers of BASE and of its inverse modulo 2^64."""
     byte = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -41,7 +73,8 @@ class Hashes:
     def __init__(self, data: np.ndarray, tables: tuple):
         byte, power, self.back = tables
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(byte[data] * power[: len(data)], out=self.sums[1:])
+        numbers = byte[data] if data.dtype == np.uint8 else _mix(data.astype(np.uint64) + np.uint64(BASE))
+        np.cumsum(numbers * power[: len(data)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mix((self.sums[end] - self.sums[start]) * self.back[start])
@@ -55,57 +88,70 @@ def _slide(a: np.ndarray, width: int, least) -> np.ndarray:
     return least(a[:n], a[width - k : width - k + n]) if width > k else a[:n]
 
 
-def anchors(data: np.ndarray, tables: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, gram hash, context hash) of a text's anchors, by position.
+def anchors(data: np.ndarray, tables: tuple, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
+    """(position, gram hash) of the anchors of a sequence, by position.
 
-    A position is an anchor if its gram has the smallest hash of all grams in some string of LENGTH bytes (ties all
-    count). So every string of LENGTH bytes holds an anchor, and two equal ones hold anchors at equal places.
-    The context is the gram with REACH bytes on either side as far as the text goes.
+    A position is an anchor if its gram has the smallest hash of all grams in some string of unit.length (ties all
+    count). So every such string holds an anchor, and two equal ones hold anchors at equal places.
     """
-    n, found = len(data), []
-    for c in range(0, max(0, n - LENGTH + 1), PIECE):
-        base = max(0, c - REACH)
-        part = data[base : c + PIECE + LENGTH + REACH]
+    n, reach, found = len(data), unit.reach, []
+    for c in range(0, max(0, n - unit.length + 1), PIECE):
+        base = max(0, c - reach)
+        part = data[base : c + PIECE + unit.length + reach]
         hashes = Hashes(part, tables)
-        last = min(n, c + PIECE + LENGTH - 1) - base  # strings that start in this piece end here
-        start = np.arange(c - base, last - GRAM + 1)
-        h = hashes.of(start, start + GRAM) | np.uint64(1)
-        low = _slide(h, REACH + 1, np.minimum)
-        pad = np.zeros(REACH, np.uint64)
-        at = np.flatnonzero(_slide(np.concatenate([pad, low, pad]), REACH + 1, np.maximum) == h)
-        own = start[at]
-        left, right = np.minimum(own, REACH), np.minimum(n - base - own - GRAM, REACH)
-        whole = hashes.of(own - left, own + GRAM + right) + left.astype(np.uint64)
-        found.append((own + base, h[at], whole))
+        last = min(n, c + PIECE + unit.length - 1) - base  # strings that start in this piece end here
+        start = np.arange(c - base, last - unit.gram + 1)
+        h = (hashes.of(start, start + unit.gram) ^ np.uint64(unit.no << 1)) | np.uint64(1)
+        low = _slide(h, reach + 1, np.minimum)
+        pad = np.zeros(reach, np.uint64)
+        at = np.flatnonzero(_slide(np.concatenate([pad, low, pad]), reach + 1, np.maximum) == h)
+        found.append((start[at] + base, h[at]))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    pos, h, whole = (np.concatenate(x) for x in zip(*found, strict=True))
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    pos, h = (np.concatenate(x) for x in zip(*found, strict=True))
     pos, first = np.unique(pos, return_index=True)
-    return pos, h[first], whole[first]
+    return pos, h[first]
+
+
+def _digest(raw: bytes, left: int) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16, salt=left.to_bytes(4, "little")).digest()
 
 
 def _index(docs: DataFrame, id_col: str) -> DataFrame:
-    """(id, n_bytes, sha, anchors) of docs (id, text)."""
+    """(id, n_bytes, n_words, sha, anchors) of docs (id, text).
+
+    An anchor has its unit, gram hash, position and the 128-bit digest of its context: the gram with unit.reach on either
+    side as far as the text goes (left and right say how far).
+    """
     kind = docs.schema[id_col].dataType.simpleString()
-    held = pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64()), ("pos", pa.int32())]))
+    held = pa.list_(pa.struct([("u", pa.int8()), ("h", pa.int64()), ("c", pa.binary()), ("pos", pa.int32()), ("left", pa.int16()), ("right", pa.int16())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _tables(PIECE + 4 * LENGTH)
+        tables = _tables(PIECE + 4 * max(u.length for u in UNITS))
         for b in batches:
-            size, sha, ends, parts = [], [], [0], []
+            size, n_words, sha, ends, parts, digests = [], [], [], [0], [], []
             for t in b.column(1):
                 data = (t.as_py() or "").encode("utf-8", "surrogatepass")
-                found = anchors(np.frombuffer(data, np.uint8), tables)
+                own = 0
+                for unit in UNITS:
+                    seq = unit.sequence(data)
+                    pos, h = anchors(seq, tables, unit)
+                    left, right = np.minimum(pos, unit.reach), np.minimum(len(seq) - pos - unit.gram, unit.reach)
+                    raw, w = (data if unit.width == 1 else seq.tobytes()), unit.width
+                    digests += [_digest(raw[a:z], k) for a, z, k in zip((w * (pos - left)).tolist(), (w * (pos + unit.gram + right)).tolist(), left.tolist(), strict=True)]
+                    parts.append((np.full(len(pos), unit.no, np.int8), h.view(np.int64), pos.astype(np.int32), left.astype(np.int16), right.astype(np.int16)))
+                    own += len(pos)
                 size.append(len(data))
+                n_words.append(len(seq))
                 sha.append(hashlib.sha256(data).hexdigest())
-                ends.append(ends[-1] + len(found[0]))
-                parts.append(found)
-            pos, h, c = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
-            values = pa.StructArray.from_arrays([pa.array(h.astype(np.uint64).view(np.int64)), pa.array(c.astype(np.uint64).view(np.int64)), pa.array(pos.astype(np.int32))], fields=list(held.value_type))
+                ends.append(ends[-1] + own)
+            u, h, pos, left, right = (pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)) if parts else (pa.array([], f.type) for f in held.value_type if f.name != "c")
+            values = pa.StructArray.from_arrays([u, h, pa.array(digests, pa.binary()), pos, left, right], fields=list(held.value_type))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(sha), lists], [id_col, "n_bytes", "sha", "anchors"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(n_words, pa.int64()), pa.array(sha), lists], [id_col, "n_bytes", "n_words", "sha", "anchors"])
 
-    return docs.select(id_col, "text").mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, sha string, anchors array<struct<h:long,c:long,pos:int>>")
+    schema = f"`{id_col}` {kind}, n_bytes long, n_words long, sha string, anchors array<struct<u:tinyint,h:long,c:binary,pos:int,left:smallint,right:smallint>>"
+    return docs.select(id_col, "text").mapInArrow(run, schema)
 
 
 def _matrix(rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,28 +170,26 @@ def _shared(a: np.ndarray, na: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.n
     return out
 
 
-def extensions(group: np.ndarray, left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """How far the string around each gram repeats to the left and right, -1 if no string of LENGTH bytes does.
+def extensions(group: np.ndarray, left: list[bytes], right: list[bytes], unit: Unit = BYTES, mate: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """How far the string around each gram repeats to the left and right in units, -1 if no string of unit.length does.
 
-    Rows of a group hold the same gram; left is what precedes it, reversed, right what follows. With L and R shared
-    with another row, a string of LENGTH bytes repeats iff L + R >= REACH. In suffix order R only falls with distance,
-    so the first neighbour on either side that satisfies this has the largest R; the same holds for L in the order of
-    the left strings. Rows with neither found nor ruled out after STEPS neighbours are settled by comparing all strings
-    of LENGTH bytes around the grams of their group, one alignment after the other.
+    Rows of a group hold the same gram; left is what precedes it, its units reversed, right what follows. With L and R
+    shared with another row, a string of unit.length repeats iff L + R >= unit.reach. In suffix order R only falls with
+    distance, so the first neighbour on either side that satisfies this has the largest R; the same holds for L in the
+    order of the left strings. Neighbours are compared at distance 1, 2, ... until every row is settled or its group ends.
+    Rows of equal mate (the only text with their context) do not count for each other where a unit wants another text.
     """
-    n = len(group)
-    a, b = _matrix(left, REACH), _matrix(right, REACH)
-    best, open_ = [np.full(n, -1, np.int64), np.full(n, -1, np.int64)], np.zeros(n, bool)
+    n, reach = len(group), unit.reach
+    a, b = _matrix(left, reach * unit.width), _matrix(right, reach * unit.width)
+    best = [np.full(n, -1, np.int64), np.full(n, -1, np.int64)]
     for side, (one, other) in enumerate(((a, b), (b, a))):
         order = deep_shallow(group, *one)
         g = group[order]
-        reach = np.full(max(0, n - 1), REACH, np.int64)
-        lcp = np.where(g[1:] == g[:-1], _shared(*one, order[:-1], order[1:]), -1)
+        near = np.full(max(0, n - 1), reach, np.int64)
+        lcp = np.where(g[1:] == g[:-1], _shared(*one, order[:-1], order[1:]) // unit.width, -1)
         up, down = np.zeros(n, bool), np.zeros(n, bool)  # settled towards the end and towards the start of the order
-        for t in range(1, STEPS + 1):
-            if t >= n:
-                break
-            reach = np.minimum(reach[: n - t], lcp[t - 1 : n - 1])
+        for t in range(1, n):
+            near = np.minimum(near[: n - t], lcp[t - 1 : n - 1])
             same = g[t:] == g[:-t]
             up[: n - t] |= ~same
             up[n - t :] = True
@@ -153,92 +197,117 @@ def extensions(group: np.ndarray, left: list[bytes], right: list[bytes]) -> tupl
             down[:t] = True
             k = np.flatnonzero(same & ~(up[: n - t] & down[t:]))
             if not len(k):
-                if up.all() and down.all():
+                if not same.any():
                     break
                 continue
             i, j = order[k], order[k + t]
-            hit = reach[k] + _shared(*other, i, j) >= REACH
+            hit = near[k] + _shared(*other, i, j) // unit.width >= reach
+            if unit.apart:
+                hit &= mate[i] != mate[j]
             k, i, j = k[hit], i[hit], j[hit]
-            np.maximum.at(best[side], i, reach[k])
-            np.maximum.at(best[side], j, reach[k])
+            np.maximum.at(best[side], i, near[k])
+            np.maximum.at(best[side], j, near[k])
             up[k], down[k + t] = True, True
-        if n > STEPS:
-            last = np.flatnonzero(g[STEPS + 1 :] != g[: -STEPS - 1]) if n > STEPS + 1 else np.zeros(0, int)
-            up[last], up[max(0, n - STEPS - 1) :] = True, True
-            down[last + STEPS + 1], down[: STEPS + 1] = True, True
-        else:
-            up[:], down[:] = True, True
-        open_[order[~(up & down)]] = True
-    for s in np.unique(group[open_]) if open_.any() else ():
-        rows = np.flatnonzero(group == s)
-        _align(rows, a, b, best)
     return best[0], best[1]
 
 
-def _align(rows: np.ndarray, a: tuple, b: tuple, best: list[np.ndarray]) -> None:
-    """Settles a group exactly: for each alignment r, which strings of r bytes before and REACH - r after the gram repeat."""
-    best[0][rows], best[1][rows] = -1, -1
-    for r in range(REACH + 1):
-        own = rows[(a[1][rows] >= r) & (b[1][rows] >= REACH - r)]
-        if len(own) < 2:
-            continue
-        text = np.ascontiguousarray(np.concatenate([a[0][own, :r], b[0][own, : REACH - r]], axis=1))
-        _, at, count = np.unique(text.view(f"V{REACH}").ravel(), return_inverse=True, return_counts=True)
-        hit = own[count[at] > 1]
-        best[0][hit] = np.maximum(best[0][hit], r)
-        best[1][hit] = np.maximum(best[1][hit], REACH - r)
+CONTEXT = "u tinyint, h long, gram binary, row long, mate long, pos int, single boolean, left binary, right binary"
 
 
 def _contexts(texts: DataFrame) -> DataFrame:
-    """A row per anchor asked for in texts (row, text, at): gram and its digest, what precedes (reversed) and follows."""
+    """A row per anchor asked for in texts (row, text, at): gram digest, what precedes (units reversed) and follows.
+
+    single: its context occurs once (for words: in one text, which is its mate; else the mate is -1).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int8(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
         for b in batches:
-            out: list[list] = [[], [], [], [], [], [], []]
+            out: list[list] = [[] for _ in kinds]
             for row, t, at in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 data = t.as_py().encode("utf-8", "surrogatepass")
-                for x in at or ():
-                    p = x["pos"]
-                    gram = hashlib.blake2b(data[p : p + GRAM], digest_size=8).digest()
-                    for k, v in enumerate((x["h"], gram, row, p, x["single"], data[max(0, p - REACH) : p][::-1], data[p + GRAM : p + LENGTH])):
-                        out[k].append(v)
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["h", "gram", "row", "pos", "single", "left", "right"])
+                asked = [[x for x in at or () if x["u"] == unit.no] for unit in UNITS]
+                for unit, own in zip(UNITS, asked, strict=True):
+                    seq = unit.sequence(data) if own else None
+                    for x in own:
+                        p, end = x["pos"], x["pos"] + unit.gram
+                        gram = hashlib.blake2b(seq[p:end].tobytes(), digest_size=16).digest()
+                        row_ = (unit.no, x["h"], gram, row, row if x["single"] else -1, p, x["single"], seq[max(0, p - unit.reach) : p][::-1].tobytes(), seq[end : p + unit.length].tobytes())
+                        for k, v in enumerate(row_):
+                            out[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["u", "h", "gram", "row", "mate", "pos", "single", "left", "right"])
 
-    return texts.select("row", "text", "at").mapInArrow(run, "h long, gram binary, row long, pos int, single boolean, left binary, right binary")
+    return texts.select("row", "text", "at").mapInArrow(run, CONTEXT)
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, start, end) of what repeats around single anchors; batches are sorted by (h, gram)."""
-
-    def done(rows: list[tuple]) -> pa.RecordBatch:
-        group = np.cumsum([0] + [x[:2] != y[:2] for x, y in zip(rows[1:], rows[:-1], strict=True)])
-        low, high = extensions(group, [x[5] for x in rows], [x[6] for x in rows])
-        hit = [i for i, x in enumerate(rows) if x[4] and low[i] >= 0]
-        parts = ([rows[i][2] for i in hit], [rows[i][3] - int(low[i]) for i in hit], [rows[i][3] + GRAM + int(high[i]) for i in hit])
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in parts], ["row", "start", "end"])
+    """(u, row, start, end) of what repeats around single anchors; batches are sorted by (k, u, h, gram), a group each."""
+    names = ("k", "u", "h", "gram", "row", "mate", "pos", "single", "left", "right")
+
+    def done(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for no, own in ((u.no, [x for x in rows if x[1] == u.no]) for u in UNITS):
+            unit = UNITS[no]
+            group = np.repeat(*np.array([(i, len(list(x))) for i, (_, x) in enumerate(groupby(own, key=lambda x: x[:4]))], np.int64).reshape(-1, 2).T)
+            low, high = extensions(group, [x[8] for x in own], [x[9] for x in own], unit, np.array([x[5] for x in own], np.int64))
+            hit = [i for i, x in enumerate(own) if x[7] and low[i] >= 0]
+            parts = ([own[i][4] for i in hit], [own[i][6] - int(low[i]) for i in hit], [own[i][6] + unit.gram + int(high[i]) for i in hit])
+            yield pa.RecordBatch.from_arrays([pa.array([no] * len(hit), pa.int8()), *(pa.array(x, pa.int64()) for x in parts)], ["u", "row", "start", "end"])
 
     held: list[tuple] = []
     for b in batches:
-        held += zip(*(b.column(c).to_pylist() for c in ("h", "gram", "row", "pos", "single", "left", "right")), strict=True)
-        if len(held) >= 20_000 and held[0][:2] != held[-1][:2]:
-            last = next(i for i in range(len(held) - 1, -1, -1) if held[i][:2] != held[-1][:2]) + 1
-            yield done(held[:last])
+        held += zip(*(b.column(c).to_pylist() for c in names), strict=True)
+        if len(held) >= 20_000 and held[0][:4] != held[-1][:4]:
+            last = next(i for i in range(len(held) - 1, -1, -1) if held[i][:4] != held[-1][:4]) + 1
+            yield from done(held[:last])
             held = held[last:]
     if held:
-        yield done(held)
+        yield from done(held)
+
+
+def _sorted(contexts: DataFrame) -> DataFrame:
+    """Spans found by sorting the contexts of every group k, each of which has at most MOST_CONTEXTS."""
+    return contexts.repartition("k").sortWithinPartitions("k", "u", "h", "gram", "row", "pos").mapInArrow(_settle, "u tinyint, row long, start long, end long")
+
+
+def _by_unit(value) -> Column:
+    return F.when(F.col("u") == BYTES.no, F.lit(value(BYTES))).otherwise(F.lit(value(WORDS)))
 
 
-def _settle_hot(contexts: DataFrame) -> DataFrame:
-    """The same for grams with more contexts than a task may hold: every alignment of every anchor is a row of its own,
-    counted on the map side first, so no task gathers a gram's contexts."""
+def _head(side: str, units: Column) -> Column:
+    return F.substring(F.col(side), F.lit(1), units * _by_unit(lambda u: u.width))
+
+
+def _held(side: str) -> Column:
+    return F.expr(f"length({side}) div if(u = {BYTES.no}, {BYTES.width}, {WORDS.width})").cast("int")
+
+
+def _settle_hot(contexts: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same for grams with more contexts than a task sorts, which meet by longer strings than the gram.
+
+    With s = unit.step, two contexts that share L and R with L + R >= reach share s*j before and reach - s*j - s + 1 after the gram
+    for j = L div s. So each context goes to a group per j, keyed by that string; groups of at most MOST_CONTEXTS are sorted.
+    What larger ones hold is settled by alignment: every string of unit.length around a gram is a row of its own, counted on the
+    map side first, so that no task gathers a group however large.
+    """
+    reach, step = _by_unit(lambda u: u.reach), _by_unit(lambda u: u.step)
+    j = F.explode(F.sequence(F.lit(0), F.expr(f"if(u = {BYTES.no}, {BYTES.reach // BYTES.step}, {WORDS.reach // WORDS.step})")))
+    rows = contexts.withColumn("j", j).withColumn("before", F.col("j") * step).withColumn("after", F.greatest(F.lit(0), reach - F.col("before") - step + 1))
+    rows = rows.where((_held("left") >= F.col("before")) & (_held("right") >= F.col("after")))
+    rows = rows.withColumn("k", F.xxhash64("u", "h", "gram", "j", _head("left", F.col("before")), _head("right", F.col("after")))).drop("j", "before", "after")
+    size = rows.groupBy("k").agg(F.count("*").alias("size"), F.max("single").alias("some")).where("size > 1 and some").drop("some").withColumnRenamed("k", "_k")
+    rows = scratch.table(rows.join(small_or_shuffled(scratch.table(size, "sizes"), 24), F.col("k") == F.col("_k")).drop("_k"), "hot")
+    found = _sorted(rows.where(F.col("size") <= MOST_CONTEXTS).drop("size"))
+    left = rows.where(F.col("size") > MOST_CONTEXTS).drop("k", "size").dropDuplicates(["u", "row", "pos"])
+    if not left.limit(1).count():
+        return found
     r = F.col("r")
-    rows = contexts.withColumn("r", F.explode(F.sequence(F.greatest(F.lit(0), F.lit(REACH) - F.length("right")), F.least(F.lit(REACH), F.length("left")))))
-    own = F.concat(F.substring(F.col("left"), F.lit(1), r), F.substring(F.col("right"), F.lit(1), F.lit(REACH) - r))
-    rows = rows.select("h", "gram", "r", F.md5(own).alias("own"), "row", "pos", "single")
-    dup = rows.groupBy("h", "gram", "r", "own").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    hits = rows.where("single").join(dup, ["h", "gram", "r", "own"]).groupBy("row", "pos").agg(F.max("r").alias("low"), F.min("r").alias("high"))
-    return hits.select("row", (F.col("pos") - F.col("low")).cast("long").alias("start"), (F.col("pos") + LENGTH - F.col("high")).cast("long").alias("end"))
+    left = left.withColumn("r", F.explode(F.expr(f"sequence(greatest(0, if(u = {BYTES.no}, {BYTES.reach} - length(right), {WORDS.reach} - length(right) div {WORDS.width})), if(u = {BYTES.no}, length(left), length(left) div {WORDS.width}))")))
+    left = left.select("u", "h", "gram", "r", F.md5(F.concat(_head("left", r), F.lit(b"|"), _head("right", reach - r))).alias("own"), "row", "mate", "pos", "single")
+    keys = ["u", "h", "gram", "r", "own"]
+    again = F.when(F.col("u") == BYTES.no, F.col("n") > 1).otherwise(F.col("a") < F.col("b"))
+    dup = left.groupBy(*keys).agg(F.count("*").alias("n"), F.min("mate").alias("a"), F.max("mate").alias("b")).where(again).select(*keys)
+    hits = left.where("single").join(dup, keys).groupBy("u", "row", "pos").agg(F.max("r").alias("low"), F.min("r").alias("high"))
+    return found.unionByName(hits.select("u", "row", (F.col("pos") - F.col("low")).cast("long").alias("start"), (F.col("pos") + _by_unit(lambda u: u.length) - F.col("high")).cast("long").alias("end")))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,72 +334,76 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
-    """(id, n_bytes, removed, kept_sha256) of docs (id, text): removed holds the maximal runs (start, end) of bytes covered
-    by a string of LENGTH bytes that also starts elsewhere in docs; null texts are empty, equal rows are kept as rows.
-
-    Texts of at least LENGTH bytes that occur more than once are removed whole and stand in the index once. The suffix
-    array is sparse: it holds the suffixes at anchors only (see anchors()), which every repeated string contains.
-    Anchors whose gram occurs once go; those whose whole context occurs elsewhere repeat all around; the rest meet by
-    gram, where their suffixes are sorted (see extensions()). Grams with more than MOST_CONTEXTS contexts are counted by
-    alignment instead. Texts are shuffled once, those with repeats a second time, contexts without their grams.
+    """(id, n_bytes, removed, kept_sha256, shared) of docs (id, text): removed holds the maximal runs (start, end) of bytes
+    covered by a string of BYTES.length bytes that also starts elsewhere in docs; shared tells whether the text holds a
+    passage of WORDS.length words that another text of docs holds too, whatever its bytes (it is not removed for that).
+    Null texts are empty, equal rows are kept as rows.
+
+    Texts that occur more than once stand in the index once; those of at least BYTES.length bytes are removed whole. The
+    suffix array is sparse: it holds the suffixes at anchors only (see anchors()), which every repeated string contains.
+    Anchors whose gram occurs once go; those whose whole context occurs elsewhere (equal 128-bit digests) repeat all around;
+    the rest meet by gram, where their suffixes are sorted (see extensions()), hot grams by longer strings (see _settle_hot()).
+    Texts are shuffled once, those with repeats a second time, contexts without their grams.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     rows = scratch.table(_index(docs, id_col).withColumn("row", F.monotonically_increasing_id()), "index")
-    long_ = rows.where(F.col("n_bytes") >= LENGTH)
+    long_ = rows.where(F.col("n_bytes") >= LEAST_BYTES)
     copies = scratch.table(long_.groupBy("sha").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "copies")
     near = small_or_shuffled(copies.withColumnRenamed("sha", "_sha"), 128)
     ones = long_.join(near, F.col("sha") == F.col("_sha"), "left").where("first is null or first = row").drop("first", "_sha")
 
-    held = ones.select("row", "n_bytes", F.explode("anchors").alias("a")).select("row", "n_bytes", "a.h", "a.c", "a.pos")
+    held = ones.select("row", F.explode("anchors").alias("a")).select("row", "a.*")
     twice = held.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     # written first, so that the join has two plain exchanges and a gram that very many texts share is split over tasks
     held = scratch.table(held.join(scratch.table(twice, "twice"), "h"), "anchors")
-    classes = held.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("rep"))
-    classes = scratch.table(classes, "classes")
-    full = held.join(classes.where("n > 1").select("h", "c"), ["h", "c"])
-    full = full.select("row", F.greatest(F.lit(0), F.col("pos") - REACH).cast("long").alias("start"), F.least(F.col("n_bytes"), F.col("pos") + LENGTH).alias("end"))
-    full = full.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # bounded by the text's own length
-    full = scratch.table(full, "full")
-    grams = classes.groupBy("h").agg(F.count("*").alias("contexts"), F.count_if(F.col("n") == 1).alias("singles")).where("contexts > 1 and singles > 0")
+    classes = held.groupBy("u", "h", "c").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("rep"), F.max("row").alias("last"))
+    again = F.when(F.col("u") == BYTES.no, F.col("n") > 1).otherwise(F.col("rep.row") < F.col("last"))
+    classes = scratch.table(classes.select("u", "h", "c", "rep", again.alias("again")), "classes")
+    full = held.join(classes.where("again").select("u", "h", "c"), ["u", "h", "c"])
+    full = scratch.table(full.select("u", "row", (F.col("pos") - F.col("left")).cast("long").alias("start"), (F.col("pos") + _by_unit(lambda u: u.gram) + F.col("right")).cast("long").alias("end")), "full")
+    spans = full.where(F.col("u") == BYTES.no).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # bounded by the text's own length
+    grams = classes.groupBy("h").agg(F.count("*").alias("contexts"), F.count_if(~F.col("again")).alias("singles")).where("contexts > 1 and singles > 0")
     grams = scratch.table(grams.select("h", "contexts"), "grams")
-    asked = classes.join(grams.select("h"), "h").select(F.col("rep.row").alias("row"), F.struct("h", F.col("rep.pos").alias("pos"), (F.col("n") == 1).alias("single")).alias("at"))
+    asked = classes.join(grams.select("h"), "h").select(F.col("rep.row").alias("row"), F.struct("u", "h", F.col("rep.pos").alias("pos"), (~F.col("again")).alias("single")).alias("at"))
     asked = asked.groupBy("row").agg(F.collect_list("at").alias("at"))
 
-    wanted = asked.join(full, "row", "full_outer").join(ones.select("row", "sha", F.col(id_col).alias("_id")), "row")
+    wanted = asked.join(spans, "row", "full_outer").join(ones.select("row", "sha", F.col(id_col).alias("_id")), "row")
     wanted = wanted.select("row", F.col("sha").alias("_sha"), "_id", "at", F.col("spans").alias("spans"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    some = docs.select(id_col, text.alias("text")).where(F.octet_length("text") >= LENGTH).withColumn("sha", F.sha2("text", 256))
+    some = docs.select(id_col, text.alias("text")).where(F.octet_length("text") >= LEAST_BYTES).withColumn("sha", F.sha2("text", 256))
     texts = some.join(small_or_shuffled(scratch.table(wanted, "wanted"), 512), (F.col("sha") == F.col("_sha")) & F.col(id_col).eqNullSafe(F.col("_id")))
     texts = scratch.table(texts.select("row", "text", "at", "spans"), "texts")
 
     contexts = _contexts(texts.where("at is not null"))
     hot = scratch.table(grams.where(F.col("contexts") > MOST_CONTEXTS).select("h"), "hot")
-    if hot.limit(1).count():
+    n_hot = hot.count()
+    if n_hot:
         contexts = scratch.table(contexts, "contexts")
-        apart = F.broadcast(hot) if hot.count() <= 10_000 else hot
-        settled = _settle_hot(contexts.join(apart, "h", "left_semi"))
+        apart = F.broadcast(hot) if n_hot <= 10_000 else hot
+        settled = _settle_hot(contexts.join(apart, "h", "left_semi"), scratch)
         contexts = contexts.join(apart, "h", "left_anti")
-    else:
-        settled = None
-    found = contexts.repartition("h").sortWithinPartitions("h", "gram", "row", "pos").mapInArrow(_settle, "row long, start long, end long")
-    found = found if settled is None else found.unionByName(settled)
-    found = found.distinct().groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("more"))
+    found = _sorted(contexts.withColumn("k", F.col("h")))
+    found = scratch.table(found if not n_hot else found.unionByName(settled), "found")
+    more = found.where(F.col("u") == BYTES.no).distinct().groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("more"))
     none = F.array().cast("array<struct<start:long,end:long>>")
     spans = F.concat(F.coalesce("spans", none), F.coalesce("more", none))
-    cut = texts.select("row", "text", "spans").join(scratch.table(found, "found"), "row", "left").select("row", "text", spans.alias("spans")).where(F.size("spans") > 0)
+    cut = texts.select("row", "text", "spans").join(more, "row", "left").select("row", "text", spans.alias("spans")).where(F.size("spans") > 0)
     cut = cut.mapInArrow(_cut, "row long, removed array<struct<start:long,end:long>>, kept_sha256 string").dropDuplicates(["row"])
     cut = scratch.table(cut.withColumnRenamed("row", "_row"), "cut")
+    flags = scratch.table(full.unionByName(found).where(F.col("u") == WORDS.no).select(F.col("row").alias("_flag")).distinct(), "flags")
 
-    out = rows.select("row", id_col, "n_bytes", "sha").join(small_or_shuffled(copies.select(F.col("sha").alias("_sha")), 128), F.col("sha") == F.col("_sha"), "left")
-    out = out.join(cut, F.col("row") == F.col("_row"), "left")
-    whole = F.col("_sha").isNotNull()
+    out = rows.drop("anchors").join(small_or_shuffled(copies.select(F.col("sha").alias("_sha")), 128), F.col("sha") == F.col("_sha"), "left")
+    out = out.join(cut, F.col("row") == F.col("_row"), "left").join(small_or_shuffled(flags, 16), F.col("row") == F.col("_flag"), "left")
+    copy = F.col("_sha").isNotNull()
+    whole = copy & (F.col("n_bytes") >= BYTES.length)
     every = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     removed = F.when(whole, every).otherwise(F.coalesce("removed", none))
     kept = F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha"))
-    return out.select(id_col, "n_bytes", removed.alias("removed"), kept.alias("kept_sha256"))
+    shared = F.col("_flag").isNotNull() | (copy & (F.col("n_words") >= WORDS.length))
+    return out.select(id_col, "n_bytes", removed.alias("removed"), kept.alias("kept_sha256"), shared.alias("shared"))
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     size = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return out.select("doc_id", "n_bytes", size.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+    return out.select("doc_id", "n_bytes", size.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256", F.col("shared").cast("int").alias("shares_passage"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Bytes that the multikey quicksort looks at, eight at a time, before tied strings go to a blind trie.
+#: Bytes that the multikey quicksort looks at, eight at a time as one character, before tied strings go to a blind trie.
 SHALLOW = 40
 
 
@@ -77,32 +77,44 @@ class BlindTrie:
         return out
 
 
+def multikey_quicksort(order: np.ndarray, segment: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts the rows `order` inside each segment (sorted numbers) by their words; returns the order and which rows tie.
+
+    Ternary partitioning by one word at a time: every open part is split by a pivot at its depth into less, equal and
+    greater; equal goes one word deeper, the others stay at their depth. All open parts take a step at once. Tied rows
+    (equal in all words) share a number.
+    """
+    n, most = len(order), words.shape[1]
+    part, depth = np.unique(segment, return_inverse=True)[1].astype(np.int64), np.zeros(n, np.int64)
+    while True:
+        start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if n else np.zeros(0, int)
+        size = np.diff(np.r_[start, n])
+        at = np.flatnonzero(np.repeat(size > 1, size) & (depth < most))
+        if not len(at):
+            return order, part
+        middle = np.repeat(start + size // 2, size)[at]
+        key, pivot = words[order[at], depth[at]], words[order[middle], depth[at]]
+        side = np.where(key < pivot, 0, np.where(key > pivot, 2, 1))
+        by = np.argsort(3 * part[at] + side, kind="stable")
+        order[at], side = order[at][by], side[by]
+        depth[at] += side == 1
+        fresh = np.zeros(n, np.int64)
+        fresh[start] = 1
+        own = part[at]
+        fresh[at[np.flatnonzero(np.r_[False, (side[1:] != side[:-1]) & (own[1:] == own[:-1])])]] = 1
+        part = np.cumsum(fresh)
+
+
 def deep_shallow(group: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Order of the rows by (group, bytes): data holds zero-padded rows, sizes their lengths, group sorted numbers.
 
-    Rows are split by eight bytes at a time, only those still tied going on; rows that tie at SHALLOW bytes are
-    ordered by a blind trie per group of ties.
+    Multikey quicksort over eight bytes at a time down to SHALLOW bytes; rows that tie there are ordered by a blind
+    trie per group of ties.
     """
     n = len(group)
     words = np.zeros((n, SHALLOW), np.uint8)
     words[:, : min(SHALLOW, data.shape[1])] = data[:, :SHALLOW]
-    words = words.view(">u8").astype(np.uint64)
-    order, tie = np.arange(n), np.asarray(group, np.int64)
-    for w in range(SHALLOW // 8):
-        first = np.flatnonzero(np.r_[True, tie[1:] != tie[:-1]]) if n else np.zeros(0, int)
-        size = np.diff(np.r_[first, n])
-        open_ = np.flatnonzero(np.repeat(size > 1, size))
-        if not len(open_):
-            break
-        key = words[order[open_], w]
-        by = np.lexsort((key, tie[open_]))
-        order[open_] = order[open_][by]
-        key, own = key[by], tie[open_]
-        fresh = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])]
-        parted = np.zeros(n, bool)
-        parted[open_] = fresh
-        parted[first] = True
-        tie = np.cumsum(parted)
+    order, tie = multikey_quicksort(np.arange(n), np.asarray(group, np.int64), words.view(">u8").astype(np.uint64))
     first = np.flatnonzero(np.r_[True, tie[1:] != tie[:-1]]) if n else np.zeros(0, int)
     size = np.diff(np.r_[first, n])
     for s, m in zip(first[size > 1], size[size > 1], strict=True):

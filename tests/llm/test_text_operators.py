@@ -129,19 +129,33 @@ def cut_by_hand(texts, length=400):
     return out
 
 
-@pytest.mark.parametrize("steps,hot", [(16, 20_000), (1, 20_000), (16, 2)])
-def test_suffix_dedup(spark, monkeypatch, steps, hot):
-    monkeypatch.setattr(suffix_dedup, "STEPS", steps)
+def shared_by_hand(texts, words=51):
+    first, many = {}, set()
+    grams = [{tuple(w[i : i + words]) for i in range(len(w) - words + 1)} for w in ((t or "").split() for t in texts)]
+    for i, own in enumerate(grams):
+        for g in own:
+            if first.setdefault(g, i) != i:
+                many.add(g)
+    return [not own.isdisjoint(many) for own in grams]
+
+
+@pytest.mark.parametrize("hot", [1_000, 8, 1])
+def test_suffix_dedup(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "MOST_CONTEXTS", hot)
-    rows = data.documents()
+    rng, rows = __import__("random").Random(4), data.documents()
     phrase = rows[60][1][:250]  # common, but too short to repeat by itself
-    rows += [(600 + i, data.words(__import__("random").Random(i), 60) + phrase + data.words(__import__("random").Random(-i), 60), "en", "s", 0, *"abcde") for i in range(30)]
+    near = rows[60][1][250:640]  # common and nearly long enough
+    short = " ".join("ab"[k % 2] * (1 + k % 3) for k in range(49))
+    rows += [(600 + i, data.words(rng, 60) + phrase + data.words(rng, 60), "en", "s", 0, *"abcde") for i in range(30)]
+    rows += [(700 + i, data.words(rng, 60) + near[i % 3 :] + data.words(rng, 60), "en", "s", 0, *"abcde") for i in range(30)]
+    rows += [(800 + i, f"{rng.randrange(1 << 40)} {short} {'x y z'[: 1 + 2 * (i % 3)]} {rng.randrange(1 << 40)}", "en", "s", 0, *"abcde") for i in range(12)]
+    rows += [(900, " ".join(data.words(rng, 60) for _ in range(1)) * 2, "en", "s", 0, *"abcde"), (901, " ".join([data.words(rng, 70)] * 3), "en", "s", 0, *"abcde")]  # repeats inside one text
     want = defaultdict(list)
-    for r, x in zip(rows, cut_by_hand([r[1] for r in rows]), strict=True):
-        want[r[0]].append(x)
+    for r, x, y in zip(rows, cut_by_hand([r[1] for r in rows]), shared_by_hand([r[1] for r in rows]), strict=True):
+        want[r[0]].append((*x, y))
     got = defaultdict(list)
     for r in suffix_dedup.remove_repeats(data.frame(spark, rows)).collect():
-        got[r["doc_id"]].append((r["n_bytes"], sum(e - s for s, e in r["removed"]), len(r["removed"]), r["kept_sha256"]))
+        got[r["doc_id"]].append((r["n_bytes"], sum(e - s for s, e in r["removed"]), len(r["removed"]), r["kept_sha256"], r["shared"]))
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
     assert suffix_dedup.remove_repeats(data.empty(spark)).count() == 0
 
