@@ -11,11 +11,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, small_or_shuffled
+from .common import Scratch, components, numbered, small_or_shuffled
 from .links import Groups
 
-#: Rows of a bucket beyond which it is dealt to several tasks, and rows that are compared without an index.
-TILE_ROWS, LEAF_ROWS, FANOUT = 4096, 32, 16
+#: Codes of a Gray range at least, Gray ranges at most, children of a node, and queries searched at a time.
+RANGE_CODES, RANGES, FANOUT, QUERIES = 4096, 4096, 16, 256
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -58,6 +58,15 @@ def gray_rank(x: Column) -> Column:
     return x
 
 
+def turned(x: Column, no: int) -> Column:
+    """A 64-bit code for Gray order number no: as it is, or with its halves swapped."""
+    return F.shiftleft(x, 32).bitwiseOR(F.shiftrightunsigned(x, 32)) if no else x
+
+
+#: The half of a (turned) code that Gray order looks at first.
+TOP = np.uint64(0xFFFFFFFF << 32)
+
+
 class GrayIndex:
     """Codes in Gray order under levels of nodes; a node holds the bits its codes share (mask, pattern)."""
 
@@ -65,109 +74,114 @@ class GrayIndex:
         self.codes = codes
         self.levels = [(codes, np.full(len(codes), ~np.uint64(0)))]
         every, some = codes, codes
-        while len(every) > FANOUT:
+        while len(every) > 1:
             cut = np.arange(0, len(every), FANOUT)
             every, some = np.bitwise_and.reduceat(every, cut), np.bitwise_or.reduceat(some, cut)
             mask = ~(every ^ some)
             self.levels.append((every & mask, mask))
 
-    def search(self, queries: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """Indexes (query, code) of all pairs that differ in at most `most` bits.
+    def search(self, queries: np.ndarray, most: int, most_top: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes (query, code) of all pairs that differ in at most `most` bits, at most `most_top` of them in TOP.
 
         From the top, each node adds the differing bits that it shares and its parent does not to the
-        parent's count; a group whose count exceeds `most` is dropped whole.
+        parent's counts; a group whose count exceeds its limit is dropped whole.
         """
+        most_top = most if most_top is None else most_top
         pattern, mask = self.levels[-1]
         q = np.repeat(np.arange(len(queries)), len(pattern))
         node = np.tile(np.arange(len(pattern)), len(queries))
-        known, count = np.zeros(len(q), np.uint64), np.zeros(len(q), np.uint8)
+        known, count, top = np.zeros(len(q), np.uint64), np.zeros(len(q), np.uint8), np.zeros(len(q), np.uint8)
         for depth in range(len(self.levels) - 1, -1, -1):
             pattern, mask = self.levels[depth]
-            count = count + np.bitwise_count((queries[q] ^ pattern[node]) & mask[node] & ~known)
-            keep = count <= most
-            q, node, count = q[keep], node[keep], count[keep]
+            differ = (queries[q] ^ pattern[node]) & mask[node] & ~known
+            count, top = count + np.bitwise_count(differ), top + np.bitwise_count(differ & TOP)
+            keep = np.flatnonzero((count <= most) & (top <= most_top))
+            q, node = q[keep], node[keep]
             if depth == 0:
-                return q, node
-            known, width = mask[node], len(self.levels[depth - 1][0])
-            child = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-            q, known, count = np.repeat(q, FANOUT), np.repeat(known, FANOUT), np.repeat(count, FANOUT)
-            there = child < width
-            q, node, known, count = q[there], child[there], known[there], count[there]
+                break
+            width = len(self.levels[depth - 1][0])
+            known, count, top = (np.repeat(x, FANOUT) for x in (mask[node], count[keep], top[keep]))
+            q, node = np.repeat(q, FANOUT), (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+            if width % FANOUT:
+                there = node < width
+                q, node, known, count, top = q[there], node[there], known[there], count[there], top[there]
         return q, node
 
 
-def block_edges(tile: np.ndarray, codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (code, smallest-index code of its group) that connect the linked codes inside each tile; tiles are contiguous."""
-    n = len(codes)
-    groups = Groups(n)
-    starts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]) if n else np.zeros(0, int)
-    sizes = np.diff(np.r_[starts, n])
-    small = np.repeat(sizes <= LEAF_ROWS, sizes)
-    for d in range(1, LEAF_ROWS):
-        i = np.flatnonzero((tile[d:] == tile[:-d]) & small[d:])
-        if not len(i):
-            break
-        i = i[np.bitwise_count(codes[i] ^ codes[i + d]) <= most]
-        groups.link(i, i + d)
-    for s, m in zip(starts[sizes > LEAF_ROWS], sizes[sizes > LEAF_ROWS], strict=True):
-        index = GrayIndex(codes[s : s + m])
-        for k in range(0, m, 256):
-            q, hit = index.search(index.codes[k : k + 256], most)
-            groups.link(s + k + q, s + hit)
+def tile_edges(low: np.ndarray, high: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (code, smallest-index code of its group) that connect the linked codes of two Gray-sorted ranges (high may be
+    low), found by searching the one's index for the other's codes."""
+    same = high is low
+    codes, shift = (low, 0) if same else (np.concatenate([low, high]), len(low))
+    groups, index = Groups(len(codes)), GrayIndex(high)
+    for k in range(0, len(low), QUERIES):
+        q, hit = index.search(low[k : k + QUERIES], most, most // 2)
+        groups.link(k + q, shift + hit)
     root = groups.settle()
-    x = np.flatnonzero(root != np.arange(n))
+    x = np.flatnonzero(root != np.arange(len(codes)))
     return codes[x], codes[root[x]]
 
 
-def _bucket_keys(x: Column, n: int, most: int) -> list[Column]:
-    """Keys one of which two codes share if they differ in at most `most` bits.
-
-    Bits are dealt to most + 1 segments (one stays equal) or, for many codes, to most + 2 (two stay equal).
-    """
-    segments, equal = (most + 1, 1) if n < 1 << 21 else (most + 2, 2)
-    cut = [64 * i // segments for i in range(segments + 1)]
-    part = [(((1 << cut[i + 1]) - 1) ^ ((1 << cut[i]) - 1)) for i in range(segments)]
-    masks = part if equal == 1 else [a | b for i, a in enumerate(part) for b in part[i + 1 :]]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    return [F.struct(F.lit(i).cast("short").alias("no"), x.bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(signed)]
+def gray_ranges(codes: DataFrame, scratch: Scratch, n: int) -> DataFrame:
+    """Table (order, range, rank, code) of codes (distinct, column code): for each of two Gray orders, which begin with the
+    one half of the bits or the other, every code with the range of ranks that it lies in; ranges are about equally large."""
+    parts = min(RANGES, numbered(n, RANGE_CODES))
+    out = None
+    for no in (0, 1):
+        own = turned(F.col("code"), no)
+        rows = codes.select(F.lit(no).alias("order"), own.alias("code")).withColumn("rank", gray_rank(F.col("code")).bitwiseXOR(F.lit(-(1 << 63))))
+        rows = scratch.table(rows.repartitionByRange(parts, "rank").withColumn("range", F.spark_partition_id()), "ranges")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def near_edges(codes: DataFrame, most: int, scratch: Scratch, n: int) -> DataFrame:
     """Edges (a, b) that connect all codes (distinct, column code) linked at `most` or fewer differing bits.
 
-    Codes that share a bucket key meet in a bucket, sorted by Gray rank, and are searched through its index.
-    A bucket over TILE_ROWS is cut by hash; every two of its parts meet in a tile of their own, so no task holds
-    more than about TILE_ROWS codes of a bucket at once, and a tile returns at most one edge per code.
+    Codes that differ in at most `most` bits differ in at most most // 2 of one half or the other. So there are two Gray-order
+    indexes, each over all codes, sorted by Gray rank from one half on. The upper level of an index are its ranges, at most
+    RANGES, whose nodes (the bits that all codes of a range share) are a table with that bound. Two ranges whose shared bits already
+    differ too often are pruned whole; the others meet in a tile task, where the codes of the one are searched through
+    the nodes over the other. A tile holds two ranges at most and returns at most one edge per code.
     """
-    rows = codes.select("code", F.explode(F.array(*_bucket_keys(F.col("code"), n, most))).alias("bucket"))
-    hot = scratch.table(rows.groupBy("bucket").count().where(F.col("count") > TILE_ROWS).withColumnRenamed("bucket", "_b"), "hot")
-    rows = rows.join(small_or_shuffled(hot, 32), F.col("bucket") == F.col("_b"), "left").drop("_b")
-    parts = F.ceil(2 * F.coalesce("count", F.lit(1)) / TILE_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("code"), parts).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(parts - 1, F.lit(0)))))
-    tile = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-    rows = rows.select(tile.alias("tile"), gray_rank(F.col("code")).alias("rank"), "code").repartition("tile").sortWithinPartitions("tile", F.shiftrightunsigned("rank", 1), "rank")
+    ranges = gray_ranges(codes, scratch, n)
+    nodes = ranges.groupBy("order", "range").agg(F.bit_and("code").alias("every"), F.bit_or("code").alias("some"))
+    nodes = scratch.table(nodes.select("order", "range", F.col("every").alias("pattern"), F.bitwise_not(F.col("every").bitwiseXOR(F.col("some"))).alias("mask")), "nodes")
+    other = nodes.select("order", F.col("range").alias("high"), F.col("pattern").alias("pattern2"), F.col("mask").alias("mask2"))
+    differ = F.col("pattern").bitwiseXOR(F.col("pattern2")).bitwiseAND(F.col("mask")).bitwiseAND(F.col("mask2"))
+    near = (F.col("range") <= F.col("high")) & (F.bit_count(differ) <= most) & (F.bit_count(F.shiftrightunsigned(differ, 32)) <= most // 2)
+    pairs = nodes.join(other, "order").where(near).select("order", F.col("range").alias("low"), "high")
+    sides = pairs.select("order", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("range"))
+    rows = ranges.join(small_or_shuffled(scratch.table(sides, "sides"), 16), ["order", "range"])
+    tile = (F.col("order").cast("long") * (1 << 40)) + F.col("low").cast("long") * (1 << 20) + F.col("high")
+    rows = rows.select(tile.alias("tile"), (F.col("range") == F.col("low")).alias("first"), "rank", "code")
+    rows = rows.repartition("tile").sortWithinPartitions("tile", F.col("first").desc(), "rank").select("tile", "first", "code")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.uint64)]
-
-        def edges(t: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-            a, b = block_edges(t, c, most)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        held = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint64)]
+
+        def edges(t: np.ndarray, f: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+            cut = np.flatnonzero(np.r_[True, t[1:] != t[:-1], True])
+            for s, e in zip(cut[:-1], cut[1:], strict=True):
+                middle = s + int(f[s:e].sum())
+                low = c[s:middle]
+                a, b = tile_edges(low, low if middle == e else c[middle:e], most)
+                if int(t[s]) >> 40:
+                    a, b = ((x << np.uint64(32)) | (x >> np.uint64(32)) for x in (a, b))
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
-            t = np.concatenate([held[0], batch.column(0).to_numpy()])
-            c = np.concatenate([held[1], batch.column(1).to_numpy().view(np.uint64)])
+            t, f, c = (np.concatenate([h, x]) for h, x in zip(held, (batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy().view(np.uint64)), strict=True))
             if not len(t):
                 continue
             last = np.searchsorted(t, t[-1])  # the last tile may go on in the next batch
-            held = [t[last:], c[last:]]
+            held = [t[last:], f[last:], c[last:]]
             if last:
-                yield edges(t[:last], c[:last])
+                yield from edges(t[:last], f[:last], c[:last])
         if len(held[0]):
-            yield edges(*held)
+            yield from edges(*held)
 
-    return rows.select("tile", "code").mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_classes(rows: DataFrame, most: int, scratch: Scratch, id_col: str = "doc_id") -> DataFrame:

@@ -341,9 +341,9 @@ def groups_by_hand(codes, most):
     return [find(i) for i in range(len(codes))]
 
 
-@pytest.mark.parametrize("tile", [4096, 40])
-def test_simhash(spark, monkeypatch, tile):
-    monkeypatch.setattr(simhash, "TILE_ROWS", tile)
+@pytest.mark.parametrize("width", [4096, 40, 3])
+def test_simhash(spark, monkeypatch, width):
+    monkeypatch.setattr(simhash, "RANGE_CODES", width)
     rows = data.documents()
     codes = [fingerprint_by_hand(r[1]) for r in rows]
     root = groups_by_hand(codes, 4)
@@ -374,6 +374,21 @@ def test_gray_index():
     q, hit = index.search(codes, 4)
     want = {(i, j) for i in range(len(codes)) for j in np.flatnonzero(np.bitwise_count(codes ^ codes[i]) <= 4)}
     assert set(zip(q.tolist(), hit.tolist(), strict=True)) == {(i, int(j)) for i, j in want}
+    q, hit = index.search(codes, 4, 2)
+    top = lambda i, j: int(codes[i] ^ codes[j]) >> 32
+    assert set(zip(q.tolist(), hit.tolist(), strict=True)) == {(i, int(j)) for i, j in want if top(i, j).bit_count() <= 2}
+
+
+def test_every_link_comes_from_the_gray_index(monkeypatch):
+    rng, searched = np.random.default_rng(6), []
+    real = simhash.GrayIndex.search
+    monkeypatch.setattr(simhash.GrayIndex, "search", lambda self, queries, *a: searched.append((len(queries), len(self.codes))) or real(self, queries, *a))
+    codes = np.unique(rng.integers(0, 1 << 63, 700, dtype=np.uint64))
+    codes = np.concatenate([codes, codes[:50] ^ np.uint64(0b1011)])
+    a, b = simhash.tile_edges(codes, codes, 4)
+    assert len(a) == 50 and searched == [(256, 750), (256, 750), (238, 750)]  # every code is a query, every code is in the index
+    c, d = simhash.tile_edges(codes[:700], codes[700:], 4)
+    assert len(c) == 50 and set(zip(c.tolist(), d.tolist(), strict=True)) == set(zip(a.tolist(), b.tolist(), strict=True))
 
 
 def test_held_out(spark):
