@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, small_or_shuffled
 from .suffix_sort import deep_shallow
 
-#: Units of a text that are hashed at a time, and contexts of a gram (then of a longer string) that one task sorts.
-PIECE, MOST_CONTEXTS = 1 << 16, 1_000
+#: Units of a text that are hashed at a time, contexts of a gram (then of a longer string) that one task sorts, anchors or
+#: contexts that a task holds before it sends them on.
+PIECE, MOST_CONTEXTS, FLUSH = 1 << 16, 2_000, 20_000
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -128,11 +129,17 @@ def _index(docs: DataFrame, id_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _tables(PIECE + 4 * max(u.length for u in UNITS))
+
+        def made(ids: pa.Array, size: list, n_words: list, sha: list, ends: list, parts: list, digests: list) -> pa.RecordBatch:
+            u, h, pos, left, right = (pa.array(np.concatenate(x)) for x in zip(*parts, strict=True))
+            values = pa.StructArray.from_arrays([u, h, pa.array(digests, pa.binary()), pos, left, right], fields=list(held.value_type))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            return pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(n_words, pa.int64()), pa.array(sha), lists], [id_col, "n_bytes", "n_words", "sha", "anchors"])
+
         for b in batches:
-            size, n_words, sha, ends, parts, digests = [], [], [], [0], [], []
-            for t in b.column(1):
+            begin, size, n_words, sha, ends, parts, digests = 0, [], [], [], [0], [], []
+            for i, t in enumerate(b.column(1)):
                 data = (t.as_py() or "").encode("utf-8", "surrogatepass")
-                own = 0
                 for unit in UNITS:
                     seq = unit.sequence(data)
                     pos, h = anchors(seq, tables, unit)
@@ -140,15 +147,15 @@ def _index(docs: DataFrame, id_col: str) -> DataFrame:
                     raw, w = (data if unit.width == 1 else seq.tobytes()), unit.width
                     digests += [_digest(raw[a:z], k) for a, z, k in zip((w * (pos - left)).tolist(), (w * (pos + unit.gram + right)).tolist(), left.tolist(), strict=True)]
                     parts.append((np.full(len(pos), unit.no, np.int8), h.view(np.int64), pos.astype(np.int32), left.astype(np.int16), right.astype(np.int16)))
-                    own += len(pos)
                 size.append(len(data))
                 n_words.append(len(seq))
                 sha.append(hashlib.sha256(data).hexdigest())
-                ends.append(ends[-1] + own)
-            u, h, pos, left, right = (pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)) if parts else (pa.array([], f.type) for f in held.value_type if f.name != "c")
-            values = pa.StructArray.from_arrays([u, h, pa.array(digests, pa.binary()), pos, left, right], fields=list(held.value_type))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(n_words, pa.int64()), pa.array(sha), lists], [id_col, "n_bytes", "n_words", "sha", "anchors"])
+                ends.append(len(digests))
+                if len(digests) >= FLUSH:
+                    yield made(b.column(0).slice(begin, i + 1 - begin), size, n_words, sha, ends, parts, digests)
+                    begin, size, n_words, sha, ends, parts, digests = i + 1, [], [], [], [0], [], []
+            if size:
+                yield made(b.column(0).slice(begin), size, n_words, sha, ends, parts, digests)
 
     schema = f"`{id_col}` {kind}, n_bytes long, n_words long, sha string, anchors array<struct<u:tinyint,h:long,c:binary,pos:int,left:smallint,right:smallint>>"
     return docs.select(id_col, "text").mapInArrow(run, schema)
@@ -217,25 +224,29 @@ CONTEXT = "u tinyint, h long, gram binary, row long, mate long, pos int, single
 def _contexts(texts: DataFrame) -> DataFrame:
     """A row per anchor asked for in texts (row, text, at): gram digest, what precedes (units reversed) and follows.
 
-    single: its context occurs once (for words: in one text, which is its mate; else the mate is -1).
+    single: whether what repeats around it is asked for. The mate is the row of a context that no other row has, else -1.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int8(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+        names = ["u", "h", "gram", "row", "mate", "pos", "single", "left", "right"]
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         for b in batches:
-            out: list[list] = [[] for _ in kinds]
-            for row, t, at in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                data = t.as_py().encode("utf-8", "surrogatepass")
-                asked = [[x for x in at or () if x["u"] == unit.no] for unit in UNITS]
-                for unit, own in zip(UNITS, asked, strict=True):
+            out: list[tuple] = []
+            for row, t, at in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                data, asked = t.as_py().encode("utf-8", "surrogatepass"), at.as_py()
+                for unit in UNITS:
+                    own = [x for x in asked if x["u"] == unit.no]
                     seq = unit.sequence(data) if own else None
                     for x in own:
                         p, end = x["pos"], x["pos"] + unit.gram
                         gram = hashlib.blake2b(seq[p:end].tobytes(), digest_size=16).digest()
-                        row_ = (unit.no, x["h"], gram, row, row if x["single"] else -1, p, x["single"], seq[max(0, p - unit.reach) : p][::-1].tobytes(), seq[end : p + unit.length].tobytes())
-                        for k, v in enumerate(row_):
-                            out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["u", "h", "gram", "row", "mate", "pos", "single", "left", "right"])
+                        out.append((unit.no, x["h"], gram, row, row if x["alone"] else -1, p, x["single"], seq[max(0, p - unit.reach) : p][::-1].tobytes(), seq[end : p + unit.length].tobytes()))
+                        if len(out) >= FLUSH:
+                            yield made(out)
+                            out = []
+            if out:
+                yield made(out)
 
     return texts.select("row", "text", "at").mapInArrow(run, CONTEXT)
 
@@ -360,12 +371,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", scratch: Scratch | N
     again = F.when(F.col("u") == BYTES.no, F.col("n") > 1).otherwise(F.col("rep.row") < F.col("last"))
     classes = scratch.table(classes.select("u", "h", "c", "rep", again.alias("again")), "classes")
     full = held.join(classes.where("again").select("u", "h", "c"), ["u", "h", "c"])
-    full = scratch.table(full.select("u", "row", (F.col("pos") - F.col("left")).cast("long").alias("start"), (F.col("pos") + _by_unit(lambda u: u.gram) + F.col("right")).cast("long").alias("end")), "full")
-    spans = full.where(F.col("u") == BYTES.no).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # bounded by the text's own length
-    grams = classes.groupBy("h").agg(F.count("*").alias("contexts"), F.count_if(~F.col("again")).alias("singles")).where("contexts > 1 and singles > 0")
-    grams = scratch.table(grams.select("h", "contexts"), "grams")
-    asked = classes.join(grams.select("h"), "h").select(F.col("rep.row").alias("row"), F.struct("u", "h", F.col("rep.pos").alias("pos"), (~F.col("again")).alias("single")).alias("at"))
+    full = full.select("u", "row", (F.col("pos") - F.col("left")).cast("long").alias("start"), (F.col("pos") + _by_unit(lambda u: u.gram) + F.col("right")).cast("long").alias("end"))
+    own = F.when(F.col("u") == BYTES.no, F.struct("start", "end"))
+    full = full.groupBy("row").agg(F.collect_list(own).alias("spans"), F.max(F.col("u") == WORDS.no).alias("flag"))  # bounded by the text's own length
+    full = scratch.table(full, "full")
+    flagged = scratch.table(full.where("flag").select(F.col("row").alias("_flagged")), "flagged")
+    classes = classes.join(small_or_shuffled(flagged, 16), F.col("rep.row") == F.col("_flagged"), "left")
+    single = ~F.col("again") & ((F.col("u") == BYTES.no) | F.col("_flagged").isNull())
+    classes = scratch.table(classes.select("u", "h", "rep", "again", single.alias("single")), "asked")
+    grams = classes.groupBy("h").agg(F.count("*").alias("contexts"), F.count_if("single").alias("singles")).where("contexts > 1 and singles > 0")
+    grams = scratch.table(grams.select("h", (F.col("contexts") > MOST_CONTEXTS).alias("hot")), "grams")
+    asked = classes.join(grams, "h").select(F.col("rep.row").alias("row"), F.struct("u", "h", F.col("rep.pos").alias("pos"), "single", (~F.col("again")).alias("alone"), "hot").alias("at"))
     asked = asked.groupBy("row").agg(F.collect_list("at").alias("at"))
+    spans = full.where(F.size("spans") > 0).select("row", "spans")
 
     wanted = asked.join(spans, "row", "full_outer").join(ones.select("row", "sha", F.col(id_col).alias("_id")), "row")
     wanted = wanted.select("row", F.col("sha").alias("_sha"), "_id", "at", F.col("spans").alias("spans"))
@@ -374,23 +392,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", scratch: Scratch | N
     texts = some.join(small_or_shuffled(scratch.table(wanted, "wanted"), 512), (F.col("sha") == F.col("_sha")) & F.col(id_col).eqNullSafe(F.col("_id")))
     texts = scratch.table(texts.select("row", "text", "at", "spans"), "texts")
 
-    contexts = _contexts(texts.where("at is not null"))
-    hot = scratch.table(grams.where(F.col("contexts") > MOST_CONTEXTS).select("h"), "hot")
-    n_hot = hot.count()
-    if n_hot:
-        contexts = scratch.table(contexts, "contexts")
-        apart = F.broadcast(hot) if n_hot <= 10_000 else hot
-        settled = _settle_hot(contexts.join(apart, "h", "left_semi"), scratch)
-        contexts = contexts.join(apart, "h", "left_anti")
-    found = _sorted(contexts.withColumn("k", F.col("h")))
-    found = scratch.table(found if not n_hot else found.unionByName(settled), "found")
+    part = lambda hot: _contexts(texts.withColumn("at", F.filter("at", lambda x: x["hot"] == F.lit(hot))).where(F.size("at") > 0))
+    found = _sorted(part(False).withColumn("k", F.col("h")))
+    if grams.where("hot").limit(1).count():
+        found = found.unionByName(_settle_hot(scratch.table(part(True), "contexts"), scratch))
+    found = scratch.table(found, "found")
     more = found.where(F.col("u") == BYTES.no).distinct().groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("more"))
     none = F.array().cast("array<struct<start:long,end:long>>")
     spans = F.concat(F.coalesce("spans", none), F.coalesce("more", none))
     cut = texts.select("row", "text", "spans").join(more, "row", "left").select("row", "text", spans.alias("spans")).where(F.size("spans") > 0)
     cut = cut.mapInArrow(_cut, "row long, removed array<struct<start:long,end:long>>, kept_sha256 string").dropDuplicates(["row"])
     cut = scratch.table(cut.withColumnRenamed("row", "_row"), "cut")
-    flags = scratch.table(full.unionByName(found).where(F.col("u") == WORDS.no).select(F.col("row").alias("_flag")).distinct(), "flags")
+    flags = flagged.select(F.col("_flagged").alias("_flag")).unionByName(found.where(F.col("u") == WORDS.no).select(F.col("row").alias("_flag"))).distinct()
+    flags = scratch.table(flags, "flags")
 
     out = rows.drop("anchors").join(small_or_shuffled(copies.select(F.col("sha").alias("_sha")), 128), F.col("sha") == F.col("_sha"), "left")
     out = out.join(cut, F.col("row") == F.col("_row"), "left").join(small_or_shuffled(flags, 16), F.col("row") == F.col("_flag"), "left")
