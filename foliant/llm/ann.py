@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, numbered
-from .vectors import cosines, matrix, norms, usable
+from .common import Scratch, numbered, small_or_shuffled
+from .vectors import cosines, norms, usable
 
-#: Queries and candidates of a tile.
-QUERY_ROWS, CANDIDATE_ROWS = 1024, 4096
+#: Queries and candidates of a tile, queries whose heaps a task holds at once.
+QUERY_ROWS, CANDIDATE_ROWS, OPEN_HEAPS = 4096, 16_384, 50_000
 
 
 def quantise(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -35,10 +40,31 @@ def cosine_bounds(q: tuple, c: tuple) -> tuple[np.ndarray, np.ndarray]:
     return product - slack, product + slack
 
 
-def tile_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest candidates of a tile for each query: (query_id, vec_id, score), ties to the smaller id."""
-    nq, nc, qq, cq = norms(q), norms(c), quantise(q), quantise(c)
-    out = []
+def code_rows(rows: DataFrame) -> DataFrame:
+    """(uid, vec_id, dim, code, scale, rest) of rows (uid, vec_id, embedding): what tiles get in place of the vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vectors = b.column(2).to_pylist()
+            dims = np.array([len(v) for v in vectors], np.int64)
+            codes, scales, rests = [b""] * len(dims), np.zeros(len(dims)), np.zeros(len(dims))
+            for d in np.unique(dims):
+                at = np.flatnonzero(dims == d)
+                code, scales[at], rests[at] = quantise(np.array([vectors[i] for i in at], np.float64))
+                for i, c in zip(at, code, strict=True):
+                    codes[i] = c.tobytes()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(dims.astype(np.int32)), pa.array(codes, pa.binary()), pa.array(scales), pa.array(rests)], ["uid", "vec_id", "dim", "code", "scale", "rest"])
+
+    return rows.select("uid", "vec_id", "embedding").mapInArrow(run, "uid long, vec_id long, dim int, code binary, scale double, rest double")
+
+
+def tile_survivors(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
+    """(q, c, low, high) of a tile: pairs of uids whose upper bound reaches the query's k-th largest lower bound in the tile."""
+    if not len(q) or not len(c):
+        return pd.DataFrame({"q": [], "c": [], "low": [], "high": []})
+    block = lambda d: (np.frombuffer(b"".join(d["code"]), np.int8).reshape(len(d), -1), d["scale"].to_numpy(), d["rest"].to_numpy())
+    qq, cq, out = block(q), block(c), []
+    q_uid, c_uid, q_ids, c_ids = q["uid"].to_numpy(), c["uid"].to_numpy(), q["vec_id"].to_numpy(), c["vec_id"].to_numpy()
     for s in range(0, len(q), 128):
         part = slice(s, s + 128)
         low, high = cosine_bounds(tuple(x[part] for x in qq), cq)
@@ -46,42 +72,91 @@ def tile_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
         low[own], high[own] = -np.inf, -np.inf
         kth = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
         i, j = np.nonzero((high >= kth[:, None]) & ~own)
-        score = cosines(q[part], c, i, j, nq[part], nc)
-        order = np.lexsort((c_ids[j], -score, i))
-        i, j, score = i[order], j[order], score[order]
-        rank = np.arange(len(i)) - np.searchsorted(i, i)
-        top = rank < k
-        out.append(pd.DataFrame({"query_id": q_ids[part][i[top]], "vec_id": c_ids[j[top]], "score": score[top]}))
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        out.append(pd.DataFrame({"q": q_uid[part][i], "c": c_uid[j], "low": low[i, j], "high": high[i, j]}))
+    return pd.concat(out, ignore_index=True)
+
+
+class Heaps:
+    """The k best (score, then smaller id) per query."""
+
+    def __init__(self, k: int):
+        self.k, self.held = k, {}
+
+    def add(self, query: int, vec: int, score: float) -> None:
+        heap = self.held.setdefault(query, [])
+        if len(heap) < self.k:
+            heapq.heappush(heap, (score, -vec))
+        else:
+            heapq.heappushpop(heap, (score, -vec))
+
+    def flush(self) -> pa.RecordBatch:
+        """What the heaps hold, each query's best first; they are empty afterwards."""
+        rows = [(q, rank, -v, s) for q, heap in self.held.items() for rank, (s, v) in enumerate(sorted(heap, reverse=True), 1)]
+        self.held = {}
+        columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.float64()), strict=True)], ["query_id", "rank", "vec_id", "score"])
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, k: int = 5, scratch: Scratch | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k candidates of largest cosine, but for its own id.
 
     Both tables are (vec_id, embedding). Vectors that are null, zero or hold null or non-finite components, and null
-    ids, take no part; vectors meet only those of their length. Queries and candidates are dealt to blocks; every query
-    block meets every candidate block in one tile task, which sends on k rows per query. These merge in two steps: by
-    groups of tiles, then over all. A repeated query id is answered per row as one query; repeated candidates each count.
+    ids, take no part; vectors meet only those of their length. Of equal candidate vectors only those with the k + 1 smallest ids
+    can be among a query's k nearest, so no more go on, however many copies there are.
+
+    Queries and candidates are dealt to blocks as int8 codes; every query block meets every candidate block in one tile
+    task, which returns the pairs that its bounds cannot rule out. Those that all tiles' bounds together cannot rule out get their
+    vectors by a join, are recomputed in double precision and go into heaps of k per query, first per partition, then
+    per query. A repeated query id is answered as one query; repeated candidates each count.
     """
     scratch = scratch or Scratch(queries.sparkSession)
-    good = lambda d: d.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long"), "embedding", F.size("embedding").alias("dim"))
-    q, c = good(queries).dropDuplicates(["vec_id", "embedding"]), good(candidates)
-    nq, nc = numbered(q.count(), QUERY_ROWS), numbered(c.count(), CANDIDATE_ROWS)
-    deal = lambda d, n: d.withColumn("own", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n)).cast("int"))
-    q = deal(q, nq).select("dim", F.col("own").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("cb"), "vec_id", "embedding")
-    c = deal(c, nc).select("dim", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), F.col("own").alias("cb"), "vec_id", "embedding")
-
-    def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "part": []})
-        found = tile_top(left["vec_id"].to_numpy(), matrix(left["embedding"]), right["vec_id"].to_numpy(), matrix(right["embedding"]), k)
-        return found.assign(part=int(right["cb"].iloc[0]) // 64)
-
+    good = lambda d: d.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    q = good(queries).dropDuplicates(["vec_id", "embedding"])
+    c = good(candidates).withColumn("_id", F.row_number().over(Window.partitionBy("embedding", "vec_id").orderBy("vec_id"))).where(F.col("_id") <= k)
+    c = c.withColumn("_copy", F.dense_rank().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("_copy") <= k + 1).drop("_id", "_copy")
+    q, c = (scratch.table(d.withColumn("uid", F.monotonically_increasing_id()), "vectors") for d in (q, c))
+    qs, cs = (scratch.table(code_rows(d), "codes") for d in (q, c))
+    n_queries = qs.count()
+    nq, nc = numbered(n_queries, QUERY_ROWS), numbered(cs.count(), CANDIDATE_ROWS)
+    own = lambda n: F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int")
+    left = qs.withColumn("qb", own(nq)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
+    right = cs.withColumn("cb", own(nc)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
     keys = ("dim", "qb", "cb")
-    found = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(tile, "query_id long, vec_id long, score double, part int")
-    best = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy(F.col("score").desc(), "vec_id"))
-    found = found.withColumn("rank", best(["query_id", "part"])).where(F.col("rank") <= k)
-    return found.withColumn("rank", best(["query_id"])).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: tile_survivors(a, b, k), "q long, c long, low double, high double")
+    found = scratch.table(found, "survivors")
+    kth = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.col("low").desc(), "c"))).where(F.col("n") <= k)
+    kth = kth.where(F.col("n") == k).select(F.col("q").alias("_q"), F.col("low").alias("least"))
+    found = found.join(kth, F.col("q") == F.col("_q"), "left").where("least is null or high >= least").select("q", "c")
+    pairs = found.join(c.select(F.col("uid").alias("c"), "vec_id", F.col("embedding").alias("v")), "c")
+    wide = q.select(F.col("uid").alias("q"), F.col("vec_id").alias("query_id"), "embedding")
+    pairs = pairs.join(small_or_shuffled(wide, 4096) if n_queries else wide, "q").select("query_id", "embedding", "vec_id", "v")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heaps = Heaps(k)
+        for b in batches:
+            dims = np.array(pc.list_value_length(b.column(1)))
+            for d in np.unique(dims):
+                part = b.take(pa.array(np.flatnonzero(dims == d)))
+                x, y = (part.column(i).flatten().to_numpy().astype(np.float64).reshape(-1, d) for i in (1, 3))
+                every = np.arange(len(x))
+                for row in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), cosines(x, y, every, every, norms(x), norms(y)).tolist(), strict=True):
+                    heaps.add(*row)
+            if len(heaps.held) > OPEN_HEAPS:
+                yield heaps.flush()
+        yield heaps.flush()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heaps, last = Heaps(k), None
+        for b in batches:
+            for row in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if row[0] != last and len(heaps.held) > OPEN_HEAPS:
+                    yield heaps.flush()
+                last = row[0]
+                heaps.add(*row)
+        yield heaps.flush()
+
+    schema = "query_id long, rank int, vec_id long, score double"
+    return pairs.mapInArrow(exact, schema).repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, schema)
 
 
 def op3_ann(spark, sf_dir: str) -> DataFrame:

@@ -32,6 +32,10 @@ def cosine(a, b):
     return float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)))
 
 
+def usable_by_hand(v):
+    return bool(good(v))
+
+
 def test_nearest(spark, monkeypatch):
     monkeypatch.setattr(ann, "CANDIDATE_ROWS", 50)
     rows = [r for r in vectors() if r[0] is not None][:-1]
@@ -54,6 +58,14 @@ def test_ties_go_to_smaller_ids(spark):
     df = spark.createDataFrame([r for r in vectors() if r[0] is not None], VEC)
     got = ann.nearest(df.where("vec_id = 320"), df, 5).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [7, 300, 301, 302, 303]
+    got = ann.nearest(df.where("vec_id = 300"), df.unionByName(df.where("vec_id in (300, 301)")), 5).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [7, 301, 301, 302, 303]  # repeated candidates each count
+
+
+def test_tiles_get_codes_only(spark):
+    df = spark.createDataFrame([r for r in vectors(dim=64) if r[0] is not None and usable_by_hand(r[1])], VEC).withColumn("uid", F.monotonically_increasing_id())
+    rows = ann.code_rows(df).collect()
+    assert all(len(r["code"]) == r["dim"] for r in rows) and "embedding" not in rows[0]
 
 
 def test_cosine_bounds():
