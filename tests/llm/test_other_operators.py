@@ -110,20 +110,35 @@ def test_near_vectors(spark, monkeypatch, block):
     assert near_vectors.near_vectors(spark.createDataFrame([], VEC)).count() == 0
 
 
-def test_code_estimates():
+@pytest.mark.parametrize("confidence", [None, 3.0, 0.5])
+def test_code_estimates(confidence):
     rng = np.random.default_rng(4)
     a = rng.standard_normal((300, 64))
     b = np.concatenate([a[:100] + 0.2 * rng.standard_normal((100, 64)), rng.standard_normal((200, 64))])
-    codes = near_vectors.Codes.of(b)
-    guess, error, upper = near_vectors.estimate(near_vectors.Codes.of(a).rotated, codes)
+    codes, queries = near_vectors.Codes.of(b), near_vectors.Codes.of(a)
+    guess, error, upper = near_vectors.estimate(queries, codes)
     exact = np.array([[cosine(x, y) for y in b] for x in a])
     assert (upper >= exact).all()
     assert abs((guess - exact).mean()) < 0.005 and (np.abs(guess - exact) <= 4 * error).mean() > 0.999
-    assert near_vectors.survivors(near_vectors.Codes.of(a).rotated, codes, 0.93, None).mean() < 0.05
+    near = near_vectors.survivors(queries, codes, 0.93, confidence)
+    assert near.mean() < 0.05
+    assert near[exact >= 0.93].mean() >= (1.0 if confidence is None or confidence > 1 else 0.9)  # recall against brute force
     r = near_vectors.rotation(32)
     assert np.allclose(r @ r.T, np.eye(32))
 
 
+def test_recall_with_noisy_copies(spark):
+    rng = np.random.default_rng(8)
+    rows = [r["embedding"] for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect() if good(r["embedding"])]
+    a = np.array(rows, float)
+    a = np.concatenate([a, *(a + s * np.linalg.norm(a, axis=1)[:, None] * rng.standard_normal(a.shape) / 8 for s in (0.2, 0.3, 0.38))])
+    unit = a / np.linalg.norm(a, axis=1)[:, None]
+    want = unit @ unit.T >= 0.93
+    codes = near_vectors.Codes.of(a)
+    near = near_vectors.survivors(codes, codes, 0.93, near_vectors.CONFIDENCE)
+    assert want.sum() > 2 * len(a) and near[want].mean() >= 0.9999 and near.mean() < 0.02
+
+
 def test_usable(spark):
     df = spark.createDataFrame(vectors(), VEC)
     assert [r["u"] for r in df.select("vec_id", usable(F.col("embedding")).alias("u")).collect()] == [bool(good(r[1])) for r in vectors()]
