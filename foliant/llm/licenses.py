@@ -29,6 +29,17 @@ TEMPLATES = (
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit"),
+    ("you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache-2.0"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "apache-2.0"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "isc"),
+    ("under the terms of the gnu lesser general public license as published by the free software foundation", "lgpl"),
+    ("under the terms of the gnu affero general public license as published by the free software foundation", "agpl"),
+    ("this work is licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa-4.0"),
+    ("the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", "cc0-1.0"),
+    ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "bsl-1.0"),
+    ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "zlib"),
 )
 
 
@@ -149,3 +160,31 @@ def op6_licenses(spark, sf_dir: str) -> DataFrame:
         F.array_join(F.array_sort(every), ",").alias("labels"),
         F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"),
     )
+
+
+def _oracle_sql() -> str:
+    """The same rows by plain SQL: every block of every text against every template."""
+    own = [Template.of(i, t, label, CONTAINMENT) for i, (t, label) in enumerate(TEMPLATES)]
+    width, step = block_size(own)
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    place = lambda p, label: f"select doc_id, i - 1 as start, '{label}' as label from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from n where text like '%{p.split()[0]}%') where " + " and ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split()))
+    word = "'" + NOT_WORD.replace("[", "[^") + "'"
+    return f"""
+with d as (select doc_id, lower(coalesce(text, '')) as text from documents),
+n as (select doc_id, text, regexp_extract_all(text, {word}) as w from d),
+b as ({' union all '.join(place(p, label) for p, label in PHRASES)}),
+base as (select doc_id, count(*) as n_base, min(start) as first_word, max(start) as last_word, string_agg(distinct label, ',' order by label) as base_labels, list(distinct label) as own from b group by doc_id),
+l as (select doc_id, w from n union all select doc_id, regexp_extract_all(unnest(regexp_split_to_array(text, '[\r\n]+')), {word}) as w from d),
+t(words, least, size, label) as (values {', '.join(f"({listed(t.words)}, {t.least}, {len(t.words)}, '{t.label}')" for t in own)}),
+k as (select distinct doc_id, list_sort(list_distinct(list_filter(w[i : i + {width - 1}], lambda x: list_contains({listed(sorted({w for t in own for w in t.words}))}, x)))) as words
+  from (select doc_id, w, unnest(range(1, greatest(1, len(w) - {width - step}) + 1, {step})) as i from l)),
+h as (select doc_id, label, max(len(list_intersect(k.words, t.words)) / t.size) as share from k join t on len(k.words) >= t.least and len(list_intersect(k.words, t.words)) >= t.least group by doc_id, label),
+hits as (select doc_id, list(label) as found, max(share) as share from h group by doc_id)
+select n.doc_id, cast(len(n.w) as bigint) as n_words, coalesce(n_base, 0) as n_base, cast(first_word as bigint) as first_word, cast(last_word as bigint) as last_word, coalesce(base_labels, '') as base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(found, [])))), ','), '') as labels,
+  case when n_base > 0 then 1.0 else coalesce(share, 0.0) end::double as score
+from n left join base using (doc_id) left join hits using (doc_id)
+"""
+
+
+ORACLE_SQL = _oracle_sql()

@@ -20,6 +20,7 @@ ORACLES = {
     "op1_mix": mixing.ORACLE_SQL,
     "op2_secrets": secret_scan.ORACLE_SQL,
     "op3_ann": ann.ORACLE_SQL,
+    "op6_licenses": licenses.ORACLE_SQL,
     "op7_near_vectors": near_vectors.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
 }

@@ -83,12 +83,14 @@ def fit_weights(rows: list[np.ndarray], values: list[np.ndarray], labels: np.nda
     return w * ratios, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None, features: int | None = FIT_FEATURES) -> Model:
     """Fit on docs (doc_id, text) whose doc_id labels (doc_id, toxic) marks 0 or 1.
 
     At most FIT_ROWS labelled ids are used; the list of their ids and labels has that proven bound, so it is
     broadcast and no text is shuffled. Counts behind the log-count ratios run over all texts of that sample in the
-    executors; the FIT_FEATURES features whose shares in the classes differ most, in standard deviations, go into the linear fit. Ids labelled twice count by their largest label. Without both classes all scores are the base rate.
+    executors. The `features` n-grams whose shares in the classes differ most, in standard deviations, go into the linear
+    fit (None: all that occur; the driver then holds every n-gram of the sample). Ids labelled twice count by their
+    largest label. Without both classes all scores are the base rate.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     own = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
@@ -117,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> M
     ratios = log_count_ratios(toxic, clean, n_toxic, n_clean)
     share = (toxic + clean + 1) / (n_clean + n_toxic + 2)
     evidence = np.abs(toxic / n_toxic - clean / n_clean) / np.sqrt(share * (1 - share))
-    kept = np.sort(np.argsort(-evidence, kind="stable")[:FIT_FEATURES])
+    kept = np.sort(np.argsort(-evidence, kind="stable")[:features] if features else np.flatnonzero(toxic + clean))
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -126,11 +128,11 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> M
             for t in b.column(0):
                 own, values = hasher.features(t.as_py())
                 _, i, j = np.intersect1d(kept, own, assume_unique=True, return_indices=True)
-                found.append((i.astype(np.int16).tobytes(), values[j].astype(np.float32).tobytes()))
+                found.append((i.astype(np.int32).tobytes(), values[j].astype(np.float32).tobytes()))
             yield pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)), b.column(1)], ["held", "value", "toxic"])
 
     sparse = rows.mapInArrow(reduce, "held binary, value binary, toxic int").orderBy(F.xxhash64("held", "value"), "toxic").limit(FIT_ROWS).toPandas()
-    held = [np.frombuffer(x, np.int16) for x in sparse.held]
+    held = [np.frombuffer(x, np.int32) for x in sparse.held]
     weights, bias = fit_weights(held, [np.frombuffer(x, np.float32) for x in sparse.value], sparse.toxic.to_numpy(float), ratios[kept])
     full = np.zeros(1 << BITS)
     full[kept] = weights

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -315,6 +316,50 @@ def test_toxicity(spark, sf_dir):
     assert none.bias == 0 and toxicity.score(data.empty(spark), none).count() == 0
 
 
+def grams_by_hand(text):
+    """Counts of the hashed character n-grams of a text, one n-gram after the other."""
+    chars = [ord(c) for c in f" {' '.join((text or '').lower().split())} "]
+    out, mask = Counter(), (1 << 32) - 1
+    for n in (3, 4, 5, 6):
+        for i in range(len(chars) - n + 1):
+            h = chars[i] * 0x9E3779B1 & mask
+            for c in chars[i + 1 : i + n]:
+                h = (h * 0x01000193 & mask) ^ (c * 0x85EBCA6B & mask)
+            out[((h ^ (h >> 15)) * 0x2C1B3C6D & mask) >> 14] += 1
+    return out
+
+
+@pytest.mark.parametrize("features", [None, 60])
+def test_toxicity_by_hand(spark, features):
+    rng = __import__("random").Random(2)
+    docs = [(i, ("vile " if i % 3 == 0 else "kind ") + " ".join(rng.choice(["sun", "Moon", "étoile", "vi", "\t", "日本"]) for _ in range(rng.randint(0, 12)))) for i in range(24)] + [(90, None), (91, "")]
+    labels = [(i, int(i % 3 == 0)) for i in range(18)] + [(3, 0), (None, 1), (5, None), (90, 0), (77, 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    model = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"), features=features)
+    y = {i: max(t for j, t in labels if j == i and t is not None) for i in {j for j, t in labels if j is not None and t is not None}}
+    rows = [(grams_by_hand(t), y[i]) for i, t in docs if i in y]
+    held = {k: Counter(g for own, t in rows if t == k for g in own) for k in (0, 1)}
+    n = Counter(t for _, t in rows)
+    ratio = {g: math.log((held[1][g] + 1) / (n[1] + 2)) - math.log((held[0][g] + 1) / (n[0] + 2)) for g in held[0] | held[1]}
+    share = {g: (held[0][g] + held[1][g] + 1) / (len(rows) + 2) for g in ratio}
+    order = sorted(ratio, key=lambda g: (-round(abs(held[1][g] / n[1] - held[0][g] / n[0]) / math.sqrt(share[g] * (1 - share[g])), 12), g))
+    kept = order[:features] if features else order
+    x = np.array([[ratio[g] * math.log1p(own[g]) for g in kept] for own, _ in rows])
+    t = np.array([t for _, t in rows], float)
+    w, b, vw, vb, rate = np.zeros(len(kept)), 0.0, np.zeros(len(kept)), 0.0, 4 / ((x**2).sum(1).mean() + 1)
+    for k in range(200):
+        lw, lb = w + k / (k + 3) * vw, b + k / (k + 3) * vb
+        p = 1 / (1 + np.exp(-(x @ lw + lb)))
+        nw, nb = lw - rate * (x.T @ (p - t) / len(t) + 1e-4 * lw), lb - rate * (p - t).mean()
+        vw, vb, w, b = nw - w, nb - b, nw, nb
+    weight = dict(zip(kept, w, strict=True))
+    for r in toxicity.score(df, model).collect():
+        own = grams_by_hand(r["text"])
+        want = 1 / (1 + math.exp(-sum(weight.get(g, 0) * ratio[g] * math.log1p(c) for g, c in own.items() if g in ratio) - b))
+        assert r["score"] == pytest.approx(want, abs=2e-4)
+        assert (r["score"] >= 0.3) == (want >= 0.3)
+
+
 # 10 SimHash
 
 
