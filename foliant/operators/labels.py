@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +18,10 @@ BUCKETS = (
     ("number", ("how many", "number of", "count", "quantity")),
     ("person/name", ("who", "name", "person", "author", "signed")),
 )
+#: Whole words of the report's later buckets.
+ORGANIZATION = r"\b(company|organization|institution|university|school|bank|agency|department)\b"
+ADDRESS = r"\b(address|location|city|state|country|zip|postal|street|road|avenue|suite)\b"
+ID_CODE = r"\b(id|invoice|account|order|reference|ref\.|code|tracking|policy|serial)\b"
 
 
 def failure_kind(prediction: Column) -> Column:
@@ -61,9 +65,9 @@ def question_bucket(question: Column) -> Column:
     for name, words in BUCKETS:
         out = out.when(T.any_of(q, words), name)
     return (
-        out.when(F.rlike(q, F.lit(r"\b(company|organization|organisation|institute|university|department|agency)\b")), "organization")
-        .when(F.rlike(q, F.lit(r"\b(address|location|city|state|country|street)\b")) | F.contains(q, F.lit("where")), "address/location")
-        .when(F.rlike(q, F.lit(r"\b(id|code|no|number|serial)\b")), "id/code")
+        out.when(F.rlike(q, F.lit(ORGANIZATION)), "organization")
+        .when(F.rlike(q, F.lit(ADDRESS)) | F.contains(q, F.lit("where")), "address/location")
+        .when(F.rlike(q, F.lit(ID_CODE)), "id/code")
         .otherwise("phrase/other")
     )
 
@@ -83,6 +87,54 @@ def grounding_text(c: Column, how: str) -> Column:
     return F.trim(F.regexp_replace(t, "[^0-9]+", " "))
 
 
+def taxonomy(readers: dict[str, tuple[Column, Column, Column, Column]], chosen: Column, shortest: Column, golds: Column, default: str = "resize") -> Column:
+    """Labels of a routed answer, the primary first, a secondary one if there is any.
+
+    readers: per name its prediction, ANLS, exact match and whether OCR holds the prediction; chosen and shortest name the readers
+    that the router and the shortest rule took. Failures F1 to F8 are tested first, in order, then successes in the
+    order S3, S4, S2, S1, S5, S6; what matches none is S6 if it is right, else F8.
+    """
+    names = list(readers)
+
+    def by(which: Column, k: int, of: Callable[[Column], Column] = lambda c: c) -> Column:
+        out = F
+        for n in names[:-1]:
+            out = out.when(which == n, of(readers[n][k]))
+        return out.otherwise(of(readers[names[-1]][k]))
+
+    preds = {n: T.normalize_match(readers[n][0]) for n in names}
+    anls, em, here, short_anls = by(chosen, 1), by(chosen, 2), by(chosen, 3), by(shortest, 1)
+    size = F.length(by(chosen, 0, T.normalize_match))
+    scores = [readers[n][1] for n in names]
+    best = F.greatest(*scores)
+    right = F.array_compact(F.array(*[F.when(readers[n][1] >= 0.999, preds[n]) for n in names]))
+    gold = F.array_distinct(F.transform(F.filter(golds, lambda t: F.coalesce(t, F.lit("")) != ""), T.normalize_match))
+    base_anls, base_em, base_here = readers[default][1:]
+    ok = anls >= 0.999
+    failures = [
+        ("F1", (best <= 1e-9) & (anls <= 1e-9)),
+        ("F2", ok & ~here),
+        ("F3", (anls <= 1e-9) & here & (shortest == chosen) & (best >= 0.999)),
+        ("F4", (F.size(right) >= 2) & (F.size(F.array_distinct(right)) >= 2)),
+        ("F5", (anls >= 0.9) & (em <= 1e-9) & here),
+        ("F6", (anls >= 0.5) & ~ok & ~here),
+        ("F7", (anls >= 0.2) & (anls < 0.9) & here & F.exists(gold, lambda t: F.length(t) > size)),
+        ("F8", (F.size(gold) > 1) & ~ok),
+    ]
+    others = [readers[n][1] for n in names if n != default]
+    wins = [
+        ("S3", ok & (chosen != default) & (base_anls < 0.999)),
+        ("S4", ok & (chosen == default) & (shortest != default) & (F.least(*others) < 0.999)),
+        ("S2", ok & (base_anls < 0.999) & ~base_here),
+        ("S1", ok & (base_anls < 0.999) & (size < F.length(preds[default]))),
+        ("S5", ok & (base_anls >= 0.9) & (base_em <= 1e-9) & (em >= 0.999)),
+        ("S6", ok & (chosen != shortest) & (short_anls < 0.999)),
+    ]
+    found = lambda rules: F.array_compact(F.array(*[F.when(test, name) for name, test in rules]))
+    failed, won = found(failures), found(wins)
+    return F.when(F.size(failed) > 0, failed).when(F.size(won) > 0, won).when(ok, F.array(F.lit("S6"))).otherwise(F.array(F.lit("F8")))
+
+
 def without_groups(columns: Sequence[str], drop: Sequence[str], keys: Sequence[str] = ()) -> list[str]:
     """Columns whose name holds none of the tokens; keys stay."""
     return [c for c in columns if c in keys or not any(t in c for t in drop)]

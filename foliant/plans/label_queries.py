@@ -55,8 +55,8 @@ def miss_patterns(spark, d):
     return m.select("question_id", L.miss_pattern(F.col("ra"), F.col("rb"), F.col("prox"), F.col("ov"), F.col("prox"), same).alias("pattern"))
 
 
-_BUCKET = "case " + " ".join(f"when {_any('lq', ws)} then '{k}'" for k, ws in L.BUCKETS) + r""" when regexp_matches(lq, '\b(company|organization|organisation|institute|university|department|agency)\b') then 'organization'
-  when regexp_matches(lq, '\b(address|location|city|state|country|street)\b') or contains(lq, 'where') then 'address/location' when regexp_matches(lq, '\b(id|code|no|number|serial)\b') then 'id/code' else 'phrase/other' end"""
+_BUCKET = "case " + " ".join(f"when {_any('lq', ws)} then '{k}'" for k, ws in L.BUCKETS) + f""" when regexp_matches(lq, '{L.ORGANIZATION}') then 'organization'
+  when regexp_matches(lq, '{L.ADDRESS}') or contains(lq, 'where') then 'address/location' when regexp_matches(lq, '{L.ID_CODE}') then 'id/code' else 'phrase/other' end"""
 
 
 @query("q84_answer_type_report", f"""

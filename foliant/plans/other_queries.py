@@ -39,11 +39,10 @@ def audit(spark, d):
 
 
 @query("q65c_annotations", """
-with w as (select conv_id, turn, list_filter(string_split(text, ' '), lambda t: t <> '') as ws from conversations), i as (select conv_id, turn, range(0, least(len(ws), 6)) as ids, ws from w)
-select concat(conv_id, ':', turn) as image_id, array_to_string(list_filter(ws[1:6], lambda x: true), ' ') as ocr_gt_text from i""")
+select concat(conv_id, ':', turn) as image_id, array_to_string(list_filter(string_split(text, ' '), lambda t: t <> ''), ' ') as ocr_gt_text from conversations""")
 def annotations(spark, d):
     key = F.concat_ws(":", "conv_id", "turn")
-    w = V.table(spark, d, "conversations").select(key.alias("image_id"), F.slice(F.filter(F.split("text", " "), lambda t: t != ""), 1, 6).alias("ws"))
+    w = V.table(spark, d, "conversations").select(key.alias("image_id"), F.filter(F.split("text", " "), lambda t: t != "").alias("ws"))
     anns = w.select(F.posexplode("ws").alias("pos", "text"), "image_id").select(F.concat_ws("#", "image_id", "pos").alias("id"), "text")
     imgs = w.select("image_id", F.transform("ws", lambda x, i: F.concat_ws("#", F.col("image_id"), i.cast("string"))).alias("ids"))
     return Tb.join_annotations(imgs, anns)

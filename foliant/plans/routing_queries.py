@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import routing as R
 from ..sources import views as V
@@ -205,11 +206,14 @@ def scorecard(spark, d):
 @query("q62_taxonomy", f"""
 with {RULES_SQL}, e as (select p.conv_id, p.turn, max(p.route) filter (where p.rule = 'grounded_shortest') as r, max(p.route) filter (where p.rule = 'shortest_nonempty') as s from picks p group by 1, 2),
 v as (select e.*, max(x.anls) filter (where x.route = e.r) as ra, max(x.em) filter (where x.route = e.r) as re, bool_or(x.grounded) filter (where x.route = e.r) as g, max(x.anls) filter (where x.route = e.s) as sa,
-  max(anls) filter (where pos = 0) as a0, max(anls) filter (where pos = 1) as a1, max(anls) filter (where pos = 2) as a2, max(em) filter (where pos = 0) as e0, bool_or(grounded) filter (where pos = 0) as g0 from e join x using (conv_id, turn) group by all),
+  max({S.match('pred')}) filter (where x.route = e.r) as rp, max({S.match('pred')}) filter (where pos = 0) as p0, max(anls) filter (where pos = 0) as a0, max(anls) filter (where pos = 1) as a1, max(anls) filter (where pos = 2) as a2,
+  max(em) filter (where pos = 0) as e0, bool_or(grounded) filter (where pos = 0) as g0, count(*) filter (where anls >= 0.999) as right, count(distinct {S.match('pred')}) filter (where anls >= 0.999) as ways,
+  any_value(list_distinct(list_filter(list_transform([gold1, gold2], lambda t: {S.match('t')}), lambda t: t <> ''))) as golds from e join x using (conv_id, turn) group by all),
 f as (select *, list_filter([case when a0 <= 1e-9 and a1 <= 1e-9 and a2 <= 1e-9 and ra <= 1e-9 then 'F1' end, case when ra >= 0.999 and not g then 'F2' end, case when ra <= 1e-9 and g and s = r and greatest(a0, a1, a2) >= 0.999 then 'F3' end,
-  case when ra >= 0.9 and re <= 1e-9 and g then 'F5' end, case when ra >= 0.5 and ra < 0.999 and not g then 'F6' end, case when ra < 0.999 then 'F8' end], lambda l: l is not null) as fl,
+  case when "right" >= 2 and ways >= 2 then 'F4' end, case when ra >= 0.9 and re <= 1e-9 and g then 'F5' end, case when ra >= 0.5 and ra < 0.999 and not g then 'F6' end,
+  case when ra >= 0.2 and ra < 0.9 and g and len(list_filter(golds, lambda t: length(t) > length(rp))) > 0 then 'F7' end, case when len(golds) > 1 and ra < 0.999 then 'F8' end], lambda l: l is not null) as fl,
   list_filter([case when ra >= 0.999 and r in ('bm25', 'learned') and a0 < 0.999 then 'S3' end, case when ra >= 0.999 and r = 'resize' and s <> 'resize' and least(a1, a2) < 0.999 then 'S4' end, case when ra >= 0.999 and a0 < 0.999 and not g0 then 'S2' end,
-  case when ra >= 0.999 and a0 >= 0.9 and e0 <= 1e-9 and re >= 0.999 then 'S5' end, case when ra >= 0.999 and r <> s and sa < 0.999 then 'S6' end], lambda l: l is not null) as sl from v)
+  case when ra >= 0.999 and a0 < 0.999 and length(rp) < length(p0) then 'S1' end, case when ra >= 0.999 and a0 >= 0.9 and e0 <= 1e-9 and re >= 0.999 then 'S5' end, case when ra >= 0.999 and r <> s and sa < 0.999 then 'S6' end], lambda l: l is not null) as sl from v)
 select conv_id, turn, case when len(fl) > 0 then fl[1] when len(sl) > 0 then sl[1] when ra >= 0.999 then 'S6' else 'F8' end as primary_label, case when len(fl) > 0 then fl[2] else sl[2] end as secondary_label from f""")
 def taxonomy(spark, d):
     q = with_candidates(spark, d)
@@ -217,22 +221,9 @@ def taxonomy(spark, d):
     for r in R.ROUTES:
         q = q.withColumn(f"a_{r}", T.anls(F.col(r), g)).withColumn(f"e_{r}", T.exact_match(F.col(r), g))
     q = q.withColumn("r", R.grounded_shortest(F.col("c"))).withColumn("s", R.shortest(F.col("c")))
-    by = lambda prefix, route: F.when(F.col(route) == "resize", F.col(f"{prefix}_resize")).when(F.col(route) == "bm25", F.col(f"{prefix}_bm25")).otherwise(F.col(f"{prefix}_learned"))
-    q = q.withColumn("ra", by("a", "r")).withColumn("re", by("e", "r")).withColumn("sa", by("a", "s"))
-    q = q.withColumn("g", F.filter("c", lambda x: x["route"] == F.col("r"))[0]["grounded"]).withColumn("g0", F.col("c")[0]["grounded"])
-    ra, re_, r, s, here = F.col("ra"), F.col("re"), F.col("r"), F.col("s"), F.col("g")
-    every = [F.col(f"a_{x}") for x in R.ROUTES]
-    failures = [
-        ("F1", (F.greatest(*every) <= 1e-9) & (ra <= 1e-9)), ("F2", (ra >= 0.999) & ~here), ("F3", (ra <= 1e-9) & here & (s == r) & (F.greatest(*every) >= 0.999)),
-        ("F5", (ra >= 0.9) & (re_ <= 1e-9) & here), ("F6", (ra >= 0.5) & (ra < 0.999) & ~here), ("F8", ra < 0.999),
-    ]
-    wins = [
-        ("S3", (ra >= 0.999) & (r != "resize") & (every[0] < 0.999)), ("S4", (ra >= 0.999) & (r == "resize") & (s != "resize") & (F.least(*every[1:]) < 0.999)), ("S2", (ra >= 0.999) & (every[0] < 0.999) & ~F.col("g0")),
-        ("S5", (ra >= 0.999) & (every[0] >= 0.9) & (F.col("e_resize") <= 1e-9) & (re_ >= 0.999)), ("S6", (ra >= 0.999) & (r != s) & (F.col("sa") < 0.999)),
-    ]
-    f1, f2 = M.first_labels(failures, F.lit(None).cast("string"))
-    s1, s2 = M.first_labels(wins, F.when(ra >= 0.999, "S6").otherwise("F8"))
-    return q.select("conv_id", "turn", F.coalesce(f1, s1).alias("primary_label"), F.when(f1.isNotNull(), f2).otherwise(s2).alias("secondary_label"))
+    grounded = lambda route: F.filter("c", lambda x: x["route"] == route)[0]["grounded"]
+    q = q.select("conv_id", "turn", L.taxonomy({x: (F.col(x), F.col(f"a_{x}"), F.col(f"e_{x}"), grounded(F.lit(x))) for x in R.ROUTES}, F.col("r"), F.col("s"), g).alias("t"))
+    return q.select("conv_id", "turn", F.col("t")[0].alias("primary_label"), F.get("t", F.lit(1)).alias("secondary_label"))
 
 
 @query("q56b_cost_table", f"""

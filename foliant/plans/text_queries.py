@@ -93,14 +93,15 @@ _QTYPE = "case " + " ".join(f"when {_any('lq', ws)} then '{k}'" for k, ws in T.Q
 
 
 @query("q10_answer_type", rf"""
-with q as (select d.doc_id, lower(b.text) as lq, lower(coalesce(d.text, '')) as lt from documents d join benchmark b on b.item_id = d.doc_id % 40)
+with q as (select d.doc_id, lower(b.text) as lq, lower(coalesce(d.text, '')) as lt from documents d join benchmark b on b.item_id = d.doc_id % (select max(item_id) + 1 from benchmark))
 select doc_id, case when {_any('lq', ('date', 'when', 'year', 'month', 'day'))} then regexp_matches(lt, '{T.DATE_PATTERN}')
   when {_any('lq', ('amount', 'price', 'cost', 'total', 'fee'))} then regexp_matches(lt, '{T.CURRENCY_PATTERN}')
   when {_any('lq', ('percent', '%'))} then regexp_matches(lt, '{T.PERCENT_PATTERN}') when contains(lq, 'email') then regexp_matches(lt, '{T.EMAIL_PATTERN}')
   when {_any('lq', ('yes', 'no'))} then {_any('lt', ('yes', 'no'))} else false end::int::double as score from q""")
 def answer_type(spark, d):
     b = V.table(spark, d, "benchmark").select(F.col("item_id").alias("k"), F.col("text").alias("question"))
-    x = V.table(spark, d, "documents").join(b, F.col("doc_id") % 40 == F.col("k"))
+    n = b.agg((F.max("k") + 1).alias("n"))
+    x = V.table(spark, d, "documents").join(F.broadcast(n)).join(b, F.col("doc_id") % F.col("n") == F.col("k"))
     return x.select("doc_id", T.answer_type_score(F.col("question"), F.col("text")).alias("score"))
 
 
