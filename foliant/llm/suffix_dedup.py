@@ -18,7 +18,7 @@ from .suffix_sort import deep_shallow
 
 #: Units of a text that are hashed at a time, contexts of a gram (then of a longer string) that one task sorts, anchors or
 #: contexts that a task holds before it sends them on.
-PIECE, MOST_CONTEXTS, FLUSH = 1 << 16, 2_000, 20_000
+PIECE, MOST_CONTEXTS, FLUSH = 1 << 16, 20_000, 20_000
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -55,10 +55,10 @@ UNITS = (BYTES, WORDS)
 LEAST_BYTES = min(BYTES.length, 2 * WORDS.length - 1)
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A random number per byte, and powers of BASE and of its inverse modulo 2^64."""
-    byte = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-    power, back = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
+def _tables(n: int, seed: int = 5, base: int = BASE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random number per byte, and powers of a base and of its inverse modulo 2^64."""
+    byte = np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+    power, back = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
     power[0] = back[0] = 1
     return byte, np.multiply.accumulate(power), np.multiply.accumulate(back)
 
@@ -74,7 +74,7 @@ class Hashes:
     def __init__(self, data: np.ndarray, tables: tuple):
         byte, power, self.back = tables
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        numbers = byte[data] if data.dtype == np.uint8 else _mix(data.astype(np.uint64) + np.uint64(BASE))
+        numbers = byte[data] if data.dtype == np.uint8 else _mix(data.astype(np.uint64) + byte[0])
         np.cumsum(numbers * power[: len(data)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -89,75 +89,72 @@ def _slide(a: np.ndarray, width: int, least) -> np.ndarray:
     return least(a[:n], a[width - k : width - k + n]) if width > k else a[:n]
 
 
-def anchors(data: np.ndarray, tables: tuple, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
-    """(position, gram hash) of the anchors of a sequence, by position.
+def anchors(data: np.ndarray, tables: list[tuple], unit: Unit) -> tuple[np.ndarray, ...]:
+    """(position, gram hash, two context hashes, units of the context before and after the gram) of the anchors of a sequence.
 
     A position is an anchor if its gram has the smallest hash of all grams in some string of unit.length (ties all
-    count). So every such string holds an anchor, and two equal ones hold anchors at equal places.
+    count). So every such string holds an anchor, and two equal ones hold anchors at equal places. The context is the gram with
+    unit.reach on either side as far as the text goes; its hashes are independent, 128 bits together.
     """
     n, reach, found = len(data), unit.reach, []
     for c in range(0, max(0, n - unit.length + 1), PIECE):
         base = max(0, c - reach)
         part = data[base : c + PIECE + unit.length + reach]
-        hashes = Hashes(part, tables)
+        hashes = [Hashes(part, t) for t in tables]
         last = min(n, c + PIECE + unit.length - 1) - base  # strings that start in this piece end here
         start = np.arange(c - base, last - unit.gram + 1)
-        h = (hashes.of(start, start + unit.gram) ^ np.uint64(unit.no << 1)) | np.uint64(1)
+        h = (hashes[0].of(start, start + unit.gram) ^ np.uint64(unit.no << 1)) | np.uint64(1)
         low = _slide(h, reach + 1, np.minimum)
         pad = np.zeros(reach, np.uint64)
         at = np.flatnonzero(_slide(np.concatenate([pad, low, pad]), reach + 1, np.maximum) == h)
-        found.append((start[at] + base, h[at]))
+        own = start[at]
+        left, right = np.minimum(own, reach), np.minimum(n - base - own - unit.gram, reach)
+        whole = [x.of(own - left, own + unit.gram + right) + left.astype(np.uint64) for x in hashes]
+        found.append((own + base, h[at], *whole, left, right))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    pos, h = (np.concatenate(x) for x in zip(*found, strict=True))
+        return (np.zeros(0, np.int64), *(np.zeros(0, np.uint64),) * 3, *(np.zeros(0, np.int64),) * 2)
+    pos, *others = (np.concatenate(x) for x in zip(*found, strict=True))
     pos, first = np.unique(pos, return_index=True)
-    return pos, h[first]
-
-
-def _digest(raw: bytes, left: int) -> bytes:
-    return hashlib.blake2b(raw, digest_size=16, salt=left.to_bytes(4, "little")).digest()
+    return pos, *(x[first] for x in others)
 
 
 def _index(docs: DataFrame, id_col: str) -> DataFrame:
-    """(id, n_bytes, n_words, sha, anchors) of docs (id, text).
-
-    An anchor has its unit, gram hash, position and the 128-bit digest of its context: the gram with unit.reach on either
-    side as far as the text goes (left and right say how far).
-    """
+    """(id, n_bytes, n_words, sha, anchors) of docs (id, text); an anchor has its unit, gram hash, context hashes, position and
+    the units of its context before and after the gram (see anchors())."""
     kind = docs.schema[id_col].dataType.simpleString()
-    held = pa.list_(pa.struct([("u", pa.int8()), ("h", pa.int64()), ("c", pa.binary()), ("pos", pa.int32()), ("left", pa.int16()), ("right", pa.int16())]))
+    types = {"u": pa.int8(), "h": pa.int64(), "c": pa.int64(), "c2": pa.int64(), "pos": pa.int32(), "left": pa.int16(), "right": pa.int16()}
+    numpy = (np.int8, np.int64, np.int64, np.int64, np.int32, np.int16, np.int16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _tables(PIECE + 4 * max(u.length for u in UNITS))
+        n = PIECE + 4 * max(u.length for u in UNITS)
+        tables = [_tables(n), _tables(n, 6, 0xD1342543DE82EF95)]
 
-        def made(ids: pa.Array, size: list, n_words: list, sha: list, ends: list, parts: list, digests: list) -> pa.RecordBatch:
-            u, h, pos, left, right = (pa.array(np.concatenate(x)) for x in zip(*parts, strict=True))
-            values = pa.StructArray.from_arrays([u, h, pa.array(digests, pa.binary()), pos, left, right], fields=list(held.value_type))
+        def made(ids: pa.Array, size: list, n_words: list, sha: list, ends: list, parts: list) -> pa.RecordBatch:
+            columns = [pa.array(np.concatenate(x).view(k) if k is np.int64 else np.concatenate(x).astype(k)) for x, k in zip(zip(*parts, strict=True), numpy, strict=True)]
+            values = pa.StructArray.from_arrays(columns, fields=[pa.field(k, t) for k, t in types.items()])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
             return pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(n_words, pa.int64()), pa.array(sha), lists], [id_col, "n_bytes", "n_words", "sha", "anchors"])
 
         for b in batches:
-            begin, size, n_words, sha, ends, parts, digests = 0, [], [], [], [0], [], []
+            begin, size, n_words, sha, ends, parts = 0, [], [], [], [0], []
             for i, t in enumerate(b.column(1)):
-                data = (t.as_py() or "").encode("utf-8", "surrogatepass")
+                data, n_anchors = (t.as_py() or "").encode("utf-8", "surrogatepass"), 0
                 for unit in UNITS:
                     seq = unit.sequence(data)
-                    pos, h = anchors(seq, tables, unit)
-                    left, right = np.minimum(pos, unit.reach), np.minimum(len(seq) - pos - unit.gram, unit.reach)
-                    raw, w = (data if unit.width == 1 else seq.tobytes()), unit.width
-                    digests += [_digest(raw[a:z], k) for a, z, k in zip((w * (pos - left)).tolist(), (w * (pos + unit.gram + right)).tolist(), left.tolist(), strict=True)]
-                    parts.append((np.full(len(pos), unit.no, np.int8), h.view(np.int64), pos.astype(np.int32), left.astype(np.int16), right.astype(np.int16)))
+                    pos, *others = anchors(seq, tables, unit)
+                    parts.append((np.full(len(pos), unit.no), *others[:3], pos, *others[3:]))
+                    n_anchors += len(pos)
                 size.append(len(data))
                 n_words.append(len(seq))
                 sha.append(hashlib.sha256(data).hexdigest())
-                ends.append(len(digests))
-                if len(digests) >= FLUSH:
-                    yield made(b.column(0).slice(begin, i + 1 - begin), size, n_words, sha, ends, parts, digests)
-                    begin, size, n_words, sha, ends, parts, digests = i + 1, [], [], [], [0], [], []
+                ends.append(ends[-1] + n_anchors)
+                if ends[-1] >= FLUSH:
+                    yield made(b.column(0).slice(begin, i + 1 - begin), size, n_words, sha, ends, parts)
+                    begin, size, n_words, sha, ends, parts = i + 1, [], [], [], [0], []
             if size:
-                yield made(b.column(0).slice(begin), size, n_words, sha, ends, parts, digests)
+                yield made(b.column(0).slice(begin), size, n_words, sha, ends, parts)
 
-    schema = f"`{id_col}` {kind}, n_bytes long, n_words long, sha string, anchors array<struct<u:tinyint,h:long,c:binary,pos:int,left:smallint,right:smallint>>"
+    schema = f"`{id_col}` {kind}, n_bytes long, n_words long, sha string, anchors array<struct<u:tinyint,h:long,c:long,c2:long,pos:int,left:smallint,right:smallint>>"
     return docs.select(id_col, "text").mapInArrow(run, schema)
 
 
@@ -183,28 +180,35 @@ def extensions(group: np.ndarray, left: list[bytes], right: list[bytes], unit: U
     Rows of a group hold the same gram; left is what precedes it, its units reversed, right what follows. With L and R
     shared with another row, a string of unit.length repeats iff L + R >= unit.reach. In suffix order R only falls with
     distance, so the first neighbour on either side that satisfies this has the largest R; the same holds for L in the
-    order of the left strings. Neighbours are compared at distance 1, 2, ... until every row is settled or its group ends.
+    order of the left strings. A row shares most with a next neighbour in either order, which bounds what L, and so R, it can have:
+    neighbours are compared at distance 1, 2, ... until every row is settled, its bound is passed or its group ends.
     Rows of equal mate (the only text with their context) do not count for each other where a unit wants another text.
     """
     n, reach = len(group), unit.reach
     a, b = _matrix(left, reach * unit.width), _matrix(right, reach * unit.width)
-    best = [np.full(n, -1, np.int64), np.full(n, -1, np.int64)]
-    for side, (one, other) in enumerate(((a, b), (b, a))):
+    sides, most = [], []
+    for one in (a, b):
         order = deep_shallow(group, *one)
         g = group[order]
-        near = np.full(max(0, n - 1), reach, np.int64)
         lcp = np.where(g[1:] == g[:-1], _shared(*one, order[:-1], order[1:]) // unit.width, -1)
-        up, down = np.zeros(n, bool), np.zeros(n, bool)  # settled towards the end and towards the start of the order
+        sides.append((order, g, lcp))
+        most.append(np.empty(n, np.int64))
+        most[-1][order] = np.maximum(np.r_[-1, lcp], np.r_[lcp, -1]) if n else lcp
+    best = [np.full(n, -1, np.int64), np.full(n, -1, np.int64)]
+    for side, other in ((0, b), (1, a)):
+        order, g, lcp = sides[side]
+        least = (reach - most[1 - side])[order]  # what a row must share on this side at least
+        near = np.full(max(0, n - 1), reach, np.int64)
+        up, down = least > most[side][order], least > most[side][order]  # settled towards the end and towards the start of the order
         for t in range(1, n):
             near = np.minimum(near[: n - t], lcp[t - 1 : n - 1])
-            same = g[t:] == g[:-t]
-            up[: n - t] |= ~same
+            up[: n - t] |= near < np.maximum(least[: n - t], 0)
             up[n - t :] = True
-            down[t:] |= ~same
+            down[t:] |= near < np.maximum(least[t:], 0)
             down[:t] = True
-            k = np.flatnonzero(same & ~(up[: n - t] & down[t:]))
+            k = np.flatnonzero(~(up[: n - t] & down[t:]))
             if not len(k):
-                if not same.any():
+                if up.all() and down.all():
                     break
                 continue
             i, j = order[k], order[k + t]
@@ -352,7 +356,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", scratch: Scratch | N
 
     Texts that occur more than once stand in the index once; those of at least BYTES.length bytes are removed whole. The
     suffix array is sparse: it holds the suffixes at anchors only (see anchors()), which every repeated string contains.
-    Anchors whose gram occurs once go; those whose whole context occurs elsewhere (equal 128-bit digests) repeat all around;
+    Anchors whose gram occurs once go; those whose whole context occurs elsewhere (128 equal bits of hashes) repeat all around;
     the rest meet by gram, where their suffixes are sorted (see extensions()), hot grams by longer strings (see _settle_hot()).
     Texts are shuffled once, those with repeats a second time, contexts without their grams.
     """
@@ -367,10 +371,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", scratch: Scratch | N
     twice = held.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     # written first, so that the join has two plain exchanges and a gram that very many texts share is split over tasks
     held = scratch.table(held.join(scratch.table(twice, "twice"), "h"), "anchors")
-    classes = held.groupBy("u", "h", "c").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("rep"), F.max("row").alias("last"))
+    classes = held.groupBy("u", "h", "c", "c2").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("rep"), F.max("row").alias("last"))
     again = F.when(F.col("u") == BYTES.no, F.col("n") > 1).otherwise(F.col("rep.row") < F.col("last"))
-    classes = scratch.table(classes.select("u", "h", "c", "rep", again.alias("again")), "classes")
-    full = held.join(classes.where("again").select("u", "h", "c"), ["u", "h", "c"])
+    classes = scratch.table(classes.select("u", "h", "c", "c2", "rep", again.alias("again")), "classes")
+    full = held.join(classes.where("again").select("u", "h", "c", "c2"), ["u", "h", "c", "c2"])
     full = full.select("u", "row", (F.col("pos") - F.col("left")).cast("long").alias("start"), (F.col("pos") + _by_unit(lambda u: u.gram) + F.col("right")).cast("long").alias("end"))
     own = F.when(F.col("u") == BYTES.no, F.struct("start", "end"))
     full = full.groupBy("row").agg(F.collect_list(own).alias("spans"), F.max(F.col("u") == WORDS.no).alias("flag"))  # bounded by the text's own length

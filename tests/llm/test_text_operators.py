@@ -140,7 +140,7 @@ def shared_by_hand(texts, words=51):
     return [not own.isdisjoint(many) for own in grams]
 
 
-@pytest.mark.parametrize("hot", [2_000, 8, 1])
+@pytest.mark.parametrize("hot", [20_000, 8, 1])
 def test_suffix_dedup(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "MOST_CONTEXTS", hot)
     rng, rows = __import__("random").Random(4), data.documents()
