@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +11,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, numbered, small_or_shuffled
+from .common import Scratch, components, small_or_shuffled
 from .links import Groups
 
-#: Codes of a Gray range at least, Gray ranges at most, children of a node, and queries searched at a time.
-RANGE_CODES, RANGES, FANOUT, QUERIES = 4096, 4096, 16, 256
+#: Codes of a Gray range as planned, of a tile at most, children of a node, and queries searched at a time.
+RANGE_CODES, TILE_ROWS, FANOUT, QUERIES = 4096, 1 << 14, 16, 256
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -58,13 +58,50 @@ def gray_rank(x: Column) -> Column:
     return x
 
 
-def turned(x: Column, no: int) -> Column:
-    """A 64-bit code for Gray order number no: as it is, or with its halves swapped."""
-    return F.shiftleft(x, 32).bitwiseOR(F.shiftrightunsigned(x, 32)) if no else x
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-#: The half of a (turned) code that Gray order looks at first.
-TOP = np.uint64(0xFFFFFFFF << 32)
+class Layout:
+    """An order of a code's segments of bits; the first ones (the head) must be equal for two codes to meet in it."""
+
+    def __init__(self, cut: list[int], order: tuple[int, ...], n_head: int):
+        parts = [(cut[i], cut[i + 1] - cut[i]) for i in order]
+        self.moves, at = [], 64  # (place in the code, place in the laid-out code, mask of the length)
+        for start, size in parts:
+            at -= size
+            self.moves.append((start, at, (1 << size) - 1))
+        self.bits = sum(size for _, size in parts[:n_head])
+
+    def of(self, x: Column) -> Column:
+        out = None
+        for start, at, mask in self.moves:
+            own = F.shiftleft(F.shiftrightunsigned(x, start).bitwiseAND(F.lit(mask).cast("long")), at)
+            out = own if out is None else out.bitwiseOR(own)
+        return out
+
+    def back(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), np.uint64)
+        for start, at, mask in self.moves:
+            out |= ((x >> np.uint64(at)) & np.uint64(mask)) << np.uint64(start)
+        return out
+
+    def head(self) -> np.uint64:
+        return np.uint64(((1 << self.bits) - 1) << (64 - self.bits))
+
+
+def layouts(most: int, n: int) -> list[Layout]:
+    """Layouts in one of which every two codes that differ in at most `most` bits have equal heads.
+
+    The bits are dealt to most + e segments, of which e must be equal; e is the least that gives heads with less than
+    TILE_ROWS of n codes each.
+    """
+    e = 1
+    while n >> (64 * e // (most + e)) >= TILE_ROWS and e < 4:
+        e += 1
+    m = most + e
+    cut = [64 * i // m for i in range(m + 1)]
+    return [Layout(cut, (*head, *(i for i in range(m) if i not in head)), e) for head in combinations(range(m), e)]
 
 
 class GrayIndex:
@@ -80,104 +117,91 @@ class GrayIndex:
             mask = ~(every ^ some)
             self.levels.append((every & mask, mask))
 
-    def search(self, queries: np.ndarray, most: int, most_top: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Indexes (query, code) of all pairs that differ in at most `most` bits, at most `most_top` of them in TOP.
+    def search(self, queries: np.ndarray, most: int, head: np.uint64 = np.uint64(0)) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes (query, code) of all pairs that differ in at most `most` bits and in none of head.
 
         From the top, each node adds the differing bits that it shares and its parent does not to the
-        parent's counts; a group whose count exceeds its limit is dropped whole.
+        parent's count; a group whose count exceeds `most`, or that differs in the head, is dropped whole.
         """
-        most_top = most if most_top is None else most_top
         pattern, mask = self.levels[-1]
         q = np.repeat(np.arange(len(queries)), len(pattern))
         node = np.tile(np.arange(len(pattern)), len(queries))
-        known, count, top = np.zeros(len(q), np.uint64), np.zeros(len(q), np.uint8), np.zeros(len(q), np.uint8)
+        known, count = np.zeros(len(q), np.uint64), np.zeros(len(q), np.uint8)
         for depth in range(len(self.levels) - 1, -1, -1):
             pattern, mask = self.levels[depth]
             differ = (queries[q] ^ pattern[node]) & mask[node] & ~known
-            count, top = count + np.bitwise_count(differ), top + np.bitwise_count(differ & TOP)
-            keep = np.flatnonzero((count <= most) & (top <= most_top))
+            count = count + np.bitwise_count(differ)
+            keep = np.flatnonzero((count <= most) & (differ & head == 0))
             q, node = q[keep], node[keep]
             if depth == 0:
                 break
             width = len(self.levels[depth - 1][0])
-            known, count, top = (np.repeat(x, FANOUT) for x in (mask[node], count[keep], top[keep]))
+            known, count = np.repeat(mask[node], FANOUT), np.repeat(count[keep], FANOUT)
             q, node = np.repeat(q, FANOUT), (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
             if width % FANOUT:
                 there = node < width
-                q, node, known, count, top = q[there], node[there], known[there], count[there], top[there]
+                q, node, known, count = q[there], node[there], known[there], count[there]
         return q, node
 
 
-def tile_edges(low: np.ndarray, high: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (code, smallest-index code of its group) that connect the linked codes of two Gray-sorted ranges (high may be
-    low), found by searching the one's index for the other's codes."""
-    same = high is low
-    codes, shift = (low, 0) if same else (np.concatenate([low, high]), len(low))
-    groups, index = Groups(len(codes)), GrayIndex(high)
-    for k in range(0, len(low), QUERIES):
-        q, hit = index.search(low[k : k + QUERIES], most, most // 2)
-        groups.link(k + q, shift + hit)
+def tile_edges(codes: np.ndarray, most: int, head: np.uint64 = np.uint64(0)) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (code, smallest-index code of its group) that connect the linked codes of equal heads of a Gray-sorted tile."""
+    groups, index = Groups(len(codes)), GrayIndex(codes)
+    for k in range(0, len(codes), QUERIES):
+        q, hit = index.search(codes[k : k + QUERIES], most, head)
+        groups.link(k + q, hit)
     root = groups.settle()
     x = np.flatnonzero(root != np.arange(len(codes)))
     return codes[x], codes[root[x]]
 
 
-def gray_ranges(codes: DataFrame, scratch: Scratch, n: int) -> DataFrame:
-    """Table (order, range, rank, code) of codes (distinct, column code): for each of two Gray orders, which begin with the
-    one half of the bits or the other, every code with the range of ranks that it lies in; ranges are about equally large."""
-    parts = min(RANGES, numbered(n, RANGE_CODES))
-    out = None
-    for no in (0, 1):
-        own = turned(F.col("code"), no)
-        rows = codes.select(F.lit(no).alias("order"), own.alias("code")).withColumn("rank", gray_rank(F.col("code")).bitwiseXOR(F.lit(-(1 << 63))))
-        rows = scratch.table(rows.repartitionByRange(parts, "rank").withColumn("range", F.spark_partition_id()), "ranges")
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
 def near_edges(codes: DataFrame, most: int, scratch: Scratch, n: int) -> DataFrame:
     """Edges (a, b) that connect all codes (distinct, column code) linked at `most` or fewer differing bits.
 
-    Codes that differ in at most `most` bits differ in at most most // 2 of one half or the other. So there are two Gray-order
-    indexes, each over all codes, sorted by Gray rank from one half on. The upper level of an index are its ranges, at most
-    RANGES, whose nodes (the bits that all codes of a range share) are a table with that bound. Two ranges whose shared bits already
-    differ too often are pruned whole; the others meet in a tile task, where the codes of the one are searched through
-    the nodes over the other. A tile holds two ranges at most and returns at most one edge per code.
+    A Gray-order index over all codes for each layout of their bits (see layouts()): sorted by Gray rank, codes of equal
+    heads stand together, so the index is cut into ranges of ranks, a tile task each, by the leading bits of the head, and
+    every code goes to one tile per layout. A task builds the nodes over its range and searches them for each of its codes. Ranges
+    that hold too many codes are cut by whole heads; a head that still does is dealt by hash to parts, every two of which
+    meet in a tile. A tile returns at most one edge per code.
     """
-    ranges = gray_ranges(codes, scratch, n)
-    nodes = ranges.groupBy("order", "range").agg(F.bit_and("code").alias("every"), F.bit_or("code").alias("some"))
-    nodes = scratch.table(nodes.select("order", "range", F.col("every").alias("pattern"), F.bitwise_not(F.col("every").bitwiseXOR(F.col("some"))).alias("mask")), "nodes")
-    other = nodes.select("order", F.col("range").alias("high"), F.col("pattern").alias("pattern2"), F.col("mask").alias("mask2"))
-    differ = F.col("pattern").bitwiseXOR(F.col("pattern2")).bitwiseAND(F.col("mask")).bitwiseAND(F.col("mask2"))
-    near = (F.col("range") <= F.col("high")) & (F.bit_count(differ) <= most) & (F.bit_count(F.shiftrightunsigned(differ, 32)) <= most // 2)
-    pairs = nodes.join(other, "order").where(near).select("order", F.col("range").alias("low"), "high")
-    sides = pairs.select("order", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("range"))
-    rows = ranges.join(small_or_shuffled(scratch.table(sides, "sides"), 16), ["order", "range"])
-    tile = (F.col("order").cast("long") * (1 << 40)) + F.col("low").cast("long") * (1 << 20) + F.col("high")
-    rows = rows.select(tile.alias("tile"), (F.col("range") == F.col("low")).alias("first"), "rank", "code")
-    rows = rows.repartition("tile").sortWithinPartitions("tile", F.col("first").desc(), "rank").select("tile", "first", "code")
+    plans = layouts(most, n)
+    bits = min([max(0, (n // RANGE_CODES).bit_length()), *(x.bits for x in plans)])
+    top = lambda x, k: F.shiftrightunsigned(x, 64 - k) if k else F.lit(0).cast("long")
+    rows = codes.select(F.explode(F.array(*[F.struct(F.lit(i).cast("short").alias("no"), x.of(F.col("code")).alias("code"), top(x.of(F.col("code")), x.bits).alias("head")) for i, x in enumerate(plans)])).alias("x")).select("x.*")
+    rows = rows.withColumn("range", top(F.col("code"), bits))
+    many = lambda by, most_rows: scratch.table(rows.groupBy("no", by).count().where(F.col("count") > most_rows).select(F.col("no").alias("_no"), F.col(by).alias(f"_{by}"), "count"), "many")
+    wide, hot = many("range", TILE_ROWS).drop("count"), many("head", TILE_ROWS)
+    rows = rows.join(small_or_shuffled(wide, 16), (F.col("no") == F.col("_no")) & (F.col("range") == F.col("_range")), "left").drop("_no")
+    rows = rows.join(small_or_shuffled(hot, 24), (F.col("no") == F.col("_no")) & (F.col("head") == F.col("_head")), "left")
+    parts = F.ceil(2 * F.coalesce("count", F.lit(1)) / TILE_ROWS).cast("int")
+    rows = rows.select("no", F.col("_range").isNotNull().alias("whole"), F.when(F.col("_range").isNotNull(), F.col("head")).otherwise(F.col("range")).alias("at"), "code", F.pmod(F.xxhash64("code"), parts).cast("int").alias("own"), parts.alias("parts"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keys = ["no", "whole", "at", "low", "high"]
+    rows = rows.select("no", "whole", "at", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "code")
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, gray_rank(F.col("code")).bitwiseXOR(F.lit(signed(1 << 63))))
+    rows = rows.select("no", F.xxhash64(*keys).alias("tile"), "code")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint64)]
+        held = [np.zeros(0, np.int16), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
 
-        def edges(t: np.ndarray, f: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cut = np.flatnonzero(np.r_[True, t[1:] != t[:-1], True])
+        def edges(no: np.ndarray, t: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+            cut = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (no[1:] != no[:-1]), True])
             for s, e in zip(cut[:-1], cut[1:], strict=True):
-                middle = s + int(f[s:e].sum())
-                low = c[s:middle]
-                a, b = tile_edges(low, low if middle == e else c[middle:e], most)
-                if int(t[s]) >> 40:
-                    a, b = ((x << np.uint64(32)) | (x >> np.uint64(32)) for x in (a, b))
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+                plan = plans[int(no[s])]
+                a, b = (plan.back(x).view(np.int64) for x in tile_edges(c[s:e], most, plan.head()))
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            t, f, c = (np.concatenate([h, x]) for h, x in zip(held, (batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy().view(np.uint64)), strict=True))
+            fresh = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64))
+            no, t, c = (np.concatenate(x) for x in zip(held, fresh, strict=True))
             if not len(t):
                 continue
-            last = np.searchsorted(t, t[-1])  # the last tile may go on in the next batch
-            held = [t[last:], f[last:], c[last:]]
+            ends = np.flatnonzero((t[1:] != t[:-1]) | (no[1:] != no[:-1]))
+            last = int(ends[-1]) + 1 if len(ends) else 0  # the last tile may go on in the next batch
+            held = [no[last:], t[last:], c[last:]]
             if last:
-                yield from edges(t[:last], f[:last], c[:last])
+                yield from edges(no[:last], t[:last], c[:last])
         if len(held[0]):
             yield from edges(*held)
 

@@ -386,9 +386,10 @@ def groups_by_hand(codes, most):
     return [find(i) for i in range(len(codes))]
 
 
-@pytest.mark.parametrize("width", [4096, 40, 3])
-def test_simhash(spark, monkeypatch, width):
+@pytest.mark.parametrize("width,tile", [(4096, 1 << 14), (10, 30), (3, 4)])
+def test_simhash(spark, monkeypatch, width, tile):
     monkeypatch.setattr(simhash, "RANGE_CODES", width)
+    monkeypatch.setattr(simhash, "TILE_ROWS", tile)
     rows = data.documents()
     codes = [fingerprint_by_hand(r[1]) for r in rows]
     root = groups_by_hand(codes, 4)
@@ -419,21 +420,35 @@ def test_gray_index():
     q, hit = index.search(codes, 4)
     want = {(i, j) for i in range(len(codes)) for j in np.flatnonzero(np.bitwise_count(codes ^ codes[i]) <= 4)}
     assert set(zip(q.tolist(), hit.tolist(), strict=True)) == {(i, int(j)) for i, j in want}
-    q, hit = index.search(codes, 4, 2)
-    top = lambda i, j: int(codes[i] ^ codes[j]) >> 32
-    assert set(zip(q.tolist(), hit.tolist(), strict=True)) == {(i, int(j)) for i, j in want if top(i, j).bit_count() <= 2}
+    head = np.uint64(((1 << 13) - 1) << 51)
+    q, hit = index.search(codes, 4, head)
+    assert set(zip(q.tolist(), hit.tolist(), strict=True)) == {(i, int(j)) for i, j in want if not int(codes[i] ^ codes[j]) >> 51}
 
 
-def test_every_link_comes_from_the_gray_index(monkeypatch):
+def test_every_link_comes_from_the_gray_index(spark, monkeypatch):
     rng, searched = np.random.default_rng(6), []
     real = simhash.GrayIndex.search
     monkeypatch.setattr(simhash.GrayIndex, "search", lambda self, queries, *a: searched.append((len(queries), len(self.codes))) or real(self, queries, *a))
     codes = np.unique(rng.integers(0, 1 << 63, 700, dtype=np.uint64))
     codes = np.concatenate([codes, codes[:50] ^ np.uint64(0b1011)])
-    a, b = simhash.tile_edges(codes, codes, 4)
+    a, _ = simhash.tile_edges(codes, 4)
     assert len(a) == 50 and searched == [(256, 750), (256, 750), (238, 750)]  # every code is a query, every code is in the index
-    c, d = simhash.tile_edges(codes[:700], codes[700:], 4)
-    assert len(c) == 50 and set(zip(c.tolist(), d.tolist(), strict=True)) == set(zip(a.tolist(), b.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("n", [100, 1 << 30, 1 << 40])
+def test_layouts(spark, n):
+    rng, plans = __import__("random").Random(3), simhash.layouts(4, n)
+    rows = []
+    for _ in range(300):
+        a = rng.getrandbits(64)
+        rows.append((a, a ^ sum({1 << rng.randrange(64) for _ in range(4)})))
+    for plan in plans:
+        x = np.array([r[0] for r in rows], np.uint64)
+        df = spark.createDataFrame([(simhash.signed(a),) for a, _ in rows], "x long").coalesce(1)
+        laid = np.array([r[0] for r in df.select(plan.of(F.col("x"))).collect()], np.int64).view(np.uint64)
+        assert (plan.back(laid) == x).all() and int(plan.head()).bit_count() == plan.bits
+    every = lambda plan, v: sum(((v >> start) & mask) << at for start, at, mask in plan.moves)
+    assert all(any(not (every(p, a) ^ every(p, b)) & int(p.head()) for p in plans) for a, b in rows)
 
 
 def test_held_out(spark):
