@@ -167,7 +167,7 @@ def wer(spark, d):
 with b as (select item_id, {S.match('text')} as needle from benchmark), d as (select doc_id, {S.match('text')} as hay from documents)
 select doc_id, item_id from d join b on needle <> '' and contains(hay, needle)""")
 def containment_join(spark, d):
-    """Needles are a short reference list; it is broadcast only while its checked size allows, else both sides meet by shingle."""
+    """Both sides meet by shingles of inner words or by first characters."""
     from ..operators.joins import containment
 
     return containment(V.table(spark, d, "documents").select("doc_id", "text"), V.table(spark, d, "benchmark").select("item_id", F.col("text").alias("needle")))
