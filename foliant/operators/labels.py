@@ -175,6 +175,11 @@ def first_rows(df: DataFrame, order: str, n: int, split: str = "val") -> DataFra
     return df.orderBy(order).limit(n).withColumn("split", F.lit(split))
 
 
+def limited(df: DataFrame, order: str, n: int | None, zero_is_all: bool = True) -> DataFrame:
+    """The first n rows in order; None is all rows, 0 is all or no rows."""
+    return df if n is None or (n == 0 and zero_is_all) else df.orderBy(order).limit(n)
+
+
 def repaired(df: DataFrame, answers: str, prediction: str) -> DataFrame:
     """df with answers flattened, blanks dropped and repeats removed, scores computed anew, changed telling whether anls moved."""
     clean = F.array_distinct(F.filter(F.transform(answers, lambda a: F.trim(a)), lambda a: a != ""))

@@ -6,7 +6,7 @@ Every choice is made inside a row, so a table of questions is never shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -130,3 +130,8 @@ def rules(c: Column, question: Column, key: Column) -> dict[str, Column]:
         "grounded_consensus": grounded_shortest(c, use_consensus=True),
         "uniform_random": random_route(key),
     }
+
+
+def swapped(questions: DataFrame, reader: str, other: str) -> DataFrame:
+    """questions with one reader's answers replaced by another's; true_<reader> keeps its own for comparisons."""
+    return questions.withColumn(f"true_{reader}", F.col(reader)).withColumn(reader, F.col(other))

@@ -130,3 +130,12 @@ def oracle_top(df: DataFrame, by: list[str], confidence: str, positive: str, pos
 def reading_order(c: Column) -> Column:
     """Rectangles top to bottom, then left to right."""
     return F.transform(F.array_sort(F.transform(c, lambda x: F.struct(x["y"].alias("y"), x["x"].alias("x0"), x.alias("r")))), lambda t: t["r"])
+
+
+def edge_strip(df: DataFrame, by: list[str], position: str, k: int, rim: int = 5) -> DataFrame:
+    """The first k rows of each group within rim pixels of the left or upper edge; a group with fewer is sampled evenly instead."""
+    w = Window.partitionBy(*by)
+    edge = (F.col("x") <= rim) | (F.col("y") <= rim)
+    x = df.withColumn("_edges", F.count_if(edge).over(w))
+    near = x.where((F.col("_edges") >= k) & edge).withColumn("_r", F.row_number().over(w.orderBy(position))).where(F.col("_r") <= k).drop("_r")
+    return near.unionByName(uniform(x.where(F.col("_edges") < k), by, position, k)).drop("_edges")
