@@ -261,3 +261,22 @@ def jaccard(a: Column, b: Column) -> Column:
 def merge_tokens(parts: Column) -> Column:
     """Tokens of all parts, each at its first place only."""
     return F.array_join(F.array_distinct(F.flatten(F.transform(parts, tokens))), " ")
+
+
+#: What labels hold.
+LABEL_HINTS = (":", "total", "date", "name", "amount", "no.", "#", "held", "attended")
+
+
+def label_like(text: Column, asked: Column) -> Column:
+    """Whether a text holds a content token of the question (asked, an array) or what labels hold."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.exists(asked, lambda t: F.contains(low, t)) | any_of(low, LABEL_HINTS)
+
+
+def value_like(text: Column, question: Column, most_numeric: int = 6, most: int = 4) -> Column:
+    """Whether a text is of the type asked for, a number with few tokens around it, or few tokens at all; blank texts are not."""
+    t = F.coalesce(text, F.lit(""))
+    n = F.size(tokens(t))
+    number = F.rlike(t, F.lit(r"\d[\d,./%-]*"))
+    few = F.when(number, n.between(1, most_numeric)).otherwise(n <= most)
+    return (F.trim(t) != "") & ((answer_type_score(question, t) > 0) | few)

@@ -175,6 +175,18 @@ def first_rows(df: DataFrame, order: str, n: int, split: str = "val") -> DataFra
     return df.orderBy(order).limit(n).withColumn("split", F.lit(split))
 
 
+def image_split(df: DataFrame, image: str, share: float, seed: int = 42) -> DataFrame:
+    """df with split: val for a share of the images (one at least, those first in hash order), else train.
+
+    The images are a dataset's, numbered in one window over their distinct names; rows only look theirs up.
+    """
+    n = df.select(image).distinct().withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(image).cast("string"))))
+    w = Window.orderBy("_h", image)
+    n = n.withColumn("_r", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy()))
+    val = F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))
+    return df.join(n.select(image, F.when(val, "val").otherwise("train").alias("split")), image)
+
+
 def limited(df: DataFrame, order: str, n: int | None, zero_is_all: bool = True) -> DataFrame:
     """The first n rows in order; None is all rows, 0 is all or no rows."""
     return df if n is None or (n == 0 and zero_is_all) else df.orderBy(order).limit(n)
@@ -190,7 +202,7 @@ def repaired(df: DataFrame, answers: str, prediction: str) -> DataFrame:
 
 def gate_report(gates: DataFrame) -> DataFrame:
     """One JSON text of gates (name, passed, metrics map): results in name order and whether all passed."""
-    g = gates.agg(F.array_sort(F.collect_list(F.struct("name", "passed", "metrics"))).alias("results"), F.coalesce(F.bool_and("passed"), F.lit(True)).alias("all_passed"))
+    g = gates.agg(F.array_sort(F.collect_list(F.struct("name", "passed", F.to_json("metrics").alias("metrics")))).alias("results"), F.coalesce(F.bool_and("passed"), F.lit(True)).alias("all_passed"))
     return g.select(F.to_json(F.struct("results", "all_passed")).alias("report"), "all_passed")
 
 

@@ -47,6 +47,45 @@ def read_boxes(images: DataFrame, engine: str = "stub") -> DataFrame:
     return images.select("image_id", "content").mapInPandas(run, f"image_id {kind}, box_id int, box array<array<int>>, text string, confidence double, error string")
 
 
+def batch_read(images: DataFrame, path: str, engine: str = "stub") -> None:
+    """Reads the boxes of those images that the table at path lacks and appends them; rerun, it goes on where it stopped."""
+    spark = images.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        images = images.join(spark.read.parquet(path).select("image_id").distinct(), "image_id", "left_anti")
+    read_boxes(images, engine).write.mode("append").parquet(path)
+
+
+#: Readers by name: a function that makes, once per task, a function from a prompt and images to raw output.
+READERS: dict[str, Callable[[], Callable[[str, list], str]]] = {}
+
+
+def register_reader(name: str, make: Callable[[], Callable[[str, list], str]]) -> None:
+    READERS[name] = make
+
+
+def read_prompts(prompts: DataFrame, keys: list[str], reader: str) -> DataFrame:
+    """(keys, raw, error) of prompts (keys, prompt, images): a registered reader's raw outputs, batch by batch; a prompt that fails
+    gives its error."""
+    make = READERS[reader]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = make()
+        for b in batches:
+            raw, error = [], []
+            for prompt, images in zip(b["prompt"], b["images"], strict=True):
+                try:
+                    raw.append(read(prompt, list(images)))
+                    error.append(None)
+                except Exception as e:  # one prompt must not end the run
+                    raw.append(None)
+                    error.append(f"{type(e).__name__}: {e}")
+            yield b[keys].assign(raw=raw, error=error)
+
+    kinds = ", ".join(f"{k} {prompts.schema[k].dataType.simpleString()}" for k in keys)
+    return prompts.select(*keys, "prompt", "images").mapInPandas(run, f"{kinds}, raw string, error string")
+
+
 def fit_ranker(df: DataFrame, features: list[str], label: str, weight: str | None = None, reg: float = 0.01):
     """Standardised logistic regression over feature columns; returns a fitted pipeline that adds probability."""
     from pyspark.ml import Pipeline

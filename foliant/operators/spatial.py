@@ -215,3 +215,14 @@ def proximity(patches: DataFrame, boxes: DataFrame, questions: DataFrame) -> Dat
     p = patches.select("image_id", "idx", G.rect(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("p"))
     hit = p.join(v, "image_id").where(G.inside(F.col("cx"), F.col("cy"), F.col("p"))).groupBy("image_id", "idx").agg(F.max("s").alias("score"))
     return p.select("image_id", "idx").join(hit, ["image_id", "idx"], "left").select("image_id", "idx", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def diagnostics(selected: DataFrame, boxes: DataFrame, answer) -> DataFrame:
+    """Per page of selected patches: boxes that any of them touches, their mean text coverage (4 places), and whether the answer
+    stands in their text and on the page."""
+    o = overlaps(selected, boxes)
+    own = coverage(selected, boxes).groupBy("image_id").agg(F.round(F.avg("text_coverage"), 4).alias("coverage"))
+    touched = o.groupBy("image_id").agg(F.countDistinct("box_id").alias("n"), F.bool_or(F.contains("text", answer)).alias("hit"))
+    page = boxes.groupBy("image_id").agg(F.bool_or(F.contains("text", answer)).alias("answer_on_page"))
+    x = own.join(touched, "image_id", "left").join(page, "image_id")
+    return x.select("image_id", F.coalesce("n", F.lit(0)).alias("n_boxes"), "coverage", F.coalesce("hit", F.lit(False)).alias("answer_in_patches"), "answer_on_page")

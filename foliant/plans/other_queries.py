@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy as Z
@@ -108,10 +106,7 @@ def lr_ranker(spark, d):
 @query("q74_stream_replay", "select event_type, count(*) as n, round(sum(value), 6) as total from events group by 1")
 def stream_replay(spark, d):
     """The events as a resumable stream into a table, then counted: equal to the batch result."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="foliant-")
-    import uuid
-
-    run = f"{base.rstrip('/')}/replay-{uuid.uuid4().hex[:12]}"
+    run = Tb.work_folder(spark, "replay")
     stream = spark.readStream.schema(St.EVENTS).parquet(f"{d}/events.parquet*")
     St.run_resumable(stream, lambda b: b.select("event_id", "event_type", "value"), "event_id", f"{run}/out", f"{run}/checkpoint")
     return spark.read.parquet(f"{run}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))

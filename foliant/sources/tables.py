@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
@@ -12,6 +16,55 @@ MANIFEST = Ty.StructType([Ty.StructField(n, _TEXTS if n in ("answer", "answer_ty
 REQUIRED = ("image_id", "dataset", "split", "image_path")
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder path under spark.checkpoint.dir; under a temporary one only where that is unset and all runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="foliant-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """CSV with a header and a fixed schema; a missing file has no rows."""
+    return spark.read.schema(schema).option("header", True).csv(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def first_existing(spark: SparkSession, paths: Sequence[str], schema: str) -> DataFrame:
+    """Rows of the first of the paths that exists, with a fixed schema; none has no rows."""
+    for p in paths:
+        if path_exists(spark, p):
+            return spark.read.schema(schema).parquet(p)
+    return spark.createDataFrame([], schema)
+
+
+def probed(c: Column, names: Sequence[str]) -> Column:
+    """The first filled of several fields of a JSON text, as remote data sets name them differently; lists give their first item."""
+    one = lambda n: F.coalesce(F.get_json_object(c, f"$.{n}[0]"), F.get_json_object(c, f"$.{n}"))
+    return F.coalesce(*[F.nullif(one(n), F.lit("")) for n in names])
+
+
+def answers_of(c: Column, depth: int = 3) -> Column:
+    """Answers in a JSON text (a value, lists, texts that are lists themselves in JSON or with single quotes), flattened up to
+    `depth` levels, blanks and repeats dropped, in first-seen order."""
+    def opened(x: Column) -> Column:
+        t = F.trim(x)
+        listed = F.coalesce(F.from_json(t, "array<string>"), F.from_json(F.translate(t, "'", '"'), "array<string>"))
+        return F.when(F.startswith(t, F.lit("[")) & F.endswith(t, F.lit("]")) & listed.isNotNull(), listed).otherwise(F.array(t))
+
+    out = F.array(F.coalesce(c, F.lit("")))
+    for _ in range(depth):
+        out = F.flatten(F.transform(out, opened))
+    plain = F.transform(out, lambda x: F.trim(F.regexp_replace(x, '^"|"$', "")))
+    return F.array_distinct(F.filter(plain, lambda x: F.coalesce(x, F.lit("")) != ""))
+
+
 def as_list(c: Column) -> Column:
     """A JSON text that holds a list or a single value as an array of strings."""
     return F.when(F.startswith(F.trim(c), F.lit("[")), F.from_json(c, "array<string>")).when(c.isNull(), F.lit(None).cast("array<string>")).otherwise(F.array(F.regexp_replace(c, '^"|"$', "")))
@@ -79,6 +132,18 @@ def cache_misses(items: DataFrame, cached: DataFrame, engine: str) -> DataFrame:
     return items.join(cached.where(F.col("engine") == engine).select("image_id").distinct(), "image_id", "left_anti")
 
 
+def cache_texts(texts: DataFrame, path: str) -> None:
+    """The cache of texts read from selected patches: (image_id, method, k) with an array of texts, by method."""
+    texts.select("image_id", "method", F.col("k").cast("int").alias("k"), "texts").write.mode("append").partitionBy("method").parquet(path)
+
+
+def cached_texts(items: DataFrame, cached: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """items (image_id, method, k) with the texts that the cache holds, and the items that it lacks."""
+    keys = ["image_id", "method", "k"]
+    own = cached.select(*keys, "texts")
+    return items.join(own, keys), items.join(own.select(*keys), keys, "left_anti")
+
+
 def newest(spark: SparkSession, pattern: str, fmt: str = "parquet") -> DataFrame:
     """Rows of the newest file that matches (ties: the last by name)."""
     files = spark.read.format("binaryFile").load(pattern).select("path", "modificationTime")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import MANIFEST
+
 EVENTS = "event_id LONG, ts TIMESTAMP, user_id LONG, event_type STRING, value DOUBLE, props STRING"
 
 
@@ -14,6 +16,12 @@ def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def manifest_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
+    """Manifest lines as they arrive, with the manifest's schema (all texts)."""
+    schema = ", ".join(f"{f.name} string" for f in MANIFEST.fields)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
+
+
 def run_resumable(stream: DataFrame, work: Callable[[DataFrame], DataFrame], key: str, out: str, checkpoint: str) -> None:
     """Works through what is available in micro-batches and appends to out; a rerun goes on where the checkpoint stands.
 
