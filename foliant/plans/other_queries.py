@@ -13,7 +13,7 @@ from ..sources import tables as Tb
 from ..sources import views as V
 from ..streaming import replay as St
 from .registry import query
-from .spatial_queries import _SCORED, scored
+from .spatial_queries import _IOU, _SCORED, scored
 
 
 @query("q65_manifest_validate", """
@@ -60,7 +60,10 @@ def patch_score(spark, d):
     return s.select("image_id", "idx", F.round(Sc.weighted(Sc.PATCH), 9).alias("patch_score"))
 
 
-@query("q26c_best_pair")
+@query("q26c_best_pair", f"""
+with {_SCORED}, r as (select *, row_number() over (partition by image_id order by score desc, idx) as r from s),
+c as (select a.image_id, a.idx as f, b.idx as g, -(0.4::double * greatest(a.score, b.score) + 0.5::double * (a.score + b.score) + 0.1::double * (1 - {_IOU('a', 'b')})) as k from r a join r b on b.image_id = a.image_id and b.idx <> a.idx where a.r <= 3 and b.r <= 8 and {_IOU('a', 'b')} < 0.35)
+select image_id, f as first, g as second from (select *, row_number() over (partition by image_id order by k, f, g) as n from c) where n = 1""")
 def best_pair(spark, d):
     c = Sel.candidates(scored(spark, d), ["image_id"])
     best = Sel.best_first(F.col("c"))
@@ -84,7 +87,9 @@ def entity_tokens(spark, d):
     return V.table(spark, d, "conversations").select("conv_id", "turn", F.array_join(Z.entity_tokens(F.col("text")), " ").alias("entities"))
 
 
-@query("q71_ocr_stub")
+@query("q71_ocr_stub", """
+with p as (select page_id as image_id, sha256(coalesce(html, '')) as s from pages), i as (select image_id, s, unnest([0, 2, 4]) as i from p)
+select image_id, cast(i // 2 as integer) as box_id, concat('w', cast(concat('0x', substr(s, cast(2 * i + 1 as bigint), 2)) as integer)) as text, cast(concat('0x', substr(s, cast(2 * i + 3 as bigint), 2)) as integer) / 255.0::double as confidence from i""")
 def ocr_stub(spark, d):
     p = V.table(spark, d, "pages").select(F.col("page_id").alias("image_id"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
     return Mo.read_boxes(p).select("image_id", "box_id", "text", "confidence")
