@@ -163,9 +163,11 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
     clauses = [(k, i, sorted(c)) for k, q in queries.items() if q != EVERY for i, c in enumerate(sorted(q, key=sorted))]
     grams = sorted({g for _, _, c in clauses for g in c})
     key = F.xxhash64(F.col(id_col), text)
-    low = docs.select(key.alias("_doc"), F.lower(text).alias("_low"))
-    held = F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(g)), F.lit(i).cast("short")) for i, g in enumerate(grams)]))
-    postings = scratch.table(low.select("_doc", held.alias("gram")).where(F.size("gram") > 0).select(F.explode("gram").alias("gram"), "_doc"), "postings")
+    every = F.array(*[F.struct(F.lit(i).cast("short").alias("no"), F.lit(g).alias("gram")) for i, g in enumerate(grams)])
+    held = lambda low: F.transform(F.filter(every, lambda g: F.contains(low, g["gram"])), lambda g: g["no"])
+    # the outer transform binds the lower-cased text, and the outer explode infers no filter that would repeat the search
+    listed = F.explode_outer(F.get(F.transform(F.array(F.lower(text)), held), F.lit(0)))
+    postings = scratch.table(docs.select(key.alias("_doc"), listed.alias("gram")).where("gram is not null"), "postings")
     need = spark.createDataFrame([(grams.index(g), j, len(c)) for j, (_, _, c) in enumerate(clauses) for g in c], "gram int, clause int, n int")
     kind_of = F.create_map(*[x for j, (k, _, _) in enumerate(clauses) for x in (F.lit(j), F.lit(k))])
     hits = postings.distinct().join(F.broadcast(need), "gram").groupBy("_doc", "clause").agg(F.count("*").alias("have"), F.min("n").alias("n"))
