@@ -21,18 +21,29 @@ FIT_ROWS, FIT_FEATURES = 12_000, 2_048
 class Hasher:
     """Hashed character n-grams of texts with the logarithms of their counts, one text at a time."""
 
-    def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted hashes of the n-grams in the lower-cased text, white space as single blanks around each word; log(1 + count)."""
+    def hashes(self, text: str | None) -> Iterator[np.ndarray]:
+        """Hashes of the n-grams in the lower-cased text, white space as single blanks around each word; long texts in pieces."""
         words = (text or "").lower().split()
         chars = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        counts = np.zeros(1 << BITS, np.int64)
         for at in range(0, len(chars), 1 << 16):  # pieces overlap by what the longest n-gram needs
-            found = []
             for n, h in self.rolling(chars[at : at + (1 << 16) + max(SIZES) - 1]):
                 own = h[: max(0, min(1 << 16, len(chars) - at - n + 1))]  # those that start in this piece
-                found.append(((own ^ (own >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - BITS))
-            if found:
-                counts += np.bincount(np.concatenate(found), minlength=1 << BITS)
+                yield ((own ^ (own >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - BITS)
+
+    def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted hashes of a text's n-grams; log(1 + count)."""
+        counts = np.zeros(1 << BITS, np.int64)
+        for h in self.hashes(text):
+            counts += np.bincount(h, minlength=1 << BITS)
+        out = np.flatnonzero(counts)
+        return out, np.log1p(counts[out])
+
+    def among(self, text: str | None, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those n-grams only that place (by hash) numbers 0 to n - 1, by number; others are -1 there."""
+        counts = np.zeros(n, np.int64)
+        for h in self.hashes(text):
+            at = place[h]
+            counts += np.bincount(at[at >= 0], minlength=n)
         out = np.flatnonzero(counts)
         return out, np.log1p(counts[out])
 
@@ -60,6 +71,13 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.weights[features] @ values + self.bias, -30, 30))))
 
 
+def places(kept: np.ndarray) -> np.ndarray:
+    """Number of each hash among the kept ones (sorted), -1 if it is none."""
+    out = np.full(1 << BITS, -1, np.int32)
+    out[kept] = np.arange(len(kept))
+    return out
+
+
 def log_count_ratios(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
     """Log ratio of the smoothed shares of toxic and clean texts that hold each feature."""
     return np.log((toxic + 1) / (n_toxic + 2)) - np.log((clean + 1) / (n_clean + 2))
@@ -122,13 +140,12 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None, feat
     kept = np.sort(np.argsort(-evidence, kind="stable")[:features] if features else np.flatnonzero(toxic + clean))
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher, place = Hasher(), places(kept)
         for b in batches:
             found = []
             for t in b.column(0):
-                own, values = hasher.features(t.as_py())
-                _, i, j = np.intersect1d(kept, own, assume_unique=True, return_indices=True)
-                found.append((i.astype(np.int32).tobytes(), values[j].astype(np.float32).tobytes()))
+                own, values = hasher.among(t.as_py(), place, len(kept))
+                found.append((own.astype(np.int32).tobytes(), values.astype(np.float32).tobytes()))
             yield pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)), b.column(1)], ["held", "value", "toxic"])
 
     sparse = rows.mapInArrow(reduce, "held binary, value binary, toxic int").orderBy(F.xxhash64("held", "value"), "toxic").limit(FIT_ROWS).toPandas()
@@ -142,12 +159,14 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None, feat
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score (0 to 1) appended; null and empty texts score as texts without any n-gram of a word."""
     kept = [c for c in docs.columns if c != "score"]
-    held = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
+    used = np.flatnonzero(model.weights)
+    held = docs.sparkSession.sparkContext.broadcast((used, model.weights[used].astype(np.float32), model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, own = Hasher(), Model(*held.value)
+        used, weights, bias = held.value
+        hasher, own, place = Hasher(), Model(weights, bias), places(used)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([own.score(*hasher.features(t.as_py())) for t in b.column("text")])], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([own.score(*hasher.among(t.as_py(), place, len(used))) for t in b.column("text")], pa.float64())], [*kept, "score"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     return docs.select(*kept).mapInArrow(run, f"{schema}, score double")
