@@ -135,3 +135,61 @@ def rules(c: Column, question: Column, key: Column) -> dict[str, Column]:
 def swapped(questions: DataFrame, reader: str, other: str) -> DataFrame:
     """questions with one reader's answers replaced by another's; true_<reader> keeps its own for comparisons."""
     return questions.withColumn(f"true_{reader}", F.col(reader)).withColumn(reader, F.col(other))
+
+
+#: Words of a sentence, and a lead-in, in a prediction.
+SENTENCE, LEAD = r"(?i)\b(the|is|are|was|were|of|to|and|for|in|on|at)\b", r"(?i)^\s*(the\s+)?answer\s+is\b"
+PERSON = r"(?i:\b(mr|mrs|ms|dr|prof)\.?\b)|[A-Z][a-z]+\s+[A-Z][a-z]+"
+
+
+def output_features(c: Column, x: Column, question: Column, full: Column, patch: Column) -> dict[str, Column]:
+    """Features of one reader's output x among the candidates c of its question: text, types, agreement, lengths, OCR presence.
+
+    Nothing here looks at the gold answer. Ties for the shortest go to the default reader, ties for the longest to another.
+    """
+    one = lambda test: F.coalesce(test, F.lit(False)).cast("double")
+    p, n = F.coalesce(x["pred"], F.lit("")), x["norm"]
+    toks = F.filter(F.split(n, " "), lambda w: w != "")
+    date, percent = F.rlike(p, F.lit(T.PREDICTION_DATE)), F.rlike(p, F.lit(T.PREDICTION_PERCENT))
+    out = {f"route_{r}": one(x["route"] == r) for r in ROUTES}
+    out |= {
+        "len_chars": F.length(p).cast("double"), "len_tokens": F.size(toks).cast("double"), "is_empty": one(F.size(toks) == 0), "is_single_token": one(F.size(toks) == 1),
+        "digit_frac": F.length(F.regexp_replace(p, r"\P{Nd}", "")) / F.greatest(F.lit(1), F.length(p)),
+        "is_numeric": one((F.size(toks) > 0) & ~F.rlike(n, F.lit(r"\p{L}")) & F.rlike(p, F.lit(r"\d")) & ~date & ~F.contains(p, F.lit("%"))),
+        "is_date_like": one(date), "is_amount_like": one(F.rlike(p, F.lit(T.PREDICTION_AMOUNT))), "is_percent_like": one(percent), "is_person_like": one(F.rlike(p, F.lit(PERSON))),
+        "contains_sentence_words": one(F.rlike(p, F.lit(SENTENCE)) & (F.size(toks) >= 4)), "starts_with_answer_is": one(F.rlike(p, F.lit(LEAD))),
+    }
+    ptype, qtype = T.prediction_type(p), T.question_type(question)
+    out |= {f"pred_type_{k}": one(ptype == k) for k in ("empty", "numeric", "percent", "amount", "date", "person", "phrase")}
+    out |= {f"qtype_{k}": one(qtype == k) for k in ("count", "percent", "date", "person", "location", "value", "phrase")}
+    out["answer_type_match"] = T.type_match(qtype, ptype)
+    own = nonempty(c)
+    same = lambda y: F.size(F.filter(own, lambda z: z["norm"] == y["norm"]))
+    most = F.coalesce(F.array_max(F.transform(own, same)), F.lit(0))
+    leader = F.try_element_at(F.array_sort(F.transform(own, lambda y: F.struct((-same(y)).alias("n"), y["pos"].alias("pos"), y["norm"].alias("norm")))), F.lit(1))["norm"]
+    others = F.filter(own, lambda y: y["route"] != x["route"])
+    sims = F.transform(others, lambda y: T.similarity(n, y["norm"]))
+    some = (n != "") & (F.size(others) > 0)
+    ends = lambda sign: F.try_element_at(F.array_sort(F.transform(own, lambda y: F.struct((sign * F.length(y["norm"])).alias("n"), F.when(y["route"] == ROUTES[0], 0 if sign > 0 else 1).otherwise(1 if sign > 0 else 0).alias("d"), y["pos"].alias("pos"), y["route"].alias("route")))), F.lit(1))["route"]
+    out |= {
+        "agreement_size": most.cast("double"), "n_same_normalized": F.when(n != "", same(x)).otherwise(0).cast("double"), "in_majority": one((n != "") & (n == leader) & (most >= 2)),
+        "agree_count": F.when(n != "", F.size(F.filter(others, lambda y: y["norm"] == n))).otherwise(0).cast("double"),
+        "edit_sim_mean": F.when(some, F.aggregate(sims, F.lit(0.0), lambda s, v: s + v) / F.size(sims)).otherwise(0.0), "edit_sim_max": F.when(some, F.array_max(sims)).otherwise(0.0),
+        "is_substring_of_other": one(some & F.exists(others, lambda y: (y["norm"] != n) & F.contains(y["norm"], n))), "other_is_substring": one(some & F.exists(others, lambda y: (y["norm"] != n) & F.contains(n, y["norm"]))),
+        "is_shortest_nonempty": one(x["route"] == ends(1)), "is_longest_nonempty": one(x["route"] == ends(-1)),
+    }
+    whole, part = T.normalize_answer(full), T.normalize_answer(patch)
+    return out | {"pred_in_full_ocr": one((n != "") & F.contains(whole, n)), "pred_in_patch_ocr": one((n != "") & F.contains(part, n)), "ocr_full_chars": F.length(whole).cast("double"), "ocr_patch_chars": F.length(part).cast("double")}
+
+
+def router_features(c: Column, question: Column) -> dict[str, Column]:
+    """Features of a question before a reader is chosen: each reader's lengths and emptiness, agreement, the question's type."""
+    own = nonempty(c)
+    out = {}
+    for i, r in enumerate(ROUTES):
+        n = c[i]["norm"]
+        out |= {f"{r}_len_chars": F.length(F.coalesce(c[i]["pred"], F.lit(""))).cast("double"), f"{r}_len_tokens": F.size(F.filter(F.split(n, " "), lambda w: w != "")).cast("double"), f"{r}_is_empty": (n == "").cast("double")}
+    kinds = F.size(F.array_distinct(F.transform(own, lambda y: y["norm"])))
+    out |= {"n_distinct": kinds.cast("double"), "n_nonempty": F.size(own).cast("double"), "all_agree": ((kinds == 1) & (F.size(own) == len(ROUTES))).cast("double")}
+    qtype = T.question_type(question)
+    return out | {f"qtype_{k}": (qtype == k).cast("double") for k in ("count", "percent", "date", "person", "location", "value", "phrase")}

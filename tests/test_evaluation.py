@@ -198,3 +198,50 @@ def test_answer_lists(spark):
     cases = {'["a", "b", "a"]': ["a", "b"], "[\"['0.28']\"]": ["0.28"], "plain": ["plain"], '[["x"], " "]': ["x"], "": [], None: [], "[broken": ["[broken"]}
     got = {r[0]: r[1] for r in spark.createDataFrame([(k,) for k in cases], "c string").select("c", Tb.answers_of(F.col("c"))).collect()}
     assert got == cases
+
+
+def test_parsed_questions(spark):
+    cases = {
+        "What are the options held by S. H. Khan?": (["khan"], ["options", "held"], "number"),
+        'What is the "brown metal" price for Acme Corp in 2021?': (["brown", "metal", "acme", "corp", "2021"], ["price"], "currency"),
+        "Which patient John Smith met": (["john", "smith", "met"], ["patient"], "number"),
+        "When was 12.5 paid to Mary": (["12.5", "mary"], ["paid"], "date"),
+        "": ([], [], "number"),
+        None: ([], [], "number"),
+    }
+    got = {r[0]: r[1] for r in spark.createDataFrame([(k,) for k in cases], "q string").select("q", Z.parsed_question(F.col("q")).alias("p")).collect()}
+    for q, (entity, field, hint) in cases.items():
+        assert set(entity) <= set(got[q]["entity"]) and set(field) <= set(got[q]["field"]) and got[q]["hint"] == hint, (q, got[q])
+        assert len(set(got[q]["entity"])) == len(got[q]["entity"]) and not set(got[q]["entity"]) & set(got[q]["field"])
+
+
+def test_fuzzy_grounding(spark):
+    cases = [("brown metal", "a brwn metal box", True), ("brown metal", "x brown metal y", True), ("brown metal", "blue wood", False), ("", "x", False), ("x", "", False), (" ".join("abcdefghijkl"), " ".join("abcdefghijkm"), False), ("a b c d", "a b", False)]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(cases)], "n int, p string, t string")
+    got = [r[0] for r in df.orderBy("n").select(Z.fuzzy_grounded(F.col("p"), F.col("t"))).collect()]
+
+    def by_hand(p, t):
+        if not p or not t:
+            return False
+        if p in t:
+            return True
+        w, n = t.split()[:400], len(p.split())
+        return n <= 10 and any(difflib.SequenceMatcher(None, p, " ".join(w[i : i + n])).ratio() >= 0.82 for i in range(max(1, len(w) - n + 1)))
+
+    assert got == [by_hand(p, t) for p, t, _ in cases] and got[:5] == [x for _, _, x in cases][:5]
+
+
+def test_steps(spark):
+    from foliant import pipelines as Pl
+
+    calls = []
+
+    def shaky(s):
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("again")
+
+    got = [tuple(r) for r in Pl.run_steps(spark, [("a", shaky)], tries=3).collect()]
+    assert got == [(1, "a", "done", None)] and len(calls) == 3
+    got = [(r["step"], r["status"], r["error"]) for r in Pl.run_steps(spark, [("a", lambda s: 1 / 0), ("b", lambda s: None)]).collect()]
+    assert got == [("a", "failed", "ZeroDivisionError: division by zero"), ("b", "not run", None)]
