@@ -22,8 +22,6 @@ CAPACITY, END_ID = 4096, 1
 SHARD, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 2048, 3, 3, 12, 8
 #: Words whose ids a task remembers at most, and shards whose worst bins are packed anew together.
 MEMO, MERGE = 500_000, 64
-#: Levels of shards at most.
-LEVELS = 5
 #: A control character that the tokenizer gives an id of its own.
 MARK = "\x01"
 
@@ -304,16 +302,17 @@ def pack(items: DataFrame, capacity: int = CAPACITY, scratch: Scratch | None = N
     level = 1
     while True:
         packed = scratch.table(_pack(shard, capacity, scratch), "bins")
-        if n == 1 or level == LEVELS:
-            settled = settled.unionByName(packed.select("uid", "length", F.lit(level).alias("level"), "shard", F.col("bin").cast("long").alias("bin")))
-            break
+        own = lambda rows: rows.select("uid", "length", F.lit(level).alias("level"), "shard", F.col("bin").cast("long").alias("bin"))  # noqa: B023, E731
         fill = packed.groupBy("shard", "bin").agg(F.sum("length").alias("fill"))
         rows = packed.join(fill, ["shard", "bin"])
         full = F.col("fill") >= int(capacity * 0.98)
-        settled = settled.unionByName(rows.where(full).select("uid", "length", F.lit(level).alias("level"), "shard", F.col("bin").cast("long").alias("bin")))
-        n, level = numbered(n, MERGE), level + 1
         rest = rows.where(~full).select("uid", "length")
-        n = max(n, numbered(rest.count(), 4 * SHARD))
+        fewer = 1 if n == 1 else max(numbered(n, MERGE), numbered(rest.count(), 4 * SHARD))
+        if fewer >= n:  # no shards join any more
+            settled = settled.unionByName(own(packed))
+            break
+        settled = settled.unionByName(own(rows.where(full)))
+        n, level = fewer, level + 1
         shard = rest.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(n)))
 
     w = ["level", "shard", "bin"]
