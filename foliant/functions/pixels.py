@@ -85,3 +85,28 @@ def largest_quality(size_at, target: int, low: int = 5, high: int = 95) -> tuple
         else:
             high = mid - 1
     return (best, True) if best is not None else (5, False)
+
+
+def shrunk(pixels: np.ndarray, area: float) -> np.ndarray:
+    """The image at a share of its area by nearest pixels, sides cut to whole pixels, one at least."""
+    h, w = pixels.shape[:2]
+    s = area**0.5
+    ys, xs = (np.arange(max(1, int(n * s))) * n // max(1, int(n * s)) for n in (h, w))
+    return pixels[ys][:, xs]
+
+
+def compressed(gray: np.ndarray, variant: str, protected: np.ndarray | None = None, area: float = 0.25, pad: int = 8) -> np.ndarray:
+    """A gray page after the margin crop and a variant: margin (no more), whitespace (blank rows and columns thinned), carve (seams of
+    least energy removed), resize (shrunk to a share of the area) or whitespace_resize. protected marks text that stays."""
+    known = ("margin", "whitespace", "carve", "resize", "whitespace_resize")
+    if variant not in known:
+        raise ValueError(f"unknown variant {variant}, not one of {', '.join(known)}")
+    x, y, w, h = margin_box(gray, pad=pad)
+    keep = np.zeros(gray.shape, bool) if protected is None else protected
+    out, keep = gray[y : y + h, x : x + w], keep[y : y + h, x : x + w]
+    if variant.startswith("whitespace"):
+        rows, columns = (kept_lines(out, keep, axis) for axis in (0, 1))
+        out = out[rows][:, columns]
+    if variant == "carve":
+        out = np.take_along_axis(out, carve(out, keep), axis=1)
+    return shrunk(out, area) if variant.endswith("resize") else out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -96,14 +97,38 @@ def fit_ranker(df: DataFrame, features: list[str], label: str, weight: str | Non
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), lr]).fit(df)
 
 
-def fit_values(df: DataFrame, features: list[str], label: str, alpha: float = 1.0):
-    """Ridge regression over feature columns (penalty alpha on the sum of squares)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+@dataclass
+class Linear:
+    """A linear model over feature columns."""
+
+    features: list[str]
+    weights: list[float]
+    intercept: float
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = F.lit(self.intercept)
+        for c, w in zip(self.features, self.weights, strict=True):
+            out = out + F.col(c).cast("double") * w
+        return df.withColumn("prediction", out)
 
-    n = max(1, df.count())
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw"), LinearRegression(featuresCol="raw", labelCol=label, regParam=alpha / n, standardization=False)]).fit(df)
+
+def fit_values(df: DataFrame, features: list[str], label: str, alpha: float = 1.0) -> Linear:
+    """Ridge regression over feature columns (penalty alpha on the sum of squares, none on the intercept).
+
+    Two aggregations give the means and the centred products, a row of a few numbers per pair of features; the
+    normal equations are solved on the driver. Rows with a null are left out.
+    """
+    import numpy as np
+
+    names = [*features, label]
+    x = df.select(*[F.col(c).cast("double").alias(c) for c in names]).na.drop()
+    mean = x.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in names]).first()
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:] if a != label]
+    row = x.agg(*[F.coalesce(F.sum((F.col(a) - mean[a]) * (F.col(b) - mean[b])), F.lit(0.0)) for a, b in pairs]).first()
+    held = dict(zip(pairs, row, strict=True))
+    gram = np.array([[held[min(a, b, key=names.index), max(a, b, key=names.index)] for b in features] for a in features])
+    weights = np.linalg.lstsq(gram + alpha * np.eye(len(features)), np.array([held[a, label] for a in features]), rcond=None)[0]
+    return Linear(list(features), weights.tolist(), float(mean[label] - sum(w * mean[c] for w, c in zip(weights, features, strict=True))))
 
 
 def out_of_fold(df: DataFrame, key: str, folds: int, fit: Callable[[DataFrame], object], output: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -126,3 +151,15 @@ def pairwise(df: DataFrame, group: str, features: list[str], relevance: str) ->
     b = df.select(F.col(group), *[F.col(c).alias(f"b_{c}") for c in features], F.col(relevance).alias("rb"))
     x = a.join(b, group).where("ra <> rb")
     return x.select(group, *[(F.col(f"a_{c}") - F.col(f"b_{c}")).alias(c) for c in features], (F.col("ra") > F.col("rb")).cast("double").alias("label"))
+
+
+def select_out_of_fold(long: DataFrame, keys: list[str], features: list[str], label: str, order: list[str], folds: int = 3, alpha: float = 1.0, slack: float = 1e-9) -> DataFrame:
+    """(keys, route, predicted): per question the reader whose label a ridge model, fitted without the question's fold, predicts
+    to be largest; readers within slack of the best tie by their place in order. long has a row per question and reader (route)."""
+    x = long.withColumn("_key", F.concat_ws(":", *[F.col(k).cast("string") for k in keys]))
+    out = lambda m: m.select(*keys, "route", F.col("prediction").alias("predicted"))
+    p = out_of_fold(x, "_key", folds, lambda df: fit_values(df, features, label, alpha), out)
+    place = F.array_position(F.array(*[F.lit(r) for r in order]), F.col("route"))
+    top = p.groupBy(*keys).agg(F.max("predicted").alias("_top"))
+    near = p.join(top, keys).where(F.col("predicted") >= F.col("_top") - slack)
+    return near.groupBy(*keys).agg(F.min(F.struct(place.alias("place"), F.col("route"), F.col("predicted"))).alias("b")).select(*keys, "b.route", "b.predicted")

@@ -139,3 +139,29 @@ def edge_strip(df: DataFrame, by: list[str], position: str, k: int, rim: int = 5
     x = df.withColumn("_edges", F.count_if(edge).over(w))
     near = x.where((F.col("_edges") >= k) & edge).withColumn("_r", F.row_number().over(w.orderBy(position))).where(F.col("_r") <= k).drop("_r")
     return near.unionByName(uniform(x.where(F.col("_edges") < k), by, position, k)).drop("_edges")
+
+
+#: How the legacy patch pipeline picks, by mode: a selector's name and the score that it needs.
+MODES = {"ocr_guided": ("nms", "patch_score"), "question_aware": ("nms", "q_score"), "random": ("random", ""), "uniform": ("uniform", ""), "overview_only": ("none", "")}
+
+
+def overview_and_patches(pool: DataFrame, pages: DataFrame, mode: str, k: int, overview_pixels: int = 50_000, has_question: bool = True) -> DataFrame:
+    """(image_id, n_patches, overview_w, overview_h, overview_pixels, patch_pixels, total_pixels) of k patches of pool (image_id, idx, x,
+    y, w, h, patch_score, q_score) picked by a mode, beside an overview of pages (image_id, w, h) of about overview_pixels."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode}, not one of {', '.join(MODES)}")
+    if mode == "question_aware" and not has_question:
+        raise ValueError("question_aware needs a question")
+    how, column = MODES[mode]
+    if how == "nms":
+        kept = candidates(pool, ["image_id"], "idx", column).select("image_id", F.explode(suppress(F.col("c"), 0.5, k)).alias("p")).select("image_id", "p.idx", "p.w", "p.h")
+    elif how == "none":
+        kept = pool.limit(0).select("image_id", "idx", "w", "h")
+    else:
+        kept = (uniform(pool, ["image_id"], "idx", k) if how == "uniform" else hash_sample(pool, ["image_id"], ["image_id", "idx"], k)).select("image_id", "idx", "w", "h")
+    n = kept.groupBy("image_id").agg(F.count("*").alias("n_patches"), F.sum(F.col("w") * F.col("h")).cast("long").alias("patch_pixels"))
+    scale = F.least(F.lit(1.0), F.sqrt(F.lit(float(overview_pixels)) / (F.col("w") * F.col("h"))))
+    side = lambda c: F.greatest(F.lit(1), (F.col(c) * scale).cast("int"))
+    x = pages.select("image_id", side("w").alias("overview_w"), side("h").alias("overview_h")).join(n, "image_id", "left").na.fill(0, ["n_patches", "patch_pixels"])
+    x = x.withColumn("overview_pixels", (F.col("overview_w") * F.col("overview_h")).cast("long"))
+    return x.select("image_id", "n_patches", "overview_w", "overview_h", "overview_pixels", "patch_pixels", (F.col("overview_pixels") + F.col("patch_pixels")).alias("total_pixels"))

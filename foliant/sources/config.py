@@ -77,3 +77,33 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     """(path, content, w, h, area) of the image files under a path."""
     x = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return x.withColumn("s", image_size(F.col("content"))).select("path", "content", "s.w", "s.h", "s.area")
+
+
+def line_chart(rows: DataFrame, series: str, x: str, y: str, width: int = 400, height: int = 300) -> DataFrame:
+    """(series, points): polyline points of an SVG chart, x and y scaled to the table's ranges, in x order, half pixels kept."""
+    ends = rows.agg(*[f(F.col(c)).alias(f"{n}_{c}") for c in (x, y) for n, f in (("lo", F.min), ("hi", F.max))])
+    at = lambda c, size: F.floor((F.col(c) - F.col(f"lo_{c}")) / F.greatest(F.col(f"hi_{c}") - F.col(f"lo_{c}"), F.lit(1e-12)) * size * 2 + 0.5) / 2
+    p = rows.join(F.broadcast(ends)).select(series, F.col(x).alias("_x"), at(x, width).alias("a"), (height - at(y, height)).alias("b"))  # one row
+    text = F.concat(F.format_string("%.1f", "a"), F.lit(","), F.format_string("%.1f", "b"))
+    g = p.groupBy(series).agg(F.array_sort(F.collect_list(F.struct("_x", text.alias("t")))).alias("p"))
+    return g.select(series, F.array_join(F.col("p.t"), " ").alias("points"))
+
+
+def svg(chart: DataFrame, series: str, width: int = 400, height: int = 300) -> str:
+    """The chart's SVG text: a polyline per series, of which a chart has a few."""
+    lines = [f'<polyline fill="none" stroke="hsl({i * 67 % 360} 60% 45%)" points="{r["points"]}"><title>{r[series]}</title></polyline>' for i, r in enumerate(chart.orderBy(series).limit(64).collect())]
+    return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {width} {height}">{"".join(lines)}</svg>'
+
+
+#: Remote data sets by name: a function from a session and options to rows. None is reachable without its client and a network.
+CONNECTORS: dict[str, object] = {}
+
+
+def register_connector(name: str, load) -> None:
+    CONNECTORS[name] = load
+
+
+def connect(spark: SparkSession, name: str, **options) -> DataFrame:
+    if name not in CONNECTORS:
+        raise ValueError(f"no connector {name}; register_connector() adds one (known: {', '.join(sorted(CONNECTORS)) or 'none'})")
+    return CONNECTORS[name](spark, **options)

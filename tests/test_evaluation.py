@@ -245,3 +245,53 @@ def test_steps(spark):
     assert got == [(1, "a", "done", None)] and len(calls) == 3
     got = [(r["step"], r["status"], r["error"]) for r in Pl.run_steps(spark, [("a", lambda s: 1 / 0), ("b", lambda s: None)]).collect()]
     assert got == [("a", "failed", "ZeroDivisionError: division by zero"), ("b", "not run", None)]
+
+
+def test_ridge(spark):
+    import numpy as np
+
+    from foliant.operators import models as Mo
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 3)) * [1, 5, 0.2] + [0, 100, 3]
+    y = x @ [0.5, -2.0, 7.0] + 3 + rng.standard_normal(60)
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y, strict=True)] + [(None, 1.0, 1.0, 1.0)], "a double, b double, c double, y double").repartition(3)
+    m = Mo.fit_values(df, ["a", "b", "c"], "y", 2.0)
+    c = x - x.mean(0)
+    want = np.linalg.solve(c.T @ c + 2 * np.eye(3), c.T @ (y - y.mean()))
+    assert m.weights == pytest.approx(want.tolist()) and m.intercept == pytest.approx(y.mean() - want @ x.mean(0))
+    assert Mo.fit_values(df.limit(0), ["a"], "y").intercept == 0
+
+
+def test_page_compression():
+    import numpy as np
+
+    from foliant.functions import pixels as Px
+
+    page = np.full((60, 80), 255, np.uint8)
+    page[20:30, 10:40] = 0
+    assert Px.compressed(page, "margin", pad=2).shape == (14, 34)
+    assert Px.compressed(page, "resize", area=0.25, pad=2).shape == (7, 17)
+    wide = np.full((60, 80), 255, np.uint8)
+    wide[[2, 57]] = 0
+    thin = Px.compressed(wide, "whitespace", pad=0)
+    assert thin.shape[0] < 56 and thin.shape[1] == 80 and (thin[[0, -1]] == 0).all()
+    carved = Px.compressed(page, "carve", protected=page == 0, pad=6)
+    assert carved.shape[0] == 22 and carved.shape[1] < 42 and (carved == 0).sum() == 300
+    with pytest.raises(ValueError):
+        Px.compressed(page, "zip")
+    assert Px.shrunk(np.arange(16).reshape(4, 4), 0.25).tolist() == [[0, 2], [8, 10]]
+
+
+def test_connectors_and_modes(spark):
+    with pytest.raises(ValueError, match="no connector"):
+        C.connect(spark, "elsewhere")
+    df = spark.createDataFrame([("a", 0, 0, 0, 10, 10, 0.1, 0.2)], "image_id string, idx long, x long, y long, w long, h long, patch_score double, q_score double")
+    pages = spark.createDataFrame([("a", 1000, 500)], "image_id string, w int, h int")
+    with pytest.raises(ValueError, match="needs a question"):
+        Sel.overview_and_patches(df, pages, "question_aware", 1, has_question=False)
+    got = Sel.overview_and_patches(df, pages, "question_aware", 1).first()
+    assert (got["n_patches"], got["overview_w"], got["overview_h"], got["patch_pixels"]) == (1, 316, 158, 100)
+    chart = C.line_chart(spark.createDataFrame([("s", 0, 1.0), ("s", 1, 3.0), ("t", 0, 2.0)], "m string, x int, y double"), "m", "x", "y", 100, 50)
+    assert {r["m"]: r["points"] for r in chart.collect()} == {"s": "0.0,50.0 100.0,0.0", "t": "0.0,25.0"}
+    assert C.svg(chart, "m", 100, 50).count("<polyline") == 2
