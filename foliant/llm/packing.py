@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 import sys
 import types
@@ -53,6 +54,7 @@ class Tokens:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has a core of its own
         from tokenizers import Tokenizer
 
         kept = sys.modules.setdefault("_foliant_tokens", types.ModuleType("_foliant_tokens"))
@@ -61,11 +63,15 @@ class Tokens:
             kept.last = np.zeros(kept.tokenizer.get_vocab_size(), bool)
             kept.last[[i for x, i in kept.tokenizer.get_vocab().items() if x.endswith("</w>")]] = True
         self.tokenizer, self.memo, self.last = kept.tokenizer, kept.memo, kept.last
-        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = self._ids(MARK)
         self.ends = {x: self._encode(x) for x in ",."}
 
+    def _ids(self, text: str) -> list[int]:
+        """Ids without the places in the text, which the fast call leaves out."""
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.array(self._ids(text), dtype="<u4").tobytes()
 
     def ids(self, text: str | None) -> bytes:
         text = text or ""
@@ -74,12 +80,12 @@ class Tokens:
         self.memo.turn()
         chunks = text.replace("\n", " ").split(" ")
         young = self.memo.young
-        fresh = [c for c in set(chunks) if c not in young]
+        fresh = set(chunks).difference(young)
         if fresh:
             self._learn(fresh)
-        return b"".join([young[c] for c in chunks])
+        return b"".join(map(young.__getitem__, chunks))
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: set[str]) -> None:
         young, old, parts = self.memo.young, self.memo.old, []
         for c in chunks:
             if c in old:
@@ -99,7 +105,7 @@ class Tokens:
         by a mark of one id that no other text has."""
         young, plain = self.memo.young, [w for w in words if _latin(w)]
         if plain:
-            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self._ids(" ".join(plain)), dtype="<u4")
             cut, data = (4 * np.flatnonzero(self.last[ids]) + 4).tolist(), ids.tobytes()
             for w, a, b in zip(plain, [0, *cut[:-1]], cut, strict=True):
                 young[w] = data[a:b]
@@ -107,7 +113,7 @@ class Tokens:
         if len(self.mark) != 1 or any(MARK in w for w in rest):
             young.update((w, self._encode(w)) for w in rest)
         elif rest:
-            ids = np.array(self.tokenizer.encode(f" {MARK} ".join(rest), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self._ids(f" {MARK} ".join(rest)), dtype="<u4")
             cut, data = 4 * np.flatnonzero(ids == self.mark[0]), ids.tobytes()
             for w, a, b in zip(rest, [0, *(cut + 4).tolist()], [*cut.tolist(), len(data)], strict=True):
                 young[w] = data[a:b]
