@@ -47,47 +47,21 @@ def diverse(c: Column, k: int, weight: float = 0.75) -> Column:
     of k or fewer comes back whole, in pool order.
     """
     top = F.array_max(F.transform(c, lambda x: x["score"]))
-    none = F.filter(c, lambda x: F.lit(False))
+    rated = lambda t: F.transform(c, lambda x: F.struct(F.when(t > 0, x["score"] / t).otherwise(0.0).alias("rel"), F.lit(0.0).alias("worst"), x.alias("x")))
+    start = let(top, lambda t: F.struct(rated(t).alias("left"), F.filter(c, lambda x: F.lit(False)).alias("out")))
 
     def step(acc: Column, _: Column) -> Column:
-        left = F.filter(c, lambda x: ~F.exists(acc, lambda y: y["idx"] == x["idx"]))
-        share = lambda x: F.when(top > 0, x["score"] / top).otherwise(0.0)
-        worst = lambda x: F.coalesce(F.array_max(F.transform(acc, lambda y: G.iou(y, x))), F.lit(0.0))
-        rated = F.transform(left, lambda x: F.struct((-(weight * share(x) - (1 - weight) * worst(x))).alias("s"), x["idx"].alias("i"), x.alias("x")))
-        return F.concat(acc, F.array(F.array_sort(rated)[0]["x"]))
-
-    return F.when(F.size(c) <= k, c).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(k)), none, step))
-
-
-def uniform(df: DataFrame, by: list[str], position: str, k: int) -> DataFrame:
-    """Every n/k-th row of a group by position, at floor(i * n / k); all if there are no more than k."""
-    w = Window.partitionBy(*by)
-    x = df.withColumn("_at", F.row_number().over(w.orderBy(position)) - 1).withColumn("_n", F.count("*").over(w))
-    taken = F.exists(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * F.col("_n") / k) == F.col("_at"))
-    return x.where((F.col("_n") <= k) | taken).drop("_at", "_n")
-
-
-def hash_order(*keys: Column, seed: int = 42) -> Column:
-    """A random-looking order that every engine can repeat: an MD5 of the seed and the keys."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys]))
-
+        """Each candidate left carries its largest overlap with the picks so far, so a pick adds one comparison per candidate."""
+        best = F.array_min(F.transform(acc["left"], lambda y: F.struct((-(weight * y["rel"] - (1 - weight) * y["worst"])).alias("s"), y["x"]["idx"].alias("i"), y["x"].alias("x"))))["x"]
 
-def hash_sample(df: DataFrame, by: list[str], keys: list[str], k: int, seed: int = 42) -> DataFrame:
-    """k rows of each group in hash order."""
-    w = Window.partitionBy(*by).orderBy(hash_order(*[F.col(c) for c in keys], seed=seed), *keys)
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+        def taken(b: Column) -> Column:
+            others = F.filter(acc["left"], lambda y: y["x"]["idx"] != b["idx"])
+            left = F.transform(others, lambda y: F.struct(y["rel"].alias("rel"), F.greatest(y["worst"], G.iou(b, y["x"])).alias("worst"), y["x"].alias("x")))
+            return F.struct(left.alias("left"), F.concat(acc["out"], F.array(b)).alias("out"))
 
+        return let(best, taken)
 
-def union_pool(df: DataFrame, by: list[str], position: str, limits: dict[str, int]) -> DataFrame:
-    """Ordered union of the best rows by several scores, each row at its first place; adds place (from 1)."""
-    lists = []
-    for n, (score, k) in enumerate(limits.items()):
-        lists.append(top_k(df, by, score, position, k, "_r").select(*by, position, F.lit(n).alias("_n"), "_r"))
-    every = lists[0]
-    for x in lists[1:]:
-        every = every.unionByName(x)
-    first = every.groupBy(*by, position).agg(F.min(F.struct("_n", "_r")).alias("_at"))
-    return first.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("_at", position))).drop("_at")
+    return F.when(F.size(c) <= k, c).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(k)), start, step, lambda acc: acc["out"]))
 
 
 def pair(q: Column, e: Column, overlap: float = 0.35) -> Column:
