@@ -86,24 +86,31 @@ class Tokens:
         return b"".join(map(young.__getitem__, chunks))
 
     def _learn(self, chunks: set[str]) -> None:
-        young, old, parts = self.memo.young, self.memo.old, []
+        young, old, ends, parts, fresh = self.memo.young, self.memo.old, self.ends, [], set()
         for c in chunks:
             if c in old:
                 young[c] = old[c]
                 continue
-            end = c[-1] if len(c) > 1 and c[-1] in self.ends and _latin(c[-2]) else ""
-            word = c[:-1] if end else c
-            parts.append((c, word.lower() if word.isascii() else word, end))
-        fresh = list({w for _, w, _ in parts if w not in young})
+            end = c[-1:]
+            if end in ends and len(c) > 1 and _latin(c[-2]):
+                word = c[:-1]
+            else:
+                word, end = c, ""
+            if word.isascii():
+                word = word.lower()
+            if word not in young:
+                fresh.add(word)
+            if end or word is not c:
+                parts.append((c, word, end))
         if fresh:
-            self._encode_all(fresh)
-        for c, w, end in parts:
-            young[c] = young[w] + self.ends[end] if end else young[w]
+            self._encode_all(list(fresh))
+        for c, word, end in parts:
+            young[c] = young[word] + ends[end] if end else young[word]
 
     def _encode_all(self, words: list[str]) -> None:
         """Ids of words from two calls. Words of letters are one unit each, whose last id ends a word; the others are joined
         by a mark of one id that no other text has."""
-        young, plain = self.memo.young, [w for w in words if _latin(w)]
+        young, plain = self.memo.young, [w for w in words if (w.isascii() and w.isalpha()) or _latin(w)]
         if plain:
             ids = np.array(self._ids(" ".join(plain)), dtype="<u4")
             cut, data = (4 * np.flatnonzero(self.last[ids]) + 4).tolist(), ids.tobytes()
