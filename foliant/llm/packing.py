@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import random
 import sys
@@ -62,10 +63,23 @@ class Tokens:
             kept.path, kept.tokenizer, kept.memo = path, Tokenizer.from_file(path), Memo()
             kept.last = np.zeros(kept.tokenizer.get_vocab_size(), bool)
             kept.last[[i for x, i in kept.tokenizer.get_vocab().items() if x.endswith("</w>")]] = True
-        self.tokenizer, self.memo, self.last = kept.tokenizer, kept.memo, kept.last
+            kept.plain = self._plain(kept.tokenizer)
+        self.tokenizer, self.plain, self.memo, self.last = kept.tokenizer, kept.plain, kept.memo, kept.last
         self.mark = self._ids(MARK)
         self.ends = {x: self._encode(x) for x in ",."}
 
+    @staticmethod
+    def _plain(tokenizer):
+        """The tokenizer without its normaliser and patterns, for lower-case words of letters between blanks; itself if a probe differs."""
+        from tokenizers import Tokenizer
+
+        own = json.loads(tokenizer.to_str())
+        own["normalizer"] = None
+        level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        own["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, level]}
+        probe, out = "the of internationalisation zq naïve straße übermäßig ñandú çok x", Tokenizer.from_str(json.dumps(own))
+        return out if out.encode(probe, add_special_tokens=False).ids == tokenizer.encode(probe, add_special_tokens=False).ids else tokenizer
+
     def _ids(self, text: str) -> list[int]:
         """Ids without the places in the text, which the fast call leaves out."""
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -96,7 +110,7 @@ class Tokens:
                 word = c[:-1]
             else:
                 word, end = c, ""
-            if word.isascii():
+            if word.isascii() or _latin(word):
                 word = word.lower()
             if word not in young:
                 fresh.add(word)
@@ -112,7 +126,7 @@ class Tokens:
         by a mark of one id that no other text has."""
         young, plain = self.memo.young, [w for w in words if (w.isascii() and w.isalpha()) or _latin(w)]
         if plain:
-            ids = np.array(self._ids(" ".join(plain)), dtype="<u4")
+            ids = np.array(self.plain.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
             cut, data = (4 * np.flatnonzero(self.last[ids]) + 4).tolist(), ids.tobytes()
             for w, a, b in zip(plain, [0, *cut[:-1]], cut, strict=True):
                 young[w] = data[a:b]
@@ -161,7 +175,7 @@ class Bins:
     def __init__(self, capacity: int, bins: list[list[int]], sizes: list[int]):
         self.capacity, self.sizes = capacity, sizes
         self.bins = bins
-        self.free = sorted((capacity - sum(sizes[i] for i in b), k) for k, b in enumerate(bins))
+        self.free = sorted((capacity - sum(map(sizes.__getitem__, b)), k) for k, b in enumerate(bins))
 
     def best_fit(self, items: list[int]) -> list[list[int]]:
         """The bins after the items, longest first, have been put into them or into new ones."""
@@ -185,19 +199,21 @@ def least_bins(sizes: list[int], capacity: int) -> int:
 
 def fitness(bins: list[list[int]], sizes: list[int], capacity: int) -> tuple[int, float]:
     """Fewer bins first, then fuller full ones (sum of squared fills), both to be minimised."""
-    return len(bins), -sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins)
+    size = sizes.__getitem__
+    return len(bins), -sum((sum(map(size, b)) / capacity) ** 2 for b in bins)
 
 
 def cross(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
     """Child of two packings: a's well-filled bins go whole into b, bins of b that share an item with them are
     taken apart, and the displaced items are put back by best fit."""
-    fills = sorted(range(len(a)), key=lambda k: (-sum(sizes[i] for i in a[k]), rng.random()))
+    size = sizes.__getitem__
+    fills = sorted(range(len(a)), key=lambda k: (-sum(map(size, a[k])), rng.random()))
     injected = [list(a[k]) for k in fills[: max(1, rng.randint(1, max(1, len(a) // 2)))]]
     held = {i for x in injected for i in x}
     kept, loose = [], []
     for x in b:
         if held.isdisjoint(x):
-            kept.append(list(x))
+            kept.append(x.copy())
         else:
             loose += [i for i in x if i not in held]
     return Bins(capacity, injected + kept, sizes).best_fit(loose)
@@ -205,7 +221,7 @@ def cross(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity: in
 
 def mutate(a: list[list[int]], sizes: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
     """Empties some of the worst-filled bins and one other, and puts their items back by best fit."""
-    order = sorted(range(len(a)), key=lambda k: sum(sizes[i] for i in a[k]))
+    order = sorted(range(len(a)), key=lambda k: sum(map(sizes.__getitem__, a[k])))
     gone = set(order[: rng.randint(1, min(4, len(a)))]) | {rng.randrange(len(a))}
     return Bins(capacity, [list(x) for k, x in enumerate(a) if k not in gone], sizes).best_fit([i for k in gone for i in a[k]])
 
