@@ -116,7 +116,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 5, scratch: Scra
     c = c.withColumn("_copy", F.dense_rank().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("_copy") <= k + 1).drop("_id", "_copy")
     q, c = (scratch.table(d.withColumn("uid", F.monotonically_increasing_id()), "vectors") for d in (q, c))
     qs, cs = (scratch.table(code_rows(d), "codes") for d in (q, c))
-    n_queries = qs.count()
+    n_queries, dim = qs.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(0))).first()
     nq, nc = numbered(n_queries, QUERY_ROWS), numbered(cs.count(), CANDIDATE_ROWS)
     own = lambda n: F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int")
     left = qs.withColumn("qb", own(nq)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
@@ -129,7 +129,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 5, scratch: Scra
     found = found.join(kth, F.col("q") == F.col("_q"), "left").where("least is null or high >= least").select("q", "c")
     pairs = found.join(c.select(F.col("uid").alias("c"), "vec_id", F.col("embedding").alias("v")), "c")
     wide = q.select(F.col("uid").alias("q"), F.col("vec_id").alias("query_id"), "embedding")
-    pairs = pairs.join(small_or_shuffled(wide, 4096) if n_queries else wide, "q").select("query_id", "embedding", "vec_id", "v")
+    pairs = pairs.join(small_or_shuffled(wide, 64 + 8 * dim), "q").select("query_id", "embedding", "vec_id", "v")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps = Heaps(k)

@@ -141,7 +141,7 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, contain
     found = found.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("label", "share"))).alias("hits"))
     found = scratch.table(found.withColumnRenamed("_key", "_k"), "hits")
     none = F.array().cast("array<struct<label:string,share:double>>")
-    return slim.drop("held").join(small_or_shuffled(found, 96), F.col("_key") == F.col("_k"), "left").select(id_col, "n_words", "base", F.coalesce("hits", none).alias("hits"))
+    return slim.drop("held").join(small_or_shuffled(found, 64 + 48 * len(templates)), F.col("_key") == F.col("_k"), "left").select(id_col, "n_words", "base", F.coalesce("hits", none).alias("hits"))
 
 
 def op6_licenses(spark, sf_dir: str) -> DataFrame:

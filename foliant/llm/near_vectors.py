@@ -183,7 +183,7 @@ def near_vectors(rows: DataFrame, least: float = 0.93, confidence: float | None
     # written first, so that the join has two plain exchanges and a large component is split over tasks
     ids = scratch.table(out.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
     out = scratch.table(out.join(ids, "root").select(F.col("_key").alias("_k"), "n_links", "component_id"), "members")
-    joined = keyed.join(small_or_shuffled(out, 64), F.col("_key") == F.col("_k"), "left").drop("_key", "_k")
+    joined = keyed.join(small_or_shuffled(out, 128), F.col("_key") == F.col("_k"), "left").drop("_key", "_k")
     joined = joined.withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long")).withColumn("component_id", F.coalesce("component_id", "vec_id"))
     return joined.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

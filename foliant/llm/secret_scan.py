@@ -173,7 +173,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
     hits = postings.distinct().join(F.broadcast(need), "gram").groupBy("_doc", "clause").agg(F.count("*").alias("have"), F.min("n").alias("n"))
     found = scratch.table(hits.where("have = n").groupBy("_doc").agg(F.collect_set(kind_of[F.col("clause")]).alias("_kinds")), "candidates")
     scratch.drop(postings)
-    rows = docs.withColumn("_key", key).join(small_or_shuffled(found, 64), F.col("_key") == F.col("_doc"), "left").drop("_key", "_doc")
+    rows = docs.withColumn("_key", key).join(small_or_shuffled(found, 64 + 32 * len(rules)), F.col("_key") == F.col("_doc"), "left").drop("_key", "_doc")
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
     spans = []
     for n, r in enumerate(rules):

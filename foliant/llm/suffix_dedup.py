@@ -393,7 +393,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", scratch: Scratch | N
     wanted = wanted.select("row", F.col("sha").alias("_sha"), "_id", "at", F.col("spans").alias("spans"))
     text = F.coalesce(F.col("text"), F.lit(""))
     some = docs.select(id_col, text.alias("text")).where(F.octet_length("text") >= LEAST_BYTES).withColumn("sha", F.sha2("text", 256))
-    texts = some.join(small_or_shuffled(scratch.table(wanted, "wanted"), 512), (F.col("sha") == F.col("_sha")) & F.col(id_col).eqNullSafe(F.col("_id")))
+    texts = some.join(scratch.table(wanted, "wanted"), (F.col("sha") == F.col("_sha")) & F.col(id_col).eqNullSafe(F.col("_id")))
     texts = scratch.table(texts.select("row", "text", "at", "spans"), "texts")
 
     part = lambda hot: _contexts(texts.withColumn("at", F.filter("at", lambda x: x["hot"] == F.lit(hot))).where(F.size("at") > 0))
