@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, licenses, mixing, near_vectors, packing, secret_scan, simhash, suffix_dedup, toxicity, warc
+from . import ann, licenses, mixing, near_vectors, packing, prefix_trie, secret_scan, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash": simhash.op10_simhash,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
 }
 ORACLES = {
     "op1_mix": mixing.ORACLE_SQL,
@@ -23,4 +24,5 @@ ORACLES = {
     "op6_licenses": licenses.ORACLE_SQL,
     "op7_near_vectors": near_vectors.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
+    "op12_prefix_trie": prefix_trie.ORACLE_SQL,
 }
