@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, licenses, mixing, near_vectors, packing, prefix_trie, secret_scan, simhash, suffix_dedup, toxicity, warc
+from . import alignment, ann, licenses, mixing, near_vectors, packing, prefix_trie, secret_scan, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash": simhash.op10_simhash,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_alignment": alignment.op13_alignment,
 }
 ORACLES = {
     "op1_mix": mixing.ORACLE_SQL,
