@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -135,8 +135,8 @@ def ends_digests(ends: DataFrame, scratch: Scratch) -> DataFrame:
     return dealt.repartition("node").sortWithinPartitions("node", "first").select("node", "ids").mapInArrow(hash_chunks, "node binary, sha string")
 
 
-def subtree_sums(nodes: DataFrame, values: list[str], scratch: Scratch) -> DataFrame:
-    """nodes (node, parent, values) as node, values: each value summed over the node's subtree, itself included.
+def subtree_sums(nodes: DataFrame, values: list[str], root: Column, scratch: Scratch) -> DataFrame:
+    """nodes (node, parent, values) as node, values: each value summed over the node's subtree, itself included; root is the node on top.
 
     Pointer jumping: after round k a node holds the sum over descendants less than 2^k below it and its ancestor 2^k above. A
     round adds to each node what the nodes 2^k below have summed (one aggregation by ancestor, partial on the map side) and doubles
@@ -146,9 +146,10 @@ def subtree_sums(nodes: DataFrame, values: list[str], scratch: Scratch) -> DataF
     while not t.where("jump is not null").isEmpty():
         below = t.where("jump is not null").groupBy(F.col("jump").alias("node")).agg(*[F.sum(v).alias(f"_{v}") for v in values])
         above = t.select(F.col("node").alias("jump"), F.col("jump").alias("_next"))
-        # rows at the end of their way need no further jump, so null keys don't gather anywhere
-        going = t.where("jump is not null").join(above, "jump", "left").drop("jump").withColumnRenamed("_next", "jump")
-        both = going.unionByName(t.where("jump is null")).join(below, "node", "left")
+        # only rows that have not reached the root look up a further jump: neither it nor null gathers rows
+        ended = F.col("jump").isNull() | (F.col("jump") == root)
+        going = t.where(~ended).join(above, "jump", "left").drop("jump").withColumnRenamed("_next", "jump")
+        both = going.unionByName(t.where(ended).withColumn("jump", F.lit(None).cast("binary"))).join(below, "node", "left")
         new = scratch.table(both.select("node", "jump", *[(F.col(v) + F.coalesce(f"_{v}", F.lit(0))).alias(v) for v in values]), "jumps")
         scratch.drop(t)
         t = new
@@ -174,7 +175,7 @@ def prefix_trie(turns: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     children = nodes.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_children"))
     nodes = nodes.join(children.where("node is not null"), "node", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
     nodes = scratch.table(nodes.withColumn("n_leaves", (F.col("n_children") == 0).cast("long")).withColumn("saved_tokens", (F.col("n_convs") - 1) * F.col("chars")), "nodes")
-    sums = subtree_sums(nodes, ["n_leaves", "saved_tokens"], scratch)
+    sums = subtree_sums(nodes, ["n_leaves", "saved_tokens"], root, scratch)
     ends = scratch.table(steps.join(lengths, ["conv_id", "depth"]).select("node", "conv_id"), "ends")
     by_node = ends.groupBy("node").agg(F.count("*").alias("_n"), F.min("conv_id").alias("_only"))
     several = ends.join(by_node.where("_n > 1").select("node"), "node", "left_semi")
