@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, ann, licenses, mixing, near_vectors, packing, prefix_trie, secret_scan, simhash, suffix_dedup, toxicity, warc
+from . import alignment, ann, licenses, lm_scoring, mixing, near_vectors, packing, prefix_trie, secret_scan, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash": simhash.op10_simhash,
+    "op11_lm_score": lm_scoring.op11_lm_score,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_alignment": alignment.op13_alignment,
 }
