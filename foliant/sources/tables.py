@@ -26,6 +26,29 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+class Stored:
+    """Tables in work folders: they cut lineage, survive lost executors and can be dropped before the driver ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = work_folder(self.spark, name)
+        df.write.parquet(path)
+        p, out = self._path(path), self.spark.read.schema(df.schema).parquet(path)
+        p[0].deleteOnExit(p[1])
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        files, p = self._path(self.paths.pop(id(df))[1])
+        files.delete(p, True)
+
+    def _path(self, path: str) -> tuple:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
