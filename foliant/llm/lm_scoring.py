@@ -16,7 +16,7 @@ from .blobs import Numbers, pack, pack_texts, parts_of, split_by, unpack, unpack
 from .common import Scratch
 
 #: Characters of texts that a task numbers together, windows of a bucket, occurrences from which a context is dealt over buckets.
-BLOCK, BUCKET, LARGE = 24_000_000, 1_000_000, 250_000
+BLOCK, BUCKET, LARGE = 9_000_000, 1_000_000, 250_000
 #: Divergence, in nats over all its occurrences, from which a context is a state of its own.
 KEEP = 3.0
 #: Keys of the end of a text and of its start; no word holds a blank.
