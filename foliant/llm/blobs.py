@@ -24,7 +24,7 @@ def pack(*arrays: np.ndarray) -> bytes:
         heads.append(f"{a.dtype.str}:{len(a)}")
         bodies.append(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
     raw = ",".join(heads).encode() + b"\n" + b"".join(bodies)
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=4).compress(raw, asbytes=True)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:

@@ -15,8 +15,9 @@ from .alignment import ROWS, blobs_of, table_of
 from .blobs import Numbers, pack, pack_texts, parts_of, split_by, unpack, unpack_texts, vocabulary_parts
 from .common import Scratch
 
-#: Characters of texts that a task numbers together, windows of a bucket, occurrences from which a context is dealt over buckets.
-BLOCK, BUCKET, LARGE = 9_000_000, 1_000_000, 250_000
+#: Characters of texts that a task numbers together, windows of a bucket (of which a task looks at TURN at a time), buckets at
+#: least, occurrences from which a context is dealt over buckets.
+BLOCK, BUCKET, TURN, LEAST, LARGE = 15_000_000, 3_000_000, 1_000_000, 16, 750_000
 #: Divergence, in nats over all its occurrences, from which a context is a state of its own.
 KEEP = 3.0
 #: Keys of the end of a text and of its start; no word holds a blank.
@@ -109,14 +110,16 @@ class Windows:
         places, ids, c = (np.concatenate([x[k] for _, x in answers]).astype(np.int64) for k in range(3))
         word, seen = np.empty(len(places), np.int64), np.empty(len(places), np.int64)
         word[places], seen[places] = ids, c
-        self.a, self.c, self.local, self.width = word[flat], seen[flat], flat, len(places) + 1
+        word, seen = short(word), short(seen)
+        self.local, self.width = short(flat), len(places) + 1
+        self.a, self.c = word[flat], seen[flat]
         self.stop = np.cumsum(self.counts, dtype=np.int64)
         first = self.stop - self.counts
-        self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.doc = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
         # a context is followed as often as it occurs in training; START as often as texts end
-        self.w1, self.n1 = np.concatenate([[0], self.a[:-1]]), np.concatenate([[ends], self.c[:-1]])
+        self.w1, self.n1 = np.roll(self.a, 1), np.roll(self.c, 1)
         self.w1[first], self.n1[first] = 0, ends
-        self.w2, self.n2 = np.concatenate([[0], self.w1[:-1]]), np.concatenate([[ends], self.n1[:-1]])
+        self.w2, self.n2 = np.roll(self.w1, 1), np.roll(self.n1, 1)
         self.w2[first], self.n2[first] = 0, ends
         self.train = self.held[self.doc] == 0
 
@@ -126,13 +129,18 @@ class Windows:
         both = one[self.n2[one] > large]
         l1 = np.where(self.w1 == 0, self.width - 1, np.roll(self.local, 1))
         l2 = np.where(self.w2 == 0, self.width - 1, np.roll(l1, 1))
-        in_two, in_three = np.full(len(self.a), -1), np.full(len(self.a), -1)
-        _, first, in_two[one] = np.unique(l1[one] * self.width + self.local[one], return_index=True, return_inverse=True)
-        _, second, found = np.unique(l2[both] * len(one) + in_two[both], return_index=True, return_inverse=True)
+        in_two, in_three = np.full(len(self.a), -1, np.int32), np.full(len(self.a), -1, np.int32)
+        _, first, in_two[one] = np.unique(l1[one].astype(np.int64) * self.width + self.local[one], return_index=True, return_inverse=True)
+        _, second, found = np.unique(l2[both].astype(np.int64) * len(one) + in_two[both], return_index=True, return_inverse=True)
         in_three[both] = found + len(first)
         tokens = np.concatenate([one[first], both[second]])
         w2 = np.where(np.arange(len(tokens)) < len(first), -1, self.w2[tokens])
-        return np.stack([w2, self.w1[tokens], self.a[tokens]], axis=1), tokens, in_two, in_three
+        return np.stack([w2, self.w1[tokens], self.a[tokens]], axis=1).astype(np.int64), tokens, in_two, in_three
+
+
+def short(a: np.ndarray) -> np.ndarray:
+    """a in 32 bits if its numbers fit."""
+    return a.astype(np.int32) if not len(a) or int(a.max()) < 1 << 31 else a
 
 
 def dealt(columns: list[np.ndarray], n: int) -> np.ndarray:
@@ -145,7 +153,8 @@ def dealt(columns: list[np.ndarray], n: int) -> np.ndarray:
 
 
 def gram_parts(grams: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
-    return split_by(dealt([grams[:, 0] + 1, grams[:, 1], grams[:, 2]], parts)) if len(grams) else []
+    """Grams by part: those that end with the same two words are in one."""
+    return split_by(dealt([grams[:, 1], grams[:, 2]], parts)) if len(grams) else []
 
 
 def distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +199,7 @@ class Grams:
     """Distinct (context, next) pairs of a bucket and their contexts, from dense keys per window."""
 
     def __init__(self, context: np.ndarray, a: np.ndarray, width: int, train: np.ndarray):
-        key, first, self.at = np.unique(context * width + a, return_index=True, return_inverse=True)
+        key, first, self.at = np.unique(context.astype(np.int64) * width + a, return_index=True, return_inverse=True)
         self.first, self.context = first, key // width
         self.n = np.bincount(self.at, train, len(key)).astype(np.int64)
 
@@ -206,43 +215,91 @@ class Grams:
         return p[self.at]
 
 
-def large_contexts(totals: DataFrame, large: int, n: int, v: int, ends: int) -> Contexts:
-    """Statistics of contexts that occur over `large` times, from totals (s2, s1, a, n, c): words (s2 = -1) and pairs of such words.
+class GramCounts:
+    """A part's grams (s2 or -1, s1, a) with their training counts n and those of a."""
+
+    def __init__(self, blob: bytes):
+        s2, self.s1, self.a, self.n, self.c = (y.astype(np.int64) for y in unpack(blob))
+        self.s2, some = s2 - 1, self.n > 0
+        self.s2, self.s1, self.a, self.n, self.c = (y[some] for y in (self.s2, self.s1, self.a, self.n, self.c))
+
+    def shorter(self) -> np.ndarray:
+        """Count of each gram's last two words, which are a gram of the same part."""
+        ids, own = np.unique(np.concatenate([self.s1, self.a]), return_inverse=True)
+        key = own[: len(self.s1)] * len(ids) + own[len(self.s1) :]
+        two = np.flatnonzero(self.s2 < 0)
+        order = two[np.argsort(key[two])]
+        return self.n[order[np.minimum(np.searchsorted(key[order], key), len(order) - 1)]]
+
+
+def large_contexts(grams: DataFrame, large: int, n: int, v: int) -> Contexts:
+    """Statistics of contexts that occur over `large` times, from the parts' grams (blob): words (s2 = -1) and pairs of such words.
 
-    Their next tokens are spread over all parts, so their sums are Spark aggregations; what comes to the driver is a row per context, of
-    which a corpus of n tokens has fewer than 2 n / large.
+    Their next tokens are spread over all parts: each part adds up its own, Spark the parts. What comes to the driver is a row per
+    context, of which a corpus of n tokens has fewer than 2 n / large.
     """
-    p0 = (F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1))
-
-    def gains(grams: DataFrame, stats: pd.DataFrame) -> pd.DataFrame:
-        if not len(stats):
-            return stats.assign(kept=False)
-        rows = totals.sparkSession.createDataFrame(stats[["s2", "s1", "total", "kinds"]])
-        own = grams.join(F.broadcast(rows), ["s2", "s1"])
-        kinds = F.col("kinds") - (F.col("n") == 1).cast("int")
-        gain = F.sum(F.col("n") * (F.log((F.col("n") - 1 + kinds * F.col("q")) / (F.col("total") - 1 + kinds)) - F.log("q")))
-        found = own.groupBy("s2", "s1").agg(gain.alias("gain")).toPandas()
-        return stats.merge(found, on=["s2", "s1"]).assign(kept=lambda x: x["gain"] >= KEEP).drop(columns="gain")
-
-    def counted(grams: DataFrame) -> pd.DataFrame:
-        return grams.groupBy("s2", "s1").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).toPandas()
-
-    words = totals.where("s2 = -1")
-    one = gains(words.withColumn("q", p0), counted(words))
-    pairs = words.where(F.col("n") > large).select(F.col("s1").alias("s2"), F.col("a").alias("s1")).toPandas()
-    # START is no token, so its pair with the first word is no gram; pairs (START, START) only repeat START
-    if not len(one) or not len(pairs):
-        return Contexts(one)
+
+    def summed(rows) -> pd.DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for x in b.column(0):
+                    s2, s1, total, kinds, gain = rows(GramCounts(x.as_py()))
+                    first, at = distinct(s2, s1)
+                    sums = [np.bincount(at, y, len(first)) for y in (total, kinds, gain)]
+                    yield pa.RecordBatch.from_arrays([pa.array(s2[first]), pa.array(s1[first]), *(pa.array(y.astype(float)) for y in sums)], ["s2", "s1", "total", "kinds", "gain"])
+
+        found = grams.mapInArrow(run, "s2 long, s1 long, total double, kinds double, gain double").groupBy("s2", "s1")
+        return found.agg(*[F.sum(c).alias(c) for c in ("total", "kinds", "gain")]).toPandas().astype({"total": np.int64, "kinds": np.int64})
+
+    def none(some: np.ndarray) -> np.ndarray:
+        return np.zeros(int(some.sum()))
+
+    def words(g: GramCounts) -> tuple[np.ndarray, ...]:
+        one = g.s2 < 0
+        return g.s2[one], g.s1[one], g.n[one], np.ones(int(one.sum())), none(one)
+
+    def frequent(g: GramCounts) -> tuple[np.ndarray, ...]:
+        """Pairs that occur often enough, each as a gram of its first word."""
+        one = (g.s2 < 0) & (g.n > large)
+        return g.s1[one], g.a[one], g.n[one], none(one), none(one)
+
+    def of(held: Contexts, g: GramCounts, pairs: bool) -> tuple[np.ndarray, np.ndarray]:
+        at = held.pair(g.s2, g.s1) if pairs else np.where(g.s2 < 0, held.word(g.s1), -1)
+        return np.flatnonzero(at >= 0), at[at >= 0]
+
+    def settled(stats: pd.DataFrame, gains: pd.DataFrame) -> pd.DataFrame:
+        return stats.drop(columns="gain").merge(gains[["s2", "s1", "gain"]], on=["s2", "s1"]).assign(kept=lambda x: x["gain"] >= KEEP).drop(columns="gain")
+
+    one = summed(words)
+    if not len(one):
+        return Contexts(one.assign(kept=False))
+    held = Contexts(one.assign(kept=False))
+
+    def word_gains(g: GramCounts) -> tuple[np.ndarray, ...]:
+        k, at = of(held, g, False)
+        return g.s2[k], g.s1[k], np.zeros(len(k)), np.zeros(len(k)), divergence(g.n[k], held.total[at], held.kinds[at], root_probability(g.c[k], n, v))
+
+    one = settled(one, summed(word_gains))
+    pairs = summed(frequent)
     pairs = pairs[pairs["s1"].isin(one["s1"])]
     if not len(pairs):
         return Contexts(one)
-    mine = totals.where("s2 >= 0").join(F.broadcast(totals.sparkSession.createDataFrame(pairs)), ["s2", "s1"])
-    parents = F.broadcast(totals.sparkSession.createDataFrame(one.rename(columns={"total": "_total", "kinds": "_kinds", "kept": "_kept"}).drop(columns="s2")))
-    shorter = words.select("s1", "a", F.col("n").alias("_n"))
-    mine = mine.join(shorter, ["s1", "a"]).join(parents, "s1")
-    mine = mine.withColumn("q", F.when(F.col("_kept"), (F.col("_n") + F.col("_kinds") * p0) / (F.col("_total") + F.col("_kinds"))).otherwise(p0))
-    two = gains(mine, counted(mine))
-    return Contexts(pd.concat([one, two], ignore_index=True))
+    known = Contexts(pd.concat([one, pairs.drop(columns="gain").assign(kept=False)], ignore_index=True))
+
+    def pair_sums(g: GramCounts) -> tuple[np.ndarray, ...]:
+        k, _ = of(known, g, True)
+        return g.s2[k], g.s1[k], g.n[k], np.ones(len(k)), np.zeros(len(k))
+
+    two = summed(pair_sums)
+    both = Contexts(pd.concat([one, two.drop(columns="gain").assign(kept=False)], ignore_index=True))
+
+    def pair_gains(g: GramCounts) -> tuple[np.ndarray, ...]:
+        k, at = of(both, g, True)
+        q, w = root_probability(g.c[k], n, v), both.word(g.s1[k])
+        q = np.where(both.kept[w], smoothed(g.shorter()[k], both.total[w], both.kinds[w], q), q)
+        return g.s2[k], g.s1[k], np.zeros(len(k)), np.zeros(len(k)), divergence(g.n[k], both.total[at], both.kinds[at], q)
+
+    return Contexts(pd.concat([one, settled(two, summed(pair_gains))], ignore_index=True))
 
 
 def score_texts(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -272,7 +329,7 @@ def score_texts(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
     n, v = (x or 0 for x in told.where("kind = 1").select("blob").mapInArrow(sums_of, "n long, v long").agg(F.sum("n"), F.sum("v")).first())
     ends = docs.where(~F.col("held")).count()
-    buckets, large = n // BUCKET + 1, LARGE
+    buckets, large = max(LEAST, n // BUCKET + 1), LARGE
 
     def ask_grams(left: pa.Table, right: pa.Table) -> pa.Table:
         w = Windows(left, list(blobs_of(right)), ends)
@@ -293,15 +350,7 @@ def score_texts(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     blocks = asked.where("kind = 0").groupBy("block")
     grams = scratch.table(blocks.cogroup(told.where("kind = 0").groupBy("block")).applyInArrow(ask_grams, ROWS).groupBy("to").applyInArrow(count_grams, ROWS), "grams")
 
-    def gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in b.column(0):
-                s2, s1, a, found, c = (y.astype(np.int64) for y in unpack(x.as_py()))
-                some = found > 0
-                yield pa.RecordBatch.from_arrays([pa.array(y[some]) for y in (s2 - 1, s1, a, found, c)], ["s2", "s1", "a", "n", "c"])
-
-    totals = grams.where("kind = 3").select("blob").mapInArrow(gram_rows, "s2 long, s1 long, a long, n long, c long")
-    held_contexts = spark.sparkContext.broadcast(large_contexts(totals, large, n, v, ends))
+    held_contexts = spark.sparkContext.broadcast(large_contexts(grams.where("kind = 3").select("blob"), large, n, v))
 
     def deal(left: pa.Table, right: pa.Table) -> pa.Table:
         rows, contexts = list(blobs_of(right)), held_contexts.value
@@ -311,10 +360,10 @@ def score_texts(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         found = np.zeros(len(grams) + 1, np.int64)  # the last one is for windows without a gram
         for to, k in gram_parts(grams, buckets):
             found[k] = answers[to]
-        p = root_probability(w.c, n, v)
+        p = root_probability(w.c.astype(np.int64), n, v)
         base = np.log10(p)
         # the first word is large: its next token's count is known here, and whether the pair is large too
-        one, two = np.full(len(w.a), -1), np.full(len(w.a), -1)
+        one, two = np.full(len(w.a), -1, np.int32), np.full(len(w.a), -1, np.int32)
         one[in_two >= 0], two[in_three >= 0] = contexts.word(w.w1[in_two >= 0]), contexts.pair(w.w2[in_three >= 0], w.w1[in_three >= 0])
         own = (one >= 0) & ((two >= 0) | (w.w1 == 0))  # START has no word ahead
         for context, gram, some in ((one, in_two, own), (two, in_three, own & (two >= 0))):
@@ -346,30 +395,30 @@ def score_texts(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
             if r["kind"] == 0:
                 out.append((0, r["to"], r["block"], r["blob"]))
             else:
-                held.append((r["block"], [y.astype(np.int64) for y in unpack(r["blob"])]))
+                held.append((r["block"], unpack(r["blob"])))
         if not held:
             return table_of(out)
-        names = [np.cumsum(x[0]) for _, x in held]
+        names = [np.cumsum(x[0], dtype=np.int64) for _, x in held]
         every = np.unique(np.concatenate(names))
-        local = [np.searchsorted(every, y) for y in names]
-        w1, w2, a = (np.concatenate([y[np.cumsum(x[k]) if k == 3 else x[k]] for y, (_, x) in zip(local, held, strict=True)]) for k in (3, 4, 5))
-        seen = np.concatenate([x[1][x[5]] for _, x in held])
-        nexts = np.concatenate([x[7] for _, x in held])
-        doc_of = [np.cumsum(x[2]) for _, x in held]
-        train = np.concatenate([d[x[6]] & 1 for d, (_, x) in zip(doc_of, held, strict=True)])
-        p0 = root_probability(seen, n, v)
-        known = nexts > 0
-        p = p0.copy()
-        free = np.flatnonzero(~known)
-        if len(free):
-            p[free] = Grams(w1[free], a[free], len(every), train[free]).settle(p0[free])
-        if known.any():
-            one = contexts.word(every[w1[known]])
-            q = smoothed(nexts[known] - 1, contexts.total[one], contexts.kinds[one], p0[known])
-            p[known] = np.where(contexts.kept[one], q, p0[known])
-        pair = np.unique(w1 * len(every) + w2, return_inverse=True)[1]
-        p = np.where(every[w1] == 0, p, Grams(pair, a, len(every), train).settle(p))
-        logs, s = np.log10(p), 0
+        local = [np.searchsorted(every, y).astype(np.int32) for y in names]
+        w1, w2, a = (np.concatenate([y[np.cumsum(x[k], dtype=np.int64) if k == 3 else x[k]] for y, (_, x) in zip(local, held, strict=True)]) for k in (3, 4, 5))
+        seen, nexts = (np.concatenate(y) for y in zip(*((x[1][x[5]], x[7]) for _, x in held), strict=True))
+        doc_of = [np.cumsum(x[2], dtype=np.int64) for _, x in held]
+        train = np.concatenate([(d & 1)[x[6]] for d, (_, x) in zip(doc_of, held, strict=True)])
+        logs = np.empty(len(a))
+        for _, k in split_by(dealt([w1, np.ones(len(w1), np.int8)], len(a) // TURN + 1)):  # a word's windows are in one turn
+            p0 = root_probability(seen[k].astype(np.int64), n, v)
+            p, known = p0.copy(), nexts[k] > 0
+            free = np.flatnonzero(~known)
+            if len(free):
+                p[free] = Grams(w1[k[free]], a[k[free]], len(every), train[k[free]]).settle(p0[free])
+            if known.any():
+                one = contexts.word(every[w1[k[known]]])
+                q = smoothed(nexts[k[known]].astype(np.int64) - 1, contexts.total[one], contexts.kinds[one], p0[known])
+                p[known] = np.where(contexts.kept[one], q, p0[known])
+            pair = np.unique(w1[k].astype(np.int64) * len(every) + w2[k], return_inverse=True)[1]
+            logs[k] = np.log10(np.where(every[w1[k]] == 0, p, Grams(pair, a[k], len(every), train[k]).settle(p)))
+        s = 0
         for (block, x), d in zip(held, doc_of, strict=True):
             out.append((1, int(table.column("to")[0].as_py()), block, pack(d >> 1, np.bincount(x[6], logs[s : s + len(x[6])], len(d)))))
             s += len(x[6])

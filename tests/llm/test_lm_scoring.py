@@ -57,9 +57,9 @@ def ordered(rows):
     return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2], r[6]))
 
 
-@pytest.mark.parametrize("block,bucket,large", [(9_000_000, 1_000_000, 250_000), (4000, 900, 40), (9000, 500, 3)])
+@pytest.mark.parametrize("block,bucket,large", [(15_000_000, 3_000_000, 750_000), (4000, 900, 40), (9000, 500, 3)])
 def test_equals_brute_force(spark, tmp_path, monkeypatch, block, bucket, large):
-    for name, x in (("BLOCK", block), ("BUCKET", bucket), ("LARGE", large)):
+    for name, x in (("BLOCK", block), ("BUCKET", bucket), ("LARGE", large), ("TURN", bucket // 3)):
         monkeypatch.setattr(lm_scoring, name, x)
     rows = [(r[0], r[1]) for r in data.documents()] + [(2000 + i, "over and over " * 30 + f"Again \x0b\x0c\x1c x{i} \x85y") for i in range(20)]
     spark.createDataFrame([(d, t, "x", 1.0) for d, t in rows], "doc_id long, text string, n string, score double").repartition(3).write.parquet(f"{tmp_path}/d")
