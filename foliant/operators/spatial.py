@@ -1,4 +1,5 @@
-"""Joins by place on a page. Every join carries the page's key, so it stays a hash or sort-merge join with a residual."""
+"""Joins by place on a page. Every join carries the page's key and a grid cell, so it stays a hash or sort-merge join with a residual,
+and a page of very many boxes is dealt over tasks cell by cell."""
 
 from __future__ import annotations
 
@@ -9,6 +10,22 @@ from ..functions import geometry as G
 from ..functions import text as T
 
 
+#: Side of a grid cell in pixels; most rectangles lie in one to four cells.
+CELL = 512
+
+
+def _in_cells(df: DataFrame, x0: Column, x1: Column, y0: Column, y1: Column) -> DataFrame:
+    """df with a row per grid cell (_i, _j) that x0..x1, y0..y1 touches; rows without a place are left out."""
+    line = lambda a, b: F.sequence(F.floor(a / CELL), F.floor(F.greatest(a, b) / CELL))
+    cells = F.flatten(F.transform(line(x0, x1), lambda i: F.transform(line(y0, y1), lambda j: F.struct(i.alias("_i"), j.alias("_j")))))
+    return df.select("*", F.explode(cells).alias("_c")).select("*", "_c.*").drop("_c")
+
+
+def _at(df: DataFrame, x: Column, y: Column) -> DataFrame:
+    """df with the grid cell of a point."""
+    return df.withColumn("_i", F.floor(x / CELL)).withColumn("_j", F.floor(y / CELL))
+
+
 def _box(prefix: str = "") -> Column:
     return G.rect(F.col(prefix + "x0"), F.col(prefix + "y0"), F.col(prefix + "w"), F.col(prefix + "h"))
 
@@ -19,9 +36,12 @@ def centres(boxes: DataFrame) -> DataFrame:
 
 def overlaps(patches: DataFrame, boxes: DataFrame) -> DataFrame:
     """(image_id, idx, box_id, area, confidence, text) of patches (image_id, idx, x, y, w, h) and the boxes that they touch."""
-    p = patches.select("image_id", "idx", G.rect(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("p"))
-    b = boxes.select("image_id", "box_id", _box().alias("b"), "confidence", "text")
-    return p.join(b, "image_id").withColumn("area", G.overlap(F.col("p"), F.col("b"))).where("area > 0").select("image_id", "idx", "box_id", "area", "confidence", "text")
+    side = lambda d, x, y: _in_cells(d, F.col(x), F.col(x) + F.col("w"), F.col(y), F.col(y) + F.col("h"))
+    p = side(patches.select("image_id", "idx", "x", "y", "w", "h"), "x", "y").select("image_id", "idx", "_i", "_j", G.rect(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("p"))
+    b = side(boxes.select("image_id", "box_id", "x0", "y0", "w", "h", "confidence", "text"), "x0", "y0").select("image_id", "box_id", "_i", "_j", _box().alias("b"), "confidence", "text")
+    corner = lambda k: F.floor(F.greatest(F.col(f"p.{k}"), F.col(f"b.{k}")) / CELL)  # noqa: E731  of what two rectangles share; a pair counts in its cell only
+    x = p.join(b, ["image_id", "_i", "_j"]).where((F.col("_i") == corner("x")) & (F.col("_j") == corner("y")))
+    return x.withColumn("area", G.overlap(F.col("p"), F.col("b"))).where("area > 0").select("image_id", "idx", "box_id", "area", "confidence", "text")
 
 
 def patch_texts(patches: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -45,7 +65,9 @@ def layout_edges(boxes: DataFrame) -> DataFrame:
     c = centres(boxes)
     a = c.select("image_id", F.col("box_id").alias("a"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("w").alias("aw"))
     b = c.select("image_id", F.col("box_id").alias("b"), F.col("cx").alias("bx"), F.col("cy").alias("by"))
-    x = a.join(b, "image_id").where("a < b")
+    reach = F.greatest(F.col("aw"), F.lit(200))  # no relation reaches further
+    a = _in_cells(a, F.col("ax") - reach, F.col("ax") + reach, F.col("ay") - 80, F.col("ay") + 80)
+    x = a.join(_at(b, F.col("bx"), F.col("by")), ["image_id", "_i", "_j"]).where("a < b")
     dx, dy = F.abs(F.col("ax") - F.col("bx")), F.abs(F.col("ay") - F.col("by"))
     right, below = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     rels = F.array_compact(
@@ -72,10 +94,11 @@ def graph_features(patches: DataFrame, boxes: DataFrame, questions: DataFrame) -
     near = both_ways(layout_edges(boxes)).join(asked, ["image_id", "a"]).join(c.select("image_id", F.col("box_id").alias("b"), "cx", "cy"), ["image_id", "b"])
     dist = near.groupBy("image_id").agg(F.min(F.sqrt(F.pow(F.col("cx") - F.col("qx"), 2) + F.pow(F.col("cy") - F.col("qy"), 2))).alias("d"))
     p = patches.select("image_id", "idx", "h", G.rect(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("p"))
-    in_p = G.inside(F.col("cx"), F.col("cy"), F.col("p"))
-    rel = p.join(near.where("rel in ('same_row', 'nearby_below')").select("image_id", "rel", "cx", "cy").distinct(), "image_id").where(in_p)
+    in_p, cell = G.inside(F.col("cx"), F.col("cy"), F.col("p")), ["image_id", "_i", "_j"]
+    wide = _in_cells(p, F.col("p.x"), F.col("p.x") + F.col("p.w"), F.col("p.y"), F.col("p.y") + F.col("p.h"))
+    rel = wide.join(_at(near.where("rel in ('same_row', 'nearby_below')").select("image_id", "rel", "cx", "cy").distinct(), F.col("cx"), F.col("cy")), cell).where(in_p)
     rel = rel.groupBy("image_id", "idx").agg(F.max((F.col("rel") == "same_row").cast("double")).alias("row"), F.max((F.col("rel") == "nearby_below").cast("double")).alias("below"))
-    held = p.join(c.select("image_id", "cx", "cy"), "image_id").where(in_p).groupBy("image_id", "idx").agg(F.count("*").alias("n"))
+    held = wide.join(_at(c.select("image_id", "cx", "cy"), F.col("cx"), F.col("cy")), cell).where(in_p).groupBy("image_id", "idx").agg(F.count("*").alias("n"))
     x = p.join(rel, ["image_id", "idx"], "left").join(held, ["image_id", "idx"], "left").join(dist, "image_id", "left")
     n = F.coalesce(F.col("n"), F.lit(0)).cast("double")
     return x.select(
@@ -97,7 +120,9 @@ def label_values(boxes: DataFrame, questions: DataFrame) -> DataFrame:
         .when((F.abs(dx) < 50) & (dy > 0) & (dy < 90), "nearby_below")
         .when(F.abs(dy) < 18, "same_row")
     )
-    x = a.join(b, "image_id").where("label <> value").withColumn("rel", rel).where("rel is not null")
+    # rows run across the page, so cells are strips here
+    strips = F.sequence(F.floor((F.col("ly") - 20) / CELL), F.floor((F.col("ly") + 90) / CELL))
+    x = a.withColumn("_j", F.explode(strips)).join(b.withColumn("_j", F.floor(F.col("cy") / CELL)), ["image_id", "_j"]).where("label <> value").withColumn("rel", rel).where("rel is not null")
     w = Window.partitionBy("image_id", F.least("label", "value"), F.greatest("label", "value")).orderBy("label")
     return x.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("image_id", "label", "value", "rel")
 
@@ -131,21 +156,36 @@ def row_bands(boxes: DataFrame, band: int = 20, least: int = 3, pad: int = 8) ->
     return g.where(F.col("n") >= least).select("image_id", "band", F.greatest(F.lit(0), F.col("x0") - pad).alias("x"), F.greatest(F.lit(0), F.col("y0") - pad).alias("y"), w.alias("w"), h.alias("h"))
 
 
-def pool_stats(patches: DataFrame, boxes: DataFrame, width: int, height: int, step: int = 8, parity: bool = True) -> DataFrame:
+def union_area(rects: DataFrame, by: list[str]) -> DataFrame:
+    """(by, area) that rects (by, x0, x1, y0, y1: whole numbers, ends exclusive) cover together, overlaps once.
+
+    A sweep over x: between two neighbouring edges of a group the same rectangles lie, whose y intervals are merged by a running
+    maximum. Rows grow with the rectangles that cross a strip, not with pixels.
+    """
+    own = rects.where("x0 < x1 and y0 < y1").select(*by, "x0", "x1", "y0", "y1").distinct()
+    edges = own.select(*by, F.explode(F.array("x0", "x1")).alias("_from")).distinct()
+    strips = edges.withColumn("_to", F.lead("_from").over(Window.partitionBy(*by).orderBy("_from"))).where("_to is not null")
+    x = own.join(strips, by).where("x0 <= _from and _to <= x1")
+    ahead = Window.partitionBy(*by, "_from").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.greatest(F.lit(0), F.col("y1") - F.greatest(F.col("y0"), F.coalesce(F.max("y1").over(ahead), F.col("y0"))))
+    return x.withColumn("_part", new * (F.col("_to") - F.col("_from"))).groupBy(*by).agg(F.sum("_part").alias("area"))
+
+
+def pool_stats(patches: DataFrame, boxes: DataFrame, width: int, height: int, step: int | None = 8, parity: bool = True) -> DataFrame:
     """(image_id, area_coverage, area_ratio, center_coverage, small_coverage, n): how a page's patches cover it.
 
-    Coverage counts lattice points step pixels apart. With parity a patch marks its own lattice from its corner, so only
-    patches aligned to the step count; without, every patch does.
+    Coverage counts lattice points step pixels apart: the area of the patches' ranges of points. With parity a patch marks its own
+    lattice from its corner, so only patches aligned to the step count; without, every patch does. With step None it is the exact
+    share of the page's pixels, however patches lie.
     """
     p = patches.select("image_id", "x", "y", "w", "h")
-    first = lambda v: (F.ceil(F.col(v) / step) * step).cast("long")
-    aligned = (F.col("x") % step == 0) & (F.col("y") % step == 0) if parity else F.lit(True)
-    end_x, end_y = F.least(F.lit(width), F.col("x") + F.col("w")) - 1, F.least(F.lit(height), F.col("y") + F.col("h")) - 1
-    pts = p.where(aligned & (first("x") <= end_x) & (first("y") <= end_y))
-    pts = pts.select("image_id", F.explode(F.sequence(first("x"), end_x.cast("long"), F.lit(step).cast("long"))).alias("gx"), "y", "h")
-    pts = pts.distinct().select("image_id", "gx", F.explode(F.sequence(first("y"), end_y.cast("long"), F.lit(step).cast("long"))).alias("gy")).distinct()
-    total = len(range(0, width, step)) * len(range(0, height, step))
-    area = pts.groupBy("image_id").agg((F.count("*") / total).alias("area_coverage"))
+    unit = step or 1
+    first = lambda v: F.greatest(F.lit(0), F.ceil(F.col(v) / unit)).cast("long")  # noqa: E731  the first point in a patch, and the one behind its last
+    last = lambda v, size, most: (F.floor((F.least(F.lit(most), F.col(v) + F.col(size)) - 1) / unit) + 1).cast("long")
+    aligned = (F.col("x") % unit == 0) & (F.col("y") % unit == 0) if parity and step else F.lit(True)
+    points = p.where(aligned).select("image_id", first("x").alias("x0"), last("x", "w", width).alias("x1"), first("y").alias("y0"), last("y", "h", height).alias("y1"))
+    total = len(range(0, width, unit)) * len(range(0, height, unit))
+    area = union_area(points, ["image_id"]).select("image_id", (F.col("area") / total).alias("area_coverage"))
     ratio = p.groupBy("image_id").agg((F.sum(F.col("w") * F.col("h")) / (width * height)).alias("area_ratio"), F.count("*").alias("n"))
     c = centres(boxes).withColumn("cx", F.floor("cx")).withColumn("cy", F.floor("cy"))
     hit = c.join(p.select("image_id", G.rect(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("p")), "image_id").where(G.inside(F.col("cx"), F.col("cy"), F.col("p"))).select("image_id", "box_id").distinct().withColumn("hit", F.lit(1))

@@ -217,6 +217,20 @@ def pool_stats(spark, d):
     return Sp.pool_stats(c.select("image_id", *[F.col(f"r.{k}").cast("long").alias(k) for k in "xywh"]), b, W, H, step=64, parity=False)
 
 
+@query("q31c_exact_coverage", f"""
+with {S.BOXES}, c as (select image_id, box_id, x0 + w / 2.0 as cx, y0 + h / 2.0 as cy from boxes),
+r as (select distinct image_id, greatest(0, least(cast(round_even(cx - 192, 0) as bigint), 999)) as x, greatest(0, least(cast(round_even(cy - 192, 0) as bigint), 1299)) as y from c),
+p as (select image_id, x, x + least(384, 1000 - x) as x1, y, y + least(384, 1300 - y) as y1 from r),
+e as (select image_id, x as a, lead(x) over (partition by image_id order by x) as b from (select image_id, x from p union select image_id, x1 from p)),
+s as (select e.image_id, a, b, y, y1, max(y1) over (partition by e.image_id, a order by y, y1 rows between unbounded preceding and 1 preceding) as top from e join p on p.image_id = e.image_id and p.x <= a and b <= p.x1 where b is not null)
+select image_id, sum((b - a) * greatest(0, y1 - greatest(y, coalesce(top, y))))::double / 1300000 as area_coverage from s group by 1""")
+def exact_coverage(spark, d):
+    b = V.boxes(spark, d)
+    c = Sp.centres(b).withColumn("r", G.centred(F.col("cx"), F.col("cy"), 384, W, H))
+    p = c.select("image_id", *[F.col(f"r.{k}").cast("long").alias(k) for k in "xywh"])
+    return Sp.pool_stats(p, b, W, H, step=None).select("image_id", "area_coverage")
+
+
 @query("q31b_resize", """
 select o_orderkey as image_id, greatest(1, cast(floor((400 + o_custkey % 1000) * sqrt(0.25)) as integer)) as w, greatest(1, cast(floor((300 + o_orderkey % 2000) * sqrt(0.25)) as integer)) as h,
   cast(ceil(sqrt(o_orderkey % 30 + 1)) as integer) as cols, cast(ceil((o_orderkey % 30 + 1) / ceil(sqrt(o_orderkey % 30 + 1))) as integer) as rows from orders""")
