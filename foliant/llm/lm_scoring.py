@@ -17,7 +17,7 @@ from .common import Scratch
 
 #: Characters of texts that a task numbers together, windows of a bucket (of which a task looks at TURN at a time), buckets at
 #: least, occurrences from which a context is dealt over buckets.
-BLOCK, BUCKET, TURN, LEAST, LARGE = 15_000_000, 3_000_000, 1_000_000, 16, 750_000
+BLOCK, BUCKET, TURN, LEAST, LARGE = 8_000_000, 2_500_000, 500_000, 16, 750_000
 #: Divergence, in nats over all its occurrences, from which a context is a state of its own.
 KEEP = 3.0
 #: Keys of the end of a text and of its start; no word holds a blank.
