@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, numbered, small_or_shuffled
 from .vectors import cosines, norms, usable
 
-#: Queries and candidates of a tile, queries whose heaps a task holds at once.
-QUERY_ROWS, CANDIDATE_ROWS, OPEN_HEAPS = 4096, 16_384, 50_000
+#: Queries and candidates of a tile, queries whose heaps a task holds at once, and how many times the candidates so far a round adds.
+QUERY_ROWS, CANDIDATE_ROWS, OPEN_HEAPS, GROWTH = 4096, 16_384, 50_000, 15
 
 
 def quantise(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,23 +59,55 @@ def code_rows(rows: DataFrame) -> DataFrame:
 
 
 def tile_survivors(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
-    """(q, c, low, high) of a tile: pairs of uids whose upper bound reaches the query's k-th largest lower bound in the tile."""
+    """(q, c, low, high) of a tile: pairs of uids whose upper bound reaches what k candidates are certain to reach, those of the tile
+    or of earlier rounds (column least)."""
     if not len(q) or not len(c):
         return pd.DataFrame({"q": [], "c": [], "low": [], "high": []})
     block = lambda d: (np.frombuffer(b"".join(d["code"]), np.int8).reshape(len(d), -1), d["scale"].to_numpy(), d["rest"].to_numpy())
     qq, cq, out = block(q), block(c), []
     q_uid, c_uid, q_ids, c_ids = q["uid"].to_numpy(), c["uid"].to_numpy(), q["vec_id"].to_numpy(), c["vec_id"].to_numpy()
+    least = q["least"].to_numpy(float)
     for s in range(0, len(q), 128):
         part = slice(s, s + 128)
         low, high = cosine_bounds(tuple(x[part] for x in qq), cq)
         own = q_ids[part, None] == c_ids[None, :]
         low[own], high[own] = -np.inf, -np.inf
         kth = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
+        kth = np.maximum(kth, least[part])
         i, j = np.nonzero((high >= kth[:, None]) & ~own)
         out.append(pd.DataFrame({"q": q_uid[part][i], "c": c_uid[j], "low": low[i, j], "high": high[i, j]}))
     return pd.concat(out, ignore_index=True)
 
 
+def survivors(qs: DataFrame, cs: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """(q, c) of code_rows(): the pairs that the bounds of all tiles together cannot rule out.
+
+    Candidates come in rounds, each GROWTH times as many as those before, dealt by hash. A round's queries carry the k-th largest lower
+    bound found so far, which any later candidate must reach, so a round returns some GROWTH * k pairs a query however many
+    tiles it has, and pairs grow with the logarithm of the candidates.
+    """
+    nq, n = numbered(qs.count(), QUERY_ROWS), cs.count()
+    ends = [CANDIDATE_ROWS]
+    while ends[-1] < n:
+        ends.append(ends[-1] * (GROWTH + 1))
+    own = lambda m: F.pmod(F.xxhash64("uid"), F.lit(m)).cast("int")
+    place = F.pmod(F.xxhash64(F.lit("round"), "uid"), F.lit(1 << 40)) / (1 << 40) * n
+    found, least = None, None
+    for begin, end in zip([0, *ends[:-1]], ends, strict=True):
+        nc = numbered(min(n, end) - begin, CANDIDATE_ROWS)
+        own_q = qs.withColumn("least", F.lit(float("-inf"))) if least is None else qs.join(least.withColumnRenamed("q", "uid"), "uid", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+        left = own_q.withColumn("qb", own(nq)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
+        right = cs.where((place >= begin) & (place < end)).withColumn("cb", own(nc)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+        keys = ("dim", "qb", "cb")
+        new = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: tile_survivors(a, b, k), "q long, c long, low double, high double")
+        found = scratch.table(new if found is None else found.unionByName(new), "survivors")
+        best = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.col("low").desc(), "c"))).where(F.col("n") == k)
+        least = best.select("q", F.col("low").alias("least"))
+        least = least if end == ends[-1] else scratch.table(least, "least")
+        found = found.join(least, "q", "left").where("least is null or high >= least").drop("least")
+    return found.select("q", "c")
+
+
 class Heaps:
     """The k best (score, then smaller id) per query."""
 
@@ -105,7 +137,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 5, scratch: Scra
     can be among a query's k nearest, so no more go on, however many copies there are.
 
     Queries and candidates are dealt to blocks as int8 codes; every query block meets every candidate block in one tile
-    task, which returns the pairs that its bounds cannot rule out. Those that all tiles' bounds together cannot rule out get their
+    task, which returns the pairs that its bounds cannot rule out (see survivors()). Those that all tiles' bounds together cannot rule out get their
     vectors by a join, are recomputed in double precision and go into heaps of k per query, first per partition, then
     per query. A repeated query id is answered as one query; repeated candidates each count.
     """
@@ -116,17 +148,8 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 5, scratch: Scra
     c = c.withColumn("_copy", F.dense_rank().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("_copy") <= k + 1).drop("_id", "_copy")
     q, c = (scratch.table(d.withColumn("uid", F.monotonically_increasing_id()), "vectors") for d in (q, c))
     qs, cs = (scratch.table(code_rows(d), "codes") for d in (q, c))
-    n_queries, dim = qs.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(0))).first()
-    nq, nc = numbered(n_queries, QUERY_ROWS), numbered(cs.count(), CANDIDATE_ROWS)
-    own = lambda n: F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int")
-    left = qs.withColumn("qb", own(nq)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
-    right = cs.withColumn("cb", own(nc)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    keys = ("dim", "qb", "cb")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: tile_survivors(a, b, k), "q long, c long, low double, high double")
-    found = scratch.table(found, "survivors")
-    kth = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.col("low").desc(), "c"))).where(F.col("n") <= k)
-    kth = kth.where(F.col("n") == k).select(F.col("q").alias("_q"), F.col("low").alias("least"))
-    found = found.join(kth, F.col("q") == F.col("_q"), "left").where("least is null or high >= least").select("q", "c")
+    dim = qs.agg(F.coalesce(F.max("dim"), F.lit(0))).first()[0]
+    found = survivors(qs, cs, k, scratch)
     pairs = found.join(c.select(F.col("uid").alias("c"), "vec_id", F.col("embedding").alias("v")), "c")
     wide = q.select(F.col("uid").alias("q"), F.col("vec_id").alias("query_id"), "embedding")
     pairs = pairs.join(small_or_shuffled(wide, 64 + 8 * dim), "q").select("query_id", "embedding", "vec_id", "v")

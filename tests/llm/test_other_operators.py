@@ -54,6 +54,18 @@ def test_nearest(spark, monkeypatch):
     assert ann.nearest(df.limit(0), df, 5).count() == 0 and ann.nearest(df.where("vec_id = 0"), df.limit(0), 5).count() == 0
 
 
+def test_survivors_stay_level_as_tiles_double(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CANDIDATE_ROWS", 64)
+    monkeypatch.setattr(ann, "GROWTH", 3)
+    rng, scratch, found = np.random.default_rng(11), Scratch(spark), []
+    rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(48)]) for i in range(4096)]
+    for n in (1024, 2048, 4096):
+        df = scratch.table(spark.createDataFrame(rows[:n], "vec_id long, embedding array<float>").withColumn("uid", F.col("vec_id")))
+        codes = scratch.table(ann.code_rows(df))
+        found.append(ann.survivors(scratch.table(codes.where("vec_id < 40")), codes, 5, scratch).count() / 40)
+    assert all(x >= 5 for x in found) and found[-1] < 1.5 * found[0] + 5
+
+
 def test_ties_go_to_smaller_ids(spark):
     df = spark.createDataFrame([r for r in vectors() if r[0] is not None], VEC)
     got = ann.nearest(df.where("vec_id = 320"), df, 5).orderBy("rank").collect()
