@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .blobs import Numbers, flat_slices, pack, pack_texts, parts_of, split_by, sums, unpack, unpack_texts, vocabulary_parts
 from .common import Scratch
 
-#: Characters of documents that a task numbers together.
-BLOCK = 12_000_000
+#: Characters of documents that a task numbers together, and segments that it tokenises at a time.
+BLOCK, PIECES = 9_000_000, 8192
 #: Characters that some version of a pattern takes for white space, beyond those of Python; and the second tokenizer's blank.
 ODD = "\u180e\u200b\u2060\ufeff\u2581"
 ROWS = "kind int, to int, block long, blob binary"
@@ -63,6 +63,8 @@ class Pair:
     def align(self, pieces: list[str]) -> tuple[np.ndarray, ...]:
         """Of a blank and each piece: whether both tokenizers keep its bytes, counts of A and B tokens, all A ids, all B ids, and per
         A token twice the B tokens it shares a byte with, plus 1 if it shares the first with the token ahead (0 for pieces that fail)."""
+        if len(pieces) > PIECES:
+            return tuple(np.concatenate(x) for x in zip(*(self.align(pieces[i : i + PIECES]) for i in range(0, len(pieces), PIECES)), strict=True))
         k = self.kept
         a = [e.ids for e in k.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
         b = k.b.encode(pieces, num_threads=1)
@@ -82,7 +84,7 @@ class Pair:
         high = np.searchsorted(end_b - k.lens[1][ids_b[some_b]], end_a, "left") - 1
         shared = np.concatenate([[0], low[1:] == high[:-1]])[: len(low)]
         codes[some_a] = 2 * (high - low + 1) + shared
-        return kept, na, nb, ids_a, ids_b, codes
+        return kept, na, nb, ids_a.astype(np.int32), ids_b.astype(np.int32), codes.astype(np.int32)
 
     def lens(self, ids: np.ndarray, tokens: list[bytes]) -> np.ndarray:
         return self.kept.lens[0 if tokens is self.kept.bytes_a else 1][ids]
@@ -193,18 +195,19 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, scratch: Scratch | N
         pair = Pair(path_a, path_b).kept
         (doc_id, valid, counts, numbers) = next(blobs_of(left))[1]
         held = [x for _, x in blobs_of(right)] or [[np.zeros(0, np.int64)] * 7]
-        places, kept, na, nb, a, b, codes = (np.concatenate([x[k] for x in held]).astype(np.int64) for k in range(7))
+        places, kept, na, nb, a, b, codes = (np.concatenate([x[k] for x in held]).astype(np.int32) for k in range(7))
         block = left.column("block")[0].as_py()
-        where = np.empty(len(places), np.int64)
+        where = np.empty(len(places), np.int32)
         where[places] = np.arange(len(places))
         own = where[numbers]
+        del held
         # pieces that a tokenizer changes have no codes; their documents are blanked below
         ok_a, ok_b = np.repeat(kept, na) > 0, np.repeat(kept, nb) > 0
         na, nb, a, b, codes = na * kept, nb * kept, a[ok_a], b[ok_b], codes[ok_a]
         span, shared = codes >> 1, codes & 1
         high = np.cumsum(span - shared) - 1
         link_b, group_a = flat_slices(high - span + 1, span), np.cumsum(1 - shared) - 1
-        group_b = np.zeros(len(b), np.int64)
+        group_b = np.zeros(len(b), np.int32)
         group_b[link_b] = np.repeat(group_a, span)
         n_groups = int(group_a[-1]) + 1 if len(a) else 0
         in_a, in_b = np.bincount(group_a, minlength=n_groups), np.bincount(group_b, minlength=n_groups)
@@ -216,7 +219,8 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, scratch: Scratch | N
         ends = np.cumsum(sums(pair.shown_lens[shown], np.cumsum(na + nb))).tolist()
         piece_text = [text[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
         links = sums(span, np.cumsum(na))
-        pairs, pid = np.unique((np.repeat(a, span) << 32) | b[link_b], return_inverse=True)
+        pairs, pid = np.unique((np.repeat(a, span).astype(np.int64) << 32) | b[link_b], return_inverse=True)
+        del link_b, group_a, group_b, shown, text, high
         stop = np.cumsum(counts, dtype=np.int64)
         good = (sums(1 - kept[own], stop) == 0) & (counts > 0)
         totals = [np.where(good, sums(x[own], stop), 0) for x in (na, nb, sums(1 - shared, np.cumsum(na)), links)]

@@ -67,9 +67,10 @@ def test_splits_keep_tokens():
     assert sum(len(alignment.segments(t, joins)) > 1 for t in texts) > 1000
 
 
-@pytest.mark.parametrize("block", [12_000_000, 3000])
+@pytest.mark.parametrize("block", [9_000_000, 3000])
 def test_equals_whole_texts(spark, tmp_path, monkeypatch, block):
     monkeypatch.setattr(alignment, "BLOCK", block)
+    monkeypatch.setattr(alignment, "PIECES", 8192 if block > 3000 else 17)
     monkeypatch.setattr(alignment, "vocabulary_parts", lambda chars: 3)
     rows = [(r[0], r[1]) for r in data.documents()] + [(900 + i, t) for i, t in enumerate(ODD)] + [(-5, "negative id"), (980, "word " * 5000)]
     spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, n_a int, block string").repartition(3).write.parquet(f"{tmp_path}/d")
