@@ -22,8 +22,8 @@ from .common import Scratch, numbered
 CAPACITY, END_ID = 4096, 1
 #: Pieces of a shard (packed by one task at a time), islands of a shard, rounds between migrations, generations a round, solutions an island.
 SHARD, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 2048, 3, 3, 12, 8
-#: Words whose ids a task remembers at most, and shards whose worst bins are packed anew together.
-MEMO, MERGE = 500_000, 64
+#: Words whose ids a task remembers at most, characters of a word that it remembers, shards whose worst bins are packed anew together.
+MEMO, LONG, MERGE = 500_000, 64, 64
 #: A control character that the tokenizer gives an id of its own.
 MARK = "\x01"
 
@@ -39,8 +39,13 @@ class Memo:
     def __init__(self) -> None:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.long: list[str] = []
 
     def turn(self) -> None:
+        """Before a text: long chunks of the one before go, so what is held has a bound in bytes too."""
+        for c in self.long:
+            self.young.pop(c, None)
+        self.long.clear()
         if len(self.young) > MEMO:
             self.young, self.old = {}, self.young
 
@@ -112,6 +117,8 @@ class Tokens:
                 word, end = c, ""
             if word.isascii() or _latin(word):
                 word = word.lower()
+            if len(c) > LONG:
+                self.memo.long += (c, word)
             if word not in young:
                 fresh.add(word)
             if end or word is not c:
@@ -319,11 +326,11 @@ def pack(items: DataFrame, capacity: int = CAPACITY, scratch: Scratch | None = N
     Full items are sequences of their own. The others are dealt to shards by hash and packed (see _pack); then the
     bins of a shard that are not nearly full are taken apart and, with those of up to MERGE shards, packed anew, level
     by level while that joins shards, so that shards do not each leave a bin half empty. Lengths over capacity are an
-    error of the caller (pieces() makes none). Places in a sequence follow (length, row) and have no gaps.
+    error of the caller (pieces() makes none). Columns sequence_id and offset of the input give way; _packed_uid must not be one. Places in a sequence follow (length, row) and have no gaps.
     """
     scratch = scratch or Scratch(items.sparkSession)
-    items = scratch.table(items.drop("sequence_id", "offset", "uid").withColumn("uid", F.monotonically_increasing_id()), "items")
-    slim = items.select("uid", F.col("length").cast("long").alias("length"))
+    items = scratch.table(items.drop("sequence_id", "offset").withColumn("_packed_uid", F.monotonically_increasing_id()), "items")
+    slim = items.select(F.col("_packed_uid").alias("uid"), F.col("length").cast("long").alias("length"))
     part = slim.where(F.col("length") < capacity)
     n = numbered(part.count(), SHARD)
     shard = part.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(n)))
@@ -346,8 +353,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, scratch: Scratch | None = N
 
     w = ["level", "shard", "bin"]
     order = Window.partitionBy(*w).orderBy("length", "uid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = settled.select("uid", F.min("uid").over(Window.partitionBy(*w)).alias("sequence_id"), (F.sum("length").over(order) - F.col("length")).alias("offset"))
-    return items.join(placed, "uid").drop("uid")
+    placed = settled.select(F.col("uid").alias("_packed_uid"), F.min("uid").over(Window.partitionBy(*w)).alias("sequence_id"), (F.sum("length").over(order) - F.col("length")).alias("offset"))
+    return items.join(placed, "_packed_uid").drop("_packed_uid")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -454,3 +455,21 @@ def test_layouts(spark, n):
 def test_held_out(spark):
     df = spark.createDataFrame([(i,) for i in [*range(50), None]], "doc_id long").select("doc_id", toxicity.held_out().alias("h"), F.lit(1))
     assert all(r["h"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in df.collect())
+
+
+def test_long_words_are_not_remembered():
+    tokens, plain = packing.Tokens(packing.tokenizer_path()), packing.Tokens(packing.tokenizer_path())
+    rng = random.Random(3)
+    blob = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/=", k=n))
+    texts = [f"some words {blob(20_000)} then {blob(70)}. and {blob(64)} {blob(65).upper()}, end" for _ in range(200)]
+    for t in texts:
+        assert tokens.ids(t) == plain._encode(t)
+    tokens.memo.turn()
+    held = sum(len(k) + len(v) for m in (tokens.memo.young, tokens.memo.old) for k, v in m.items() if len(k) > packing.LONG)
+    assert held == 0 and tokens.ids(texts[0]) == plain._encode(texts[0])
+
+
+def test_packing_keeps_other_columns(spark):
+    items = spark.createDataFrame([(i, 100 + i, f"u{i}") for i in range(40)], "offset long, length long, uid string")
+    out = packing.pack(items)
+    assert set(out.columns) == {"length", "uid", "sequence_id", "offset"} and sorted(r["uid"] for r in out.collect()) == sorted(f"u{i}" for i in range(40))
