@@ -17,7 +17,7 @@ from .common import Scratch
 
 #: Characters of texts that a task numbers together, windows of a bucket (of which a task looks at TURN at a time), buckets at
 #: least, occurrences from which a context is dealt over buckets.
-BLOCK, BUCKET, TURN, LEAST, LARGE = 8_000_000, 2_500_000, 500_000, 16, 750_000
+BLOCK, BUCKET, TURN, LEAST, LARGE = 8_000_000, 1_500_000, 500_000, 16, 750_000
 #: Divergence, in nats over all its occurrences, from which a context is a state of its own.
 KEEP = 3.0
 #: Keys of the end of a text and of its start; no word holds a blank.
@@ -405,6 +405,8 @@ def score_texts(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         seen, nexts = (np.concatenate(y) for y in zip(*((x[1][x[5]], x[7]) for _, x in held), strict=True))
         doc_of = [np.cumsum(x[2], dtype=np.int64) for _, x in held]
         train = np.concatenate([(d & 1)[x[6]] for d, (_, x) in zip(doc_of, held, strict=True)])
+        held = [(block, x[6]) for block, x in held]  # the rest is in the arrays above
+        del names, local
         logs = np.empty(len(a))
         for _, k in split_by(dealt([w1, np.ones(len(w1), np.int8)], len(a) // TURN + 1)):  # a word's windows are in one turn
             p0 = root_probability(seen[k].astype(np.int64), n, v)
@@ -419,9 +421,9 @@ def score_texts(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
             pair = np.unique(w1[k].astype(np.int64) * len(every) + w2[k], return_inverse=True)[1]
             logs[k] = np.log10(np.where(every[w1[k]] == 0, p, Grams(pair, a[k], len(every), train[k]).settle(p)))
         s = 0
-        for (block, x), d in zip(held, doc_of, strict=True):
-            out.append((1, int(table.column("to")[0].as_py()), block, pack(d >> 1, np.bincount(x[6], logs[s : s + len(x[6])], len(d)))))
-            s += len(x[6])
+        for (block, doc), d in zip(held, doc_of, strict=True):
+            out.append((1, int(table.column("to")[0].as_py()), block, pack(d >> 1, np.bincount(doc, logs[s : s + len(doc)], len(d)))))
+            s += len(doc)
         return table_of(out)
 
     def finish(table: pa.Table) -> pa.Table:

@@ -57,7 +57,7 @@ def ordered(rows):
     return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2], r[6]))
 
 
-@pytest.mark.parametrize("block,bucket,large", [(8_000_000, 2_500_000, 750_000), (4000, 900, 40), (9000, 500, 3)])
+@pytest.mark.parametrize("block,bucket,large", [(8_000_000, 1_500_000, 750_000), (4000, 900, 40), (9000, 500, 3)])
 def test_equals_brute_force(spark, tmp_path, monkeypatch, block, bucket, large):
     for name, x in (("BLOCK", block), ("BUCKET", bucket), ("LARGE", large), ("TURN", bucket // 3)):
         monkeypatch.setattr(lm_scoring, name, x)
