@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,21 +62,24 @@ def bootstrap_report(rows: DataFrame, comparisons: Sequence[tuple[str, str]], ke
     return x.withColumn("significant", F.col("low") > 0 if at_least is None else F.col("low") >= at_least)
 
 
-def run_steps(spark: SparkSession, steps: Sequence[tuple[str, Callable[[SparkSession], object]]], tries: int = 1) -> DataFrame:
-    """(place, step, status, error) of steps run in order, each up to `tries` times; after one that fails none is run."""
+def run_steps(spark: SparkSession, steps: Sequence[tuple[str, Callable[[SparkSession], object]]], tries: int = 1, pause: float = 0.0) -> DataFrame:
+    """(place, step, status, error, result) of steps run in order, each up to `tries` times with a pause in seconds that doubles; after
+    one that fails none is run. A step that returns a whole number has it as result."""
     rows, failed = [], False
     for i, (name, step) in enumerate(steps, 1):
-        status, error = ("not run", None) if failed else ("failed", None)
-        for _ in range(0 if failed else tries):
+        status, error, result = ("not run", None, None) if failed else ("failed", None, None)
+        for k in range(0 if failed else tries):
             try:
-                step(spark)
-                status, error = "done", None
+                found = step(spark)
+                status, error, result = "done", None, found if isinstance(found, int) and not isinstance(found, bool) else None
                 break
             except Exception as e:  # the report tells it
                 error = f"{type(e).__name__}: {str(e)[:200]}"
+                if k < tries - 1:
+                    time.sleep(pause * 2**k)
         failed = failed or status == "failed"
-        rows.append((i, name, status, error))
-    return spark.createDataFrame(rows, "place int, step string, status string, error string")
+        rows.append((i, name, status, error, result))
+    return spark.createDataFrame(rows, "place int, step string, status string, error string, result long")
 
 
 def main(args: Sequence[str]) -> int:

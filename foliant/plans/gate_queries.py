@@ -18,6 +18,7 @@ from . import sqltext as S
 from .metric_queries import _PL, patch_labels
 from .registry import query
 from .routing_queries import RULES_SQL, evaluated
+from .source_queries import _FEATS
 from .spatial_queries import _IOU, _SCORED, patches, scored
 
 _BOOT = "cast(concat('0x', substr(md5(concat('42:', rule, ':', b, ':', pos)), 1, 8)) as bigint)"
@@ -258,20 +259,23 @@ def truthy(spark, d):
 
 
 @query("q135_feature_columns", f"""
-with f(name) as (select unnest([{', '.join(repr(x) for x in ('bm25', 'pred_text_len', 'ocr_presence_full', 'consensus_n', *Sc.FORBIDDEN))}]))
-select name, not (contains(name, 'consensus') or contains(name, 'ocr_presence')) as kept, name in ({', '.join(repr(x) for x in Sc.FORBIDDEN)}) as forbidden from f""")
+with {_FEATS} select image_id, idx, 9 as n_kept, round(text_coverage + text_confidence + ratio + edge_density + entropy + label_value_proximity + same_row_label_value + below_label_relation + q_score, 9) as total from f""")
 def feature_columns(spark, d):
-    """Which columns an ablation keeps and which may never be features; the guard itself raises."""
-    names = ["bm25", "pred_text_len", "ocr_presence_full", "consensus_n", *Sc.FORBIDDEN]
-    kept = set(L.without_groups(names, ["consensus", "ocr_presence"]))
-
-    def leaks(n: str) -> bool:
-        try:
-            return not Sc.guard_features([n])
-        except ValueError:
-            return True
-
-    return spark.createDataFrame([(n, n in kept, leaks(n)) for n in names], "name string, kept boolean, forbidden boolean")
+    """Sums of the features that an ablation keeps, where columns that tell the answer are refused by the guard and left out first."""
+    from .source_queries import features
+
+    x = features(spark, d).withColumn("label_positive", F.col("idx") % 2 == 0).withColumn("any_positive", F.lit(True))
+    names = [c for c in x.columns if c not in ("image_id", "idx")]
+    try:
+        Sc.guard_features(names)
+        raise AssertionError("the guard let answers through")
+    except ValueError:
+        names = Sc.guard_features([c for c in names if c not in Sc.FORBIDDEN])
+    kept = L.without_groups(names, ["question_overlap", "bm25", "answer_type"])
+    total = F.lit(0.0)
+    for c in kept:
+        total = total + F.col(c)
+    return x.select("image_id", "idx", F.lit(len(kept)).alias("n_kept"), F.round(total, 9).alias("total"))
 
 
 @query("q136_edge_strip_fallback", f"""

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import models as Mo
 from ..operators import selection as Sel
 from ..sources import config as C
+from ..sources import datasource as Ds
 from ..sources import views as V
 from . import sqltext as S
 from .registry import query
@@ -108,11 +109,12 @@ def line_chart(spark, d):
     return C.line_chart(r, "method", "k", "v")
 
 
-@query("q207_connector", "select doc_id as image_id, source as question from documents where doc_id < 40")
+@query("q207_connector", "select doc_id as image_id, source as question from documents")
 def connector(spark, d):
-    """A registered connector stands where a remote data set's client would."""
-    C.register_connector("local_documents", lambda s, folder, n: V.table(s, folder, "documents").where(F.col("doc_id") < n))
-    return C.connect(spark, "local_documents", folder=d, n=40).select(F.col("doc_id").alias("image_id"), F.col("source").alias("question"))
+    """The whole table through a paged client, a page per file or row group, as a remote data set would come."""
+    Ds.register_paged(spark, "parquet_pages", Ds.FolderClient)
+    C.register_connector("documents", lambda s, folder: s.read.format("parquet_pages").option("path", f"{folder}/documents.parquet").option("columns", "doc_id,source").load())
+    return C.connect(spark, "documents", folder=d).select(F.col("doc_id").alias("image_id"), F.col("source").alias("question"))
 
 
 @query("q208_guided_patches", f"""

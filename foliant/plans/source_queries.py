@@ -130,17 +130,25 @@ def report_sink(spark, d):
     return r.select(F.col("r.all_passed").alias("all_passed"), F.size("r.results").cast("long").alias("n"), F.array_join(F.array_sort("r.results.name"), ",").alias("names"))
 
 
-@query("q150_config", "select * from (values ('gates.g2.at_2', '0.15'), ('gates.g2.at_4', '0.3'), ('name', '\"demo\"'), ('weights', '[1, 2]')) t(name, value)")
+@query("q150_config", """
+select concat('regions.', r.r_name, '.', n.n_name) as name, cast(n.n_nationkey as varchar) as value from nation n join region r on r.r_regionkey = n.n_regionkey
+union all select concat('weights.', l_shipmode), concat('[', min(l_linenumber), ', ', max(l_linenumber), ']') from lineitem group by l_shipmode union all select 'name', '"tables"'""")
 def config(spark, d):
-    return C.literals(spark, {"name": "demo", "gates": {"g2": {"at_2": 0.15, "at_4": 0.3}}, "weights": [1, 2]})
+    """A nested configuration made of tables (a row per nation and per ship mode), flattened to dotted names."""
+    n = V.table(spark, d, "nation").join(V.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    regions: dict[str, dict[str, int]] = {}
+    for r in n.select("r_name", "n_name", "n_nationkey").collect():
+        regions.setdefault(r["r_name"], {})[r["n_name"]] = r["n_nationkey"]
+    modes = V.table(spark, d, "lineitem").groupBy("l_shipmode").agg(F.min("l_linenumber").alias("a"), F.max("l_linenumber").alias("b")).collect()
+    return C.literals(spark, {"name": "tables", "regions": regions, "weights": {r["l_shipmode"]: [r["a"], r["b"]] for r in modes}})
 
 
-@query("q151_run_identity", "select true as id_ok, true as time_ok")
+@query("q151_run_identity", "select event_id, true as id_ok, true as time_ok from events")
 def run_identity(spark, d):
     """The shape of a run's id and time, which change from run to run."""
     i, t = L.run_identity()
-    x = V.table(spark, d, "region").limit(1).select(i.alias("i"), t.alias("t"))
-    return x.select(F.rlike("i", F.lit(r"^\d{8}T\d{6}-[0-9a-f]{8}$")).alias("id_ok"), F.col("t").isNotNull().alias("time_ok"))
+    x = V.table(spark, d, "events").select("event_id", i.alias("i"), t.alias("t"))
+    return x.select("event_id", F.rlike("i", F.lit(r"^\d{8}T\d{6}-[0-9a-f]{8}$")).alias("id_ok"), F.col("t").isNotNull().alias("time_ok"))
 
 
 @query("q152_repaired_answers", f"""

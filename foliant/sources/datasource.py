@@ -94,7 +94,8 @@ def register_paged(spark: SparkSession, name: str, make: Callable[[dict], Client
 
 
 class FolderClient:
-    """A folder of Parquet files as a paged data set: a page per file, in name order. path may lie in any store that pyarrow reads."""
+    """Parquet files under a path as a paged data set: a page per row group, files in name order. The path may lie in any store that
+    pyarrow reads. Options: columns, and filterable columns (comma-separated)."""
 
     filterable: tuple[str, ...] = ()
 
@@ -115,12 +116,20 @@ class FolderClient:
         own = pa.schema([own.field(c) for c in self.columns]) if self.columns else own
         return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in from_arrow_schema(own.remove_metadata(), prefer_timestamp_ntz=True))
 
+    def places(self) -> list[tuple[str, int]]:
+        return [(n, g) for n in self.names for g in range(pyarrow.parquet.read_metadata(n, filesystem=self.files).num_row_groups)]
+
     def pages(self) -> int:
-        return len(self.names)
+        return len(self.places())
 
     def page(self, number: int, filters: list[tuple[str, str, Any]]) -> pa.Table:
-        own = [(c, s, list(v) if s == "in" else v) for c, s, v in filters] or None
-        return pyarrow.parquet.read_table(self.names[number], columns=self.columns or None, filters=own, filesystem=self.files)
+        name, group = self.places()[number]
+        needed = [*dict.fromkeys([*self.columns, *(c for c, _, _ in filters)])] if self.columns else None
+        with pyarrow.parquet.ParquetFile(name, filesystem=self.files) as f:
+            found = f.read_row_group(group, columns=needed)
+        if filters:
+            found = found.filter(pyarrow.parquet.filters_to_expression([(c, s, list(v) if s == "in" else v) for c, s, v in filters]))
+        return found.select(self.columns) if self.columns else found
 
 
 class _Written(Ds.WriterCommitMessage):
