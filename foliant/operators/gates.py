@@ -69,6 +69,11 @@ def transfer_status(resize: Column, shortest: Column) -> Column:
     return F.when(resize & shortest, "FULL TRANSFER").when(resize, "PARTIAL TRANSFER").otherwise("FAIL")
 
 
+def seam_status(resize: Column, original: Column) -> Column:
+    """Page-compression gate (P26) of two significant wins: PASS with both, PARTIAL with that over resizing alone, else FAIL."""
+    return F.when(resize & original, "PASS").when(resize, "PARTIAL").otherwise("FAIL")
+
+
 def drop_status(drop: Column) -> Column:
     """Engine gate (P24) of a mean score's drop under another OCR engine."""
     return F.when(drop <= DROP_PASS, "PASS").when(drop <= DROP_PARTIAL, "PARTIAL").otherwise("FAIL")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import Stored
 
 #: Months in a grounding text and their numbers.
 MONTHS = {"jan": "01", "feb": "02", "mar": "03", "apr": "04", "may": "05", "jun": "06", "jul": "07", "aug": "08", "sep": "09", "oct": "10", "nov": "11", "dec": "12"}
@@ -146,9 +147,22 @@ def counts(df: DataFrame, key: str, every: Sequence[str]) -> DataFrame:
     return want.join(df.groupBy(key).agg(F.count("*").alias("n")), key, "left").select(key, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def placed(df: DataFrame, order: Sequence[str], name: str = "place") -> DataFrame:
+    """df with each row's place from 1 in the given order, of which no two rows share all columns.
+
+    Rows are sorted by ranges, a task each; a row's place is that in its range plus the rows of the ranges ahead, so only a
+    count per range meets in one window.
+    """
+    dealt = Stored(df.sparkSession).table(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_own", own).join(F.broadcast(counts.drop("_n")), "_range").withColumn(name, F.col("_own") + F.col("_ahead")).drop("_own", "_ahead", "_range")  # a row per range
+
+
 def group_runs(df: DataFrame, group: str) -> DataFrame:
     """Rows of each group, in group order: the run lengths that a listwise ranker reads."""
-    return df.groupBy(group).agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(Window.orderBy(group)))
+    return placed(df.groupBy(group).agg(F.count("*").alias("n")), [group])
 
 
 def argmax_route(scores: dict[str, Column], order: Sequence[str], slack: float = 1e-12) -> Column:
@@ -176,15 +190,12 @@ def first_rows(df: DataFrame, order: str, n: int, split: str = "val") -> DataFra
 
 
 def image_split(df: DataFrame, image: str, share: float, seed: int = 42) -> DataFrame:
-    """df with split: val for a share of the images (one at least, those first in hash order), else train.
-
-    The images are a dataset's, numbered in one window over their distinct names; rows only look theirs up.
-    """
+    """df with split: val for a share of the images (one at least, those first in hash order), else train."""
     n = df.select(image).distinct().withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(image).cast("string"))))
-    w = Window.orderBy("_h", image)
-    n = n.withColumn("_r", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy()))
+    n = placed(n, ["_h", image], "_r")
+    total = n.agg(F.count("*").alias("_n"))
     val = F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))
-    return df.join(n.select(image, F.when(val, "val").otherwise("train").alias("split")), image)
+    return df.join(n.join(F.broadcast(total)).select(image, F.when(val, "val").otherwise("train").alias("split")), image)  # one row
 
 
 def limited(df: DataFrame, order: str, n: int | None, zero_is_all: bool = True) -> DataFrame:

@@ -114,6 +114,15 @@ FLAGS = ["fullpage_answer", "evidence", "exact", "box_overlap", "soft_token", "f
 BUCKETS = {"fullpage_yes_evidence_no": ("fullpage_answer", "evidence"), "fullpage_yes_box_overlap_no": ("fullpage_answer", "box_overlap"), "box_overlap_yes_exact_no": ("box_overlap", "exact"), "evidence_yes_exact_no": ("evidence", "exact"), "fullpage_yes_oracle_exact_no": ("fullpage_answer", "oracle_exact")}
 
 
+@query("q217_seam_gate", f"""
+with {RULES_SQL}, {_PACK}
+select rule, n, round(dr, 6) as delta_resize, round(ds, 6) as delta_original, case when dr > 0 and lr > 0 and ds > 0 and ls > 0 then 'PASS' when dr > 0 and lr > 0 then 'PARTIAL' else 'FAIL' end as status from kz""")
+def seam_gate(spark, d):
+    """Every rule as if it read compressed pages, against resizing and against the shortest rule as the original selector."""
+    wins = {b: (F.col(f"delta_{b}") > 0) & (F.col(f"low_{b}") > 0) for b in ("resize", "shortest")}
+    return packed(spark, d).select("rule", "n", F.round("delta_resize", 6).alias("delta_resize"), F.round("delta_shortest", 6).alias("delta_original"), Gt.seam_status(wins["resize"], wins["shortest"]).alias("status"))
+
+
 @query("q125_gap_report", f"""
 with {_FLAGS}, t as (select count(*) as n, {', '.join(f"count(*) filter (where {c}) as {c}" for c in FLAGS)}, {', '.join(f"count(*) filter (where {a} and not {b}) as b_{k}" for k, (a, b) in BUCKETS.items())} from f),
 l as ({' union all '.join([f"select '{c}' as metric, {c} as hits, n from t" for c in FLAGS] + [f"select 'bucket_{k}', b_{k}, n from t" for k in BUCKETS] + ["select 'gap', fullpage_answer - oracle_exact, n from t"])})

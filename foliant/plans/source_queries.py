@@ -132,15 +132,15 @@ def report_sink(spark, d):
 
 @query("q150_config", """
 select concat('regions.', r.r_name, '.', n.n_name) as name, cast(n.n_nationkey as varchar) as value from nation n join region r on r.r_regionkey = n.n_regionkey
-union all select concat('weights.', l_shipmode), concat('[', min(l_linenumber), ', ', max(l_linenumber), ']') from lineitem group by l_shipmode union all select 'name', '"tables"'""")
+union all select concat('weights.', l_returnflag), concat('[', min(l_linenumber), ', ', max(l_linenumber), ']') from lineitem group by l_returnflag union all select 'name', '"tables"'""")
 def config(spark, d):
-    """A nested configuration made of tables (a row per nation and per ship mode), flattened to dotted names."""
+    """A nested configuration made of tables (a row per nation and per return flag), flattened to dotted names."""
     n = V.table(spark, d, "nation").join(V.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     regions: dict[str, dict[str, int]] = {}
     for r in n.select("r_name", "n_name", "n_nationkey").collect():
         regions.setdefault(r["r_name"], {})[r["n_name"]] = r["n_nationkey"]
-    modes = V.table(spark, d, "lineitem").groupBy("l_shipmode").agg(F.min("l_linenumber").alias("a"), F.max("l_linenumber").alias("b")).collect()
-    return C.literals(spark, {"name": "tables", "regions": regions, "weights": {r["l_shipmode"]: [r["a"], r["b"]] for r in modes}})
+    modes = V.table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.min("l_linenumber").alias("a"), F.max("l_linenumber").alias("b")).collect()
+    return C.literals(spark, {"name": "tables", "regions": regions, "weights": {r["l_returnflag"]: [r["a"], r["b"]] for r in modes}})
 
 
 @query("q151_run_identity", "select event_id, true as id_ok, true as time_ok from events")
