@@ -235,12 +235,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4, seed: int =
 def keep_one(docs: DataFrame, words: int = 4, most: int = 4, seed: int = 42) -> DataFrame:
     """docs with one row of each near-duplicate component: the one with the smallest doc_id (of equal rows, any one)."""
     scratch = Scratch(docs.sparkSession)
-    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")), *[c for c in docs.columns if c not in ("doc_id", "text")])
+    columns = ["doc_id", F.coalesce("text", F.lit("")), *[c for c in docs.columns if c not in ("doc_id", "text")]]
+    # 128 bits, as rows go by it
+    key = F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), *columns)), 16, "0") for seed in ("one", "two")])
     near = scratch.table(with_fingerprint(docs.select("doc_id", "text", key.alias("_key")), words, seed), "fingerprints")
     near = near.join(small_or_shuffled(near_classes(near, most, scratch).select("fingerprint", "root"), 16), "fingerprint")
     first = F.struct(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("id"), F.col("_key"))
     best = scratch.table(near.groupBy("root").agg(F.min(first)["_key"].alias("_best")).select("_best").distinct(), "best")
-    rows = docs.withColumn("_key", key).join(small_or_shuffled(best, 8), F.col("_key") == F.col("_best"), "left_semi")
+    rows = docs.withColumn("_key", key).join(small_or_shuffled(best, 64), F.col("_key") == F.col("_best"), "left_semi")
     return _without_equal_rows(rows, scratch).select(*docs.columns)
 
 

@@ -178,6 +178,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Scores by the FIT_FEATURES n-grams that tell the classes apart best; fit(..., features=None) uses all that occur (README has both)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out()).select("doc_id", "toxic")
     out = score(docs, fit(docs, labels)).drop("text")
