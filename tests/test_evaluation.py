@@ -160,8 +160,10 @@ def test_every_selector(spark):
     for i, c in enumerate(sorted({c for _, c, _ in Sc.SELECTORS.values() if c} | {"q_score", "proxy", "answer_type", "bm25"})):
         df = df.withColumn(c, ((F.col("idx") * (3 + i) + i) % 13) / 13.0)
     df = df.withColumn("label_positive", F.col("idx") % 2 == 0)
+    boxes = spark.createDataFrame([("p", i, 30 * i, 20 * (i % 3), 25, 12, 0.9, t) for i, t in enumerate(("Total:", "42 USD", "Date:", "2020", "name"))], "image_id string, box_id long, x0 long, y0 long, w long, h long, confidence double, text string")
+    questions = spark.createDataFrame([("p", "What is the total amount?")], "image_id string, question string")
     for name in Sc.SELECTORS:
-        got = [r["idx"] for r in Sc.select_named(df, name, ["image_id"], 2).collect()]
+        got = [r["idx"] for r in Sc.select_named(df, name, ["image_id"], 2, boxes=boxes, questions=questions).collect()]
         assert len(got) == len(set(got)) == 2, name
     with pytest.raises(ValueError):
         Sc.select_named(df, "none", ["image_id"], 2)
@@ -242,7 +244,8 @@ def test_steps(spark):
             raise OSError("again")
 
     got = [tuple(r) for r in Pl.run_steps(spark, [("a", shaky)], tries=3).collect()]
-    assert got == [(1, "a", "done", None)] and len(calls) == 3
+    assert got == [(1, "a", "done", None, None)] and len(calls) == 3
+    assert [r["result"] for r in Pl.run_steps(spark, [("n", lambda s: s.range(5).count()), ("b", lambda s: True)]).collect()] == [5, None]
     got = [(r["step"], r["status"], r["error"]) for r in Pl.run_steps(spark, [("a", lambda s: 1 / 0), ("b", lambda s: None)]).collect()]
     assert got == [("a", "failed", "ZeroDivisionError: division by zero"), ("b", "not run", None)]
 
