@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Page size of the stand-in pages.
 PAGE_W, PAGE_H = 1000, 1300
+#: Line items whose pages share a partition: a page becomes dozens of patches, so pages are dealt by number, not by their few bytes.
+LINES = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +61,9 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image_id")).distinct()
+    """Pages, hashed into partitions whose number follows the table, so that what is made of a page stays dealt over tasks."""
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image_id"))
+    return line.repartition(line.count() // LINES + 1, "image_id").distinct()
 
 
 def box_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
