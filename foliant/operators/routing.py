@@ -150,14 +150,14 @@ def output_features(c: Column, x: Column, question: Column, full: Column, patch:
     one = lambda test: F.coalesce(test, F.lit(False)).cast("double")
     p, n = F.coalesce(x["pred"], F.lit("")), x["norm"]
     toks = F.filter(F.split(n, " "), lambda w: w != "")
-    date, percent = F.rlike(p, F.lit(T.PREDICTION_DATE)), F.rlike(p, F.lit(T.PREDICTION_PERCENT))
+    date, percent = F.rlike(p, F.lit(T.ascii_words(T.PREDICTION_DATE))), F.rlike(p, F.lit(T.ascii_words(T.PREDICTION_PERCENT)))
     out = {f"route_{r}": one(x["route"] == r) for r in ROUTES}
     out |= {
         "len_chars": F.length(p).cast("double"), "len_tokens": F.size(toks).cast("double"), "is_empty": one(F.size(toks) == 0), "is_single_token": one(F.size(toks) == 1),
         "digit_frac": F.length(F.regexp_replace(p, r"\P{Nd}", "")) / F.greatest(F.lit(1), F.length(p)),
         "is_numeric": one((F.size(toks) > 0) & ~F.rlike(n, F.lit(r"\p{L}")) & F.rlike(p, F.lit(r"\d")) & ~date & ~F.contains(p, F.lit("%"))),
-        "is_date_like": one(date), "is_amount_like": one(F.rlike(p, F.lit(T.PREDICTION_AMOUNT))), "is_percent_like": one(percent), "is_person_like": one(F.rlike(p, F.lit(PERSON))),
-        "contains_sentence_words": one(F.rlike(p, F.lit(SENTENCE)) & (F.size(toks) >= 4)), "starts_with_answer_is": one(F.rlike(p, F.lit(LEAD))),
+        "is_date_like": one(date), "is_amount_like": one(F.rlike(p, F.lit(T.ascii_words(T.PREDICTION_AMOUNT)))), "is_percent_like": one(percent), "is_person_like": one(F.rlike(p, F.lit(T.ascii_words(PERSON)))),
+        "contains_sentence_words": one(F.rlike(p, F.lit(SENTENCE)) & (F.size(toks) >= 4)), "starts_with_answer_is": one(F.rlike(p, F.lit(T.ascii_words(LEAD)))),
     }
     ptype, qtype = T.prediction_type(p), T.question_type(question)
     out |= {f"pred_type_{k}": one(ptype == k) for k in ("empty", "numeric", "percent", "amount", "date", "person", "phrase")}
