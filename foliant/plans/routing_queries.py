@@ -56,13 +56,15 @@ def with_candidates(spark, d):
 
 
 def evaluated(spark, d, names=NAMES):
-    """A row per question and rule: (conv_id, turn, rule, route, anls, em)."""
+    """A row per question and rule: (conv_id, turn, rule, route, anls, em).
+
+    The outer explode keeps Spark from testing the array's size, with all rules written out, as a condition of the join below."""
     q = with_candidates(spark, d)
     rules = R.rules(F.col("c"), F.col("question"), F.concat_ws(":", "conv_id", "turn"))
     q = q.withColumn("p", F.array(*[F.struct(F.lit(n).alias("rule"), rules[n].alias("route")) for n in names]))
     golds = F.array("gold1", "gold2")
     scores = F.map_from_arrays(F.array(*[F.lit(r) for r in R.ROUTES]), F.array(*[F.struct(T.anls(F.col(r), golds).alias("anls"), T.exact_match(F.col(r), golds).alias("em")) for r in R.ROUTES]))
-    q = q.withColumn("s", scores).select("conv_id", "turn", "s", F.explode("p").alias("p"))
+    q = q.withColumn("s", scores).select("conv_id", "turn", "s", F.explode_outer("p").alias("p"))
     return q.select("conv_id", "turn", "p.rule", "p.route", F.col("s")[F.col("p.route")]["anls"].alias("anls"), F.col("s")[F.col("p.route")]["em"].alias("em"))
 
 

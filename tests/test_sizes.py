@@ -42,3 +42,18 @@ def test_pages_are_dealt_by_number(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(V, "LINES", 1000)
     per = V.page_ids(spark, sf_dir).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert len(per) == 7 and max(per) < 2 * sum(per) / len(per)
+
+
+@pytest.mark.parametrize("name", ["q51b_rule_table", "q26_mmr", "q25_nms", "q16_grid_patches"])
+def test_arrays_are_computed_once(spark, sf_dir, name):
+    """No filter or join tests the size of an array that its explode computes again."""
+    plan, found = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan(), []
+
+    def walk(p):
+        if p.getClass().getSimpleName() in ("Filter", "Join"):
+            found.append(p.simpleString(10_000))
+        for i in range(p.children().size()):
+            walk(p.children().apply(i))
+
+    walk(plan)
+    assert not any("lambda" in x for x in found)
