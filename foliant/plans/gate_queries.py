@@ -299,7 +299,7 @@ def edge_strip_fallback(spark, d):
 @query("q137_reading_order", f"with {S.BOXES} select image_id, box_id, row_number() over (partition by image_id order by y0, x0, box_id) as place from boxes")
 def reading_order(spark, d):
     item = F.struct(F.col("x0").alias("x"), F.col("y0").alias("y"), "box_id")
-    x = V.boxes(spark, d).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("box_id", item.alias("i")))).alias("b"))
+    x = V.boxes(spark, d).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("box_id", item.alias("i")))).alias("b"))
     x = x.select("image_id", F.posexplode(Sel.reading_order(F.transform("b", lambda t: t["i"]))).alias("at", "r"))
     return x.select("image_id", F.col("r.box_id").alias("box_id"), (F.col("at") + 1).cast("long").alias("place"))
 
@@ -320,6 +320,6 @@ oz as (select c.image_id, arg_min(c.idx, struct_pack(a := -c.proxy, b := -c.scor
 select one.image_id, one.idx as first, case when oz.proxy > two.proxy and oz.proxy >= two.proxy + 0.08 then oz.best else two.idx end as second from one join two using (image_id) left join oz using (image_id)""")
 def safe_expand(spark, d):
     item = F.struct("idx", "x", "y", "w", "h", "score", ((F.col("idx") * 7 % 10) / 10.0).alias("proxy"))
-    c = scored(spark, d).groupBy("image_id").agg(F.array_sort(F.collect_list(item)).alias("c"))
+    c = scored(spark, d).groupBy("image_id").agg(F.sort_array(F.collect_list(item)).alias("c"))
     out = Sel.safe_expanded(F.col("c"), F.slice(Sel.best_first(F.col("c")), 1, 2))
     return c.select("image_id", out.alias("p")).select("image_id", F.col("p")[0]["idx"].alias("first"), F.col("p")[1]["idx"].alias("second"))

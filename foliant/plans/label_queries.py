@@ -192,7 +192,7 @@ r as (select p.image_id, p.idx, row_number() over (partition by p.image_id order
 select image_id, 1::bigint as slot, idx from one union all select image_id, r + 1, idx from r where r <= 2""")
 def anchor_pair(spark, d):
     item = F.struct("idx", "x", "y", "w", "h", "score", F.col("n").alias("anchor"))
-    c = scored(spark, d).groupBy("image_id").agg(F.array_sort(F.collect_list(item)).alias("c"))
+    c = scored(spark, d).groupBy("image_id").agg(F.sort_array(F.collect_list(item)).alias("c"))
     out = c.select("image_id", F.posexplode_outer(Sel.anchored(F.col("c"), 3)).alias("slot", "k"))
     return out.select("image_id", (F.col("slot") + 1).cast("long").alias("slot"), F.col("k.idx").alias("idx"))
 

@@ -66,8 +66,8 @@ c as (select a.image_id, a.idx as f, b.idx as g, -(0.4::double * greatest(a.scor
 select image_id, f as first, g as second from (select *, row_number() over (partition by image_id order by k, f, g) as n from c) where n = 1""")
 def best_pair(spark, d):
     c = Sel.candidates(scored(spark, d), ["image_id"])
-    best = Sel.best_first(F.col("c"))
-    return c.select("image_id", Sel.pair(F.slice(best, 1, 3), F.slice(best, 1, 8)).alias("p")).where("p is not null").select("image_id", "p.first", "p.second")
+    pair = Sel.let(F.slice(Sel.best_first(F.col("c")), 1, 8), lambda best: Sel.pair(F.slice(best, 1, 3), best))
+    return c.select("image_id", F.explode_outer(F.array(pair)).alias("p")).where("p is not null").select("image_id", "p.first", "p.second")  # a filter on the pair itself would compute it again
 
 
 @query("q68_late_interaction")

@@ -65,7 +65,7 @@ t as (select image_id, {S.content('question')} as q, {S.words('text')} as d, {S.
 
 
 def _page_questions(spark, d):
-    parts = V.boxes(spark, d).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("box_id", "text"))).alias("b"))
+    parts = V.boxes(spark, d).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("box_id", "text"))).alias("b"))
     return parts.select("image_id", F.array_join(F.col("b.text"), " ").alias("text")).join(V.box_questions(spark, d), "image_id")
 
 
