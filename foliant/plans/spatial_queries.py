@@ -136,10 +136,14 @@ s as (select p.image_id, p.idx, p.x, p.y, p.w, p.h, round(coalesce(a.area, 0)::d
 
 
 def scored(spark, d):
-    p = patches(spark, d)
+    """Patches with their share of text (score) and how many boxes they touch. Patches and overlaps are dealt by page together and added up, so
+    that neither a join of all patches nor another shuffle for a page's pool is needed."""
+    p, own = patches(spark, d), ("x", "y", "w", "h")
     a = Sp.overlaps(p, V.boxes(spark, d)).groupBy("image_id", "idx").agg(F.sum("area").alias("area"), F.count("*").alias("n"))
+    every = p.unionByName(a, allowMissingColumns=True).repartition(V.dealt(spark, d), "image_id")
+    x = every.groupBy("image_id", "idx").agg(*[F.max(c).alias(c) for c in own], F.sum("area").alias("area"), F.sum("n").alias("n"))
     s = F.round(F.coalesce("area", F.lit(0)) / (F.col("w") * F.col("h")), 9)
-    return p.join(a, ["image_id", "idx"], "left").select("image_id", "idx", "x", "y", "w", "h", s.alias("score"), F.coalesce("n", F.lit(0)).alias("n")).hint("merge")
+    return x.select("image_id", "idx", *own, s.alias("score"), F.coalesce("n", F.lit(0)).alias("n")).hint("merge")
 
 
 _IOU = lambda a, b: f"(greatest(0, least({a}.x + {a}.w, {b}.x + {b}.w) - greatest({a}.x, {b}.x)) * greatest(0, least({a}.y + {a}.h, {b}.y + {b}.h) - greatest({a}.y, {b}.y)))::double / ({a}.w * {a}.h + {b}.w * {b}.h - greatest(0, least({a}.x + {a}.w, {b}.x + {b}.w) - greatest({a}.x, {b}.x)) * greatest(0, least({a}.y + {a}.h, {b}.y + {b}.h) - greatest({a}.y, {b}.y)))"

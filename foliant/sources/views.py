@@ -15,10 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions over which pages are dealt: one per LINES line items, as many as there are cores at least."""
+    return max(table(spark, sf_dir, "lineitem").count() // LINES + 1, spark.sparkContext.defaultParallelism)
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OCR boxes: a line item is a box on its order's page, its part's name the text."""
+    """OCR boxes: a line item is a box on its order's page, its part's name the text; dealt by page as page_ids() are, so that
+    a task's windows do not grow with the table."""
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("text"))
-    line = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    line = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).repartition(dealt(spark, sf_dir), "l_orderkey")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     return line.select(
         F.col("l_orderkey").alias("image_id"),
@@ -63,7 +69,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages, hashed into partitions whose number follows the table, so that what is made of a page stays dealt over tasks."""
     line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image_id"))
-    return line.repartition(line.count() // LINES + 1, "image_id").distinct()
+    return line.repartition(dealt(spark, sf_dir), "image_id").distinct()
 
 
 def box_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
