@@ -19,9 +19,8 @@ CELL = 512
 
 def _in_cells(df: DataFrame, x0: Column, x1: Column, y0: Column, y1: Column) -> DataFrame:
     """df with a row per grid cell (_i, _j) that x0..x1, y0..y1 touches; rows without a place are left out."""
-    line = lambda a, b: F.sequence(F.floor(a / CELL), F.floor(F.greatest(a, b) / CELL))
-    cells = F.flatten(F.transform(line(x0, x1), lambda i: F.transform(line(y0, y1), lambda j: F.struct(i.alias("_i"), j.alias("_j")))))
-    return df.select("*", F.explode_outer(cells).alias("_c")).where("_c is not null").select("*", "_c.*").drop("_c").hint("merge")
+    line = lambda a, b: F.explode_outer(F.sequence(F.floor(a / CELL), F.floor(F.greatest(a, b) / CELL)))  # noqa: E731  compiled, as lambdas are not
+    return df.select("*", line(x0, x1).alias("_i")).select("*", line(y0, y1).alias("_j")).where("_i is not null and _j is not null").hint("merge")
 
 
 def _at(df: DataFrame, x: Column, y: Column) -> DataFrame:
@@ -33,6 +32,11 @@ def _box(prefix: str = "") -> Column:
     return G.rect(F.col(prefix + "x0"), F.col(prefix + "y0"), F.col(prefix + "w"), F.col(prefix + "h"))
 
 
+def _holds(text: Column, words: Column) -> Column:
+    """Whether text holds one of words as a substring; text is computed once per row."""
+    return T.let(text, lambda x: F.exists(words, lambda t: F.contains(x, t)))
+
+
 def centres(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("cx", F.col("x0") + F.col("w") / 2).withColumn("cy", F.col("y0") + F.col("h") / 2)
 
@@ -50,7 +54,7 @@ def overlaps(patches: DataFrame, boxes: DataFrame) -> DataFrame:
 def patch_texts(patches: DataFrame, boxes: DataFrame) -> DataFrame:
     """(image_id, idx, text): texts of the touched boxes in box order, blanks skipped; patches that touch none have an empty text."""
     o = overlaps(patches, boxes).where(F.trim("text") != "")
-    t = o.groupBy("image_id", "idx").agg(F.array_sort(F.collect_list(F.struct("box_id", F.trim("text").alias("text")))).alias("b"))
+    t = o.groupBy("image_id", "idx").agg(F.sort_array(F.collect_list(F.struct("box_id", F.trim("text").alias("text")))).alias("b"))
     return patches.select("image_id", "idx").join(t, ["image_id", "idx"], "left").select("image_id", "idx", F.coalesce(F.array_join(F.col("b.text"), " "), F.lit("")).alias("text")).hint("merge")
 
 
@@ -93,16 +97,16 @@ def graph_features(patches: DataFrame, boxes: DataFrame, questions: DataFrame) -
     question box (1 if there is none), boxes inside per line of 20 pixels and boxes inside."""
     c = centres(boxes)
     toks = questions.select("image_id", F.array_distinct(T.content_tokens(F.col("question"))).alias("q"))
-    asked = c.join(toks, "image_id").where(F.exists("q", lambda t: F.contains(F.lower("text"), t))).select("image_id", F.col("box_id").alias("a"), F.col("cx").alias("qx"), F.col("cy").alias("qy"))
+    asked = c.join(toks, "image_id").where(_holds(F.lower("text"), F.col("q"))).select("image_id", F.col("box_id").alias("a"), F.col("cx").alias("qx"), F.col("cy").alias("qy"))
     near = both_ways(layout_edges(boxes)).join(asked, ["image_id", "a"]).join(c.select("image_id", F.col("box_id").alias("b"), "cx", "cy"), ["image_id", "b"])
     dist = near.groupBy("image_id").agg(F.min(F.sqrt(F.pow(F.col("cx") - F.col("qx"), 2) + F.pow(F.col("cy") - F.col("qy"), 2))).alias("d"))
     p = patches.select("image_id", "idx", "h", G.rect(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("p"))
     in_p, cell = G.inside(F.col("cx"), F.col("cy"), F.col("p")), ["image_id", "_i", "_j"]
     wide = _in_cells(p, F.col("p.x"), F.col("p.x") + F.col("p.w"), F.col("p.y"), F.col("p.y") + F.col("p.h"))
-    rel = wide.join(_at(near.where("rel in ('same_row', 'nearby_below')").select("image_id", "rel", "cx", "cy").distinct(), F.col("cx"), F.col("cy")), cell).where(in_p)
-    rel = rel.groupBy("image_id", "idx").agg(F.max((F.col("rel") == "same_row").cast("double")).alias("row"), F.max((F.col("rel") == "nearby_below").cast("double")).alias("below"))
-    held = wide.join(_at(c.select("image_id", "cx", "cy"), F.col("cx"), F.col("cy")), cell).where(in_p).groupBy("image_id", "idx").agg(F.count("*").alias("n"))
-    x = p.join(rel, ["image_id", "idx"], "left").join(held, ["image_id", "idx"], "left").join(dist, "image_id", "left")
+    points = near.where("rel in ('same_row', 'nearby_below')").select("image_id", "rel", "cx", "cy").distinct().unionByName(c.select("image_id", "cx", "cy"), allowMissingColumns=True)  # without rel: the boxes
+    held = wide.join(_at(points, F.col("cx"), F.col("cy")), cell).where(in_p)
+    held = held.groupBy("image_id", "idx").agg(F.max((F.col("rel") == "same_row").cast("double")).alias("row"), F.max((F.col("rel") == "nearby_below").cast("double")).alias("below"), F.count_if(F.isnull("rel")).alias("n"))
+    x = p.join(held, ["image_id", "idx"], "left").join(dist, "image_id", "left")
     n = F.coalesce(F.col("n"), F.lit(0)).cast("double")
     return x.select(
         "image_id", "idx", F.coalesce("row", F.lit(0.0)).alias("same_row_label_value"), F.coalesce("below", F.lit(0.0)).alias("below_label_relation"),
@@ -115,7 +119,7 @@ def label_values(boxes: DataFrame, questions: DataFrame) -> DataFrame:
     unordered pair once, the smaller label first come."""
     c = centres(boxes)
     toks = questions.select("image_id", F.array_distinct(T.content_tokens(F.col("question"))).alias("q"))
-    a = c.join(toks, "image_id").where(F.exists("q", lambda t: F.contains(F.lower("text"), t))).select("image_id", F.col("box_id").alias("label"), F.col("cx").alias("lx"), F.col("cy").alias("ly"))
+    a = c.join(toks, "image_id").where(_holds(F.lower("text"), F.col("q"))).select("image_id", F.col("box_id").alias("label"), F.col("cx").alias("lx"), F.col("cy").alias("ly"))
     b = c.select("image_id", F.col("box_id").alias("value"), "cx", "cy")
     dx, dy = F.col("cx") - F.col("lx"), F.col("cy") - F.col("ly")
     rel = (
@@ -134,7 +138,7 @@ def row_clusters(boxes: DataFrame, factor: float = 0.6) -> DataFrame:
     """(image_id, row_id, members): boxes by centre height join the current row while they lie within factor * median box height of
     the running mean of its members' centres; the mean moves, so this is a fold and not a gap rule."""
     c = centres(boxes).where(F.trim("text") != "")
-    g = c.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("cy", "box_id"))).alias("b"), F.median("h").alias("m"))
+    g = c.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("cy", "box_id"))).alias("b"), F.median("h").alias("m"))
     none = F.array().cast("array<struct<row_id:int,box_id:bigint>>")
     zero = F.struct(F.lit(-1).alias("row"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), none.alias("out"))
 
@@ -147,7 +151,7 @@ def row_clusters(boxes: DataFrame, factor: float = 0.6) -> DataFrame:
         )
 
     rows = F.aggregate("b", zero, step, lambda acc: acc["out"])
-    return g.select("image_id", F.explode_outer(rows).alias("r")).groupBy("image_id", F.col("r.row_id").alias("row_id")).agg(F.array_sort(F.collect_list("r.box_id")).alias("members"))
+    return g.select("image_id", F.explode_outer(rows).alias("r")).groupBy("image_id", F.col("r.row_id").alias("row_id")).agg(F.sort_array(F.collect_list("r.box_id")).alias("members"))
 
 
 def row_bands(boxes: DataFrame, band: int = 20, least: int = 3, pad: int = 8) -> DataFrame:
@@ -218,8 +222,8 @@ def candidate_pool(boxes: DataFrame, questions: DataFrame, width: int, height: i
     c = centres(boxes).join(questions.select("image_id", F.array_distinct(T.content_tokens(F.col("question"))).alias("q")), "image_id", "left")
     around = G.centred(F.col("cx"), F.col("cy"), 256, width, height)
     shared = F.coalesce(F.size(F.array_intersect("q", T.tokens(F.col("text")))) > 0, F.lit(False))
-    per = c.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("box_id", around.alias("r"), shared.alias("s")))).alias("b"))
-    bands = row_bands(boxes).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("band", G.clamp(G.rect(*[F.col(k) for k in "xywh"]), width, height).alias("r")))).alias("t"))
+    per = c.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("box_id", around.alias("r"), shared.alias("s")))).alias("b"))
+    bands = row_bands(boxes).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("band", G.clamp(G.rect(*[F.col(k) for k in "xywh"]), width, height).alias("r")))).alias("t"))
     none = F.array().cast("array<struct<x:int,y:int,w:int,h:int>>")
     own = F.concat(cast(F.transform("b", lambda x: x["r"])), cast(F.transform(F.filter("b", lambda x: x["s"]), lambda x: x["r"])), F.coalesce(cast(F.transform("t", lambda x: x["r"])), none))
     add = lambda acc, r: F.when(F.exists(acc, lambda k: G.iou(k, r) >= threshold), acc).otherwise(F.concat(acc, F.array(r)))
@@ -250,7 +254,7 @@ def proximity(patches: DataFrame, boxes: DataFrame, questions: DataFrame) -> Dat
     """
     c = centres(boxes)
     toks = questions.select("image_id", F.array_distinct(T.content_tokens(F.col("question"))).alias("q")).where(F.size("q") > 0)
-    lab = c.join(toks, "image_id").where(F.exists("q", lambda t: F.contains(T.normalize_text(F.col("text")), t)) | F.contains("text", F.lit(":")))
+    lab = c.join(toks, "image_id").where(F.contains("text", F.lit(":")) | _holds(T.normalize_text(F.col("text")), F.col("q")))
     lab = lab.select("image_id", F.col("box_id").alias("label"), (F.col("x0") + F.col("w")).alias("lx"), F.col("cy").alias("ly"))
     v = lab.join(c.select("image_id", "box_id", "cx", "cy"), "image_id").where("label <> box_id")
     s = F.when((F.abs(F.col("cy") - F.col("ly")) < 25) & (F.col("cx") >= F.col("lx") - 10), 1.0).when((F.col("cy") > F.col("ly")) & (F.abs(F.col("cx") - F.col("lx")) < 80), 0.7)
