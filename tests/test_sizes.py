@@ -120,5 +120,5 @@ def test_scores_need_no_join_of_all_patches(spark, sf_dir):
 
 
 def test_patches_meet_boxes_once(spark, sf_dir):
-    """Neighbours and boxes meet the patches in one join; two made 30, each of the neighbours' own counts."""
+    """Neighbours and boxes meet the patches in one join, and come back in one; apart they made two joins more."""
     assert joins(catalogue.QUERIES["q22_graph_features"](spark, sf_dir)) <= 28
