@@ -47,29 +47,49 @@ def mix_sources(df: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float
     Taken sizes of a source add up to its budget exactly (0 where the source has no words).
 
     Keys are uniform, so their leading bits are equal ranges: about sqrt(rows) ranges per source are summed
-    (map-side first), prefix sums run over the range totals of each source and, within each range, over its rows.
-    No window holds more than about sqrt(rows) rows of any source, however much of the input one source has.
+    (map-side first), prefix sums over the range totals tell the range that holds the cut, and prefix sums over its rows the row. Other
+    rows only compare themselves with their source's cut, so no column but source, size and key is shuffled, and no
+    window holds more than about sqrt(rows) rows of any source, however much of the input one source has.
     Null sources are a source of their own. Null or negative sizes count as 0. Rows that tie in key are ordered
     by size; rows equal in both are interchangeable. Added columns take the place of input columns of the same name.
     """
     scratch = scratch or Scratch(df.sparkSession)
     df = df.drop("source_size", "target", "taken").withColumn("size", F.greatest(F.coalesce(F.col("size").cast("long"), F.lit(0)), F.lit(0)))
-    slim = scratch.table(df.select("source", "size", "key"), "mix")
+    cuts = _cuts(scratch.table(df.select("source", "size", "key"), "mix"), weights, cap, scratch)
+    rows = df.join(small_or_shuffled(cuts, 128), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    place, cut = F.struct("key", "size"), F.struct(F.col("_key").alias("key"), F.col("_size").alias("size"))
+    if cuts.where("_equal > 1").limit(1).count():  # only rows at a cut need an order among equal ones
+        at = F.coalesce(place == cut, F.lit(False))
+        turn = F.row_number().over(Window.partitionBy("source").orderBy("key", "size"))
+        rows = rows.where(~at).withColumn("_turn", F.lit(1)).unionByName(rows.where(at).withColumn("_turn", turn))
+    else:
+        rows = rows.withColumn("_turn", F.lit(1))
+    rest = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("_rest") - (F.col("_turn") - 1) * F.col("size")))
+    last = F.when(place < cut, F.col("size")).when(place == cut, rest).otherwise(0)
+    return rows.withColumn("taken", (F.col("_epochs") * F.col("size") + last).cast("long")).drop("_epochs", "_key", "_size", "_rest", "_equal", "_turn")
+
+
+def _cuts(slim: DataFrame, weights: Sequence[float], cap: float, scratch: Scratch) -> DataFrame:
+    """A row per source (_s) of slim (source, size, key): source_size, target, whole epochs, and the key and size at which the epoch after
+    them is cut, how many rows have both, and what is left for them. Sources without words have no cut."""
     bits = max(1, slim.count().bit_length() // 2)
     span = F.shiftright(F.col("key"), KEY_BITS - bits)
-    spans = slim.groupBy("source", span.alias("_span")).agg(F.sum("size").alias("_n"))
-    stats = scratch.table(source_targets(spans.groupBy("source").agg(F.sum("_n").alias("source_size")), weights, cap), "targets")
-    before = F.sum("_n").over(Window.partitionBy("source").orderBy("_span")) - F.col("_n")
-    spans = spans.withColumn("_before", before).drop("_n").withColumnRenamed("source", "_s").withColumnRenamed("_span", "_k")
-    spans = spans.join(small_or_shuffled(stats.withColumnRenamed("source", "_t"), 64), F.col("_s").eqNullSafe(F.col("_t"))).drop("_t", "weight")
-    inner = Window.partitionBy("source", "_span").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = df.withColumn("_span", span).withColumn("_within", F.sum("size").over(inner) - F.col("size"))
-    rows = rows.join(spans, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_span") == F.col("_k")))
+    spans = scratch.table(slim.groupBy("source", span.alias("_span")).agg(F.sum("size").alias("_n")), "spans")
+    stats = source_targets(spans.groupBy("source").agg(F.sum("_n").alias("source_size")), weights, cap)
     budget = F.floor(F.col("target") + 0.5)
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
-    left = budget - epochs * F.col("source_size") - F.col("_before") - F.col("_within")
-    taken = epochs * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left))
-    return rows.withColumn("taken", taken.cast("long")).drop("_span", "_within", "_s", "_k", "_before")
+    stats = stats.withColumn("_epochs", epochs).withColumn("_left", (budget - epochs * F.col("source_size")).cast("long"))
+    stats = scratch.table(stats.select(F.col("source").alias("_s"), "source_size", "target", "_epochs", "_left"), "targets")
+    own = F.col("source").eqNullSafe(F.col("_s"))
+    before = F.sum("_n").over(Window.partitionBy("source").orderBy("_span")) - F.col("_n")
+    held = spans.withColumn("_before", before).join(small_or_shuffled(stats, 64), own).where("_before <= _left and _left < _before + _n")
+    held = scratch.table(held.select("_s", F.col("_span").alias("_k"), (F.col("_left") - F.col("_before")).alias("_left")), "cut-spans")
+    rows = slim.withColumn("_span", span).join(small_or_shuffled(held, 64), own & (F.col("_span") == F.col("_k")))
+    rows = rows.groupBy("_s", "_left", "key", "size").agg(F.count("*").alias("_equal"))
+    total = F.col("size") * F.col("_equal")
+    rows = rows.withColumn("_rest", F.col("_left") - (F.sum(total).over(Window.partitionBy("_s").orderBy("key", "size")) - total))
+    cut = rows.where((F.col("_rest") >= 0) & (F.col("_rest") < total)).select(F.col("_s").alias("_t"), F.col("key").alias("_key"), F.col("size").alias("_size"), "_rest", "_equal")
+    return scratch.table(stats.join(cut, F.col("_s").eqNullSafe(F.col("_t")), "left").drop("_t", "_left"), "cuts")
 
 
 def documents_to_mix(docs: DataFrame, seed: int = 7) -> DataFrame:

@@ -242,15 +242,9 @@ def keep_one(docs: DataFrame, words: int = 4, most: int = 4, seed: int = 42) ->
     near = near.join(small_or_shuffled(near_classes(near, most, scratch).select("fingerprint", "root"), 16), "fingerprint")
     first = F.struct(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("id"), F.col("_key"))
     best = scratch.table(near.groupBy("root").agg(F.min(first)["_key"].alias("_best")).select("_best").distinct(), "best")
-    rows = docs.withColumn("_key", key).join(small_or_shuffled(best, 64), F.col("_key") == F.col("_best"), "left_semi")
-    return _without_equal_rows(rows, scratch).select(*docs.columns)
-
-
-def _without_equal_rows(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """One of the rows that share a _key; a shuffle of whole rows only if any do."""
-    rows = scratch.table(rows, "kept")
-    repeated = rows.groupBy("_key").count().where("count > 1").limit(1).count()
-    return rows.dropDuplicates(["_key"]) if repeated else rows
+    # whole rows are shuffled once, whatever their number, and equal ones then stand side by side; they are written nowhere else
+    rows = docs.withColumn("_key", key).join(best.hint("merge"), F.col("_key") == F.col("_best"), "left_semi")
+    return rows.dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
