@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import kept
 from . import metrics as M
 
 #: Score targets, pairs that a transfer gate needs, and how far a drop may go.
@@ -90,7 +91,8 @@ def ablation_gate(rows: DataFrame, full: str, value: str = "anls", name: str = "
 
 def pack(evaluated: DataFrame, id_col: str, bases: tuple[str, str] = ("resize", "shortest_nonempty"), interval: Callable = M.bootstrap) -> DataFrame:
     """A row per rule of evaluated (rule, id, route, anls, em): means, route counts, differences to two base rules of the same
-    ids with their intervals, targets, role and the selector gates P14 (beats the shortest rule), P15, P17 and P18."""
+    ids with their intervals, targets, role and the selector gates P14 (beats the shortest rule), P15, P17 and P18. evaluated is stored, as it is read five times."""
+    evaluated = kept(evaluated, "evaluated")
     own = evaluated.groupBy("rule").agg(
         F.count("*").alias("n"), F.avg("anls").alias("anls"), F.avg("em").alias("em"),
         F.array_join(F.array_sort(F.collect_set("route")), ",").alias("routes"),

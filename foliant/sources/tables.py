@@ -49,6 +49,12 @@ class Stored:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of its own: a plan that repeats a long step for each of its readers outgrows the driver, whatever the
+    rows are. Hinted, as its files are far smaller than its rows and Spark would broadcast them by the files' size."""
+    return Stored(df.sparkSession).table(df, name).hint("merge")
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -45,7 +45,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("page"))
     ws = F.filter(F.split(F.regexp_replace("page", r"\s+", " "), " "), lambda t: t != "")
     some = lambda start, n: F.array_join(F.slice("ws", start, n), " ")
-    q = u.join(a, ["conv_id", "turn"]).withColumn("ws", ws)
+    q = u.join(a.hint("merge"), ["conv_id", "turn"]).withColumn("ws", ws)  # texts that repeat are far larger than their files
     return q.select(
         "conv_id", "turn", "question", "page", some(1, 8).alias("gold1"), some(1, 5).alias("gold2"),
         F.when(F.col("conv_id") % 3 == 0, F.concat(some(1, 5), F.lit(" extra"))).otherwise(some(1, 5)).alias("resize"),
