@@ -122,3 +122,15 @@ def test_scores_need_no_join_of_all_patches(spark, sf_dir):
 def test_patches_meet_boxes_once(spark, sf_dir):
     """Neighbours and boxes meet the patches in one join, and come back in one; apart they made two joins more."""
     assert joins(catalogue.QUERIES["q22_graph_features"](spark, sf_dir)) <= 28
+
+
+@pytest.mark.parametrize("name", ["q184_table_pair_selector", "q120_packed_results", "q161_selector_registry", "q181_node_evidence", "q186_entity_row_selector", "q185_entity_evidence"])
+def test_plans_stay_small(spark, sf_dir, monkeypatch, name):
+    """A step that several others read stands in one plan only: the driver holds every node of a plan, whatever the rows are."""
+    from foliant.sources.tables import Stored
+
+    plans, table = [], Stored.table
+    leaves = lambda p: sum(leaves(p.children().apply(i)) for i in range(p.children().size())) or 1
+    monkeypatch.setattr(Stored, "table", lambda self, df, name: plans.append(df) or table(self, df, name))
+    plans.append(catalogue.QUERIES[name](spark, sf_dir))
+    assert max(leaves(df._jdf.queryExecution().optimizedPlan()) for df in plans) <= 24
