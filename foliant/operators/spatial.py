@@ -6,6 +6,8 @@ the array ahead, and so computes it twice.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -223,17 +225,35 @@ def candidate_pool(boxes: DataFrame, questions: DataFrame, width: int, height: i
         if all(_iou(k, r) < threshold for k in kept):
             kept.append(r)
     held = F.array(*[G.rect(*[F.lit(int(v)) for v in r]) for r in kept])
-    cast = lambda a: F.transform(a, lambda r: G.rect(*[r[k].cast("int") for k in "xywh"]))
-    c = centres(boxes).join(questions.select("image_id", F.array_distinct(T.content_tokens(F.col("question"))).alias("q")), "image_id", "left")
-    around = G.centred(F.col("cx"), F.col("cy"), 256, width, height)
-    shared = F.coalesce(F.size(F.array_intersect("q", T.tokens(F.col("text")))) > 0, F.lit(False))
-    per = c.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("box_id", around.alias("r"), shared.alias("s")))).alias("b"))
-    bands = row_bands(boxes).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("band", G.clamp(G.rect(*[F.col(k) for k in "xywh"]), width, height).alias("r")))).alias("t"))
-    none = F.array().cast("array<struct<x:int,y:int,w:int,h:int>>")
-    own = F.concat(cast(F.transform("b", lambda x: x["r"])), cast(F.transform(F.filter("b", lambda x: x["s"]), lambda x: x["r"])), F.coalesce(cast(F.transform("t", lambda x: x["r"])), none))
+    cast = lambda a: F.coalesce(F.transform(a, lambda r: G.rect(*[r[k].cast("int") for k in "xywh"])), F.array().cast("array<struct<x:int,y:int,w:int,h:int>>"))
+    # what is held is the same for every page, and few squares are free of it: questions, lists and comparisons are for these alone
+    around = centres(boxes).select("image_id", "box_id", "text", G.centred(F.col("cx"), F.col("cy"), 256, width, height).alias("r"))
+    free = around.where(_apart(kept, threshold)(*[F.col(f"r.{k}") for k in "xywh"]))
+    c = free.join(questions.select("image_id", "question").hint("merge"), "image_id", "left")
+    shared = F.coalesce(F.size(F.array_intersect(T.content_tokens(F.col("question")), T.tokens(F.col("text")))) > 0, F.lit(False))
+    squares = c.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("box_id", "r", shared.alias("s")))).alias("b"))
+    strips = row_bands(boxes).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("band", G.clamp(G.rect(*[F.col(k) for k in "xywh"]), width, height).alias("r")))).alias("t"))
+    own = F.concat(cast(F.transform("b", lambda x: x["r"])), cast(F.transform(F.filter("b", lambda x: x["s"]), lambda x: x["r"])), cast(F.transform("t", lambda x: x["r"])))
     add = lambda acc, r: F.when(F.exists(acc, lambda k: G.iou(k, r) >= threshold), acc).otherwise(F.concat(acc, F.array(r)))
-    pool = per.join(bands, "image_id", "left").select("image_id", F.aggregate(own, held, add).alias("c"))
-    return pool.select("image_id", F.posexplode_outer("c").alias("idx", "r")).select("image_id", "idx", *[F.col(f"r.{k}").alias(k) for k in "xywh"])
+    more = squares.join(strips.hint("merge"), "image_id", "full").select("image_id", F.posexplode_outer(F.aggregate(own, held, add)).alias("idx", "r")).where(F.col("idx") >= len(kept))
+    pool = boxes.select("image_id").distinct().select("image_id", F.posexplode_outer(held).alias("idx", "r")).unionByName(more)
+    return pool.select("image_id", "idx", *[F.col(f"r.{k}").alias(k) for k in "xywh"])
+
+
+def _apart(held: list[tuple[int, int, int, int]], threshold: float):
+    """Whether rectangles (x, y, w, h: whole numbers) overlap each of held by less than threshold, in Arrow batches: Spark does not compile
+    the lambdas that a list needs, and written out the tests are longer than Java compiles."""
+
+    @F.pandas_udf("boolean")
+    def run(x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
+        x0, y0, w, h = (v.to_numpy(np.int64) for v in (x, y, w, h))
+        x1, y1, area, out = x0 + w, y0 + h, w * h, np.ones(len(x), bool)
+        for kx, ky, kw, kh in held:
+            inter = np.maximum(0, np.minimum(x1, kx + kw) - np.maximum(x0, kx)) * np.maximum(0, np.minimum(y1, ky + kh) - np.maximum(y0, ky))
+            out &= inter / np.maximum(1, area + kw * kh - inter) < threshold
+        return pd.Series(out)
+
+    return run
 
 
 def _page_rectangles(width: int, height: int) -> list[tuple[int, int, int, int]]:
