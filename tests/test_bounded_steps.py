@@ -1,10 +1,12 @@
 """Steps whose cost per row was too high at size: what they compute, by brute force, and for how few rows they compute it."""
 
+import difflib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.functions import fuzzy as Z
 from foliant.operators import spatial as Sp
 
 BOX = "image_id long, box_id long, x0 long, y0 long, w long, h long, confidence double, text string"
@@ -54,3 +56,33 @@ def test_candidate_pool_asks_free_squares_only(spark):
     plan = pool._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan and plan.index("question#") < plan.index("ArrowEvalPython")
     assert pool.where(F.col("idx") >= 46).count() == 0
+
+
+def test_late_interaction_of_repeated_keys_and_long_texts(spark, monkeypatch):
+    """Blocks of tokens give what all pairs give; rows that share a key count together; nothing to compare counts 0."""
+    monkeypatch.setattr(Z, "ASKED", 3)
+    monkeypatch.setattr(Z, "BLOCK", 5)
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randrange(2, 8)))
+    rows = [(i // 2, " ".join(word() for _ in range(rng.randrange(1, 9))), " ".join(word() for _ in range(rng.randrange(1, 30)))) for i in range(40)]
+    rows += [(90, "", "abc"), (91, "abc abc", None), (92, None, None), (93, "abc " + "a" * 300, "abcd " + "ab" * 150), (94, "abc", "")]
+
+    def similar(a, b):
+        if a == b or a in b or b in a:
+            return 1.0 if a == b else 0.85
+        x, y = ({s[i : i + 3] for i in range(max(1, len(s) - 2))} for s in (a, b))
+        return max(len(x & y) / len(x | y), 0.75 * difflib.SequenceMatcher(None, a, b).ratio())
+
+    want = {}
+    for n, q, t in rows:
+        ts = (t or "").split()
+        want.setdefault(n, []).extend(max((similar(a, b) for b in ts), default=0.0) for a in (q or "").split())
+    got = {r["n"]: r["late"] for r in Z.late_interaction(spark.createDataFrame(rows, "n int, q string, t string"), ["n"], "q", "t").collect()}
+    assert got == {n: pytest.approx(sum(v) / len(v) if v else 0.0) for n, v in want.items()}
+
+
+def test_late_interaction_makes_no_row_per_pair(spark):
+    """Tokens meet within their row: no row per pair of tokens, no join on tokens."""
+    df = spark.createDataFrame([(1, "red metal", "read metals")], "n int, q string, t string")
+    plan = Z.late_interaction(df, ["n"], "q", "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
