@@ -18,7 +18,9 @@ from ..sources.tables import Stored
 #: Rows whose values give the bins' edges (those with the smallest hashes), rows of a chunk, and steps of a gradient: sums of
 #: whole steps don't depend on the order of tasks, so reruns agree.
 SAMPLE, CHUNK, STEP = 50_000, 4096, 1 << 20
-STATE = "chunk long, rid binary, bins binary, fold binary, label binary, scores binary, g binary, h binary"
+#: Pairs of rows whose gradients are computed at once (those of one group at least), and chunks of a task.
+PAIRS, CHUNKS = 1 << 20, 16
+STATE = "chunk long, rid binary, bins binary, fold binary, label binary, starts binary, scores binary, g binary, h binary"
 
 
 @dataclass
@@ -90,29 +92,33 @@ def bin_edges(x: np.ndarray, bins: int) -> list[np.ndarray]:
     return out
 
 
-def squares(score: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def squares(score: np.ndarray, label: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients and curvatures of half the squared error."""
     return score - label, np.ones(len(score))
 
 
-def lambdas(score: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of one group: each pair of unlike labels pulls apart, as strongly as swapping the two would change the group's NDCG.
+def lambdas(score: np.ndarray, label: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the groups that begin at starts: each pair of unlike labels pulls apart, as strongly as swapping the two would change the
+    group's NDCG.
 
-    Labels are gains. Places follow the scores, ties the rows' order.
+    Labels are gains. Places follow the scores, ties the rows' order. Groups of the same size are computed together.
     """
-    n, g = len(score), np.zeros(len(score))
-    h, best = g.copy(), np.sort(label)[::-1] @ (1 / np.log2(np.arange(n) + 2))
-    if best <= 0:
-        return g, h
-    discount = np.empty(n)
-    discount[np.argsort(-score, kind="stable")] = 1 / np.log2(np.arange(n) + 2)
-    i, j = np.nonzero(label[:, None] > label[None, :])
-    delta = (label[i] - label[j]) * np.abs(discount[i] - discount[j]) / best
-    p = 1 / (1 + np.exp(np.clip(score[i] - score[j], -50, 50)))
-    np.subtract.at(g, i, p * delta)
-    np.add.at(g, j, p * delta)
-    for k in (i, j):
-        np.add.at(h, k, p * (1 - p) * delta)
+    g, h, sizes = np.zeros(len(score)), np.zeros(len(score)), np.diff(np.append(starts, len(score)))
+    for n in np.unique(sizes):
+        of, weight = starts[sizes == n], 1 / np.log2(np.arange(n) + 2)
+        most = max(1, PAIRS // n**2)
+        for first in range(0, len(of), most):
+            at = of[first : first + most, None] + np.arange(n)
+            s, y = score[at], label[at]
+            best, discount = np.sort(y, axis=1)[:, ::-1] @ weight, np.empty(at.shape)
+            np.put_along_axis(discount, np.argsort(-s, axis=1, kind="stable"), np.broadcast_to(weight, at.shape), 1)
+            k, i, j = np.nonzero((y[:, :, None] > y[:, None, :]) & (best > 0)[:, None, None])
+            delta = (y[k, i] - y[k, j]) * np.abs(discount[k, i] - discount[k, j]) / best[k]
+            p = 1 / (1 + np.exp(np.clip(s[k, i] - s[k, j], -50, 50)))
+            np.subtract.at(g, at[k, i], p * delta)
+            np.add.at(g, at[k, j], p * delta)
+            for e in (i, j):
+                np.add.at(h, at[k, e], p * (1 - p) * delta)
     return g, h
 
 
@@ -190,7 +196,7 @@ class Growth:
 
 
 def _arrays(b: pa.RecordBatch, i: int, models: int) -> dict[str, np.ndarray]:
-    kinds = {"rid": np.int64, "bins": np.uint16, "fold": np.int32, "label": np.float64, "scores": np.float64, "g": np.int64, "h": np.int64}
+    kinds = {"rid": np.int64, "bins": np.uint16, "fold": np.int32, "label": np.float64, "starts": np.int64, "scores": np.float64, "g": np.int64, "h": np.int64}
     out = {c: np.frombuffer(b.column(c)[i].as_py(), k) for c, k in kinds.items()}
     n = len(out["rid"])
     for c in ("scores", "g", "h"):
@@ -209,7 +215,7 @@ def boost(df: DataFrame, keys: list[str], features: list[str], label: str, objec
     bounded pool of candidates; all of a group in one fold) by lambda gradients, the label being a row's gain. Rows with a null label or
     fold are left out; repeated rows count as often as they occur; an empty table gives forests without trees.
 
-    Rows are gathered once into chunks (groups, or CHUNK rows by hash) with binned features. A pass over the chunks sums gradients by (forest, leaf,
+    Rows are gathered once into chunks (about CHUNK rows by hash, whole groups) with binned features. A pass over the chunks sums gradients by (forest, leaf,
     feature, bin) in its tasks, then in one aggregation; what the driver gets is bounded by leaves x features x bins. Trees grow best
     leaf first, up to `leaves`; each sees the rows and features that a hash of the seed and its number picks.
     """
@@ -226,27 +232,30 @@ def boost(df: DataFrame, keys: list[str], features: list[str], label: str, objec
     n = rows.count()
     if not n:
         return [Forest(features, edges, 0.0, []) for _ in range(models)], df.limit(0).select(*keys, F.lit(0).alias("fold"), F.lit(0.0).alias("prediction"))
-    # of hashed groups that share a number, each is a chunk of its own
-    by = [F.col("chunk"), F.col("group")] if group else [F.pmod("rid", F.lit(n // CHUNK + 1)).alias("chunk")]
-    held = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("rid", "x", "label", "fold", "key"))).alias("r"))
-    held = stored.table(held.select(F.monotonically_increasing_id().alias("chunk"), "r"), "chunks")
+    chunks, place = n // CHUNK + 1, ["chunk", "group"] if group else []
+    parts = min(chunks, max(4 * df.sparkSession.sparkContext.defaultParallelism, chunks // CHUNKS))
+    held = rows.withColumn("_c", F.pmod("chunk" if group else "rid", F.lit(chunks))).repartition(parts, "_c")
+    held = held.groupBy(F.col("_c").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct(*place, "rid", "x", "label", "fold", "key"))).alias("r"))
+    held = stored.table(held, "chunks")
     sums = rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum(F.round(F.col("label") * STEP).cast("long")).alias("s")).toPandas()
     start = [float(s["s"].sum() / STEP / max(1, s["n"].sum())) if objective == "squares" else 0.0 for s in (sums[sums["fold"] != k] for k in range(models))]
 
-    def gradients(score: np.ndarray, label: np.ndarray, fold: np.ndarray) -> tuple[bytes, bytes]:
-        both = [gradient(score[k], label) for k in range(models)]
+    def gradients(score: np.ndarray, label: np.ndarray, fold: np.ndarray, starts: np.ndarray) -> tuple[bytes, bytes]:
+        both = [gradient(score[k], label, starts) for k in range(models)]
         g, h = (np.stack([np.where(fold != k, np.rint(x[e] * STEP), 0) for k, x in enumerate(both)]).astype(np.int64) for e in (0, 1))
         return g.tobytes(), h.tobytes()
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for chunk, r in zip(b.column("chunk").to_pylist(), b.column("r").to_pylist(), strict=True):
-                x = np.array([v["x"] for v in r], float).reshape(len(r), width)
-                label, fold = np.array([v["label"] for v in r], float), np.array([v["fold"] for v in r], np.int32)
-                scores = np.repeat(np.array(start)[:, None], len(r), axis=1)
-                out.append((chunk, np.array([v["rid"] for v in r], np.int64).tobytes(), binned(x, edges).tobytes(), fold.tobytes(), label.tobytes(), scores.tobytes(), *gradients(scores, label, fold)))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out]) for k in range(8)], [c.split()[0] for c in STATE.split(", ")])
+            for chunk, r in zip(b.column("chunk").to_pylist(), b.column("r"), strict=True):
+                rid, label, fold = (r.values.field(c).to_numpy(zero_copy_only=False) for c in ("rid", "label", "fold"))
+                x = r.values.field("x").flatten().to_numpy(zero_copy_only=False).reshape(len(rid), width)
+                own = r.values.field("group").to_pylist() if group else []
+                starts = np.array([0, *(i for i in range(1, len(own)) if own[i] != own[i - 1])], np.int64)
+                scores = np.repeat(np.array(start)[:, None], len(rid), axis=1)
+                out.append((chunk, rid.tobytes(), binned(x, edges).tobytes(), fold.tobytes(), label.tobytes(), starts.tobytes(), scores.tobytes(), *gradients(scores, label, fold, starts)))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out]) for k in range(9)], [c.split()[0] for c in STATE.split(", ")])
 
     state = stored.table(held.mapInArrow(begin, STATE), "state")
     forests = [Forest(features, edges, start[k], []) for k in range(models)]
@@ -285,11 +294,11 @@ def boost(df: DataFrame, keys: list[str], features: list[str], label: str, objec
                 for i in range(b.num_rows):
                     s = _arrays(b, i, models)
                     new = s["scores"] + np.stack([t.scores(s["bins"]) for t in ended])
-                    both = gradients(new, s["label"], s["fold"])
+                    both = gradients(new, s["label"], s["fold"], s["starts"])
                     scores.append(new.tobytes())
                     g.append(both[0])
                     h.append(both[1])
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("chunk", "rid", "bins", "fold", "label")), pa.array(scores, pa.binary()), pa.array(g, pa.binary()), pa.array(h, pa.binary())], [c.split()[0] for c in STATE.split(", ")])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("chunk", "rid", "bins", "fold", "label", "starts")), pa.array(scores, pa.binary()), pa.array(g, pa.binary()), pa.array(h, pa.binary())], [c.split()[0] for c in STATE.split(", ")])
 
         return run
 

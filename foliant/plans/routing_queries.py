@@ -50,8 +50,8 @@ RULES_SQL = RULES_SQL.replace("list_contains(fits, ptype)", f"list_contains({_FI
 NAMES = ("resize", "bm25", "majority_vote", "resize_on_disagree", "bm25_on_disagree", "learned_on_disagree", "shortest_nonempty", "longest_nonempty", "consensus_first", "answer_type_shortest", "grounded_shortest", "grounded_first")
 
 
-def with_candidates(spark, d):
-    q = V.questions(spark, d)
+def with_candidates(spark, d, dealt=lambda q: q):
+    q = dealt(V.questions(spark, d))
     return q.withColumn("c", R.prepared(F.col("page"), **{r: F.col(r) for r in R.ROUTES}))
 
 

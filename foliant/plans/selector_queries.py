@@ -24,7 +24,7 @@ TREES = {"trees": 12, "leaves": 15, "rate": 0.2, "least_rows": 10}
 
 def route_table(spark, d):
     """A row per question and reader: features of its output, anls and em."""
-    q = with_candidates(spark, d).select(*KEYS, "question", "page", "gold1", "gold2", "c", F.explode("c").alias("x"))
+    q = with_candidates(spark, d, V.spread).select(*KEYS, "question", "page", "gold1", "gold2", "c", F.explode_outer("c").alias("x"))
     f = R.output_features(F.col("c"), F.col("x"), F.col("question"), F.col("page"), F.col("gold2"))
     g = F.array("gold1", "gold2")
     return q.select(*KEYS, F.col("x.route").alias("route"), T.anls(F.col("x.pred"), g).alias("anls"), T.exact_match(F.col("x.pred"), g).alias("em"), *[c.cast("double").alias(n) for n, c in f.items() if n in TREE_FEATURES])

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 PAGE_W, PAGE_H = 1000, 1300
 #: Line items whose pages share a partition: a page becomes dozens of patches, so pages are dealt by number, not by their few bytes.
 LINES = 100_000
+#: Questions of a task that computes much of each.
+QUESTIONS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +22,11 @@ def dealt(spark: SparkSession, sf_dir: str) -> int:
     return max(table(spark, sf_dir, "lineitem").count() // LINES + 1, spark.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt by its number of rows: Spark joins small partitions by their bytes, which say little of rows that cost much."""
+    return df.repartition(max(df.count() // QUESTIONS + 1, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OCR boxes: a line item is a box on its order's page, its part's name the text; dealt by page as page_ids() are, so that
     a task's windows do not grow with the table."""

@@ -3,11 +3,13 @@
 import difflib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import fuzzy as Z
 from foliant.operators import spatial as Sp
+from foliant.operators import trees as Tr
 
 BOX = "image_id long, box_id long, x0 long, y0 long, w long, h long, confidence double, text string"
 
@@ -86,3 +88,27 @@ def test_late_interaction_makes_no_row_per_pair(spark):
     df = spark.createDataFrame([(1, "red metal", "read metals")], "n int, q string, t string")
     plan = Z.late_interaction(df, ["n"], "q", "t")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Generate" not in plan
+
+
+def test_ranked_groups_share_chunks(spark, monkeypatch):
+    """Small groups are gathered into few chunks; gradients of many groups at once are those of each alone."""
+    starts, rng = np.array([0, 3, 4, 9, 12, 17]), np.random.default_rng(4)
+    score, label = np.round(rng.normal(size=20), 1), rng.integers(0, 4, 20).astype(float)
+    label[:3] = 0.0
+    ends = [*starts[1:], 20]
+    alone = [Tr.lambdas(score[a:b], label[a:b], np.array([0])) for a, b in zip(starts, ends, strict=True)]
+    for pairs in (1, 1 << 20):
+        monkeypatch.setattr(Tr, "PAIRS", pairs)
+        for got, want in zip(Tr.lambdas(score, label, starts), zip(*alone, strict=True), strict=True):
+            assert got.tolist() == pytest.approx(np.concatenate(want).tolist())
+    sizes, table = {}, Tr.Stored.table
+
+    def noted(self, df, name):
+        out = table(self, df, name)
+        sizes.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(Tr.Stored, "table", noted)
+    df = spark.createDataFrame([(i, i // 3, float(i % 7), float(i % 3)) for i in range(300)], "id long, q long, a double, y double")
+    forests, out = Tr.boost(df, ["id"], ["a"], "y", objective="ranks", group=["q"], trees=1, leaves=2, least_rows=1)
+    assert out.count() == 300 and sizes["chunks"] == sizes["state"] == 1
