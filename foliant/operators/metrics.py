@@ -69,15 +69,37 @@ def nearest_rank(df: DataFrame, by: list[str], value: str, shares: dict[str, tup
     return x.groupBy(*by).agg(*[F.max(F.when(F.col("_r") == F.floor(F.col("_n") * a / b), F.col(value))).alias(name) for name, (a, b) in shares.items()])
 
 
+#: Resamples that one task draws of a group.
+BLOCK = 8
+
+
 def bootstrap(df: DataFrame, by: list[str], value: str, key: str, boots: int = 200, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """Mean and percentile interval of resampled means, distributed: draw j of resample b takes the row whose place is an MD5 of
-    (seed, group, b, j) modulo the group's size. Groups are small tables of paired differences (one row per question)."""
-    w = Window.partitionBy(*by)
-    rows = df.select(*by, F.col(value).alias("v"), (F.row_number().over(w.orderBy(key)) - 1).alias("pos"), F.count("*").over(w).alias("n"))
-    draws = rows.select(*by, "n", F.col("pos").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(boots - 1))).alias("b"))
-    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in by], F.col("b").cast("string"), F.col("j").cast("string"))
-    draws = draws.withColumn("pos", F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % F.col("n"))
-    means = draws.select(*by, "b", "pos").join(rows.select(*by, "pos", "v"), [*by, "pos"]).groupBy(*by, "b").agg(F.avg("v").alias("m"))
+    (seed, group, b, j) modulo the group's size. Groups are small tables of paired differences (one row per question): a group's values go to a
+    task per BLOCK resamples, which draws and looks up at once. A row per draw would be `boots` times the table, shuffled and sorted."""
+    import numpy as np
+    import pandas as pd
+
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in by])
+    rows = df.select(*by, F.col(value).cast("double").alias("v"), (F.row_number().over(Window.partitionBy(*by).orderBy(key)) - 1).alias("pos"), text.alias("_text"))
+    blocks = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((boots - 1) // BLOCK))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        from hashlib import md5
+
+        v, first = pdf.sort_values("pos")["v"].to_numpy(float), int(pdf["_block"].iloc[0]) * BLOCK
+        known, places, means = np.where(np.isnan(v), 0.0, v), [b":%d" % j for j in range(len(v))], []
+        for b in range(first, min(first + BLOCK, boots)):
+            head = f"{pdf['_text'].iloc[0]}:{b}".encode()
+            drawn = np.frombuffer(b"".join([md5(head + j).digest()[:4] for j in places]), ">u4").astype(np.int64) % len(v)
+            n = np.count_nonzero(~np.isnan(v[drawn]))
+            means.append(known[drawn].sum() / n if n else None)
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(means) for c in by}, "m": pd.Series(means, dtype=float)})
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    # dealt by number, as Spark joins small partitions by their bytes, which say little of rows that cost much
+    dealt = blocks.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by, "_block")
+    means = dealt.groupBy(*by, "_block").applyInPandas(run, f"{kinds}, m double")
     ends = means.groupBy(*by).agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
     return df.groupBy(*by).agg(F.avg(value).alias("mean"), F.count("*").alias("n")).join(ends, by)
 
