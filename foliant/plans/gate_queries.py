@@ -19,7 +19,7 @@ from .metric_queries import _PL, patch_labels
 from .registry import query
 from .routing_queries import RULES_SQL, evaluated
 from .source_queries import _FEATS
-from .spatial_queries import _IOU, _SCORED, patches, scored
+from .spatial_queries import _IOU, _SCORED, patches, scored_pools
 
 _BOOT = "cast(concat('0x', substr(md5(concat('42:', rule, ':', b, ':', pos)), 1, 8)) as bigint)"
 
@@ -319,7 +319,6 @@ one as (select * from p where r = 1), two as (select * from p where r = 2),
 oz as (select c.image_id, arg_min(c.idx, struct_pack(a := -c.proxy, b := -c.score, c := c.idx)) as best, max(c.proxy) as proxy from p c join one a on a.image_id = c.image_id where c.r between 3 and 8 and {_IOU('c', 'a')} < 0.35 group by 1)
 select one.image_id, one.idx as first, case when oz.proxy > two.proxy and oz.proxy >= two.proxy + 0.08 then oz.best else two.idx end as second from one join two using (image_id) left join oz using (image_id)""")
 def safe_expand(spark, d):
-    item = F.struct("idx", "x", "y", "w", "h", "score", ((F.col("idx") * 7 % 10) / 10.0).alias("proxy"))
-    c = scored(spark, d).groupBy("image_id").agg(F.sort_array(F.collect_list(item)).alias("c"))
+    c = scored_pools(spark, d, proxy=lambda r: (r["idx"] * 7 % 10) / 10.0)
     out = Sel.safe_expanded(F.col("c"), F.slice(Sel.best_first(F.col("c")), 1, 2))
     return c.select("image_id", out.alias("p")).select("image_id", F.col("p")[0]["idx"].alias("first"), F.col("p")[1]["idx"].alias("second"))

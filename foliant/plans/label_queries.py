@@ -14,7 +14,7 @@ from . import sqltext as S
 from .metric_queries import _PL, patch_labels
 from .registry import query
 from .routing_queries import LONG
-from .spatial_queries import _ASKED, _IOU, _OVERLAP, _SCORED, H, W, patches, scored
+from .spatial_queries import _ASKED, _IOU, _OVERLAP, _SCORED, H, W, patches, pool, scored_pools
 from .text_queries import _any
 
 
@@ -28,8 +28,7 @@ def failures(spark, d):
 with {_OVERLAP}, t as (select p.image_id, p.idx, p.y, p.h, coalesce(string_agg(o.text, ' ' order by o.box_id), '') as text from patches p left join o on o.image_id = p.image_id and o.idx = p.idx group by all)
 select case when trim(text) = '' then 'blank' when y < 1300 * 0.15 then 'header' when y > 1300 * 0.85 then 'footer' when contains(text, ':') and length(text) < 40 then 'label_value' when length(text) < 15 then 'form_field' else 'paragraph' end as kind, count(*) as n from t group by 1""")
 def patch_types(spark, d):
-    p = patches(spark, d)
-    t = Sp.patch_texts(p, V.boxes(spark, d)).join(p, ["image_id", "idx"])
+    t = Sp.rows_of(pool(spark, d, "text"))
     return t.groupBy(L.patch_kind(F.col("y"), F.col("h"), F.lit(H), F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
 
 
@@ -191,8 +190,7 @@ with {_SCORED}, f as (select *, row_number() over (partition by image_id order b
 r as (select p.image_id, p.idx, row_number() over (partition by p.image_id order by ({_IOU('p', 'o')} >= 0.35), p.score desc, p.idx) as r from s p join one o on o.image_id = p.image_id and o.idx <> p.idx)
 select image_id, 1::bigint as slot, idx from one union all select image_id, r + 1, idx from r where r <= 2""")
 def anchor_pair(spark, d):
-    item = F.struct("idx", "x", "y", "w", "h", "score", F.col("n").alias("anchor"))
-    c = scored(spark, d).groupBy("image_id").agg(F.sort_array(F.collect_list(item)).alias("c"))
+    c = scored_pools(spark, d, anchor=lambda r: r["n"])
     out = c.select("image_id", F.posexplode_outer(Sel.anchored(F.col("c"), 3)).alias("slot", "k"))
     return out.select("image_id", (F.col("slot") + 1).cast("long").alias("slot"), F.col("k.idx").alias("idx"))
 

@@ -13,7 +13,7 @@ from ..sources import tables as Tb
 from ..sources import views as V
 from ..streaming import replay as St
 from .registry import query
-from .spatial_queries import _IOU, _SCORED, scored
+from .spatial_queries import _IOU, _SCORED, scored, scored_pools
 
 
 @query("q65_manifest_validate", """
@@ -65,7 +65,7 @@ with {_SCORED}, r as (select *, row_number() over (partition by image_id order b
 c as (select a.image_id, a.idx as f, b.idx as g, -(0.4::double * greatest(a.score, b.score) + 0.5::double * (a.score + b.score) + 0.1::double * (1 - {_IOU('a', 'b')})) as k from r a join r b on b.image_id = a.image_id and b.idx <> a.idx where a.r <= 3 and b.r <= 8 and {_IOU('a', 'b')} < 0.35)
 select image_id, f as first, g as second from (select *, row_number() over (partition by image_id order by k, f, g) as n from c) where n = 1""")
 def best_pair(spark, d):
-    c = Sel.candidates(scored(spark, d), ["image_id"])
+    c = scored_pools(spark, d)
     pair = Sel.let(F.slice(Sel.best_first(F.col("c")), 1, 8), lambda best: Sel.pair(F.slice(best, 1, 3), best))
     return c.select("image_id", F.explode_outer(F.array(pair)).alias("p")).where("p is not null").select("image_id", "p.first", "p.second")  # a filter on the pair itself would compute it again
 

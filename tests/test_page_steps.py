@@ -7,6 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.operators import metrics as M
+from foliant.operators import scores as Sc
+from foliant.operators import spatial as Sp
+from foliant.plans import catalogue
 
 
 def exchanges(df):
@@ -30,3 +33,52 @@ def test_bootstrap_makes_no_row_per_draw(spark):
             means.append(np.mean([x for x in drawn if x is not None]))
         assert [got[rule][c] for c in ("low", "high")] == pytest.approx(list(np.quantile(means, [0.025, 0.975])))
         assert got[rule]["n"] == len(v) and got[rule]["mean"] == pytest.approx(np.mean([x for x in v if x is not None]))
+
+
+def test_grid_pool_equals_brute_force(spark):
+    """Boxes at the edges of rectangles, without size, without a text or a confidence, and a page without boxes."""
+    rng = np.random.default_rng(3)
+    rects = [(0, 0, 40, 30), (20, 10, 40, 30), (60, 0, 10, 90)]
+    rows = [(int(p), i, int(rng.integers(0, 70)), int(rng.integers(0, 60)), int(rng.integers(0, 30)), int(rng.integers(0, 20)), None if i % 5 == 4 else i / 10, [" a ", "b", "", None, "c d"][i % 5]) for p in range(4) for i in range(6 * p)]
+    boxes = spark.createDataFrame(rows, "image_id long, box_id long, x0 long, y0 long, w long, h long, confidence double, text string").repartition(3)
+    pages = spark.createDataFrame([(p,) for p in range(4)], "image_id long")
+    got = {(r["image_id"], r["idx"]): r for r in Sp.rows_of(Sp.grid_pool(pages, boxes, rects, "confidence", "text"), "total").collect()}
+    assert len(got) == 12
+    for p in range(4):
+        own = [r for r in rows if r[0] == p]
+        for i, (x, y, w, h) in enumerate(rects):
+            cut = lambda a, n, b, m: max(0, min(a + n, b + m) - max(a, b))
+            held = [(r, cut(x, w, r[2], r[4]) * cut(y, h, r[3], r[5])) for r in own]
+            held = [(r, a) for r, a in held if a > 0]
+            known, texts = [r[6] for r, _ in held if r[6] is not None], [r[7].strip() for r, _ in held if r[7] and r[7].strip()]
+            g = got[p, i]
+            assert (g["x"], g["y"], g["w"], g["h"], g["area"], g["n"], g["text"]) == (x, y, w, h, sum(a for _, a in held), len(held), " ".join(texts))
+            assert g["total"] == (sum(r[4] * r[5] for r in own) if own else None) and g["confidence"] == (pytest.approx(np.mean(known)) if known else None)
+
+
+@pytest.mark.parametrize("name", ["q19_patch_text", "q20_patch_coverage_conf", "q26_mmr", "q30_two_stage", "q81_patch_types", "q97_anchor_pair", "q139_safe_expand", "q159_label_boost", "q161_selector_registry", "q32_weak_labels", "q22_graph_features"])
+def test_patches_are_not_shuffled(spark, sf_dir, name):
+    """No exchange or sort for a join above what makes a row per patch: a patch stays where its page is."""
+    plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan()
+
+    def shuffled(p, above):
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return shuffled(p.executedPlan(), above)
+        exchange = kind == "ShuffleExchangeExec" and "idx#" in p.outputPartitioning().toString()
+        children = [p.children().apply(i) for i in range(p.children().size())]
+        return exchange or any(shuffled(c, above) for c in children)
+
+    assert not shuffled(plan, False)
+
+
+def test_selectors_in_one_pass_pick_what_each_picks(spark):
+    rng = np.random.default_rng(5)
+    rows = [(p, i, float(rng.integers(0, 3)), None if i == 2 else float(rng.integers(0, 9))) for p in range(5) for i in range(1 + 4 * p)]
+    df = spark.createDataFrame(rows, "image_id long, idx long, text_confidence double, bm25 double")
+    methods = ["ocr_confidence_topk", "bm25_only", "uniform", "multiscale_uniform"]
+    for k in (1, 2, 3):
+        got = {tuple(r) for r in Sc.select_each(df, methods, ["image_id"], k).collect()}
+        assert got == {(m, r["image_id"], r["idx"]) for m in methods for r in Sc.select_named(df, m, ["image_id"], k).collect()}
+    with pytest.raises(ValueError):
+        Sc.select_each(df, ["evidence"], ["image_id"], 2)
