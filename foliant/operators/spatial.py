@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
+from ..sources.tables import kept
 
 
 #: Side of a grid cell in pixels; most rectangles lie in one to four cells.
@@ -121,14 +122,21 @@ def rows_of(pool: DataFrame, *more: str) -> DataFrame:
     return pool.select("image_id", *more, F.explode_outer("c").alias("_c")).select("image_id", *more, "_c.*").hint("merge")
 
 
-def layout_edges(boxes: DataFrame) -> DataFrame:
-    """Edges (image_id, a, b, rel) from each box to later ones of its page; two boxes may share several relations."""
-    c = centres(boxes)
-    a = c.select("image_id", F.col("box_id").alias("a"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("w").alias("aw"))
-    b = c.select("image_id", F.col("box_id").alias("b"), F.col("cx").alias("bx"), F.col("cy").alias("by"))
+#: Boxes of a page up to which its pairs of boxes meet page by page; those of denser pages are dealt cell by cell.
+DENSE = 256
+
+
+def _edges(c: DataFrame, *more: str) -> DataFrame:
+    """Edges (image_id, a, b, rel) from each box of centres() to later ones of its page, with the centres (ax, ay, bx, by) and more columns (a_, b_) of both ends."""
+    c = c.withColumn("_n", F.count("*").over(Window.partitionBy("image_id")))
+    ends = {e: [F.col("box_id").alias(e), F.col("cx").alias(e + "x"), F.col("cy").alias(e + "y"), *[F.col(m).alias(f"{e}_{m}") for m in more]] for e in "ab"}
+    sides = lambda ok: (c.where(ok).select("image_id", *ends["a"], F.col("w").alias("aw")), c.where(ok).select("image_id", *ends["b"]))
+    a, b = sides(F.col("_n") <= DENSE)
+    x = a.hint("merge").join(b, "image_id").where("a < b")
+    a, b = sides(F.col("_n") > DENSE)
     reach = F.greatest(F.col("aw"), F.lit(200))  # no relation reaches further
     a = _in_cells(a, F.col("ax") - reach, F.col("ax") + reach, F.col("ay") - 80, F.col("ay") + 80)
-    x = a.join(_at(b, F.col("bx"), F.col("by")), ["image_id", "_i", "_j"]).where("a < b")
+    x = x.unionByName(a.join(_at(b, F.col("bx"), F.col("by")), ["image_id", "_i", "_j"]).where("a < b").drop("_i", "_j"))
     dx, dy = F.abs(F.col("ax") - F.col("bx")), F.abs(F.col("ay") - F.col("by"))
     right, below = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     rels = F.array_compact(
@@ -139,11 +147,18 @@ def layout_edges(boxes: DataFrame) -> DataFrame:
             F.when((below > 0) & (below < 80) & (dx < 40), "nearby_below"),
         )
     )
-    return x.select("image_id", "a", "b", F.explode(rels).alias("rel"))
+    near = (dy < 80) & (dx < F.greatest(F.col("aw"), F.lit(200)))  # of all relations; few pairs are left for the list
+    return x.where(near).withColumn("rel", F.explode(rels)).drop("aw")
+
+
+def layout_edges(boxes: DataFrame) -> DataFrame:
+    """Edges (image_id, a, b, rel) from each box to later ones of its page; two boxes may share several relations."""
+    return _edges(centres(boxes)).select("image_id", "a", "b", "rel")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.select("image_id", F.col("b").alias("a"), F.col("a").alias("b"), "rel"))
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return edges.select("image_id", ways.alias("_e"), "rel").select("image_id", "_e.a", "_e.b", "rel")
 
 
 #: Columns of graph_features().
@@ -161,14 +176,17 @@ def with_graph(x: DataFrame, boxes: DataFrame, questions: DataFrame) -> DataFram
     """x (image_id, h, p: a rectangle, and more) with the columns of graph_features()."""
     c = centres(boxes)
     toks = questions.select("image_id", F.array_distinct(T.content_tokens(F.col("question"))).alias("q"))
-    asked = c.join(toks, "image_id").where(_holds(F.lower("text"), F.col("q"))).select("image_id", F.col("box_id").alias("a"), F.col("cx").alias("qx"), F.col("cy").alias("qy"))
-    near = both_ways(layout_edges(boxes)).join(asked, ["image_id", "a"]).join(c.select("image_id", F.col("box_id").alias("b"), "cx", "cy"), ["image_id", "b"])
-    dist = near.groupBy("image_id").agg(F.min(F.sqrt(F.pow(F.col("cx") - F.col("qx"), 2) + F.pow(F.col("cy") - F.col("qy"), 2))).alias("d"))
+    asked = c.join(toks.hint("merge"), "image_id").withColumn("asked", F.coalesce(_holds(F.lower("text"), F.col("q")), F.lit(False)))
+    # an edge leads from a question box to its other end, or to either if both are
+    e = _edges(asked.select("image_id", "box_id", "cx", "cy", "w", "asked"), "asked").where("a_asked or b_asked")
+    end = lambda q, v: F.when(F.col(f"{q}_asked"), F.struct(F.col(f"{q}x").alias("qx"), F.col(f"{q}y").alias("qy"), F.col(f"{v}x").alias("cx"), F.col(f"{v}y").alias("cy")))
+    near = e.select("image_id", "rel", F.explode_outer(F.array_compact(F.array(end("a", "b"), end("b", "a")))).alias("_e")).select("image_id", "rel", "_e.*")
     # a page's points meet its patches within their rows: no patch is shuffled or sorted but for its page
+    d = F.sqrt(F.pow(F.col("cx") - F.col("qx"), 2) + F.pow(F.col("cy") - F.col("qy"), 2))
+    points = near.groupBy("image_id").agg(F.min(d).alias("d"), *[F.collect_set(F.when(F.col("rel") == r, F.struct("cx", "cy"))).alias(k) for r, k in (("same_row", "_row"), ("nearby_below", "_below"))])
     own = c.groupBy("image_id").agg(F.collect_list(F.struct("cx", "cy")).alias("_own"))
-    points = near.where("rel in ('same_row', 'nearby_below')").select("image_id", "rel", "cx", "cy").distinct().groupBy("image_id").agg(*[F.collect_list(F.when(F.col("rel") == r, F.struct("cx", "cy"))).alias(k) for r, k in (("same_row", "_row"), ("nearby_below", "_below"))])
-    for own_points in (own, points, dist):
-        x = x.join(own_points.hint("merge"), "image_id", "left")
+    # stored, as Spark would deal the patches anew to meet what it has dealt over more partitions
+    x = x.join(own.hint("merge"), "image_id", "left").join(kept(points, "points"), "image_id", "left")
     in_p = lambda v: G.inside(v["cx"], v["cy"], F.col("p"))
     held = {k: F.coalesce(F.exists(f"_{k}", in_p).cast("double"), F.lit(0.0)) for k in ("row", "below")}
     n = F.coalesce(F.size(F.filter("_own", in_p)), F.lit(0)).cast("double")
