@@ -82,3 +82,31 @@ def test_selectors_in_one_pass_pick_what_each_picks(spark):
         assert got == {(m, r["image_id"], r["idx"]) for m in methods for r in Sc.select_named(df, m, ["image_id"], k).collect()}
     with pytest.raises(ValueError):
         Sc.select_each(df, ["evidence"], ["image_id"], 2)
+
+
+@pytest.mark.parametrize("name", ["q181_node_evidence", "q182_node_pair_selector", "q184_table_pair_selector", "q185_entity_evidence", "q186_entity_row_selector", "q192_patch_features"])
+def test_evidence_shuffles_no_patches(spark, sf_dir, name):
+    """Pairs, nodes and rows meet the patches within their rows; neither what is stored nor the query deals a patch anew."""
+    from foliant.sources.tables import Stored
+
+    plans, table = [], Stored.table
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(Stored, "table", lambda self, df, name: plans.append(df) or table(self, df, name))
+        plans.append(catalogue.QUERIES[name](spark, sf_dir))
+    spark.conf.set("spark.sql.shuffle.partitions", "50")  # more than pages are dealt over
+    try:
+        assert not any("idx#" in x for df in plans for x in exchanges(df))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_dense_and_sparse_pages_have_the_same_edges(spark, monkeypatch):
+    """Pages up to DENSE boxes meet page by page, denser ones cell by cell."""
+    rng = np.random.default_rng(6)
+    rows = [(p, i, int(rng.integers(0, 900)), int(rng.integers(0, 600)), int(rng.integers(1, 400)), 20, 0.5, "t") for p in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, "image_id long, box_id long, x0 long, y0 long, w long, h long, confidence double, text string")
+    found = []
+    for dense in (0, 40):
+        monkeypatch.setattr(Sp, "DENSE", dense)
+        found.append(sorted(map(tuple, Sp.layout_edges(df).collect())))
+    assert found[0] == found[1] and len(found[0]) > 50
